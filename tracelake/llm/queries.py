@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, jaccard, line_dedup, piece_codec
+from tracelake.llm import decontaminate, jaccard, line_dedup, piece_codec, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +33,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.select("doc_id", "log_weight", "n_features", "draw", F.lit(True).alias("kept"))
+
+
 def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op8_parity_join)}
+    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op5_importance_resampling, op8_parity_join)}
 
 
 def oracle_sql() -> dict[str, str]:
