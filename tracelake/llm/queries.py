@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, jaccard, line_dedup, piece_codec, quality
+from tracelake.llm import decontaminate, jaccard, line_dedup, piece_codec, quality, url_rules, warc
+from tracelake.llm.shared import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +39,23 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "log_weight", "n_features", "draw", F.lit(True).alias("kept"))
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica in which one byte of each page whose id leaves 5 modulo 97 was damaged."""
+    records = stored(warc.warc_records(table(spark, sf_dir, "pages")), "warc")
+    return warc.fixity(records, warc.flip_byte(records, F.col("page_id") % 97 == 5))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op5_importance_resampling, op8_parity_join)}
+    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op5_importance_resampling, op7_warc_fixity, op8_parity_join, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op3_decontaminate": decontaminate.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op7_warc_fixity": warc.ORACLE}
