@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, jaccard, line_dedup, piece_codec, quality, url_rules, warc
+from tracelake.llm import decontaminate, jaccard, line_dedup, piece_codec, quality, token_files, url_rules, warc
 from tracelake.llm.shared import stored
 
 
@@ -45,6 +45,10 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fixity(records, warc.flip_byte(records, F.col("page_id") % 97 == 5))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_index(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op5_importance_resampling, op7_warc_fixity, op8_parity_join, op10_url_rules)}
+    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op5_importance_resampling, op7_warc_fixity, op8_parity_join, op9_token_files, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
