@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, jaccard, line_dedup, piece_codec, quality, token_files, url_rules, warc
+from tracelake.llm import decontaminate, jaccard, lattice_lm, line_dedup, piece_codec, quality, token_files, url_rules, warc
 from tracelake.llm.shared import stored
 
 
@@ -34,6 +34,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return drawn.select("doc_id", "log_weight", "n_features", "draw", F.lit(True).alias("kept"))
@@ -58,7 +62,7 @@ def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op5_importance_resampling, op7_warc_fixity, op8_parity_join, op9_token_files, op10_url_rules)}
+    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op4_lattice_lm, op5_importance_resampling, op7_warc_fixity, op8_parity_join, op9_token_files, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
