@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, jaccard, lattice_lm, line_dedup, piece_codec, quality, token_files, url_rules, warc
+from tracelake.llm import cap_filters, decontaminate, jaccard, lattice_lm, line_dedup, piece_codec, quality, token_files, url_rules, warc
 from tracelake.llm.shared import stored
 
 
@@ -43,6 +43,10 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "log_weight", "n_features", "draw", F.lit(True).alias("kept"))
 
 
+def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.cap_links(table(spark, sf_dir, "embeddings"))
+
+
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of a replica in which one byte of each page whose id leaves 5 modulo 97 was damaged."""
     records = stored(warc.warc_records(table(spark, sf_dir, "pages")), "warc")
@@ -62,7 +66,7 @@ def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op4_lattice_lm, op5_importance_resampling, op7_warc_fixity, op8_parity_join, op9_token_files, op10_url_rules)}
+    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op4_lattice_lm, op5_importance_resampling, op6_cap_filters, op7_warc_fixity, op8_parity_join, op9_token_files, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
