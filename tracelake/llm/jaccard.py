@@ -16,11 +16,12 @@ used twice:
   fetched and intersected.
 
 Documents with the same set form one class and only classes are compared.  A key
-that more than 32 classes share links each of them with the smallest.  After the
+that more than 8 classes share links each of them with two hubs: the member that
+has most such keys, which near copies of one text leave to that text, and one drawn
+by hash.  After the
 components of the verified links are known, members of such a key that are still
-apart meet other hubs, drawn by hash, until few of them are apart; these are then
-all compared with each other.  So no link between components is lost and no group
-of similar texts is expanded into all its pairs.
+apart are compared with each other.  So no link between components is lost and no
+group of similar texts is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -37,10 +38,8 @@ from tracelake.llm.kernels import mix, row_shingles
 from tracelake.llm.shared import connected_components, stored
 
 WORDS = 16
-HOT = 32
+HOT = 8
 ENTRIES_PER_BUCKET = 1_000_000
-HUB_TURNS = 6
-PAIRS_PER_MEMBER = 16
 _U = np.uint64
 
 
@@ -301,38 +300,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         x, y = sketches.alias("x"), sketches.alias("y")
         return stored(pairs.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls")).where(sketches_allow("x", "y")).select("a", "b"), name)
 
-    star = hot.join(hot.groupBy("key").agg(F.min("cls").alias("hub")), "key").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
-    tried = screened(met.where("kind = 0").select("a", "b").union(star).distinct(), "pairs")
+    shared_keys = hot.groupBy("cls").agg(F.count(F.lit(1)).alias("keys"))
+    central = hot.join(shared_keys, "cls").groupBy("key").agg(F.max_by("cls", F.struct("keys", "cls")).alias("central"), F.min_by("cls", F.xxhash64(F.lit(-1), "cls")).alias("drawn"))
+    star = hot.join(central, "key").select(F.col("cls"), F.explode(F.array("central", "drawn")).alias("hub")).where("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
+    tried = screened(met.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(star).distinct(), "pairs")
     links = stored(verified(tried, rows, kinds), "links")
     found = connected_components(links)
-    for turn in range(HUB_TURNS + 1):
-        # members of a hot key that are still in different components
-        labelled = hot.join(found.withColumnRenamed("v", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("k > 1")
-        apart = stored(labelled.join(mixed, "key"), "apart")
-        total = apart.groupBy("key").agg(F.max("m").alias("m"), F.max("mm").alias("mm")).agg(F.sum("m").alias("members"), F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs")).first()
-        if not total["members"]:
-            break
-        last = turn == HUB_TURNS or total["pairs"] <= PAIRS_PER_MEMBER * total["members"]
-        if last:
-            both = apart.join(sketches, "cls")
-            x, y = both.alias("x"), both.alias("y")
-            more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sketches_allow("x", "y"))
-            more = more.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-        else:
-            turned = F.xxhash64(F.lit(turn), "cls")
-            hubs = apart.withColumn("turned", turned).groupBy("key").agg(F.min_by(F.struct("cls", "component"), "turned").alias("hub"))
-            more = apart.join(hubs, "key").where("component <> hub.component").select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
-        more = more.distinct().join(tried, ["a", "b"], "left_anti")
-        more = stored(more, "more-pairs") if last else screened(more, "more-pairs")
-        if more.limit(1).count():
-            tried = tried.union(more)
-            new = stored(verified(more, rows, kinds), "more-links")
-            links = links.union(new)
-            found = connected_components(links) if new.limit(1).count() else found
-        if last:
-            break
+    # members of a hot key that are still in different components
+    labelled = hot.join(found.withColumnRenamed("v", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    apart = stored(labelled.join(mixed, "key").join(sketches, "cls"), "apart")
+    x, y = apart.alias("x"), apart.alias("y")
+    met_again = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sketches_allow("x", "y"))
+    more = met_again.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    more = stored(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
+    if more.limit(1).count():
+        new = stored(verified(more, rows, kinds), "more-links")
+        found = connected_components(links.union(new)) if new.limit(1).count() else found
 
     joined = kinds.select("cls", "doc_id").join(found.withColumnRenamed("v", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
