@@ -19,7 +19,7 @@ def fusion_depth(hits: DataFrame, depth: int = DEPTH, by: tuple[str, ...] = ("qu
     return hits.withColumn("_n", rank).where(F.col("_n") <= depth).drop("_n")
 
 
-def rrf(lists: dict[str, DataFrame], k: int = 60, weight: str | None = None, depth: int = DEPTH, key: str = "doc_id", digits: int = 6) -> DataFrame:
+def rrf(lists: dict[str, DataFrame], k: int = 60, weight: str | None = None, depth: int = DEPTH, key: str = "doc_id", digits: int = 9) -> DataFrame:
     """(query_id, key, score, sources): the sum of 1 / (k + rank) over ranked lists (query_id, key, rank).
 
     `weight` names a salience column that multiplies each term; the largest is kept.

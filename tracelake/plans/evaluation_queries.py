@@ -1,0 +1,59 @@
+"""Queries that score retrieval: labels are the truth, quality is relevance, toxicity is noise."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracelake.operators import evaluate as ev
+from tracelake.plans import adapters as ad
+from tracelake.plans.catalogue import query
+from tracelake.plans.search_queries import BM25, VECTORS, hits, near
+
+JUDGED = f"""{BM25}, {VECTORS}, h AS (SELECT query_id, doc_id, rank, 'bm25' AS mode FROM r WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank, 'semantic' FROM k WHERE rank <= 50),
+j AS (SELECT h.*, quality AS grade, CASE WHEN toxic = 1 THEN 'toxic' END AS noise FROM h LEFT JOIN labels USING (doc_id)),
+pr AS (SELECT mode, query_id, {", ".join(f"round(count(*) FILTER (WHERE rank <= {k} AND coalesce(grade, 0) > 0) / least({k}, count(*)), 6) AS p_at_{k}" for k in (5, 10, 20))}, count(*) AS hits FROM j GROUP BY mode, query_id)"""
+
+
+def judged(spark, sf_dir):
+    labels = ad.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade"), F.when(F.col("toxic") == 1, "toxic").alias("noise"))
+    both = hits(spark, sf_dir, 50).select("query_id", "doc_id", "rank", F.lit("bm25").alias("mode")).union(near(spark, sf_dir).select("query_id", "doc_id", "rank", F.lit("semantic")))
+    return both.join(labels, "doc_id", "left")
+
+
+@query(f"WITH {JUDGED} SELECT * FROM pr")
+def precision_at_k(spark, sf_dir):
+    return ev.precision_at(judged(spark, sf_dir), by=("mode", "query_id"))
+
+
+@query(f"WITH {JUDGED} SELECT mode, noise, n, rank FROM (SELECT mode, coalesce(noise, 'unlabeled') AS noise, count(*) AS n, row_number() OVER (PARTITION BY mode ORDER BY count(*) DESC, coalesce(noise, 'unlabeled')) AS rank FROM j WHERE coalesce(grade, 0) = 0 GROUP BY mode, coalesce(noise, 'unlabeled')) WHERE rank <= 20")
+def noise_breakdown(spark, sf_dir):
+    return ev.noise_breakdown(judged(spark, sf_dir))
+
+
+@query(f"WITH {JUDGED} SELECT mode, {', '.join(f'round(avg(p_at_{k}), 6) AS p_at_{k}' for k in (5, 10, 20))}, count(*) AS queries FROM pr GROUP BY mode")
+def compare_modes(spark, sf_dir):
+    return ev.compare_modes(ev.precision_at(judged(spark, sf_dir), by=("mode", "query_id")))
+
+
+@query(f"""WITH {BM25}, g AS (SELECT DISTINCT item_id AS query_id, source AS head FROM benchmark, documents JOIN labels USING (doc_id) WHERE quality = 1),
+f AS (SELECT DISTINCT query_id, source AS head FROM r JOIN documents USING (doc_id) WHERE rank <= 10)
+SELECT query_id, count(f.head) AS found, count(*) AS relevant, round(count(f.head) / count(*), 6) AS recall FROM g LEFT JOIN f USING (query_id, head) GROUP BY query_id""")
+def session_recall(spark, sf_dir):
+    """Sources as sessions; those with a good document are relevant to every benchmark query."""
+    docs = ad.table(spark, sf_dir, "documents")
+    good = docs.join(ad.table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select(F.col("source").alias("session")).distinct()
+    asked = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    sessions = asked.join(F.broadcast(good), F.lit(True)).withColumn("relevant", F.lit(True))  # sources times queries, the truth table's own size
+    found = hits(spark, sf_dir, 10).join(docs.select("doc_id", F.col("source").alias("session")), "doc_id")
+    return ev.session_recall(found, sessions)
+
+
+@query(f"""WITH {BM25}, w AS (SELECT item_id AS query_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({", ".join(repr(x) for x in ev.STOP_WORDS)})) AS words FROM benchmark),
+v AS (SELECT query_id, doc_id, rank, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2) AS words FROM r JOIN documents USING (doc_id) WHERE rank <= 20),
+sh AS (SELECT v.query_id, doc_id, rank, len(list_filter(w.words, lambda x: list_contains(v.words, x))) / len(w.words) AS share FROM v JOIN w USING (query_id))
+SELECT query_id, doc_id, rank, CASE WHEN share >= 0.5 THEN 2 END AS grade FROM sh""")
+def truth_matches(spark, sf_dir):
+    """Benchmark texts as judged events of grade 2, matched to the hits by their words."""
+    truth = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("place"), F.col("text").alias("summary"), F.lit(2).alias("grade"), F.lit(None).cast("string").alias("noise"))
+    found = hits(spark, sf_dir, 20).join(ad.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("summary")), "doc_id").withColumn("session", F.lit(""))
+    return ev.match_truth(found, truth).select("query_id", "doc_id", "rank", "grade")

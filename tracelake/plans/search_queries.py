@@ -145,8 +145,8 @@ def novelty_greedy(spark, sf_dir):
 
 
 RRF = """u AS (SELECT query_id, doc_id, {w} / (60 + rank) AS part, {w} AS salience, 'bm25' AS name, 0 AS place FROM r WHERE rank <= 500 UNION ALL SELECT query_id, doc_id, {w} / (60 + rank), {w}, 'semantic', 1 FROM k WHERE rank <= 50),
-z AS (SELECT query_id, doc_id, round(sum(part), 6) AS score, string_agg(name, '+' ORDER BY place) AS sources, max(salience) AS salience FROM u GROUP BY query_id, doc_id)"""
-WEIGHT = "CASE WHEN doc_id % 10 = 0 THEN 0.5 ELSE greatest(0.05, least(1.0, (doc_id % 10) / 10.0)) END"
+z AS (SELECT query_id, doc_id, round(sum(part), 9) AS score, string_agg(name, '+' ORDER BY place) AS sources, max(salience) AS salience FROM u GROUP BY query_id, doc_id)"""
+WEIGHT = "CAST(CASE WHEN doc_id % 10 = 0 THEN 0.5 ELSE greatest(0.05, least(1.0, (doc_id % 10) / 10.0)) END AS DOUBLE)"
 
 
 @query(f"WITH {BM25}, {VECTORS}, {RRF.format(w='1.0')} SELECT query_id, doc_id, score, sources FROM z")

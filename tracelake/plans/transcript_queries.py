@@ -1,0 +1,144 @@
+"""Queries over conversations as transcripts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracelake.functions.classify import noise_class, noise_summary
+from tracelake.functions.text import estimate_tokens
+from tracelake.operators import sessions as se
+from tracelake.operators import transcripts as tr
+from tracelake.plans import adapters as ad
+from tracelake.plans.catalogue import query
+
+M = """m AS (SELECT conv_id AS session_id, turn AS ordinal, role, text, role = 'assistant' AS a, role = 'system' AS compact, CASE WHEN role = 'assistant' THEN conv_id || '-' || (turn // 4) END AS request,
+CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS i, CASE WHEN role = 'assistant' THEN length(text) // 2 ELSE 0 END AS o, CASE WHEN role = 'assistant' THEN length(text) // 3 ELSE 0 END AS r, CASE WHEN role = 'assistant' THEN length(text) // 5 ELSE 0 END AS c FROM conversations),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, request ORDER BY ordinal DESC) AS n FROM m) WHERE n = 1 OR request IS NULL)"""
+TOK = "CAST(ceil(length({0}) / 4.0) AS BIGINT)"
+SUM = "CAST(coalesce(sum({0}), 0) AS BIGINT)"
+INJECT = "list_sum(list_transform(regexp_extract_all(text, '<{0}>(.*?)</{0}>', 1, 's'), lambda x: ceil(length(x) / 4.0)))"
+INJECTED = "CAST(" + " + ".join(f"coalesce({INJECT.format(t)}, 0)" for t in tr.INJECTION_TAGS) + " AS BIGINT)"
+MENTION = "CAST(len(list_distinct(regexp_extract_all(text, '@([\\w./~-]+\\.\\w+)', 1))) * 500 AS BIGINT)"
+ATTRIBUTION = f"""u AS (SELECT session_id, CASE WHEN a THEN 0 ELSE {INJECTED} END AS inj, CASE WHEN a THEN 0 ELSE {MENTION} END AS men, CASE WHEN a THEN 0 ELSE greatest({TOK.format('text')} - {INJECTED}, 0) END AS usr, CASE WHEN a THEN {TOK.format('text')} ELSE 0 END AS thk FROM m),
+t AS (SELECT session_id, {SUM.format('inj')} AS claude_md, {SUM.format('men')} AS mentioned_files, CAST(0 AS BIGINT) AS tool_outputs, {SUM.format('thk')} AS thinking_text, CAST(0 AS BIGINT) AS task_coordination, {SUM.format('usr')} AS user_messages FROM u GROUP BY session_id)"""
+
+
+@query("""WITH n AS (SELECT conv_id, turn, text, sum(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS turn_idx FROM conversations)
+SELECT 'turn-' || conv_id || '-' || turn_idx AS event_id, conv_id AS session_id, CAST(turn_idx AS BIGINT) AS turn_idx, count(*) AS n_messages, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE text <> ''), '')[1:50000] AS body FROM n WHERE turn_idx > 0 GROUP BY conv_id, turn_idx""")
+def conversation_turns(spark, sf_dir):
+    return tr.turns(ad.messages(spark, sf_dir), tr.text_content())
+
+
+@query(f"SELECT conv_id, turn, {TOK.format('text')} AS tokens FROM conversations")
+def message_tokens(spark, sf_dir):
+    return ad.table(spark, sf_dir, "conversations").select("conv_id", "turn", estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"WITH {M}, {ATTRIBUTION} SELECT * FROM t")
+def token_attribution(spark, sf_dir):
+    return tr.token_attribution(ad.messages(spark, sf_dir))
+
+
+@query(f"""WITH {M}, {ATTRIBUTION}, s AS (SELECT *, claude_md + mentioned_files + tool_outputs + thinking_text + task_coordination + user_messages AS total, greatest(claude_md, mentioned_files, thinking_text, user_messages) AS best FROM t)
+SELECT session_id, total, {", ".join(f"CASE WHEN total > 0 THEN round({c} / total, 6) ELSE 0.0 END AS {c}_share" for c in tr.CATEGORIES)},
+CASE WHEN total = 0 THEN NULL WHEN claude_md = best THEN 'claude_md' WHEN mentioned_files = best THEN 'mentioned_files' WHEN thinking_text = best THEN 'thinking_text' ELSE 'user_messages' END AS dominant FROM s""")
+def attribution_shares(spark, sf_dir):
+    return tr.attribution_shares(tr.token_attribution(ad.messages(spark, sf_dir))).drop(*tr.CATEGORIES)
+
+
+@query(f"WITH {M} SELECT session_id, ordinal FROM k")
+def dedupe_requests(spark, sf_dir):
+    return tr.dedupe_requests(ad.messages(spark, sf_dir)).select("session_id", "ordinal")
+
+
+@query(f"""WITH {M}, s AS (SELECT session_id, {SUM.format('i')} AS input_tokens, {SUM.format('o')} AS output_tokens, {SUM.format('r')} AS cache_read_input_tokens, {SUM.format('c')} AS cache_creation_input_tokens FROM k GROUP BY session_id),
+d AS (SELECT session_id, count(*) AS message_count, (max(ordinal) - min(ordinal)) * 30000 AS duration_ms FROM m GROUP BY session_id)
+SELECT *, input_tokens + output_tokens + cache_read_input_tokens + cache_creation_input_tokens AS total_tokens FROM d JOIN s USING (session_id)""")
+def session_metrics(spark, sf_dir):
+    return tr.session_metrics(ad.messages(spark, sf_dir))
+
+
+@query(f"WITH {M} SELECT session_id, count(*) FILTER (WHERE NOT a) AS n_user, count(*) FILTER (WHERE NOT a AND trim(text) <> '') AS n_real_user, count(*) FILTER (WHERE a) AS n_assistant FROM m GROUP BY session_id")
+def message_partition(spark, sf_dir):
+    return tr.partition_messages(ad.messages(spark, sf_dir)).select("session_id", "n_user", "n_real_user", "n_assistant")
+
+
+@query(f"WITH {M} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) - 1 AS idx, round(r / (i + r + c), 6) AS ratio FROM k WHERE a AND i + r + c > 0")
+def cache_timeline(spark, sf_dir):
+    return tr.cache_timeline(ad.messages(spark, sf_dir))
+
+
+@query("SELECT DISTINCT conv_id AS session_id, false AS ongoing FROM conversations")
+def ongoing_sessions(spark, sf_dir):
+    return tr.ongoing(ad.messages(spark, sf_dir))
+
+
+PHASES = """b AS (SELECT *, sum(CASE WHEN compact THEN 1 ELSE 0 END) OVER w AS phase, CASE WHEN a AND i + r + c > 0 THEN i + r + c END AS used FROM m WINDOW w AS (PARTITION BY session_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT session_id, ordinal, phase, coalesce((SELECT arg_max(used, y.ordinal) FROM b y WHERE y.session_id = b.session_id AND y.ordinal < b.ordinal AND used IS NOT NULL), 0) AS pre,
+coalesce((SELECT arg_min(used, y.ordinal) FROM b y WHERE y.session_id = b.session_id AND y.phase = b.phase AND used IS NOT NULL), 0) AS post FROM b WHERE compact),
+l AS (SELECT session_id, arg_max(used, ordinal) AS last FROM b WHERE used IS NOT NULL GROUP BY session_id)"""
+
+
+@query(f"WITH {M}, {PHASES} SELECT session_id, session_id || '-' || ordinal AS uuid, CAST(phase AS BIGINT) AS phase, pre AS pre_tokens, post AS post_tokens, CASE WHEN pre > 0 THEN round(1 - post / pre, 6) END AS compression FROM x")
+def compaction_events(spark, sf_dir):
+    return tr.compaction_events(ad.messages(spark, sf_dir))
+
+
+@query(f"""WITH {M}, {PHASES}, d AS (SELECT session_id, phase, pre - coalesce(lag(post) OVER (PARTITION BY session_id ORDER BY phase), 0) AS contribution, pre AS peak_tokens, post AS post_tokens FROM x JOIN l USING (session_id)),
+z AS (SELECT session_id, max(phase) AS phase, arg_max(post, phase) AS post FROM x GROUP BY session_id)
+SELECT session_id, CAST(phase AS BIGINT) AS phase, contribution, peak_tokens, post_tokens FROM d UNION ALL
+SELECT session_id, CAST(coalesce(phase + 1, 1) AS BIGINT), CASE WHEN phase IS NULL THEN last WHEN post > 0 THEN last - post ELSE 0 END, last, NULL FROM l LEFT JOIN z USING (session_id)""")
+def compaction_phases(spark, sf_dir):
+    return tr.compaction_phases(ad.messages(spark, sf_dir))
+
+
+@query(f"""WITH {M}, {PHASES}, p AS (SELECT session_id, sum(pre) AS past FROM x GROUP BY session_id), y AS (SELECT session_id, CAST(coalesce(past, 0) + last AS BIGINT) AS total_tokens FROM l LEFT JOIN p USING (session_id))
+SELECT session_id, total_tokens, round(total_tokens / 1000, 6) AS windows, CASE WHEN total_tokens / 1000 < 0.15 THEN 'light' WHEN total_tokens / 1000 < 0.5 THEN 'moderate' WHEN total_tokens / 1000 < 1.5 THEN 'heavy' ELSE 'extreme' END AS band FROM y""")
+def context_gauge(spark, sf_dir):
+    """Load of a context window of 1,000 tokens, as the conversations are short."""
+    m = ad.messages(spark, sf_dir)
+    last = m.where((F.col("type") == "assistant") & (tr.context_tokens() > 0)).groupBy("session_id").agg(F.max_by(tr.context_tokens(), "ordinal").alias("context_tokens"))
+    return se.context_gauge(last, tr.compaction_events(m), 1000)
+
+
+@query(f"WITH {M} SELECT session_id, ordinal, CASE WHEN a THEN 'thinking_text' ELSE 'user_messages' END AS category FROM m WHERE NOT compact")
+def message_category(spark, sf_dir):
+    return tr.message_category(ad.messages(spark, sf_dir))
+
+
+@query(f"WITH {M} SELECT session_id, ordinal, CASE WHEN a THEN 'assistant' ELSE 'user' END AS type, role, text AS content FROM m WHERE text <> ''")
+def viewer_messages(spark, sf_dir):
+    return tr.viewer_messages(ad.messages(spark, sf_dir)).select("session_id", "ordinal", "type", "role", "content")
+
+
+MARKS = ["<task-notification><status>done</status><summary>x y</summary>", "<command-name>/go</command-name>", "<local-command-caveat>", "<local-command-stdout> out </local-command-stdout>", "Launching skill: review", "This session is being continued", ""]
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, CAST(turn % 7 AS INTEGER) AS i FROM conversations)
+SELECT conv_id, turn, ([{", ".join(repr(x) for x in ["task-notification", "slash-command", "command-caveat", "command-output", "skill-launch", "compaction-summary"])}, NULL])[i + 1] AS noise,
+(['agent done: x y', '/go', 'local command output follows', 'out', 'launching review', 'session continuation summary', NULL])[i + 1] AS label FROM t""")
+def noise_classes(spark, sf_dir):
+    """Messages with a machine's mark put before them, by turn."""
+    mark = F.element_at(F.array(*[F.lit(m) for m in MARKS]), (F.col("turn") % len(MARKS) + 1).cast("int"))
+    t = ad.table(spark, sf_dir, "conversations").select("conv_id", "turn", mark.alias("text"))
+    kind = noise_class(F.col("text"))
+    return t.select("conv_id", "turn", kind.alias("noise"), noise_summary(F.col("text"), kind).alias("label"))
+
+
+@query()
+def tool_calls_join(spark, sf_dir):
+    """User turns as calls of a tool and the assistant turns after them as results, rendered as blocks and joined."""
+    c = ad.table(spark, sf_dir, "conversations")
+    use = F.concat_ws("-", F.lit("t"), "conv_id", F.floor(F.col("turn") / 2))
+    call = F.struct(F.lit("tool_use").alias("type"), use.alias("id"), F.lit("Bash").alias("name"), F.struct(F.substring("text", 1, 20).alias("command")).alias("input"))
+    result = F.struct(F.lit("tool_result").alias("type"), use.alias("tool_use_id"), F.substring("text", 1, 20).alias("content"), F.lit(False).alias("is_error"))
+    block = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:variant,tool_use_id:string,content:variant,is_error:boolean>>"
+    odd = F.col("turn") % 2 == 1
+    m = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ordinal"), F.when(odd, "user").otherwise("assistant").alias("type"), F.lit(False).alias("isMeta"), F.lit(False).alias("isSidechain"), F.from_json(F.when(odd, F.to_json(F.array(result))).otherwise(F.to_json(F.array(call))), block).alias("blocks"))
+    joined = tr.calls_with_results(m)
+    return joined.select("session_id", "tool_use_id", "name", F.try_variant_get("input", "$.command", "string").alias("command"), "ordinal", "result_ordinal")
+
+
+@query(f"WITH {M}, {PHASES}, z AS (SELECT session_id, count(*) AS n FROM x GROUP BY session_id) SELECT m.session_id, count(*) AS message_count, any_value(coalesce(CASE WHEN l.session_id IS NULL THEN 0 ELSE n END, 0)) AS compactions, false AS ongoing FROM m LEFT JOIN l USING (session_id) LEFT JOIN z USING (session_id) GROUP BY m.session_id")
+def session_summaries(spark, sf_dir):
+    return tr.session_summary(ad.messages(spark, sf_dir)).select("session_id", "message_count", F.col("compactions").cast("long"), "ongoing")
