@@ -9,7 +9,9 @@ from tracelake.functions.text import display_text, fold, scrub
 from tracelake.operators import evaluate as ev
 from tracelake.operators import facets as fa
 from tracelake.operators import fusion as fu
+from tracelake.operators import index as ix
 from tracelake.operators import sessions as se
+from tracelake.operators import vectors as vx
 from tracelake.sources import logs as lo
 
 
@@ -129,3 +131,34 @@ def test_serving_and_sinks(spark, tmp_path):
     for _ in range(2):
         lo.dual_sink(e, str(tmp_path / "domain"), str(tmp_path / "all"))
     assert spark.read.parquet(str(tmp_path / "domain")).count() == spark.read.parquet(str(tmp_path / "all")).count() == 1
+
+
+def test_listing_and_filters(spark, tmp_path):
+    e = spark.createDataFrame([("a", at(0)[0], "x", "Proj-One", "hello alpha"), ("b", at(9)[0], "bridge_ping_sent", "two", "beta"), ("c", at(5)[0], "y", "proj-onex", "ALPHA")], "event_id string, ts timestamp, type string, project string, text string")
+    page, total = fu.list_events(e, 1, 1)
+    assert [r["event_id"] for r in page.collect()] == ["a"] and total == 2
+    assert [r["event_id"] for r in lo.order_events(e).collect()] == ["b", "c", "a"]
+    ids = lambda f: sorted(r["event_id"] for r in f.collect())
+    assert ids(li.project_filter(e, "proj-one")) == ["a", "c"] and ids(li.project_filter(e, "^PROJ-ONE$", "regex")) == ["a"]
+    assert ids(li.project_filter(e, "two", "exact")) == ["b"] and ids(li.project_filter(e, spark.createDataFrame([("two",)], "project string"), "alias")) == ["b"]
+    assert ix.find_in_messages(e.withColumnRenamed("type", "session_id"), "al alpha").groupBy().sum("n_matches").first()[0] == 2
+    assert fa.facet_span(e.withColumn("query_id", F.lit(1))).first()["total"] == 3
+    hits = spark.createDataFrame([(1, i, float(i)) for i in range(9)], "query_id long, doc_id long, score double")
+    assert sorted(r["doc_id"] for r in fu.fusion_depth(hits, 3).collect()) == [6, 7, 8]
+    cl.register_classifier("tag", lambda f: f.withColumn("tag", F.lit(1)))
+    assert "tag" in cl.apply_classifier(e, "tag").columns
+    assert lo.with_time(e.withColumn("timestamp", F.lit("1704067200"))).first()["ts"] == at(0)[0]
+
+
+def test_tables_on_disk(spark, tmp_path):
+    vectors = spark.createDataFrame([("e", [1.0, 0.0])], "event_id string, embedding array<float>")
+    vectors.write.parquet(str(tmp_path / "v"))
+    r = lo.read_vectors(spark, str(tmp_path / "v")).first()
+    assert r["salience"] == 0.5 and r["parent_event_id"] is None
+    (tmp_path / "truth.json").write_text(json.dumps([{"query": "q", "intent": "i", "events": [{"summary": "s", "grade": 2, "noise": None}], "sessions": {"abc": {"relevant": True, "role": "primary"}}}]))
+    events, sessions = lo.read_truth(spark, str(tmp_path / "truth.json"))
+    assert events.first()["grade"] == 2 and sessions.first()["role"] == "primary"
+    target = lo.write_enriched(vectors, str(tmp_path / "out"), "1")
+    assert spark.read.parquet(target).count() == 1
+    judged = spark.createDataFrame([(1, "novel"), (2, "novel")], "vec_id long, verdict string")
+    assert vx.gate_counts(judged).first()["count"] == 2

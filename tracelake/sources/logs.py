@@ -27,10 +27,6 @@ BLOCK = "struct<type:string,text:string,thinking:string,id:string,name:string,in
 ENTRY_TYPES = ("user", "assistant", "system", "summary", "file-history-snapshot", "queue-operation")
 
 
-def schema_of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)
-
-
 def read_log(spark: SparkSession, path: str, fields: str = EVENT_FIELDS) -> DataFrame:
     """One JSON object a line; blank and malformed lines are skipped."""
     return spark.read.schema(fields).option("mode", "DROPMALFORMED").json(path)
