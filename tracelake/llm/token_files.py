@@ -14,6 +14,7 @@ A document is read through the index without its neighbours.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,9 +32,10 @@ END_ID = 1
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 2000, 8000
 CHARS_PER_FILE = 8_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PARTS = 150_000, 800_000
 LEVEL = 3
 _MARK = "<|startoftext|>"
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 _HEAD, _TAIL = struct.Struct("<4sHH32s"), struct.Struct("<QQ4s")
 
 
@@ -51,19 +53,33 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.mark = self.tokenizer.token_to_id(_MARK)
         self.cache: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w and "|>" not in w] if self.mark is not None else []
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(_MARK.join(part), add_special_tokens=False).ids, self.kind)
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _library(self, parts: list[str]) -> None:
+        """Ids of parts from the library, many in one call with a sign between them."""
+        plain = [w for w in parts if "<|" not in w and "|>" not in w] if self.mark is not None else []
+        groups = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+        size = self.kind.itemsize
+        for part, coded in zip(groups, self.tokenizer.encode_batch_fast([_MARK.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, self.kind)
             cuts = np.flatnonzero(ids == self.mark)
             begin, end = np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids))
-            raw, size = ids.tobytes(), self.kind.itemsize
-            for w, a, b in zip(part, (begin * size).tolist(), (end * size).tolist(), strict=True):
-                self.cache[w] = raw[a:b]
-        for w in set(words) - set(plain):
-            self.cache[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+            raw = ids.tobytes()
+            for w, x, y in zip(part, (begin * size).tolist(), (end * size).tolist(), strict=True):
+                self.parts[w] = raw[x:y]
+        for w in set(parts) - set(plain):
+            self.parts[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Cache the ids of words; letters and the stops after them are pretokens of their own, whatever the letters' case."""
+        split = [(w, m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, w, "") for w in words]
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {"": b""}
+        missing = ({core for _, core, _ in split} | {stops for _, _, stops in split}) - self.parts.keys()
+        if missing:
+            self._library(list(missing))
+        known = self.parts
+        self.cache.update({w: known[core] + known[stops] for w, core, stops in split})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
