@@ -27,7 +27,7 @@ FOLDS, HELD_OUT = 7, 2
 SPACE = "▁"
 ROUNDS = 2
 PRIOR = 0.1
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 _U = np.uint64
 
 
@@ -88,8 +88,8 @@ class Pieces:
         length = np.array([len(w) for w in words])
         for n in np.unique(length).tolist():
             mine = np.flatnonzero(length == n)
-            for at in range(0, len(mine), max(1, 200_000 // n)):
-                which = mine[at : at + max(1, 200_000 // n)]
+            for at in range(0, len(mine), max(1, 50_000 // n)):
+                which = mine[at : at + max(1, 50_000 // n)]
                 flat = "".join([words[i] for i in which.tolist()])
                 codes = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
                 arcs = np.full((n, len(which), min(n, self.longest)), -1, np.int32)
@@ -190,14 +190,23 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, rows = word_spans(part, own)
                 h, first, which = np.unique(word_hashes(part, starts, ends), return_index=True, return_inverse=True)
-                n = np.diff(rows)
-                doc = np.repeat(np.arange(b - a), n)
-                entry, count = np.unique((doc << 32) | which, return_counts=True)
+                which = which.astype(np.int32)
+                n, learned = np.diff(rows), np.zeros(len(h), np.int64)
                 low = _LOWER[part].tobytes()
                 words = b"\n".join([low[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-                learned = np.bincount(which, weights=train[a:b][doc], minlength=len(h)).astype(np.int64)
-                columns = [row[a:b].astype("<i8"), n.astype("<i8"), np.bincount(entry >> 32, minlength=b - a).astype("<i8"), train[a:b], (entry & 0xFFFFFFFF).astype("<i4"), count.astype("<i4"), h, learned]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c.tobytes()], pa.binary()) for c in columns), pa.array([words], pa.binary())], [c.split()[0] for c in schema.split(", ")])
+                del low, starts, ends, first
+                entry, count, n_entries = [], [], []
+                for x, y, t in zip(rows[:-1].tolist(), rows[1:].tolist(), train[a:b].tolist(), strict=True):
+                    kinds, times = np.unique(which[x:y], return_counts=True)
+                    entry.append(kinds.tobytes())
+                    count.append(times.astype("<i4").tobytes())
+                    n_entries.append(len(kinds))
+                    if t:
+                        learned[kinds] += times
+                columns = [row[a:b].astype("<i8"), n.astype("<i8"), np.array(n_entries, "<i8"), train[a:b], b"".join(entry), b"".join(count), h, learned]
+                columns = [c if isinstance(c, bytes) else c.tobytes() for c in columns]
+                del which, entry, count, h, learned
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c], pa.binary()) for c in columns), pa.array([words], pa.binary())], [c.split()[0] for c in schema.split(", ")])
                 number += 1
 
     return docs.select("row", "train", "text").mapInArrow(run, schema)
