@@ -28,9 +28,9 @@ from tracelake.llm.shared import connected_components, stored
 
 COSINE = 0.9
 TABLES = 2
-COMMON = 14  # expected number of filters that a pair of cosine 0.9 shares
+COMMON = 4  # expected number of filters that a pair of cosine 0.9 shares
 GROUP, MOST_HOT = 512, 100_000
-ENTRY_BYTES, BUCKET_BYTES = 420, 16 << 20
+ENTRY_BYTES, BUCKET_BYTES = 400, 16 << 20
 SEED = 11
 _U = np.uint64
 
