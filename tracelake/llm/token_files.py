@@ -17,6 +17,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ END_ID = 1
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 2000, 8000
 CHARS_PER_FILE = 8_000_000
-CACHE_WORDS, CACHE_PARTS = 150_000, 800_000
+CACHE_WORDS, CACHE_PARTS = 150_000, 1_100_000
 LEVEL = 3
 _MARK = "<|startoftext|>"
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
@@ -54,6 +55,15 @@ class WordEncoder:
         self.mark = self.tokenizer.token_to_id(_MARK)
         self.cache: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.byte_sign = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}  # as byte-level vocabularies write bytes
+        probe = ["the", "über", "ção", "naïveté", "zzxqj", "straße"]
+        self.direct = all(self._letters(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+
+    def _letters(self, word: str) -> list[int]:
+        """Ids of lower-case letters straight from the library's model, which normalising and splitting would leave whole."""
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_sign))]
 
     def _library(self, parts: list[str]) -> None:
         """Ids of parts from the library, many in one call with a sign between them."""
@@ -72,14 +82,20 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Cache the ids of words; letters and the stops after them are pretokens of their own, whatever the letters' case."""
-        split = [(w, m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, w, "") for w in words]
+        split = [(w, m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, w, None) for w in words]
         if len(self.parts) > CACHE_PARTS:
             self.parts = {"": b""}
-        missing = ({core for _, core, _ in split} | {stops for _, _, stops in split}) - self.parts.keys()
+        known = self.parts
+        missing = {stops for _, _, stops in split if stops} - known.keys()
+        for _, core, stops in split:
+            if core not in known:
+                if stops is None or not self.direct:
+                    missing.add(core)
+                else:
+                    known[core] = array(self.kind.char, self._letters(core)).tobytes()
         if missing:
             self._library(list(missing))
-        known = self.parts
-        self.cache.update({w: known[core] + known[stops] for w, core, stops in split})
+        self.cache.update({w: known[core] + known[stops or ""] for w, core, stops in split})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
