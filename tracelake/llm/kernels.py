@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SHINGLE_WORDS = 5
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -83,10 +83,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """Hash of each word from its own bytes, about BLOCK_BYTES of text at a time."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK_BYTES)))
+        a, b = int(starts[at]), int(ends[to - 1])
+        up, down = _powers(b - a + 1)
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTE[data[a:b]] * up[: b - a], out=sums[1:])
+        s, e = starts[at:to] - a, ends[at:to] - a
+        out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
 
 
 def shingles(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

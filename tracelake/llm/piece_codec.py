@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -215,24 +215,31 @@ def _slices(batch: pa.RecordBatch, size, most: int) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add the column `ids` (array<int>): the piece ids of `text`, without begin or end ids.
 
     Null and empty texts have no ids.  Texts of any length are encoded whole; all
     other columns, nulls, repeated rows and empty tables pass through.  A column
-    that is already called `ids` is replaced.  No shuffle.
+    that is already called `ids` is replaced.  With `decoded`, a column of that name
+    holds what the ids decode to, from the same pass.  No shuffle.
     """
-    docs = docs.drop(ids)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    docs = docs.drop(ids, *([decoded] if decoded else []))
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    if decoded:
+        added.append(T.StructField(decoded, T.StringType(), False))
+    schema = T.StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model_file)
         for whole in batches:
             length = pc.fill_null(pc.binary_length(whole.column(text)), 0)
-            for batch in _slices(whole, np.asarray(length), 4 << 20):
+            for batch in _slices(whole, np.asarray(length), 1 << 20):
                 flat, offsets = table.encode(batch.column(text).to_pylist())
-                out = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, ids])
+                out = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))]
+                if decoded:
+                    out.append(pa.array(table.decode(flat, offsets), pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *out], schema.names)
+        table.cache.clear()  # workers live on for other stages
 
     return docs.mapInArrow(run, schema)
 
@@ -250,7 +257,7 @@ def decode_pieces(frame: DataFrame, model_file: str, ids: str = "ids", text: str
         table = piece_table(model_file)
         for whole in batches:
             length = pc.fill_null(pc.list_value_length(whole.column(ids)), 0)
-            for batch in _slices(whole, np.asarray(length), 1 << 20):
+            for batch in _slices(whole, np.asarray(length), 1 << 18):
                 lists = batch.column(ids)
                 n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
@@ -263,9 +270,8 @@ def decode_pieces(frame: DataFrame, model_file: str, ids: str = "ids", text: str
 
 def digests(docs: DataFrame, model_file: str, *keep: str) -> DataFrame:
     """Token count and digests of the encoded and decoded texts, one row per document."""
-    encoded = encode_pieces(docs.select(*keep, "text"), model_file).drop("text")
-    decoded = decode_pieces(encoded, model_file)
-    return decoded.select(
+    coded = encode_pieces(docs.select(*keep, "text"), model_file, decoded="decoded")
+    return coded.select(
         *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

@@ -62,14 +62,3 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def arrow_batches(fn):
-    """Mark a generator over record batches for ``mapInArrow``; empty partitions give nothing."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
-
-    return run
