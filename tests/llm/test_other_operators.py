@@ -27,6 +27,19 @@ def test_cap_links_against_brute_force(spark):
     assert (got <= links).all() and got.sum() >= 0.9 * links.sum()
 
 
+def test_cap_links_just_above_the_bound(spark, monkeypatch):
+    """Pairs of cosine 0.902, dealt in several passes: 0.997 of them at least."""
+    rng = np.random.default_rng(9)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 4000, 64)))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    near = 0.902 * a + np.sqrt(1 - 0.902**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    monkeypatch.setattr(cap_filters, "PASS_BYTES", 64 << 20)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, near]))]
+    found = cap_filters.cap_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r["n_links"] for r in found} <= {0, 1}
+    assert sum(r["n_links"] for r in found) >= 0.997 * 8000
+
+
 def test_cap_links_cases(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(5, v), (2, v), (3, [2.0, 4.0, 6.1]), (4, None), (6, [0.0] * 3), (7, [1.0, None, 2.0]), (8, [float("nan"), 1.0, 1.0]), (9, [1.0, 2.0]), (None, v), (10, [-1.0, 0.0, 0.0])]

@@ -11,7 +11,9 @@ directions follow from the number of vectors.
 Vectors meet at the filters they share and are compared in double precision.  A pair
 counts only at the smallest filter that both pass, so links are counted without being
 listed.  Equal vectors form one class, and a filter that more than GROUP vectors pass
-is dealt out in chunks, each pair of chunks apart.
+is dealt out in chunks, each pair of chunks apart.  An entry carries the vector and
+its smaller filters only, and the entries are dealt and compared in passes, so that
+the shuffle on disk holds those of one pass.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.kernels import mix
-from tracelake.llm.shared import connected_components, stored
+from tracelake.llm.shared import connected_components, drop_stored, stored
 
 COSINE = 0.9
 TABLES = 2
-COMMON = 4  # expected number of filters that a pair of cosine 0.9 shares
+COMMON = 14  # expected number of filters that a pair of cosine 0.9 shares
 GROUP, MOST_HOT = 512, 100_000
-ENTRY_BYTES, BUCKET_BYTES = 400, 16 << 20
+ENTRY_BYTES, BUCKET_BYTES = 420, 16 << 20
+PASS_BYTES = 256 << 20  # dealt in one pass, or the size of the vectors if that is more
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SEED = 11
 _U = np.uint64
 
@@ -121,11 +125,13 @@ def filter_names(vectors: DataFrame, caps: Caps) -> DataFrame:
 _DEALT = "bucket long, key binary, chunk binary, cls binary, n binary, vectors binary, sizes binary, filters binary"
 
 
-def deal(vectors: DataFrame, hot, group: int, buckets: int, dimension: int) -> DataFrame:
+def deal(vectors: DataFrame, hot, group: int, buckets: int, dimension: int, passes: int = 1, now: int = 0) -> DataFrame:
     """Vectors dealt to the buckets of their filters, packed by batch and bucket.
 
     `hot` broadcasts (names, counts) of the filters that are split, MOST_HOT at most.
-    The key of an entry is (filter, chunk of the one side, chunk of the other).
+    The key of an entry is (filter, chunk of the one side, chunk of the other).  Each key
+    belongs to one of the `passes`, and only those of pass `now` are dealt.  An entry
+    lists the vector's filters below its own.
     """
 
     def run(batches):
@@ -148,7 +154,10 @@ def deal(vectors: DataFrame, hot, group: int, buckets: int, dimension: int) -> D
                 other = np.arange(len(each)) - np.repeat(np.cumsum(split) - split, split)
                 mine = chunk[each]
                 key = (names[each].astype(np.uint64) << _U(32)) | (np.minimum(mine, other).astype(np.uint64) << _U(16)) | np.maximum(mine, other).astype(np.uint64)
-                bucket = (mix(key) % _U(buckets)).astype(np.int64)
+                place = mix(key)
+                mine_now = np.flatnonzero(place % _U(passes) == _U(now))
+                each, key, mine, place = each[mine_now], key[mine_now], mine[mine_now], place[mine_now]
+                bucket = (place // _U(passes) % _U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 v, n = _matrix(batch.column("embedding"), dimension).astype(np.float32), np.asarray(batch.column("n"))
                 edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else np.zeros(0, np.int64)
@@ -156,8 +165,8 @@ def deal(vectors: DataFrame, hot, group: int, buckets: int, dimension: int) -> D
                 for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(order)], strict=True):
                     pick = order[a:b]
                     who = owner[each[pick]]
-                    flat = np.concatenate([names[begin[w] : begin[w + 1]] for w in who.tolist()])
-                    rows.append((int(bucket[pick[0]]), key[pick].tobytes(), mine[pick].astype(np.int32).tobytes(), cls[who].tobytes(), n[who].astype(np.int64).tobytes(), v[who].tobytes(), size[who].astype(np.int32).tobytes(), flat.tobytes()))
+                    flat = np.concatenate([names[begin[w] : e] for w, e in zip(who.tolist(), each[pick].tolist(), strict=True)])  # a vector's filters are sorted
+                    rows.append((int(bucket[pick[0]]), key[pick].tobytes(), mine[pick].astype(np.int32).tobytes(), cls[who].tobytes(), n[who].astype(np.int64).tobytes(), v[who].tobytes(), (each[pick] - begin[who]).astype(np.int32).tobytes(), flat.tobytes()))
                 if rows:
                     kinds = [pa.int64(), *[pa.binary()] * 7]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _DEALT.split(", ")])
@@ -186,7 +195,7 @@ def link(table: pa.Table, dimension: int) -> pa.Table:
         for x, y in combinations(range(g), 2) if len(starts) else ():
             i, j = order[starts + x], order[starts + y]
             near = (np.einsum("ij,ij->i", v[i], v[j]) >= COSINE) & _sides(key[i], chunk[i], chunk[j]) & (cls[i] != cls[j])
-            keep = [(a, b) for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True) if np.intersect1d(names[at[a] : at[a + 1]], names[at[b] : at[b + 1]], True)[0] == int(key[a]) >> 32]
+            keep = [(a, b) for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True) if not len(np.intersect1d(names[at[a] : at[a + 1]], names[at[b] : at[b + 1]], True))]
             if keep:
                 i, j = np.array(keep).T
                 add(i, j)
@@ -197,13 +206,11 @@ def link(table: pa.Table, dimension: int) -> pa.Table:
         near &= _sides(key[who[0]], chunk[who][:, None], chunk[who][None, :]) & (cls[who][:, None] != cls[who][None, :])
         if not near.any():
             continue
-        name = int(key[who[0]]) >> 32
         own = np.repeat(np.arange(g), size[who])
         flat = np.concatenate([names[at[w] : at[w + 1]] for w in who.tolist()])
-        below = flat < name
-        kinds, back = np.unique(flat[below], return_inverse=True)
+        kinds, back = np.unique(flat, return_inverse=True)
         passes = np.zeros((g, len(kinds)), np.float32)
-        passes[own[below], back] = 1
+        passes[own, back] = 1
         near &= passes @ passes.T == 0
         i, j = np.nonzero(np.triu(near, 1))
         if len(i):
@@ -258,8 +265,19 @@ def cap_links(vectors: DataFrame) -> DataFrame:
     names, counts = np.array([r["f"] for r in crowded], np.int32).view(np.uint32), np.array([r["count"] for r in crowded], np.int64)
     by_name = np.argsort(names)
     hot = spark.sparkContext.broadcast((names[by_name], counts[by_name]))
-    buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries * ENTRY_BYTES // BUCKET_BYTES)
-    found = stored(deal(named, hot, group, buckets, dimension).groupBy("bucket").applyInArrow(lambda t: link(t, dimension), "kind int, a long, b long"), "vector-links")
+    dealt = (entries + int((counts * (-(-counts // group) - 1)).sum())) * ENTRY_BYTES
+    passes = max(1, -(-dealt // max(PASS_BYTES, 4 * dimension * count)))
+    buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt // passes // BUCKET_BYTES)
+    found = None
+    kept = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # a pass's shuffle goes when its links are stored
+    try:
+        for now in range(passes):
+            links = stored(deal(named, hot, group, buckets, dimension, passes, now).groupBy("bucket").applyInArrow(lambda t: link(t, dimension), "kind int, a long, b long"), "vector-links")
+            found = links if found is None else found.unionAll(links)
+    finally:
+        spark.conf.unset(CLEANUP) if kept is None else spark.conf.set(CLEANUP, kept)
+    drop_stored(named)
     n_links = found.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
     labels = connected_components(found.where("kind = 1").select("a", "b")).withColumnRenamed("v", "cls")
     joined = classes.select("cls", "vec_id", "n").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls")).join(n_links, "cls", "left")
