@@ -32,6 +32,13 @@ def test_greedy_gate_keeps_a_maximal_set(spark, sf_dir):
             stored.append(unit[i])
 
 
+def test_session_overlaps_of_all_sessions(spark, sf_dir):
+    s = QUERIES["session_rollup"](spark, sf_dir).collect()
+    pairs = {(a["session_id"], b["session_id"], max(a["start_us"], b["start_us"]), min(a["end_us"], b["end_us"])) for a in s for b in s if a["session_id"] < b["session_id"] and a["start_us"] < b["end_us"] and b["start_us"] < a["end_us"]}
+    assert {(r["a"], r["b"], r["start_us"], r["end_us"]) for r in QUERIES["session_overlaps_all"](spark, sf_dir).collect()} == pairs
+    assert len(pairs) > QUERIES["session_overlaps"](spark, sf_dir).count()
+
+
 def test_plans_stay_distributed(spark, sf_dir):
     for name in ("session_overlaps", "enrich_sessions", "parent_links_log_tail", "bm25_topk"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

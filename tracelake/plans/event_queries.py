@@ -162,6 +162,13 @@ def session_overlaps(spark, sf_dir):
     return pairs.select("a", "b", F.unix_micros("overlap_start").alias("start_us"), F.unix_micros("overlap_end").alias("end_us"))
 
 
+@query()
+def session_overlaps_all(spark, sf_dir):
+    """All pairs of overlapping sessions, of the same project or not."""
+    pairs = se.session_overlaps(se.session_rollup(ad.events(spark, sf_dir), most_events=0))
+    return pairs.select("a", "b", F.unix_micros("overlap_start").alias("start_us"), F.unix_micros("overlap_end").alias("end_us"))
+
+
 @query(f"WITH {EVENTS}, {ORPHANS} SELECT event_id, arg_max(session_id, epoch_us(start_ts)) AS session_id FROM o JOIN w ON ts BETWEEN start_ts AND end_ts AND list_contains(projects, project) GROUP BY event_id")
 def orphan_match(spark, sf_dir):
     e, w = windows(spark, sf_dir)
