@@ -82,6 +82,15 @@ def test_thread_with_fork_and_cycle(spark):
     assert got == {(2, 2, "start"), (2, 1, "ancestor"), (2, 3, "descendant"), (2, 4, "descendant"), (5, 5, "start")}
 
 
+def test_knn_of_equal_vectors_takes_the_smallest_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(99, 49, -1)] + [(i, [1.0, -3.0 - i]) for i in range(20)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(1000, [1.0, 2.0]), (1001, [2.0, 1.0])], "query_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vx.knn(q, vectors, k=5).collect()}
+    assert got == {(i, n + 1): 50 + n for i in (1000, 1001) for n in range(5)}
+    assert vx.knn(q, vectors, k=None).count() == 100
+
+
 def test_logs(spark, tmp_path):
     a, b = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
     a.write_text('{"event_id":"e1","summary":"short","timestamp":"2024-01-01T00:00:00Z"}\n\n{"summary":"no id"}\n{broken\n')

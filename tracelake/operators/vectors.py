@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -23,11 +24,31 @@ def _unit(rows) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 500, floor: float = 0.3, earlier_only: bool = False, allow_self: bool = False) -> DataFrame:
+def _rounded(s: np.ndarray) -> np.ndarray:
+    """Scores in whole millionths, halves away from zero as F.round takes them."""
+    r = np.floor(np.abs(s) * 1e6 + 0.5)
+    unsure = np.isfinite(s) & (np.abs(np.abs(s) * 1e6 + 0.5 - np.rint(np.abs(s) * 1e6 + 0.5)) < 1e-6)
+    r[unsure] = [float(Decimal(repr(x)).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP)) for x in np.abs(s[unsure]).tolist()]
+    return np.copysign(r, s)
+
+
+def best_of_batch(s: np.ndarray, vec: np.ndarray, k: int) -> np.ndarray:
+    """Which scores (vectors in rows, queries in columns) are among the k best of their column by (rounded score, vec_id)."""
+    keep, by_id = np.zeros(s.shape, bool), np.argsort(vec, kind="stable")
+    for at in range(0, s.shape[1], 256):
+        r = _rounded(s[by_id, at : at + 256])
+        least = -np.partition(-r, k - 1, axis=0)[k - 1]
+        tied = r == least
+        keep[by_id, at : at + 256] = (r > least) | (tied & (np.cumsum(tied, axis=0) <= k - (r > least).sum(axis=0)))
+    return keep
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int | None = 500, floor: float = 0.3, earlier_only: bool = False, allow_self: bool = False) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest of `vectors` (vec_id, embedding) to each query (query_id, embedding).
 
     Queries go to the tasks in blocks of QUERY_BLOCK, each multiplied with batches of
-    vectors; a task keeps k candidates of a query for each batch before the shuffle.
+    vectors; a task keeps the k best of a query, by rounded score and vec_id, for each
+    batch before the shuffle.  Without k all pairs from `floor` on return, without rank.
     `earlier_only` compares with smaller ids alone.
     """
     spark = queries.sparkSession
@@ -45,25 +66,24 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 500, floor: float = 0.3
             for pdf in batches:
                 vec = pdf["vec_id"].to_numpy()
                 s = _unit(pdf["embedding"]) @ q.T
-                ok = s >= floor - 1e-9
+                ok = s >= floor - 1e-6  # rounding may lift a score to the floor
                 if not allow_self:
                     ok &= vec[:, None] != ids[None, :]
                 if earlier_only:
                     ok &= vec[:, None] < ids[None, :]
                 s = np.where(ok, s, -np.inf)
-                if len(vec) > 2 * k:
-                    top = np.argpartition(-s, 2 * k, axis=0)[: 2 * k]  # twice k, so that ties at the end are settled after rounding
-                    keep = np.zeros(s.shape, bool)
-                    np.put_along_axis(keep, top, True, axis=0)
-                    ok &= keep
+                if k is not None and len(vec) > k:
+                    ok &= best_of_batch(s, vec, k)
                 v, c = np.nonzero(ok)
                 yield pd.DataFrame({"query_id": ids[c], "vec_id": vec[v], "score": s[v, c]})
 
         found = vectors.select("vec_id", "embedding").mapInPandas(near, "query_id long, vec_id long, score double")
         out = found if out is None else out.union(found)
     if out is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+        return spark.createDataFrame([], "query_id long, vec_id long, score double" + ("" if k is None else ", rank int"))
     rounded = out.withColumn("score", F.round("score", 6)).where(F.col("score") >= floor)
+    if k is None:
+        return rounded
     return rounded.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
@@ -87,7 +107,7 @@ def novelty_gate(candidates: DataFrame, existing: DataFrame, reject: float = 0.8
         own = knn(ids, candidates, k=1, floor=-1.0, earlier_only=True).select(F.col("query_id").alias("vec_id"), F.col("score").alias("new"))
         best = F.greatest("old", "new")
         return out.join(own, "vec_id", "left").select("vec_id", best.alias("best"), _gate(F.coalesce(best, F.lit(-1.0)), reject, refine).alias("verdict"))
-    near = knn(ids, candidates, k=1 << 20, floor=reject, earlier_only=True).where(F.col("score") > reject).select(F.col("query_id").alias("later"), F.col("vec_id").alias("first"))
+    near = knn(ids, candidates, k=None, floor=reject, earlier_only=True).where(F.col("score") > reject).select(F.col("query_id").alias("later"), F.col("vec_id").alias("first"))
     near = _cut(near)
     state = _cut(out.select("vec_id", F.when(F.coalesce("old", F.lit(-1.0)) > reject, "dropped").otherwise("open").alias("state")))
     while state.where("state = 'open'").limit(1).count():
