@@ -82,6 +82,19 @@ def test_thread_with_fork_and_cycle(spark):
     assert got == {(2, 2, "start"), (2, 1, "ancestor"), (2, 3, "descendant"), (2, 4, "descendant"), (5, 5, "start")}
 
 
+def test_thread_longer_than_a_thousand_steps(spark):
+    edges = spark.range(1, 2500).select(F.col("id").alias("event_id"), (F.col("id") - 1).alias("parent_event_id"))
+    starts = spark.createDataFrame([(1200,), (2499,)], "event_id long")
+    got = {(r["start_id"], r["event_id"], r["role"]) for r in se.thread(edges, starts).collect()}
+    assert got == {(s, i, "start" if i == s else "ancestor" if i < s else "descendant") for s in (1200, 2499) for i in range(2500)}
+
+
+def test_thread_on_a_cycle_with_a_branch(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 1), (5, 4)], "event_id long, parent_event_id long")
+    got = {(r["event_id"], r["role"]) for r in se.thread(edges, spark.createDataFrame([(1,)], "event_id long")).collect()}
+    assert got == {(1, "start"), (2, "ancestor"), (4, "descendant"), (5, "descendant")}
+
+
 def test_knn_of_equal_vectors_takes_the_smallest_ids(spark):
     rows = [(i, [1.0, 2.0]) for i in range(99, 49, -1)] + [(i, [1.0, -3.0 - i]) for i in range(20)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)

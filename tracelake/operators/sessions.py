@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,24 +153,53 @@ def link_parents(events: DataFrame, window_seconds: float = 60, mode: str = "ses
     return rows.where((gap >= 0) & (gap <= window_seconds)).select("event_id", F.col("p.event_id").alias("parent_event_id"))
 
 
-def thread(edges: DataFrame, starts: DataFrame, events: DataFrame | None = None, levels: int = 1000) -> DataFrame:
+def thread(edges: DataFrame, starts: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """(start_id, event_id, role) of the ancestors and descendants of each start in a parent graph (event_id, parent_event_id).
 
-    Frontiers go up to the parents and down from the start only; an event already in the
-    arc ends its branch, so cycles end.
+    Chains may be of any length: each round doubles the steps, up and down from the
+    start only.  Starts that are their own ancestors go step by step instead; there an
+    event already in the arc ends its branch, so cycles end.
     """
+    begin = _cut(starts.select(F.col("event_id").alias("start_id"), "event_id").distinct())
+    up, loops = _reach(begin, edges, "event_id", "parent_event_id")
+    open_ended = begin.join(loops, "start_id", "left_anti")
+    ups = up.join(loops, "start_id", "left_anti")
+    downs, _ = _reach(_cut(open_ended), edges, "parent_event_id", "event_id")
+    arc = open_ended.select("start_id", "event_id", F.lit("start").alias("role")).union(ups.withColumn("role", F.lit("ancestor"))).union(downs.withColumn("role", F.lit("descendant")))
+    if loops.limit(1).count():
+        arc = arc.union(_steps(edges, loops.select(F.col("start_id").alias("event_id"))))
+    return arc if events is None else arc.join(events, "event_id")
+
+
+def _reach(begin: DataFrame, edges: DataFrame, here: str, there: str) -> tuple[DataFrame, DataFrame]:
+    """(start_id, event_id) of what each start reaches besides itself, and (start_id) of the starts that reach themselves."""
+    jump = _cut(edges.where("parent_event_id is not null").select(F.col(here).alias("from_id"), F.col(there).alias("to_id")).distinct())
+    found, loops = begin, []
+    while True:  # `found` holds all within less than 2^round steps, `jump` takes 2^round
+        met = _cut(found.withColumnRenamed("event_id", "from_id").join(jump, "from_id").select("start_id", F.col("to_id").alias("event_id")).distinct())
+        loops.append(met.where("start_id = event_id").select("start_id"))
+        new = _cut(met.join(found, ["start_id", "event_id"], "left_anti"))
+        if not new.limit(1).count():
+            back = functools.reduce(DataFrame.union, loops).distinct()
+            return found.where("start_id <> event_id"), _cut(back)
+        found = _cut(found.union(new))
+        jump = _cut(jump.alias("x").join(jump.alias("y"), F.col("x.to_id") == F.col("y.from_id")).select("x.from_id", "y.to_id").distinct())
+
+
+def _steps(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """The same arcs by frontiers of one step, until they are empty."""
     arc = _cut(starts.select(F.col("event_id").alias("start_id"), "event_id", F.lit("start").alias("role")))
     for role, here, there in (("ancestor", "event_id", "parent_event_id"), ("descendant", "parent_event_id", "event_id")):
         step = edges.where("parent_event_id is not null").select(F.col(here).alias("from_id"), F.col(there).alias("event_id"))
         front = starts.select(F.col("event_id").alias("start_id"), F.col("event_id").alias("from_id"))
-        for _ in range(levels):
+        while True:
             new = front.join(step, "from_id").select("start_id", "event_id").distinct().join(arc.select("start_id", "event_id"), ["start_id", "event_id"], "left_anti")
             new = _cut(new)
             if not new.limit(1).count():
                 break
             arc = _cut(arc.union(new.withColumn("role", F.lit(role))))
             front = new.withColumnRenamed("event_id", "from_id")
-    return arc if events is None else arc.join(events, "event_id")
+    return arc
 
 
 def context_gauge(summary: DataFrame, compactions: DataFrame, window: int = 1_000_000) -> DataFrame:
