@@ -170,6 +170,25 @@ def test_quality_on_held_out_labels(spark):
     assert share[True] > 0.97 and share[False] < 0.4
 
 
+def test_quality_drops_held_out_toxic_texts(spark):
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    kept = quality.resample(docs, labels.where("doc_id % 2 = 0")).select("doc_id").distinct()
+    toxic = labels.where("doc_id % 2 = 1 and quality = 1 and toxic = 1")
+    assert toxic.join(kept, "doc_id").count() < 0.26 * toxic.count()
+
+
+def test_quality_learns_words_of_few_documents(spark):
+    """A word of three labelled documents, none of them target, is over three standard errors off where target is the rule."""
+    rows = [(i, f"plain words number{i} and more of them again{i}" + (" vileword" if i >= 97 else "")) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 97 or i % 6 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+    ratios, _ = quality.fit_ratio(docs, labels)
+    data = np.frombuffer(b"vileword", np.uint8)
+    bucket, _ = quality.features(data, np.array([0, len(data)]))
+    assert (ratios[bucket[:1]] < -quality.LEAST_RATIO).all()
+
+
 def test_quality_cases(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
     assert quality.resample(odd_docs, labels).count() == odd_docs.count()
