@@ -34,18 +34,23 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    found = stored(jaccard.jaccard_components(docs).select("doc_id", "kept"), "near-copies")
-    gone = stored(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    """One document of each group of near copies: the one with the smallest id, those without an id last.
+
+    Rows are told apart by id and text: different texts of one id, or without an id,
+    stay unless they are near copies.  Of rows equal in both, one stays.
+    """
+    found = stored(jaccard.jaccard_rows(docs).select("doc_id", "row_key", "component"), "near-copies")
+    first = found.where("component is not null").groupBy("component").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first_key"))
+    gone = stored(found.join(first, "component").where("row_key <> first_key").select(F.col("row_key").alias("gone_key")).distinct(), "gone")
+    left = docs.join(gone, F.xxhash64("doc_id", "text") == F.col("gone_key"), "left_anti")
+    repeated = found.groupBy("row_key").count().where("count > 1").limit(1).count()
+    return left.withColumn("_row", F.xxhash64("doc_id", "text")).dropDuplicates(["_row"]).drop("_row") if repeated else left
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item to 0.8 or more."""
-    leaks = stored(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    """Documents that contain no benchmark item to 0.8 or more; other texts of a leaking id stay."""
+    leaks = stored(decontaminate.contaminated_rows(docs, table(spark, sf_dir, "benchmark")).select(F.col("row_key").alias("leak_key")).distinct(), "leaks")
+    return docs.join(leaks, F.xxhash64("doc_id", "text") == F.col("leak_key"), "left_anti")
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,17 @@ def test_pipeline(spark, sf_dir):
     assert got == {i: len(model.encode(t)) for i, t in left.items()}
 
 
+def test_null_and_repeated_ids_lose_only_copies(spark, sf_dir):
+    words = lambda a: " ".join(f"w{a}x{i}" for i in range(60))
+    rows = [(1, words("a")), (None, words("a") + " end"), (None, words("b")), (None, words("b") + " end"), (None, words("c")), (None, ""), (2, words("d")), (2, words("a") + " more"), (2, words("e")), (2, words("e")), (None, words("c"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r["doc_id"] or 0, r["text"].split(" ")[0]) for r in corpus_pipeline.ngram_jaccard(spark, docs, sf_dir).collect())
+    assert left == [(0, ""), (0, "wbx0"), (0, "wcx0"), (1, "wax0"), (2, "wdx0"), (2, "wex0")]
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    leaky = spark.createDataFrame([(None, item), (None, words("a")), (3, item), (3, words("b"))], "doc_id long, text string")
+    assert sorted(r["text"] for r in corpus_pipeline.benchmark_decontamination(spark, leaky, sf_dir).collect()) == [words("a"), words("b")]
+
+
 def test_stages_keep_the_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
     for _, stage in corpus_pipeline.STAGES[1:4]:

@@ -109,6 +109,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     of the same words has.  Rows that repeat give the pair once; null ids are
     values like others; other columns are ignored; empty tables give no rows.
     """
+    return contaminated_rows(docs, items).drop("row_key").distinct()
+
+
+def contaminated_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The columns of `contaminated` with row_key, the hash of id and text."""
     spark = docs.sparkSession
     item_kind, doc_kind = items.schema["item_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
     own = stored(
@@ -150,8 +155,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     return (
         counted.where(F.col("n_shared") * 100 >= F.col("n_shingles") * PERCENT)
-        .select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
-        .distinct()
+        .select("doc_id", "row_key", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
     )
 
 

@@ -282,6 +282,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     component_id.  An empty table gives an empty one.  Exact up to collisions of
     64-bit hashes.
     """
+    return jaccard_rows(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def jaccard_rows(docs: DataFrame) -> DataFrame:
+    """The columns of `jaccard_components` with row_key, the hash of id and text, and component.
+
+    component is one number for all rows that links join, whatever their ids, and null
+    for texts without shingles.
+    """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     each = stored(describe(rows), "sets-described")
@@ -320,7 +329,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     joined = kinds.select("cls", "doc_id").join(found.withColumnRenamed("v", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = joined.join(smallest, "component").select("cls", "component_id", F.lit(True).alias("known"))
-    out = each.select("doc_id", "n", "cls").join(named, "cls", "left")
-    component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = joined.join(smallest, "component").select("cls", "component_id", "component")
+    out = each.select("doc_id", "row_key", "n", "cls").join(named, "cls", "left")
+    component = F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "component", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
