@@ -39,6 +39,13 @@ def test_session_overlaps_of_all_sessions(spark, sf_dir):
     assert len(pairs) > QUERIES["session_overlaps"](spark, sf_dir).count()
 
 
+def test_tool_calls_hold_whole_turns(spark, sf_dir):
+    turns = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    calls = QUERIES["tool_calls_join"](spark, sf_dir).collect()
+    assert all(r["command"] == turns[r["session_id"], r["ordinal"]] for r in calls)
+    assert max(len(r["command"] or "") for r in calls) > 20
+
+
 def test_plans_stay_distributed(spark, sf_dir):
     for name in ("session_overlaps", "enrich_sessions", "parent_links_log_tail", "bm25_topk"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

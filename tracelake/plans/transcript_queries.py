@@ -130,8 +130,8 @@ def tool_calls_join(spark, sf_dir):
     """User turns as calls of a tool and the assistant turns after them as results, rendered as blocks and joined."""
     c = ad.table(spark, sf_dir, "conversations")
     use = F.concat_ws("-", F.lit("t"), "conv_id", F.floor(F.col("turn") / 2))
-    call = F.struct(F.lit("tool_use").alias("type"), use.alias("id"), F.lit("Bash").alias("name"), F.struct(F.substring("text", 1, 20).alias("command")).alias("input"))
-    result = F.struct(F.lit("tool_result").alias("type"), use.alias("tool_use_id"), F.substring("text", 1, 20).alias("content"), F.lit(False).alias("is_error"))
+    call = F.struct(F.lit("tool_use").alias("type"), use.alias("id"), F.lit("Bash").alias("name"), F.struct(F.col("text").alias("command")).alias("input"))
+    result = F.struct(F.lit("tool_result").alias("type"), use.alias("tool_use_id"), F.col("text").alias("content"), F.lit(False).alias("is_error"))
     block = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:variant,tool_use_id:string,content:variant,is_error:boolean>>"
     odd = F.col("turn") % 2 == 1
     m = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ordinal"), F.when(odd, "user").otherwise("assistant").alias("type"), F.lit(False).alias("isMeta"), F.lit(False).alias("isSidechain"), F.from_json(F.when(odd, F.to_json(F.array(result))).otherwise(F.to_json(F.array(call))), block).alias("blocks"))
