@@ -146,6 +146,52 @@ def test_lattice_scores(spark, sf_dir, odd_docs, no_docs):
     assert lattice_lm.score_documents(no_docs, PIECES).count() == 0
 
 
+def test_lattice_score_equals_enumeration(spark):
+    """Whole texts: EM and scores by listing every segmentation of every word."""
+    table = lattice_lm.pieces(PIECES)
+    ids = {p: i for i, p in enumerate(table.text)}
+    rows = [(0, "the cat sat on the mat"), (1, "The hat é sat"), (2, None), (3, "a\tthat hats"), (None, "cats sat"), (12, "that catß 梦 sat"), (1, "The hat é sat"), (16, ""), (19, "the brats")]
+
+    def ways(rest):
+        if not rest:
+            yield ()
+        for k in range(1, len(rest) + 1):
+            one = (ids[rest[:k]],) if rest[:k] in ids else tuple(len(table.text) + b for b in rest.encode()[: len(rest[0].encode())]) if k == 1 else None
+            if one is not None:
+                yield from (one + more for more in ways(rest[k:]))
+
+    train = [r for r in rows if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 != 2]
+    assert 0 < len(train) < len(rows)
+    count, ends = Counter(w for _, t in train for w in words(t)), len(train)
+    kinds = set().union(*(words(t) for _, t in rows))
+    paths = {w: list(ways("▁" + w)) for w in kinds}
+    scores = table.first_scores
+    for _ in range(lattice_lm.ROUNDS):
+        uses = lattice_lm.PRIOR_TOKENS * np.exp(table.first_scores)
+        uses[table.end] += ends
+        for w, n in count.items():
+            p = [math.exp(sum(scores[i] for i in path)) for path in paths[w]]
+            for path, x in zip(paths[w], p, strict=True):
+                for i in path:
+                    uses[i] += n * x / sum(p)
+        scores = np.log(uses / uses.sum())
+    piece_p = {w: sum(math.exp(sum(scores[i] for i in path)) for path in paths[w]) for w in kinds}
+    n, v = sum(count.values()) + ends, len(count) + 1
+    opening = sum(math.exp(scores[i]) for p, i in ids.items() if p.startswith("▁"))
+    end = (ends + v * math.exp(scores[-1]) / (math.exp(scores[-1]) + opening)) / (n + v)
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row int, block string")
+    got = sorted((str(r["doc_id"]), r["score"], r["piece_score"]) for r in lattice_lm.score_documents(frame, PIECES).collect())
+    want = sorted((str(i), math.log10(end) + sum(math.log10((count[w] + v * piece_p[w]) / (n + v)) for w in words(t)), (scores[-1] + sum(math.log(piece_p[w]) for w in words(t))) / math.log(10)) for i, t in rows)
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert [y for x in got for y in x[1:]] == pytest.approx([y for x in want for y in x[1:]], rel=1e-9)
+
+
+def test_lattice_without_training_text(spark):
+    held = spark.createDataFrame([(i, "some words") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
+    rows = lattice_lm.score_documents(held, PIECES).collect()
+    assert rows and all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in rows)
+
+
 def test_forward_sums_all_segmentations():
     table = lattice_lm.pieces(PIECES)
     scores = table.first_scores

@@ -1,13 +1,13 @@
 """Document likelihood under a unigram model of subwords, summed over all segmentations.
 
-The vocabulary is that of an existing tokenizer; its order of pieces gives the first
-scores, which expectation-maximisation over the distinct training words then fits.  A
-word, written with the space sign before it, is a lattice of pieces; the forward
-recursion in log space gives the marginal probability of all its segmentations.
-Characters without a piece fall back to their bytes.  Each training word is one more
-arc over its whole lattice.  With N training tokens of V kinds, of which c are the
-word, P(word) = (c + V * P(lattice)) / (N + V), and likewise for the end sign of a
-text; this sums to one over all words and the end.
+The vocabulary and its first scores are those of an existing tokenizer.  A word,
+written with the space sign before it, is a lattice of pieces; characters without a
+piece fall back to their bytes.  Expectation-maximisation over the training tokens
+fits the scores, with the vocabulary's own as a prior worth PRIOR_TOKENS tokens.  A
+training word is one more arc, from the first node of its lattice to the last: with N
+training tokens of V kinds, of which c are the word, that arc weighs c / (N + V) and
+the way through the pieces V / (N + V), so that probabilities sum to one over all words
+and the end sign of a text.  The forward recursion in log space adds up all paths.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from tracelake.llm.shared import stored
 FOLDS, HELD_OUT = 7, 2
 SPACE = "▁"
 ROUNDS = 2
-PRIOR = 0.1
-CHUNK_BYTES = 12 << 20
+PRIOR_TOKENS = 1000.0
+BLOCK_BYTES = 3 << 19
+_NO_ID = -(1 << 62)
 _U = np.uint64
 
 
@@ -171,13 +172,16 @@ def expected_counts(words: list[str], counts: np.ndarray, table: Pieces, scores:
     return out
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """Blocks of documents as the places of their words in a list of the block's words.
+_BLOCK = "block long, ids binary, sizes binary, train binary, places binary, hashes binary, counts binary, word_sizes binary, words binary"
 
-    One row for each block of about CHUNK_BYTES: ids and sizes of its documents, their
-    (word, count) entries, the words' hashes and texts, and counts in training documents.
+
+def block_rows(docs: DataFrame) -> DataFrame:
+    """Blocks of about BLOCK_BYTES of text, one row each.
+
+    A block has its documents' ids, numbers of tokens and folds, each token's place in
+    the list of the block's kinds of words, and that list: hash, count in training
+    documents, length and text.
     """
-    schema = "chunk long, doc_ids binary, n_tokens binary, n_entries binary, train binary, entry_word binary, entry_count binary, hashes binary, train_counts binary, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -186,128 +190,138 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             row, train = np.asarray(batch.column("row")), np.asarray(batch.column("train")).astype(np.uint8)
-            for a, b in blocks(offsets, CHUNK_BYTES):
+            for a, b in blocks(offsets, BLOCK_BYTES):
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, rows = word_spans(part, own)
-                h, first, which = np.unique(word_hashes(part, starts, ends), return_index=True, return_inverse=True)
-                which = which.astype(np.int32)
-                n, learned = np.diff(rows), np.zeros(len(h), np.int64)
-                low = _LOWER[part].tobytes()
-                words = b"\n".join([low[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-                del low, starts, ends, first
-                entry, count, n_entries = [], [], []
-                for x, y, t in zip(rows[:-1].tolist(), rows[1:].tolist(), train[a:b].tolist(), strict=True):
-                    kinds, times = np.unique(which[x:y], return_counts=True)
-                    entry.append(kinds.tobytes())
-                    count.append(times.astype("<i4").tobytes())
-                    n_entries.append(len(kinds))
-                    if t:
-                        learned[kinds] += times
-                columns = [row[a:b].astype("<i8"), n.astype("<i8"), np.array(n_entries, "<i8"), train[a:b], b"".join(entry), b"".join(count), h, learned]
-                columns = [c if isinstance(c, bytes) else c.tobytes() for c in columns]
-                del which, entry, count, h, learned
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c], pa.binary()) for c in columns), pa.array([words], pa.binary())], [c.split()[0] for c in schema.split(", ")])
+                h, first, place = np.unique(word_hashes(part, starts, ends), return_index=True, return_inverse=True)
+                sizes = np.diff(rows)
+                counts = np.bincount(place[np.repeat(train[a:b] == 1, sizes)], minlength=len(h))
+                length = (ends - starts)[first]
+                at = np.arange(int(length.sum())) + np.repeat(starts[first] - np.cumsum(length) + length, length)
+                columns = [row[a:b].astype("<i8"), sizes.astype("<i4"), train[a:b], place.astype("<i4"), h, counts.astype("<i8"), length.astype("<i4"), _LOWER[part[at]]]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], [c.split()[0] for c in _BLOCK.split(", ")])
                 number += 1
 
-    return docs.select("row", "train", "text").mapInArrow(run, schema)
+    return docs.select("row", "train", "text").mapInArrow(run, _BLOCK)
+
 
+def _numbers(cell: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), kind)
 
-def chunk_words(chunks: DataFrame) -> DataFrame:
-    """(chunk, place, hash, c, word) of each word of each block."""
+
+def block_words(stored_blocks: DataFrame) -> DataFrame:
+    """(block, place, hash, c, word) of each kind of word of each block."""
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                h = np.frombuffer(r["hashes"], np.int64)
-                if len(h):
-                    words = pa.array(r["words"].decode("utf-8", "replace").split("\n"))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), r["chunk"])), pa.array(np.arange(len(h))), pa.array(h), pa.array(np.frombuffer(r["train_counts"], np.int64)), words], ["chunk", "place", "hash", "c", "word"])
-
-    return chunks.select("chunk", "hashes", "train_counts", "words").mapInArrow(run, "chunk long, place long, hash long, c long, word string")
+            for block, h, c, size, words in zip(*batch.columns, strict=True):
+                size = _numbers(size, "<i4")
+                if len(size):
+                    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                    text = pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), words.as_buffer())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(size), block.as_py())), pa.array(np.arange(len(size), dtype=np.int32)), pa.array(_numbers(h, "<i8")), pa.array(_numbers(c, "<i8")), text],
+                        ["block", "place", "hash", "c", "word"],
+                    )
 
+    return stored_blocks.select("block", "hashes", "counts", "word_sizes", "words").mapInArrow(run, "block long, place int, hash long, c long, word string")
 
-def fit_pieces(words: DataFrame, ends: float, model_file: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities of pieces, byte signs and the end, fitted to training words (word, c).
 
-    Each kind of word counts once, as the lattice speaks for words yet unseen; `ends`
-    is the end sign's share on that scale.
-    """
+def fit_pieces(words: DataFrame, ends: int, model_file: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of pieces, byte signs and the end, fitted to training words (word, c) and `ends` end signs."""
     table = pieces(model_file)
     scores, spark = table.first_scores, words.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(scores)  # one number for each piece of the vocabulary
 
         def run(batches, shared=shared):
-            own, total = pieces(model_file), 0.0
+            own, total = pieces(model_file), None
             for batch in batches:
-                total = total + expected_counts(batch.column("word").to_pylist(), np.ones(batch.num_rows), own, shared.value)
-            if not isinstance(total, float):
+                uses = expected_counts(batch.column("word").to_pylist(), np.asarray(batch.column("c")).astype(float), own, shared.value)
+                total = uses if total is None else total + uses
+            if total is not None:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "uses"])
 
-        uses = np.full(table.n, PRIOR)
+        uses = PRIOR_TOKENS * np.exp(table.first_scores)
         uses[table.end] += ends
-        for r in words.where("c > 0").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
-            uses[r["piece"]] += r["uses"]
+        found = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+        uses[np.asarray(found.column("piece"))] += np.asarray(found.column("uses"))
         scores = np.log(uses / uses.sum())
     return scores
 
 
+def with_word_arc(log_p: np.ndarray, count: np.ndarray, tokens: int, kinds: int) -> np.ndarray:
+    """Log probability of words whose pieces give exp(log_p), with the arc of a word seen `count` times."""
+    if not tokens:
+        return log_p
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(count), np.log(kinds) + log_p) - np.log(tokens + kinds)
+
+
 def score_documents(docs: DataFrame, model_file: str) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (doc_id, text).
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, piece_score) of each row of docs (doc_id, text).
 
     Words are runs outside \\x20 and \\x09-\\x0D after A-Z are lower-cased, and each text
     has one end sign.  Rows whose crc32(doc_id as text) modulo 7 is not 2 are training
     text.  base_score adds up log10((c + 1) / (N + V + 1)) over the tokens; score is the
-    log10 of the lattice model's probability of the text.  Null and empty texts are the
-    end sign alone; rows that repeat are scored and learned from each time; a null
-    doc_id is training text and comes back null; an empty table gives no rows.
+    log10 of the lattice model's probability of the text, piece_score that of the
+    lattice without the training words' arcs.  Null and empty texts are the end sign
+    alone; rows that repeat are scored and learned from each time; a null doc_id is
+    training text and comes back null; other columns are ignored; an empty table gives
+    no rows; without training text the vocabulary's own scores count.
     """
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))).cast("long").alias("row"), (fold != HELD_OUT).alias("train"), "text")
-    chunks = stored(chunk_rows(rows), "chunks")
-    each = chunk_words(chunks)
-    words = stored(each.groupBy("hash").agg(F.min("word").alias("word"), F.sum("c").alias("c")), "words")
+    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("long").alias("row"), (fold != HELD_OUT).alias("train"), "text")
+    all_blocks = stored(block_rows(rows), "blocks")
+    each = block_words(all_blocks)
+    words = stored(each.groupBy("hash", "word").agg(F.sum("c").alias("c")), "words")
     learned = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = rows.where("train").count()
     total, kinds = learned["n"] + ends, learned["v"] + (ends > 0)
-    scores = fit_pieces(words, learned["v"] * ends / max(learned["n"], 1), model_file)
+    scores = fit_pieces(words, ends, model_file)
     shared = docs.sparkSession.sparkContext.broadcast(scores)
 
     def marginal(batches):
         table = pieces(model_file)
         for batch in batches:
-            p = word_scores(batch.column("word").to_pylist(), table, shared.value)
-            if total:
-                with np.errstate(divide="ignore"):
-                    p = np.logaddexp(np.log(np.asarray(batch.column("c"))), np.log(kinds) + p) - np.log(total + kinds)
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("c"), pa.array(p)], ["hash", "c", "log_p"])
+            log_p = word_scores(batch.column("word").to_pylist(), table, shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("c"), pa.array(log_p)], ["hash", "c", "log_p"])
 
     scored = words.mapInArrow(marginal, "hash long, c long, log_p double")
-    known = each.select("chunk", "place", "hash").join(scored, "hash").select("chunk", "place", "c", "log_p")
+    known = each.select("block", "place", "hash").join(scored, "hash").select("block", "place", "c", "log_p")
     chance = np.exp(scores)
-    end_chance = float(chance[-1] / (chance[-1] + chance[pieces(model_file).opens].sum()))
-    end_score, ln10 = float(np.log((ends + kinds * end_chance) / (total + kinds) if total else end_chance)), float(np.log(10))
+    end_alone = np.log(chance[-1] / (chance[-1] + chance[pieces(model_file).opens].sum()))  # among what can follow a whole word
+    end_p, end_piece = float(with_word_arc(end_alone, np.float64(ends), total, kinds)), float(scores[-1])
+    ln10 = float(np.log(10))
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = np.asarray(right.column("place"))
+        c, p = np.zeros(len(at)), np.zeros(len(at))
+        c[at], p[at] = np.asarray(right.column("c")), np.asarray(right.column("log_p"))
+        kinds_p = with_word_arc(p, c, total, kinds)
+        base = np.log10((c + 1) / (total + kinds + 1))
         out = []
-        place = np.asarray(right.column("place"))
-        c, p = np.zeros(len(place)), np.zeros(len(place))
-        c[place], p[place] = np.asarray(right.column("c")), np.asarray(right.column("log_p"))
-        for r in left.to_pylist():
-            n_tokens, n_entries = np.frombuffer(r["n_tokens"], "<i8"), np.frombuffer(r["n_entries"], "<i8")
-            word, count = np.frombuffer(r["entry_word"], "<i4"), np.frombuffer(r["entry_count"], "<i4")
-            doc = np.repeat(np.arange(len(n_tokens)), n_entries)
-            add = lambda v: np.bincount(doc, weights=v, minlength=len(n_tokens))  # noqa: B023, E731
-            base = add(count * np.log10((c[word] + 1) / (total + kinds + 1))) + np.log10((ends + 1) / (total + kinds + 1))
-            n_known = add(count * (c[word] > 0)).astype(np.int64) + (ends > 0)
-            held = np.frombuffer(r["train"], np.uint8) == 0
-            out.append(pa.table({"row": np.frombuffer(r["doc_ids"], "<i8"), "held_out": held, "n_tokens": n_tokens + 1, "n_known": n_known, "base_score": base, "score": (add(count * p[word]) + end_score) / ln10}))
-        return pa.concat_tables(out) if out else pa.table({"row": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-
-    payload = chunks.select("chunk", "doc_ids", "n_tokens", "n_entries", "train", "entry_word", "entry_count")
-    result = payload.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(back, "row long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    doc_id = F.when(F.col("row") != -(1 << 62), F.col("row")).cast(docs.schema["doc_id"].dataType)
-    return result.select(doc_id.alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
-
-
+        for ids, sizes, train, place in zip(*(left.column(n) for n in ("ids", "sizes", "train", "places")), strict=True):
+            ids, sizes, place = _numbers(ids, "<i8"), _numbers(sizes, "<i4"), _numbers(place, "<i4")
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            add = lambda v: np.bincount(doc, weights=v[place], minlength=len(sizes))  # noqa: B023, E731
+            out.append(
+                pa.table(
+                    {
+                        "row": ids,
+                        "held_out": _numbers(train, "u1") == 0,
+                        "n_tokens": sizes.astype(np.int64) + 1,
+                        "n_known": add(c > 0).astype(np.int64) + (ends > 0),
+                        "base_score": add(base) + np.log10((ends + 1) / (total + kinds + 1)),
+                        "score": (add(kinds_p) + end_p) / ln10,
+                        "piece_score": (add(p) + end_piece) / ln10,
+                    }
+                )
+            )
+        return pa.concat_tables(out)
+
+    payload = all_blocks.select("block", "ids", "sizes", "train", "places")
+    result = payload.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(back, "row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, piece_score double")
+    doc_id = F.when(F.col("row") != _NO_ID, F.col("row")).cast(docs.schema["doc_id"].dataType)
+    return result.select(doc_id.alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", "piece_score")
