@@ -1,7 +1,7 @@
 """Token-id files: documents compressed one by one with a shared zstandard dictionary.
 
 A file is the content of one row of a table (shard, content), so that Spark's commit
-protocol covers it.  Its layout, all numbers little-endian:
+protocol covers it; the dictionary is a table of one row beside it.  Its layout, all numbers little-endian:
 
     "TIDS", u16 version, u16 bytes of an id, 32 bytes SHA-256 of the dictionary,
     frames, each one document's ids as one zstandard frame,
@@ -14,100 +14,152 @@ A document is read through the index without its neighbours.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
+import unicodedata
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import stored
+from tracelake.llm.kernels import _powers, blocks, mix
+from tracelake.llm.shared import shared_folder, stored
 
 END_ID = 1
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 2000, 8000
 CHARS_PER_FILE = 8_000_000
-CACHE_WORDS, CACHE_PARTS = 150_000, 1_100_000
+CACHE_KINDS = 600_000
 LEVEL = 3
 _MARK = "<|startoftext|>"
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 _HEAD, _TAIL = struct.Struct("<4sHH32s"), struct.Struct("<QQ4s")
+_U = np.uint64
+
+#: Code points below _LATIN by what the pretokenizer sees in them; words with other code points go to the library whole.
+_LATIN = 0x250
+_SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+
+
+def _kind(c: int) -> int:
+    sign = chr(c)
+    if sign in " \t\n\v\f\r":
+        return _SPACE
+    if c < 33 or 0x7F <= c <= 0xA0 or sign in "'<" or len(sign.lower()) > 1 or ord(sign.lower()) >= _LATIN:
+        return _ODD
+    return {"L": _LETTER, "N": _DIGIT}.get(unicodedata.category(sign)[0], _SIGN)
+
+
+_KIND = np.array([*(_kind(c) for c in range(_LATIN)), _ODD], np.uint8)
+_LOWER = np.array([ord(chr(c).lower()) if _KIND[c] != _ODD else c for c in range(_LATIN)], np.uint32)
+
+
+def pretokens(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First place, end, hash and oddness of each pretoken of a text's code points.
+
+    Runs of letters, single digits and runs of other signs, all lower-cased; a word
+    with an odd sign (apostrophes start contractions, < a special token) is one pretoken as it is.
+    """
+    kind = _KIND[np.minimum(codes, _LATIN)]
+    inside = kind != _SPACE
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    word = np.cumsum(opens) - 1
+    odd_words = np.zeros(int(word[-1]) + 1 if len(word) else 0, bool)
+    odd_words[word[kind == _ODD]] = True
+    odd = odd_words[word] & inside if len(odd_words) else inside
+    start = opens.copy()
+    start[1:] |= inside[1:] & ~odd[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    end = inside.copy()
+    end[:-1] &= ~inside[1:] | start[1:]
+    a, b = np.flatnonzero(start), np.flatnonzero(end) + 1
+    low = np.where(odd, codes, _LOWER[np.minimum(codes, _LATIN - 1)])
+    up, down = _powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(low.astype(np.uint64) + _U(1)) * up[: len(codes)], out=sums[1:])
+    return a, b, mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _U(2) + odd[a]), odd[a]
 
 
 class WordEncoder:
-    """Ids of a `tokenizers` file, remembered by space-separated part of a text.
+    """Ids of a `tokenizers` file, remembered by pretoken.
 
-    The vocabulary's pretokenizer drops white space, so a text's ids are those of its
-    parts one after the other.
+    Pretokens of many texts are found and hashed at once; each kind goes through the
+    library's model once, and the texts' ids are gathered from one array.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.mark = self.tokenizer.token_to_id(_MARK)
-        self.cache: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.forget()
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.byte_sign = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}  # as byte-level vocabularies write bytes
-        probe = ["the", "über", "ção", "naïveté", "zzxqj", "straße"]
-        self.direct = all(self._letters(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+        probe = ["the", "über", "ção", "naïveté", "zzxqj", "straße", "7", "½", ".", "!!)", "§§", "$$$"]
+        self.direct = all(self._model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+
+    def forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.ids, self.ends = array(self.type.char), array("q", [0])
 
-    def _letters(self, word: str) -> list[int]:
-        """Ids of lower-case letters straight from the library's model, which normalising and splitting would leave whole."""
-        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_sign))]
+    def _model(self, pretoken: str) -> list[int]:
+        """Ids of a lower-case pretoken straight from the library's model, as normalising and splitting would leave it whole."""
+        return [t.id for t in self.tokenizer.model.tokenize(pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(self.byte_sign))]
 
-    def _library(self, parts: list[str]) -> None:
+    def _library(self, parts: list[str]) -> Iterator[list[int]]:
         """Ids of parts from the library, many in one call with a sign between them."""
-        plain = [w for w in parts if "<|" not in w and "|>" not in w] if self.mark is not None else []
-        groups = [plain[at : at + 200] for at in range(0, len(plain), 200)]
-        size = self.kind.itemsize
-        for part, coded in zip(groups, self.tokenizer.encode_batch_fast([_MARK.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, self.kind)
-            cuts = np.flatnonzero(ids == self.mark)
-            begin, end = np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids))
-            raw = ids.tobytes()
-            for w, x, y in zip(part, (begin * size).tolist(), (end * size).tolist(), strict=True):
-                self.parts[w] = raw[x:y]
-        for w in set(parts) - set(plain):
-            self.parts[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Cache the ids of words; letters and the stops after them are pretokens of their own, whatever the letters' case."""
-        split = [(w, m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, w, None) for w in words]
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {"": b""}
-        known = self.parts
-        missing = {stops for _, _, stops in split if stops} - known.keys()
-        for _, core, stops in split:
-            if core not in known:
-                if stops is None or not self.direct:
-                    missing.add(core)
-                else:
-                    known[core] = array(self.kind.char, self._letters(core)).tobytes()
-        if missing:
-            self._library(list(missing))
-        self.cache.update({w: known[core] + known[stops or ""] for w, core, stops in split})
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        for at in range(0, len(split), 512):
-            missing = set().union(*split[at : at + 512]) - self.cache.keys()
-            if missing:
-                self._learn(list(missing))
-        get = self.cache.__getitem__
-        end = np.array([END_ID], self.kind).tobytes()
-        return [b"".join(map(get, words)) + end for words in split]
+        at = 0
+        while at < len(parts):
+            group = [] if self.mark is None else list(takewhile(lambda w: "<|" not in w and "|>" not in w, parts[at : at + 200]))
+            if not group:
+                yield self.tokenizer.encode(parts[at], add_special_tokens=False).ids
+                at += 1
+                continue
+            ids = np.array(self.tokenizer.encode(_MARK.join(group), add_special_tokens=False).ids)
+            yield from (x[x != self.mark].tolist() for x in np.split(ids, np.flatnonzero(ids == self.mark)))
+            at += len(group)
+
+    def _learn(self, hashes: list[int], parts: list[str], odd: list[bool]) -> None:
+        direct = [self.direct and not o for o in odd]
+        rest = self._library([p for p, d in zip(parts, direct, strict=True) if not d])
+        for h, part, d in zip(hashes, parts, direct, strict=True):
+            self.slot[h] = len(self.ends) - 1
+            self.ids.extend(self._model(part.lower()) if d else next(rest))
+            self.ends.append(len(self.ids))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each text's with END_ID behind them, and their offsets."""
+        if len(self.slot) > CACHE_KINDS:
+            self.forget()
+        flat = "\n".join([t or "" for t in texts])
+        first, end, h, odd = pretokens(np.frombuffer(flat.encode("utf-32-le", "replace"), np.uint32))
+        kinds, at, back = np.unique(h, return_index=True, return_inverse=True)
+        names = kinds.tolist()
+        new = [k for k, name in enumerate(names) if name not in self.slot]
+        if new:
+            self._learn([names[k] for k in new], [flat[a:b] for a, b in zip(first[at[new]].tolist(), end[at[new]].tolist(), strict=True)], odd[at[new]].tolist())
+        slot = np.array([self.slot[name] for name in names], np.int64)
+        ends = np.frombuffer(self.ends, np.int64)
+        size = np.diff(ends)[slot][back]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = np.frombuffer(self.ids, self.type)[np.arange(total[-1]) + np.repeat(ends[slot][back] - total[:-1], size)] if len(size) else np.zeros(0, self.type)
+        text_ends = np.cumsum([len(t or "") + 1 for t in texts])
+        offsets = np.concatenate([[0], total[np.searchsorted(first, text_ends)]])
+        return np.insert(ids, offsets[1:], END_ID), offsets + np.arange(len(offsets))
+
+    def encode_each(self, texts: list[str | None]) -> list[bytes]:
+        ids, offsets = self.encode(texts)
+        raw, offsets = ids.tobytes(), (offsets * self.type.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -126,12 +178,17 @@ def _codec(dictionary: bytes):
 def train_dictionary(docs: DataFrame, tokenizer_file: str) -> bytes:
     """Dictionary from the SAMPLE_DOCUMENTS texts of up to SAMPLE_CHARS characters whose ids have the smallest hashes.
 
-    Empty where they are too few to train on; the files are read back the same either way.
+    Hashes are chosen first, so that only the chosen texts reach the driver.  Empty where
+    they are too few to train on; the files are read back the same either way.
     """
     import zstandard
 
-    rows = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", F.xxhash64("text")).limit(SAMPLE_DOCUMENTS).select("text").collect()
-    samples = word_encoder(tokenizer_file).encode([r["text"] for r in rows])
+    rows = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.struct(F.xxhash64("doc_id"), F.xxhash64("text")).alias("h"))
+    last = rows.select("h").distinct().orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return b""
+    chosen = rows.where(F.col("h") <= F.struct(*(F.lit(x) for x in last))).dropDuplicates(["h"]).collect()  # SAMPLE_DOCUMENTS rows at most
+    samples = word_encoder(tokenizer_file).encode_each([r["text"] for r in sorted(chosen, key=lambda r: r["h"])])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -143,13 +200,15 @@ def compress_documents(docs: DataFrame, tokenizer_file: str, dictionary: bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_file)
-        size = encoder.kind.itemsize
+        size = encoder.type.itemsize
         pack = _codec(dictionary)[0].compress
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                raw = encoder.encode(batch.column("text").to_pylist())
+            length = np.asarray(pc.fill_null(pc.binary_length(whole.column("text")), 0))
+            for a, b in blocks(np.concatenate([[0], np.cumsum(length)])):
+                batch = whole.slice(a, b - a)
+                raw = encoder.encode_each(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(r) // size for r in raw], pa.int64()), pa.array([pack(r) for r in raw], pa.binary())], ["doc_id", "n_tokens", "frame"])
+        encoder.forget()  # workers live on for other stages
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, frame binary")
 
@@ -187,9 +246,14 @@ class TokenFile:
         return np.frombuffer(self.unpack(self.content[self.ends[k] : self.ends[k + 1]]), self.kind)
 
 
-def write_files(docs: DataFrame, tokenizer_file: str, dictionary: bytes, chars_per_file: int = CHARS_PER_FILE) -> DataFrame:
-    """(shard, n_tokens, content): files in ascending doc_id order, shard by shard, null ids first."""
-    width = word_encoder(tokenizer_file).kind.itemsize
+def write_files(docs: DataFrame, tokenizer_file: str, dictionary: bytes, chars_per_file: int = CHARS_PER_FILE, path: str | None = None) -> DataFrame:
+    """(shard, n_tokens, content): files in ascending doc_id order, shard by shard, null ids first.
+
+    Rows of one id are ordered by length and dealt over files like others.  With `path`,
+    the table of files is written to path/files and the dictionary beside it, to
+    path/dictionary, where `open_files` finds both.
+    """
+    width, spark = word_encoder(tokenizer_file).type.itemsize, docs.sparkSession
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()["c"]
     frames = stored(compress_documents(docs, tokenizer_file, dictionary), "frames")
 
@@ -202,8 +266,19 @@ def write_files(docs: DataFrame, tokenizer_file: str, dictionary: bytes, chars_p
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sum(n)], pa.int64()), pa.array([file_bytes(ids, n, packed, width, dictionary)], pa.binary())], ["shard", "n_tokens", "content"])
 
-    dealt = frames.repartitionByRange(max(1, -(-chars // chars_per_file)), F.col("doc_id").asc_nulls_first())
-    return stored(dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "frame").mapInArrow(run, "shard int, n_tokens long, content binary"), "token-files")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("row")]
+    dealt = frames.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-chars // chars_per_file)), *order)
+    files = dealt.sortWithinPartitions(*order).mapInArrow(run, "shard int, n_tokens long, content binary")
+    if path is None:
+        return stored(files, "token-files")
+    files.write.parquet(f"{path}/files")
+    spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
+    return open_files(spark, path)[0]
+
+
+def open_files(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
+    """The table of files that `write_files` put at a path, and their dictionary."""
+    return spark.read.parquet(f"{path}/files"), bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
 
 
 def read_files(files: DataFrame, dictionary: bytes) -> DataFrame:
@@ -229,8 +304,9 @@ def token_index(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     shorter first, and each has its own start; null ids come first.  Other columns are
     ignored, an empty table gives no rows.
     """
-    dictionary = train_dictionary(docs, tokenizer_file)
-    files = write_files(docs, tokenizer_file, dictionary)
+    path = f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    write_files(docs, tokenizer_file, train_dictionary(docs, tokenizer_file), path=path)
+    files, dictionary = open_files(docs.sparkSession, path)
     # one row for each file of CHARS_PER_FILE characters
     starts = files.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("first"))
     each = read_files(files, dictionary)
