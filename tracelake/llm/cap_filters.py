@@ -34,7 +34,6 @@ COMMON = 14  # expected number of filters that a pair of cosine 0.9 shares
 GROUP, MOST_HOT = 512, 100_000
 ENTRY_BYTES, BUCKET_BYTES = 420, 16 << 20
 PASS_BYTES = 256 << 20  # dealt in one pass, or the size of the vectors if that is more
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SEED = 11
 _U = np.uint64
 
@@ -269,14 +268,9 @@ def cap_links(vectors: DataFrame) -> DataFrame:
     passes = max(1, -(-dealt // max(PASS_BYTES, 4 * dimension * count)))
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt // passes // BUCKET_BYTES)
     found = None
-    kept = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # a pass's shuffle goes when its links are stored
-    try:
-        for now in range(passes):
-            links = stored(deal(named, hot, group, buckets, dimension, passes, now).groupBy("bucket").applyInArrow(lambda t: link(t, dimension), "kind int, a long, b long"), "vector-links")
-            found = links if found is None else found.unionAll(links)
-    finally:
-        spark.conf.unset(CLEANUP) if kept is None else spark.conf.set(CLEANUP, kept)
+    for now in range(passes):  # a pass's shuffle goes when its links are stored
+        links = stored(deal(named, hot, group, buckets, dimension, passes, now).groupBy("bucket").applyInArrow(lambda t: link(t, dimension), "kind int, a long, b long"), "vector-links")
+        found = links if found is None else found.unionAll(links)
     drop_stored(named)
     n_links = found.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
     labels = connected_components(found.where("kind = 1").select("a", "b")).withColumnRenamed("v", "cls")

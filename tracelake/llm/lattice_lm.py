@@ -28,6 +28,7 @@ SPACE = "▁"
 ROUNDS = 2
 PRIOR_TOKENS = 1000.0
 BLOCK_BYTES = 3 << 19
+MOST_HOT = 100_000
 _NO_ID = -(1 << 62)
 _U = np.uint64
 
@@ -198,7 +199,8 @@ def block_rows(docs: DataFrame) -> DataFrame:
                 counts = np.bincount(place[np.repeat(train[a:b] == 1, sizes)], minlength=len(h))
                 length = (ends - starts)[first]
                 at = np.arange(int(length.sum())) + np.repeat(starts[first] - np.cumsum(length) + length, length)
-                columns = [row[a:b].astype("<i8"), sizes.astype("<i4"), train[a:b], place.astype("<i4"), h, counts.astype("<i8"), length.astype("<i4"), _LOWER[part[at]]]
+                place = place.astype("<u2" if len(h) <= 1 << 16 else "<u4")
+                columns = [row[a:b].astype("<i8"), sizes.astype("<i4"), train[a:b], place, h, counts.astype("<i4"), length.astype("<i4"), _LOWER[part[at]]]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], [c.split()[0] for c in _BLOCK.split(", ")])
                 number += 1
 
@@ -209,22 +211,51 @@ def _numbers(cell: pa.Scalar, kind: str) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), kind)
 
 
-def block_words(stored_blocks: DataFrame) -> DataFrame:
-    """(block, place, hash, c, word) of each kind of word of each block."""
+def block_words(all_blocks: DataFrame) -> DataFrame:
+    """(hash, c, word) of each kind of word of each block."""
 
     def run(batches):
         for batch in batches:
-            for block, h, c, size, words in zip(*batch.columns, strict=True):
+            for h, c, size, words in zip(*batch.columns, strict=True):
                 size = _numbers(size, "<i4")
                 if len(size):
                     ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                     text = pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), words.as_buffer())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(size), block.as_py())), pa.array(np.arange(len(size), dtype=np.int32)), pa.array(_numbers(h, "<i8")), pa.array(_numbers(c, "<i8")), text],
-                        ["block", "place", "hash", "c", "word"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(_numbers(h, "<i8")), pa.array(_numbers(c, "<i4").astype(np.int64)), text], ["hash", "c", "word"])
 
-    return stored_blocks.select("block", "hashes", "counts", "word_sizes", "words").mapInArrow(run, "block long, place int, hash long, c long, word string")
+    return all_blocks.select("hashes", "counts", "word_sizes", "words").mapInArrow(run, "hash long, c long, word string")
+
+
+def _found(h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each hash is among the sorted hot ones, and where."""
+    at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+    return (hot[at] == h) if len(hot) else np.zeros(len(h), bool), at
+
+
+def cold_words(all_blocks: DataFrame, hot) -> DataFrame:
+    """(block, place, hash) of the kinds of words of each block that the broadcast hot ones don't hold."""
+
+    def run(batches):
+        for batch in batches:
+            for block, h in zip(*batch.columns, strict=True):
+                h = _numbers(h, "<i8")
+                place = np.flatnonzero(~_found(h, hot.value[0])[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block.as_py())), pa.array(place.astype(np.int32)), pa.array(h[place])], ["block", "place", "hash"])
+
+    return all_blocks.select("block", "hashes").mapInArrow(run, "block long, place int, hash long")
+
+
+def block_tokens(all_blocks: DataFrame, hot) -> DataFrame:
+    """(block, ids, sizes, train, places, hot_places, hot_at): blocks without their words, those of hot words by their number."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [_found(_numbers(h, "<i8"), hot.value[0]) for h in batch.column("hashes")]
+            hot_places = pa.array([np.flatnonzero(is_hot).astype("<i4").tobytes() for is_hot, _ in parts], pa.binary())
+            hot_at = pa.array([at[is_hot].astype("<i4").tobytes() for is_hot, at in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], hot_places, hot_at], [*batch.schema.names[:-1], "hot_places", "hot_at"])
+
+    return all_blocks.select("block", "ids", "sizes", "train", "places", "hashes").mapInArrow(run, "block long, ids binary, sizes binary, train binary, places binary, hot_places binary, hot_at binary")
 
 
 def fit_pieces(words: DataFrame, ends: int, model_file: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -274,8 +305,7 @@ def score_documents(docs: DataFrame, model_file: str) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("long").alias("row"), (fold != HELD_OUT).alias("train"), "text")
     all_blocks = stored(block_rows(rows), "blocks")
-    each = block_words(all_blocks)
-    words = stored(each.groupBy("hash", "word").agg(F.sum("c").alias("c")), "words")
+    words = stored(block_words(all_blocks).groupBy("hash", "word").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("blocks")), "words")
     learned = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = rows.where("train").count()
     total, kinds = learned["n"] + ends, learned["v"] + (ends > 0)
@@ -286,42 +316,41 @@ def score_documents(docs: DataFrame, model_file: str) -> DataFrame:
         table = pieces(model_file)
         for batch in batches:
             log_p = word_scores(batch.column("word").to_pylist(), table, shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("c"), pa.array(log_p)], ["hash", "c", "log_p"])
+            yield pa.RecordBatch.from_arrays([*batch.select(["hash", "c", "blocks"]).columns, pa.array(log_p)], ["hash", "c", "blocks", "log_p"])
 
-    scored = words.mapInArrow(marginal, "hash long, c long, log_p double")
-    known = each.select("block", "place", "hash").join(scored, "hash").select("block", "place", "c", "log_p")
+    scored = stored(words.mapInArrow(marginal, "hash long, c long, blocks long, log_p double"), "scored-words")
+    entries = scored.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("n")).first()["n"]
+    common = scored.where(F.col("blocks") > entries // MOST_HOT).select("hash", "c", "log_p").toArrow().sort_by("hash")  # MOST_HOT rows at most
+    hot = docs.sparkSession.sparkContext.broadcast(tuple(np.asarray(common.column(n)) for n in ("hash", "c", "log_p")))
+    known = stored(cold_words(all_blocks, hot).join(scored.select("hash", "c", "log_p"), "hash").select("block", "place", "c", "log_p"), "known")
     chance = np.exp(scores)
     end_alone = np.log(chance[-1] / (chance[-1] + chance[pieces(model_file).opens].sum()))  # among what can follow a whole word
     end_p, end_piece = float(with_word_arc(end_alone, np.float64(ends), total, kinds)), float(scores[-1])
     ln10 = float(np.log(10))
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = np.asarray(right.column("place"))
-        c, p = np.zeros(len(at)), np.zeros(len(at))
+        block = {n: left.column(n)[0] for n in left.column_names}  # a group is one block
+        at, hot_at, hot_places = np.asarray(right.column("place")), _numbers(block["hot_at"], "<i4"), _numbers(block["hot_places"], "<i4")
+        c, p = np.zeros(len(at) + len(hot_at)), np.zeros(len(at) + len(hot_at))
         c[at], p[at] = np.asarray(right.column("c")), np.asarray(right.column("log_p"))
+        c[hot_places], p[hot_places] = hot.value[1][hot_at], hot.value[2][hot_at]
         kinds_p = with_word_arc(p, c, total, kinds)
         base = np.log10((c + 1) / (total + kinds + 1))
-        out = []
-        for ids, sizes, train, place in zip(*(left.column(n) for n in ("ids", "sizes", "train", "places")), strict=True):
-            ids, sizes, place = _numbers(ids, "<i8"), _numbers(sizes, "<i4"), _numbers(place, "<i4")
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            add = lambda v: np.bincount(doc, weights=v[place], minlength=len(sizes))  # noqa: B023, E731
-            out.append(
-                pa.table(
-                    {
-                        "row": ids,
-                        "held_out": _numbers(train, "u1") == 0,
-                        "n_tokens": sizes.astype(np.int64) + 1,
-                        "n_known": add(c > 0).astype(np.int64) + (ends > 0),
-                        "base_score": add(base) + np.log10((ends + 1) / (total + kinds + 1)),
-                        "score": (add(kinds_p) + end_p) / ln10,
-                        "piece_score": (add(p) + end_piece) / ln10,
-                    }
-                )
-            )
-        return pa.concat_tables(out)
-
-    payload = all_blocks.select("block", "ids", "sizes", "train", "places")
-    result = payload.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(back, "row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, piece_score double")
+        ids, sizes, place = _numbers(block["ids"], "<i8"), _numbers(block["sizes"], "<i4"), _numbers(block["places"], "<u2" if len(c) <= 1 << 16 else "<u4")
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        add = lambda v: np.bincount(doc, weights=v[place], minlength=len(sizes))
+        return pa.table(
+            {
+                "row": ids,
+                "held_out": _numbers(block["train"], "u1") == 0,
+                "n_tokens": sizes.astype(np.int64) + 1,
+                "n_known": add(c > 0).astype(np.int64) + (ends > 0),
+                "base_score": add(base) + np.log10((ends + 1) / (total + kinds + 1)),
+                "score": (add(kinds_p) + end_p) / ln10,
+                "piece_score": (add(p) + end_piece) / ln10,
+            }
+        )
+
+    result = block_tokens(all_blocks, hot).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(back, "row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, piece_score double")
     doc_id = F.when(F.col("row") != _NO_ID, F.col("row")).cast(docs.schema["doc_id"].dataType)
     return result.select(doc_id.alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", "piece_score")

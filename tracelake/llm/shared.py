@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
@@ -17,11 +20,26 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession):
+    """Within, the shuffle files of a query go when it ends."""
+    kept = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if kept is None else spark.conf.set(CLEANUP, kept)
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back, so that lost executors cost no recomputation."""
+    """Write a frame to the shared folder and read it back, so that lost executors cost no recomputation.
+
+    The table replaces the shuffles that made it, whose files are deleted.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with short_shuffles(spark):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

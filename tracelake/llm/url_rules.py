@@ -6,6 +6,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.shared import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "=bad"
 HOST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -42,52 +44,111 @@ def url_tokens(url: Column) -> Column:
     return F.coalesce(F.array_distinct(tokens), F.array().cast("array<string>"))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(tokens, confidence, support, key): token combinations that go with bad pages.
-
-    FP-growth runs over the labelled pages (page_id = doc_id; bad is quality 0 or
-    toxic 1).  A rule that contains a smaller rule of at least its confidence is
-    pruned.  `key` is the rule's rarest token, under which it is indexed.  Support
-    (MIN_PAGES pages at least) bounds how many rules there can be, whatever the number of pages.
-    """
+def _labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page, tokens, bad) of the pages with tokens and a label: page_id = doc_id, bad is quality 0 or toxic 1 in any label."""
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).cast("int")).alias("bad"))
     known = pages.select(F.col("page_id").alias("doc_id"), url_tokens(F.col("url")).alias("tokens")).where(F.size("tokens") > 0).join(bad, "doc_id")
-    items = known.select(F.when(F.col("bad") == 1, F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+    return known.select(F.monotonically_increasing_id().alias("page"), "tokens", "bad")
+
+
+def token_classes(known: DataFrame) -> DataFrame:
+    """(token, class): tokens that stand in exactly the same labelled pages share a class, named by the smallest of them.
+
+    Two 64-bit sums of page hashes name a set of pages.
+    """
+    each = known.select("page", F.explode("tokens").alias("token"))
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), "page").cast("decimal(20,0)")).alias(f"h{salt}")
+    sets = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), total(1), total(2))
+    names = sets.groupBy("n", "h1", "h2").agg(F.min("token").alias("class"), F.collect_list("token").alias("tokens"))  # tokens of one page set: as many as its urls hold
+    return names.select(F.explode("tokens").alias("token"), "class")
+
+
+def mine_classes(known: DataFrame, classes: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+    """(classes, confidence, support, key): combinations of token classes that go with bad pages.
+
+    FP-growth runs over the classes of each page and the sign of bad pages.  A rule
+    with a smaller rule of at least its confidence inside it is pruned: from size to
+    size, each set takes over the best confidence of the sets that lack one of its
+    members.  `key` is the rule's rarest class, under which it is indexed.
+    """
+    spark = known.sparkSession
+    own = known.select("page", "bad", F.explode("tokens").alias("token")).join(classes, "token").groupBy("page", "bad").agg(F.collect_set("class").alias("items"))
+    items = stored(own.select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")), "items")
     n = items.count()
     if not n:
-        return items.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double, key string")
+        return spark.createDataFrame([], "classes array<string>, confidence double, support double, key string")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_PAGES / n)), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    frequency = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), F.col("freq"))
-    each = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("token"))
-    keyed = each.join(frequency, "token").groupBy("tokens", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-    smaller = keyed.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"))
-    inside = each.alias("e").join(smaller.withColumn("token", F.explode("part")).alias("p"), "token").where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("part_confidence") >= F.col("e.confidence")))
-    return keyed.join(inside.select("tokens").distinct(), "tokens", "left_anti")
+    frequent = stored(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    with_bad = frequent.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("classes"), F.col("freq").alias("hits"))
+    sets = stored(with_bad.join(frequent.withColumnRenamed("items", "classes"), "classes").select("classes", (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / n).alias("support")), "rule-sets")
+    longest = sets.agg(F.coalesce(F.max(F.size("classes")), F.lit(0)).alias("n")).first()["n"]
+    best, kept = None, None
+    for size in range(1, longest + 1):
+        mine = sets.where(F.size("classes") == size)
+        if best is None:
+            level = mine.withColumn("inner", F.lit(0.0))
+        else:
+            parts = mine.select("classes", F.explode(F.transform("classes", lambda c: F.array_remove("classes", c))).alias("part"))
+            inner = parts.join(best.select(F.col("classes").alias("part"), "best"), "part").groupBy("classes").agg(F.max("best").alias("inner"))
+            level = mine.join(inner, "classes")
+        level = stored(level.withColumn("best", F.greatest("inner", "confidence")), "rule-level")
+        best, rules = level, level.where((F.col("confidence") >= min_confidence) & (F.col("inner") < F.col("confidence")))
+        kept = rules if kept is None else kept.unionByName(rules)
+    if kept is None:
+        return spark.createDataFrame([], "classes array<string>, confidence double, support double, key string")
+    single = frequent.where(F.size("items") == 1).select(F.element_at("items", 1).alias("class"), "freq")
+    each = kept.select("classes", "confidence", "support", F.explode("classes").alias("class")).join(single, "class")
+    return each.groupBy("classes", "confidence", "support").agg(F.min_by("class", F.struct("freq", "class")).alias("key"))
+
+
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(tokens, confidence, support): the mined rules written out in tokens, one for each choice of a token from each class.
+
+    For display; `judge_urls` matches classes.  Support is MIN_PAGES labelled pages at least.
+    """
+    known = stored(_labelled(pages, labels), "labelled-pages")
+    classes = stored(token_classes(known), "token-classes")
+    rules = mine_classes(known, classes, min_support, min_confidence)
+    members = classes.groupBy("class").agg(F.collect_list("token").alias("members"))
+    each = rules.select("classes", "confidence", "support", F.explode("classes").alias("class")).join(members, "class").groupBy("classes", "confidence", "support").agg(F.collect_list("members").alias("choices"))
+    grown = F.aggregate("choices", F.array(F.array().cast("array<string>")), lambda done, choice: F.flatten(F.transform(done, lambda d: F.transform(choice, lambda t: F.concat(d, F.array(t))))))
+    return each.select(F.explode(grown).alias("tokens"), "confidence", "support").select(F.array_sort("tokens").alias("tokens"), "confidence", "support")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=HOST_RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, mined, confidence) of every row of `pages`.
 
     The longest explicit rule decides; without one, a page is blocked if a mined rule
-    holds for its url, else allowed.  `mined` is the most confident mined rule, null
-    if none holds.  Null urls and urls without :// have empty host and path and no
-    tokens, and are allowed.  Repeated rows are judged alike, null page ids pass; other
-    columns of the tables are ignored; without labelled pages nothing is mined.
+    holds for its url, that is, if the url has a token of each of the rule's classes;
+    else it is allowed.  `mined` is the most confident mined rule, null if none holds.
+    Null urls and urls without :// have empty host and path and no tokens, and are
+    allowed.  Repeated rows are judged alike, null page ids pass and have no label;
+    labels that are null don't make a page bad; other columns of the tables are
+    ignored; without labelled pages nothing is mined; an empty table gives no rows.
     """
     url = F.col("url")
-    host, path = host_of(url), path_of(url)
     rule, verdict = host_rule(F.col("host"), F.col("path"), rules)
-    own = pages.select("page_id", "url", host.alias("host"), path.alias("path"), url_tokens(url).alias("tokens")).withColumns({"rule": rule, "given": verdict})
-    mined = mine_rules(pages, labels, min_support, min_confidence).select(F.col("tokens").alias("needs"), "confidence", "key")
-    open_urls = own.where("given is null").select("tokens").distinct()
+    own = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("tokens")).withColumns({"rule": rule, "given": verdict})
+    known = stored(_labelled(pages, labels), "labelled-pages")
+    classes = stored(token_classes(known), "token-classes")
+    mined = stored(mine_classes(known, classes, min_support, min_confidence), "rules")
+    used = classes.join(mined.select(F.explode("classes").alias("class")).distinct(), "class", "left_semi")
+    held = (
+        own.where(F.col("given").isNull() & (F.size("tokens") > 0))
+        .select(F.explode("tokens").alias("token"), "tokens")
+        .distinct()
+        .join(used, "token")
+        .groupBy("tokens")
+        .agg(F.collect_set("class").alias("has"))
+    )
     met = (
-        open_urls.withColumn("key", F.explode("tokens"))
+        held.withColumn("key", F.explode("has"))
         .join(mined, "key")
-        .where(F.size(F.array_except("needs", "tokens")) == 0)
+        .where(F.size(F.array_except("classes", "has")) == 0)
         .groupBy("tokens")
-        .agg(F.max(F.struct("confidence", F.array_join("needs", " ").alias("mined"))).alias("best"))
+        .agg(F.max(F.struct("confidence", F.array_join("classes", " ").alias("mined"))).alias("best"))
     )
     out = own.join(met, "tokens", "left")
     blocked = F.when(F.col("given").isNull() & F.col("best").isNotNull(), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("given", blocked).alias("verdict"), F.col("best.mined").alias("mined"), F.col("best.confidence").alias("confidence"))
+    shown = lambda c: F.when(F.col("given").isNull(), F.col(f"best.{c}"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("given", blocked).alias("verdict"), shown("mined").alias("mined"), shown("confidence").alias("confidence"))
