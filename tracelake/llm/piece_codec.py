@@ -3,15 +3,19 @@
 No piece of the vocabulary has the space sign after another character, so merges
 never leave a word (a run of space signs and what follows it).  A batch's distinct
 words are laid end to end in one flat array of symbols.  Each round takes the
-smallest pair rank of every word at once, merges the leftmost pair of that rank,
-or all its places from left to right where no piece that outranks the merged one
-can grow from it, and compacts the array.  Words without a pair leave it.
+smallest pair rank of every word at once, merges the places of that rank from left
+to right, up to the first whose new piece makes a pair of a better rank with a
+neighbour, and compacts the array.  Words without a pair leave it.
+
+A long word is first cut between characters that stand side by side in no piece: no
+merge goes over such a place, so its parts merge apart, as words do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 CACHE_WORDS = 250_000
+LONG_WORD = 48
 _NONE = np.iinfo(np.int64).max
 
 
@@ -48,19 +53,17 @@ class PieceTable:
         if any(SPACE in p.lstrip(SPACE) for p in ids):
             raise ValueError("a piece of this vocabulary goes over the start of a word")
         self.char_id = {p: i for p, i in ids.items() if len(p) == 1}
+        self.touching = np.unique(np.array([ord(a) << 32 | ord(b) for p in ids for a, b in pairwise(p)], np.int64))
         _, rank = np.unique(-score, return_inverse=True)
         pairs, made = [], []
-        alone = np.zeros(n, bool)
         for p, i in ids.items():
             for k in range(1, len(p)):
                 a, b = ids.get(p[:k]), ids.get(p[k:])
                 if a is not None and b is not None:
                     pairs.append(a * n + b)
                     made.append(i)
-                    for part in (a, b):
-                        alone[part] |= rank[i] <= rank[part]
         order = np.argsort(np.array(pairs, np.int64))
-        self.n, self.rank, self.alone = n, rank.astype(np.int64), alone
+        self.n, self.rank = n, rank.astype(np.int64)
         self.pair, self.made = np.array(pairs, np.int64)[order], np.array(made, np.int64)[order]
         text = [self._bytes(model, i) for i in range(n)]
         self.piece_len = np.array([len(t) for t in text])
@@ -108,14 +111,12 @@ class PieceTable:
                     break
                 of = np.repeat(np.arange(len(word)), lengths)
             at = np.flatnonzero(rank == least[of])
-            first = np.ones(len(at), bool)
-            first[1:] = of[at][1:] != of[at][:-1]
-            # a run of touching pairs merges at its first, third, ... place; pairs of other kinds may share a rank only where `alone` holds
+            # a run of touching pairs merges at its first, third, ... place
             run = np.ones(len(at), bool)
             run[1:] = at[1:] != at[:-1] + 1
             head = np.flatnonzero(run)
-            odd = (np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 1
-            at = at[first | ~(odd | self.alone[made[at]])]
+            at = at[(np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0]
+            at = at[self._in_turn(symbols, made, at, of)]
             symbols[at] = made[at]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
@@ -123,6 +124,26 @@ class PieceTable:
             symbols = symbols[keep]
         return done
 
+    def _in_turn(self, symbols: np.ndarray, made: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Which of the places can merge before any other pair of their word: those up to the first that makes a pair of its rank or a better one."""
+        new, own = made[at], of[at]
+        left, right = np.full(len(at), -1), np.full(len(at), -1)
+        has = np.flatnonzero((at > 0) & (of[at - 1] == own))
+        left[has] = symbols[at[has] - 1]
+        after = np.flatnonzero((at[1:] == at[:-1] + 2) & (own[1:] == own[:-1])) + 1  # the place before has merged by then
+        left[after] = new[after - 1]
+        has = np.flatnonzero(at + 2 < len(symbols))
+        has = has[of[at[has] + 2] == own[has]]
+        right[has] = symbols[at[has] + 2]
+        grown = [self._merged(left, new), self._merged(new, right)]
+        better = np.zeros(len(at), bool)
+        for piece in grown:
+            better |= (piece >= 0) & (self.rank[piece] <= self.rank[new])
+        before = np.cumsum(better) - better
+        first = np.ones(len(at), bool)
+        first[1:] = own[1:] != own[:-1]
+        return before == np.repeat(before[first], np.diff(np.append(np.flatnonzero(first), len(at))))
+
     def learn(self, words: list[str]) -> None:
         """Put the ids of words (without their leading space sign) into the cache."""
         char_id = self.char_id
@@ -132,16 +153,32 @@ class PieceTable:
         symbols = np.array([char_id.get(chr(c), -1 - int(c)) for c in kinds], np.int64)[back]
         lengths = np.array([len(w) + 1 for w in words])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        for done, ids, n in self.merge_rounds(symbols, starts):
+        parts = self._parts(codes, starts, lengths)
+        packed = [b""] * len(parts)
+        for done, ids, n in self.merge_rounds(symbols, parts):
             if (ids < 0).any():
                 own = np.repeat(np.arange(len(done)), n)
                 raw = [self.byte_id[list(chr(-1 - i).encode())] if i < 0 else np.array([i]) for i in ids.tolist()]
                 n = np.bincount(own, weights=[len(r) for r in raw], minlength=len(done)).astype(np.int64)
                 ids = np.concatenate(raw)
-            packed = ids.astype("<i4").tobytes()
+            flat_ids = ids.astype("<i4").tobytes()
             ends = np.cumsum(n) * 4
-            for w, a, b in zip(done.tolist(), (ends - n * 4).tolist(), ends.tolist(), strict=True):
-                self.cache[words[w]] = packed[a:b]
+            for part, a, b in zip(done.tolist(), (ends - n * 4).tolist(), ends.tolist(), strict=True):
+                packed[part] = flat_ids[a:b]
+        if len(parts) == len(words):
+            self.cache.update(zip(words, packed, strict=True))
+        else:
+            first = [*np.searchsorted(parts, starts).tolist(), len(parts)]
+            self.cache.update((w, b"".join(packed[a:b])) for w, (a, b) in zip(words, pairwise(first), strict=True))
+
+    def _parts(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Starts of the words, and of what follows each place in a long word that no piece goes over."""
+        if lengths.max() <= LONG_WORD:
+            return starts
+        inside = np.flatnonzero(np.repeat(lengths > LONG_WORD, lengths)[:-1])
+        pair = (codes[inside] << 32) | codes[inside + 1]
+        at = np.minimum(np.searchsorted(self.touching, pair), len(self.touching) - 1)
+        return np.union1d(starts, inside[self.touching[at] != pair] + 1)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and their offsets."""
