@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.kernels import _LOWER, blocks, mix, utf8, word_hashes, word_spans
-from tracelake.llm.shared import stored
+from tracelake.llm.shared import drop_stored, stored
 
 FOLDS, HELD_OUT = 7, 2
 SPACE = "▁"
 ROUNDS = 2
 PRIOR_TOKENS = 1000.0
 BLOCK_BYTES = 3 << 19
-MOST_HOT = 100_000
+MOST_HOT = 400_000
 _NO_ID = -(1 << 62)
 _U = np.uint64
 
@@ -173,15 +173,33 @@ def expected_counts(words: list[str], counts: np.ndarray, table: Pieces, scores:
     return out
 
 
-_BLOCK = "block long, ids binary, sizes binary, train binary, places binary, hashes binary, counts binary, word_sizes binary, words binary"
+_BLOCK = "block long, ids binary, sizes binary, train binary, places binary, counts binary, word_sizes binary, words binary"
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers byte by byte of their places, lowest first, compressed."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+
+
+def _unpack(cell: pa.Scalar, kind: str) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(cell.as_buffer()), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _place_kind(kinds: int) -> str:
+    return "<u2" if kinds <= 1 << 16 else "<u4"
 
 
 def block_rows(docs: DataFrame) -> DataFrame:
-    """Blocks of about BLOCK_BYTES of text, one row each.
+    """Blocks of about BLOCK_BYTES of text, one row each, in packed columns.
 
     A block has its documents' ids, numbers of tokens and folds, each token's place in
-    the list of the block's kinds of words, and that list: hash, count in training
-    documents, length and text.
+    the list of the block's kinds of words, and that list, common words first: count in
+    training documents, length and text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,21 +212,25 @@ def block_rows(docs: DataFrame) -> DataFrame:
             for a, b in blocks(offsets, BLOCK_BYTES):
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, rows = word_spans(part, own)
-                h, first, place = np.unique(word_hashes(part, starts, ends), return_index=True, return_inverse=True)
-                sizes = np.diff(rows)
-                counts = np.bincount(place[np.repeat(train[a:b] == 1, sizes)], minlength=len(h))
+                _, first, place, total = np.unique(word_hashes(part, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+                order = np.argsort(-total, kind="stable")
+                turn = np.empty(len(order), np.int64)
+                turn[order] = np.arange(len(order))
+                first, place, sizes = first[order], turn[place], np.diff(rows)
+                counts = np.bincount(place[np.repeat(train[a:b] == 1, sizes)], minlength=len(order))
                 length = (ends - starts)[first]
                 at = np.arange(int(length.sum())) + np.repeat(starts[first] - np.cumsum(length) + length, length)
-                place = place.astype("<u2" if len(h) <= 1 << 16 else "<u4")
-                columns = [row[a:b].astype("<i8"), sizes.astype("<i4"), train[a:b], place, h, counts.astype("<i4"), length.astype("<i4"), _LOWER[part[at]]]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], [c.split()[0] for c in _BLOCK.split(", ")])
+                columns = [row[a:b].astype("<i8"), sizes.astype("<i4"), train[a:b], place.astype(_place_kind(len(order))), counts.astype("<i4"), length.astype("<i4"), _LOWER[part[at]]]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([_pack(c)], pa.binary()) for c in columns)], [c.split()[0] for c in _BLOCK.split(", ")])
                 number += 1
 
     return docs.select("row", "train", "text").mapInArrow(run, _BLOCK)
 
 
-def _numbers(cell: pa.Scalar, kind: str) -> np.ndarray:
-    return np.frombuffer(cell.as_buffer(), kind)
+def _block_words(word_sizes: pa.Scalar, words: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, offsets and hashes of a block's kinds of words."""
+    ends, text = np.concatenate([[0], np.cumsum(_unpack(word_sizes, "<i4"))]), _unpack(words, "u1")
+    return text, ends, word_hashes(text, ends[:-1], ends[1:]).view(np.int64)
 
 
 def block_words(all_blocks: DataFrame) -> DataFrame:
@@ -216,14 +238,13 @@ def block_words(all_blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for h, c, size, words in zip(*batch.columns, strict=True):
-                size = _numbers(size, "<i4")
-                if len(size):
-                    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                    text = pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), words.as_buffer())
-                    yield pa.RecordBatch.from_arrays([pa.array(_numbers(h, "<i8")), pa.array(_numbers(c, "<i4").astype(np.int64)), text], ["hash", "c", "word"])
+            for c, size, words in zip(*batch.columns, strict=True):
+                text, ends, h = _block_words(size, words)
+                if len(h):
+                    column = pa.StringArray.from_buffers(len(h), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(text))
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(_unpack(c, "<i4").astype(np.int64)), column], ["hash", "c", "word"])
 
-    return all_blocks.select("hashes", "counts", "word_sizes", "words").mapInArrow(run, "hash long, c long, word string")
+    return all_blocks.select("counts", "word_sizes", "words").mapInArrow(run, "hash long, c long, word string")
 
 
 def _found(h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,12 +258,12 @@ def cold_words(all_blocks: DataFrame, hot) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block, h in zip(*batch.columns, strict=True):
-                h = _numbers(h, "<i8")
+            for block, size, words in zip(*batch.columns, strict=True):
+                h = _block_words(size, words)[2]
                 place = np.flatnonzero(~_found(h, hot.value[0])[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block.as_py())), pa.array(place.astype(np.int32)), pa.array(h[place])], ["block", "place", "hash"])
 
-    return all_blocks.select("block", "hashes").mapInArrow(run, "block long, place int, hash long")
+    return all_blocks.select("block", "word_sizes", "words").mapInArrow(run, "block long, place int, hash long")
 
 
 def block_tokens(all_blocks: DataFrame, hot) -> DataFrame:
@@ -250,12 +271,12 @@ def block_tokens(all_blocks: DataFrame, hot) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            parts = [_found(_numbers(h, "<i8"), hot.value[0]) for h in batch.column("hashes")]
-            hot_places = pa.array([np.flatnonzero(is_hot).astype("<i4").tobytes() for is_hot, _ in parts], pa.binary())
-            hot_at = pa.array([at[is_hot].astype("<i4").tobytes() for is_hot, at in parts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], hot_places, hot_at], [*batch.schema.names[:-1], "hot_places", "hot_at"])
+            parts = [_found(_block_words(size, words)[2], hot.value[0]) for size, words in zip(batch.column("word_sizes"), batch.column("words"), strict=True)]
+            hot_places = pa.array([_pack(np.flatnonzero(is_hot).astype("<i4")) for is_hot, _ in parts], pa.binary())
+            hot_at = pa.array([_pack(at[is_hot].astype("<i4")) for is_hot, at in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], hot_places, hot_at], [*batch.schema.names[:-2], "hot_places", "hot_at"])
 
-    return all_blocks.select("block", "ids", "sizes", "train", "places", "hashes").mapInArrow(run, "block long, ids binary, sizes binary, train binary, places binary, hot_places binary, hot_at binary")
+    return all_blocks.select("block", "ids", "sizes", "train", "places", "word_sizes", "words").mapInArrow(run, "block long, ids binary, sizes binary, train binary, places binary, hot_places binary, hot_at binary")
 
 
 def fit_pieces(words: DataFrame, ends: int, model_file: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -319,6 +340,7 @@ def score_documents(docs: DataFrame, model_file: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.select(["hash", "c", "blocks"]).columns, pa.array(log_p)], ["hash", "c", "blocks", "log_p"])
 
     scored = stored(words.mapInArrow(marginal, "hash long, c long, blocks long, log_p double"), "scored-words")
+    drop_stored(words)
     entries = scored.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("n")).first()["n"]
     common = scored.where(F.col("blocks") > entries // MOST_HOT).select("hash", "c", "log_p").toArrow().sort_by("hash")  # MOST_HOT rows at most
     hot = docs.sparkSession.sparkContext.broadcast(tuple(np.asarray(common.column(n)) for n in ("hash", "c", "log_p")))
@@ -330,19 +352,19 @@ def score_documents(docs: DataFrame, model_file: str) -> DataFrame:
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
         block = {n: left.column(n)[0] for n in left.column_names}  # a group is one block
-        at, hot_at, hot_places = np.asarray(right.column("place")), _numbers(block["hot_at"], "<i4"), _numbers(block["hot_places"], "<i4")
+        at, hot_at, hot_places = np.asarray(right.column("place")), _unpack(block["hot_at"], "<i4"), _unpack(block["hot_places"], "<i4")
         c, p = np.zeros(len(at) + len(hot_at)), np.zeros(len(at) + len(hot_at))
         c[at], p[at] = np.asarray(right.column("c")), np.asarray(right.column("log_p"))
         c[hot_places], p[hot_places] = hot.value[1][hot_at], hot.value[2][hot_at]
         kinds_p = with_word_arc(p, c, total, kinds)
         base = np.log10((c + 1) / (total + kinds + 1))
-        ids, sizes, place = _numbers(block["ids"], "<i8"), _numbers(block["sizes"], "<i4"), _numbers(block["places"], "<u2" if len(c) <= 1 << 16 else "<u4")
+        ids, sizes, place = _unpack(block["ids"], "<i8"), _unpack(block["sizes"], "<i4"), _unpack(block["places"], _place_kind(len(c)))
         doc = np.repeat(np.arange(len(sizes)), sizes)
         add = lambda v: np.bincount(doc, weights=v[place], minlength=len(sizes))
         return pa.table(
             {
                 "row": ids,
-                "held_out": _numbers(block["train"], "u1") == 0,
+                "held_out": _unpack(block["train"], "u1") == 0,
                 "n_tokens": sizes.astype(np.int64) + 1,
                 "n_known": add(c > 0).astype(np.int64) + (ends > 0),
                 "base_score": add(base) + np.log10((ends + 1) / (total + kinds + 1)),

@@ -78,5 +78,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         drop_stored(labels)
         labels = new.select("v", "component")
         if not changed:
+            drop_stored(both)
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
