@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.classify import high_signal
 from tracelake.operators import index as ix
 from tracelake.operators import sessions as se
+from tracelake.sources import logs as lo
 from tracelake.streaming import streams as st
 
 FIELDS = "event_id string, ts timestamp, session_id string, type string, text string, doc_id long"
@@ -68,3 +69,37 @@ def test_serving_ongoing_novelty(spark, tmp_path):
     for i, x in enumerate(([1, 0], [1, 0.01], [0, 1])):
         sink(v(i, np.array(x)), i)
     assert sorted(r["vec_id"] for r in spark.read.parquet(str(tmp_path / "vec")).select(F.col("vec_id")).collect()) == [0, 2]
+
+
+def test_novelty_within_a_batch(spark, tmp_path):
+    """Equal vectors in one batch, also in the first: the one of smallest id stays."""
+    sink = st.novelty_sink(str(tmp_path / "vec"))
+    frame = lambda rows: spark.createDataFrame([(i, [float(y) for y in x]) for i, x in rows], "vec_id long, embedding array<double>")
+    sink(frame([(1, (1, 0)), (2, (1, 0))]), 0)
+    sink(frame([(3, (0, 1)), (4, (0, 1)), (5, (1, 0.001)), (3, (0, 1))][:3]), 1)
+    assert sorted(r["vec_id"] for r in spark.read.parquet(str(tmp_path / "vec")).collect()) == [1, 3]
+
+
+def test_dedupe_remembers_old_ids(spark, tmp_path):
+    day = [{"event_id": "a", "ts": "2024-01-01T00:00:00", "type": "x"}, {"event_id": "b", "ts": "2024-01-01T00:00:01", "type": "x"}]
+    path = folder(tmp_path, [day, [{"event_id": "c", "ts": "2024-03-01T00:00:00", "type": "x"}], [{"event_id": "a", "ts": "2024-03-02T00:00:00", "type": "x"}]])
+    stream = st.stream_logs(spark, path, "event_id string, ts timestamp, type string", 1)
+    assert sorted(r["event_id"] for r in finish(spark, tmp_path, st.stream_dedupe(stream), "once").collect()) == ["a", "b", "c"]
+
+
+def test_tailing_a_growing_log(spark, tmp_path):
+    log = tmp_path / "logs"
+    log.mkdir()
+    line = lambda i: json.dumps({"event_id": f"é{i}"}) + "\n"
+    (log / "a.jsonl").write_text(line(1) + line(2) + '{"event_id": "half')
+    (log / "b.jsonl").write_text(line(3) + "{broken}\n\n")
+    rows, at = lo.tail_logs(spark, str(log), None, "event_id string")
+    assert sorted(r["event_id"] for r in rows.collect()) == ["é1", "é2", "é3"]
+    with (log / "a.jsonl").open("a") as f:
+        f.write('"}\n' + line(4))
+    rows, at = lo.tail_logs(spark, str(log), at, "event_id string")
+    assert sorted(r["event_id"] for r in rows.collect()) == ["half", "é4"]
+    (log / "b.jsonl").write_text(line(5))
+    rows, at = lo.tail_logs(spark, str(log), at, "event_id string")
+    assert [r["event_id"] for r in rows.collect()] == ["é5"]
+    assert lo.tail_logs(spark, str(log), at, "event_id string")[0].count() == 0

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tracelake.functions.text import present
 from tracelake.functions.times import normalize_ts
+from tracelake.sources.tables import exists, stored
 
 SOURCE_ORDER = ("changelog", "research", "milestones", "tool-use", "history")
 DIFF_SHAPE = "struct<files_new:int,files_modified:int,files_deleted:int,lines_added:int,lines_removed:int,quadrant:string,commit_type:string>"
@@ -32,6 +33,26 @@ def read_log(spark: SparkSession, path: str, fields: str = EVENT_FIELDS) -> Data
     return spark.read.schema(fields).option("mode", "DROPMALFORMED").json(path)
 
 
+def tail_logs(spark: SparkSession, folder: str, offsets: DataFrame | None = None, fields: str = EVENT_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """Rows of the lines added to the logs (*.jsonl) under a folder since `offsets`, and the new offsets (path, read).
+
+    Only files that grew or shrank are read; one that shrank starts anew.  A last line
+    without its line end waits for the next call.  A file's new part is read by one task.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(folder)
+    before = offsets if offsets is not None else spark.createDataFrame([], "path string, read long")
+    state = files.select("path", "length").join(before.select("path", "read"), "path", "left").withColumn("read", F.when(F.col("read") <= F.col("length"), F.col("read")).otherwise(0))
+    changed = stored(state.where("read < length").select("path", "read"), "changed-logs")
+    new = files.select("path", "content").join(changed, "path").select("path", "read", F.substring("content", F.col("read").cast("int") + 1, F.octet_length("content")).alias("part"))
+    whole = F.octet_length("part") - F.locate("\n", F.reverse(F.decode("part", "ISO-8859-1"))) + 1
+    cut = stored(new.where(F.locate("\n", F.decode("part", "ISO-8859-1")) > 0).select("path", (F.col("read") + whole).alias("read"), F.decode(F.substring("part", F.lit(1), whole), "UTF-8").alias("text")), "tailed-logs")
+    lines = cut.select(F.explode(F.split("text", "\n")).alias("value"))
+    parsed = F.from_json("value", fields + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.where("trim(value) <> ''").withColumn("p", parsed).where("p._corrupt_record is null").select("p.*").drop("_corrupt_record")
+    done = cut.select("path", F.col("read").alias("now"))
+    return rows, stored(state.join(done, "path", "left").select("path", F.coalesce("now", "read").alias("read")), "log-offsets")
+
+
 def corrupt_lines(spark: SparkSession, path: str, fields: str = EVENT_FIELDS) -> DataFrame:
     """The lines that `read_log` skips, for an audit."""
     rows = spark.read.text(path).where("trim(value) <> ''")
@@ -102,6 +123,11 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """Typed transcript entries with session_id, project and their line order within the file."""
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path).select("value", F.col("_metadata.file_path").alias("transcript_path"), place.alias("place"))
+    return entry_rows(lines)
+
+
+def entry_rows(lines: DataFrame) -> DataFrame:
+    """Entries of transcript lines (value, transcript_path, place), place being the lines' order in their file."""
     parsed = lines.withColumn("session_id", F.regexp_extract("transcript_path", r"([^/]+)\.jsonl$", 1)).where(~F.col("session_id").startswith("agent-"))
     order = Window.partitionBy("transcript_path").orderBy("place")
     numbered = parsed.withColumn("ordinal", F.row_number().over(order).cast("long"))
@@ -185,9 +211,7 @@ def dual_sink(events: DataFrame, domain_path: str, unified_path: str) -> None:
     """Append new rows to a domain table and to the unified table; a repeated batch adds nothing."""
     spark = events.sparkSession
     for frame, path in ((events, domain_path), (envelope(events), unified_path)):
-        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-        (new_only(frame, spark.read.parquet(path)) if there else frame).write.mode("append").parquet(path)
+        (new_only(frame, spark.read.parquet(path)) if exists(spark, path) else frame).write.mode("append").parquet(path)
 
 
 def write_enriched(events: DataFrame, path: str, version: str) -> str:

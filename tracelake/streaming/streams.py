@@ -13,6 +13,7 @@ from tracelake.functions.classify import high_signal
 from tracelake.operators.index import Index, postings
 from tracelake.operators.vectors import novelty_gate
 from tracelake.sources.logs import EVENT_FIELDS, new_only
+from tracelake.sources.tables import exists
 
 WATERMARK = "10 minutes"
 
@@ -28,16 +29,11 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def appender(path: str, key: str | None = None) -> Callable[[DataFrame, int], None]:
     """A sink that appends to a table; with a key, rows that it has already are left out, so a repeated batch adds nothing."""
 
     def sink(batch: DataFrame, _: int) -> None:
-        rows = new_only(batch, batch.sparkSession.read.parquet(path), key) if key and _exists(batch.sparkSession, path) else batch
+        rows = new_only(batch, batch.sparkSession.read.parquet(path), key) if key and exists(batch.sparkSession, path) else batch
         rows.write.mode("append").parquet(path)
 
     return sink
@@ -48,8 +44,10 @@ def live_feed(stream: DataFrame) -> DataFrame:
     return high_signal(stream)
 
 
-def stream_dedupe(stream: DataFrame, key: str = "event_id", ts: str = "ts", within: str = WATERMARK) -> DataFrame:
-    """Events whose id came before within the watermark are dropped."""
+def stream_dedupe(stream: DataFrame, key: str = "event_id", ts: str = "ts", within: str | None = None) -> DataFrame:
+    """Events whose id came before are dropped, however long ago; with `within`, ids are forgotten once the watermark is that far past them."""
+    if within is None:
+        return stream.dropDuplicates([key])
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
@@ -59,7 +57,7 @@ def index_sink(path: str, text: str = "text") -> Callable[[DataFrame, int], None
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         docs = batch.dropDuplicates(["doc_id"])
-        if _exists(spark, path):
+        if exists(spark, path):
             docs = new_only(docs, spark.read.parquet(path).select("doc_id").distinct(), "doc_id")
         postings(docs, text).write.mode("append").parquet(path)
 
@@ -71,16 +69,14 @@ def read_index(spark: SparkSession, path: str) -> Index:
 
 
 def novelty_sink(path: str, reject: float = 0.85, refine: float = 0.70) -> Callable[[DataFrame, int], None]:
-    """A sink that stores vectors (vec_id, embedding) that no stored vector repeats."""
+    """A sink that stores vectors (vec_id, embedding) that no vector stored before repeats, nor one of smaller id taken from the same batch."""
 
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        if not _exists(spark, path):
-            batch.write.parquet(path)
-            return
-        stored = spark.read.parquet(path)
-        fresh = new_only(batch, stored, "vec_id")
-        verdict = novelty_gate(fresh, stored, reject, refine)
+        known = exists(spark, path)
+        old = spark.read.parquet(path) if known else batch.limit(0)
+        fresh = new_only(batch, old, "vec_id") if known else batch
+        verdict = novelty_gate(fresh, old, reject, refine, "greedy")
         fresh.join(verdict.where("verdict <> 'duplicate'").select("vec_id"), "vec_id", "left_semi").write.mode("append").parquet(path)
 
     return sink
