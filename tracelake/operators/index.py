@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import tokenize
+from tracelake.sources.tables import stored
 
 # Words never offered as co-terms.
-STOP_WORDS = "the and for this that with from was are not but has had have will been can its all also into our your com www http https".split()
+STOP_WORDS = (
+    "the", "and", "for", "this", "that", "with", "from", "was", "are", "not", "but", "has", "had", "have", "will",
+    "been", "can", "its", "all", "also", "into", "our", "your", "com", "www", "http", "https",
+)
 
 
 @dataclass
@@ -36,18 +40,21 @@ def postings(docs: DataFrame, text: Column | str = "text", **how) -> DataFrame:
 
 
 def build_index(docs: DataFrame, text: str = "text", distinct: bool = True, **how) -> Index:
-    """Index of (doc_id, text).  Where ids repeat and an `ord` column says which came first, that one counts."""
+    """Index of (doc_id, text), its postings stored once, from which the rest is counted.
+
+    Where ids repeat and an `ord` column says which came first, that one counts.
+    """
     if "ord" in docs.columns:
         docs = docs.groupBy("doc_id").agg(F.min_by(text, "ord").alias(text))
     elif not distinct:
         docs = docs.dropDuplicates(["doc_id"])
-    return Index.of(postings(docs, text, **how))
+    return Index.of(stored(postings(docs, text, **how), "postings"))
 
 
 def update_index(index: Index, new_docs: DataFrame, text: str = "text", **how) -> Index:
     """Index with documents added; ids it has already stay as they are."""
     fresh = new_docs.join(index.docs.select("doc_id"), "doc_id", "left_anti")
-    return Index.of(index.postings.unionByName(postings(fresh, text, **how)))
+    return Index.of(index.postings.unionByName(stored(postings(fresh, text, **how), "postings")))
 
 
 def query_terms(queries: DataFrame, text: str = "query", **how) -> DataFrame:
@@ -115,10 +122,11 @@ def coterms(index: Index, keywords: DataFrame, n: int = 6, share: float = 0.05)
     Terms of under three letters, stop words, and those of one document or of `share` of
     all documents leave before the join.
     """
-    allowed = index.terms.crossJoin(F.broadcast(index.corpus)).where((F.length("term") > 2) & ~F.col("term").isin(STOP_WORDS) & (F.col("df") > 1) & (F.col("df") < F.col("n") * share)).select("term", "df")
+    allowed = index.terms.crossJoin(F.broadcast(index.corpus)).where((F.length("term") > 2) & ~F.col("term").isin(*STOP_WORDS) & (F.col("df") > 1) & (F.col("df") < F.col("n") * share)).select("term", "df")
     clean = keywords.select(F.regexp_replace(F.lower("keyword"), "[^a-z0-9]", "").alias("keyword")).where("keyword <> ''").distinct()
     inside = clean.join(index.postings.select(F.col("term").alias("keyword"), "doc_id"), "keyword")
-    together = inside.join(index.postings.join(allowed, "term"), "doc_id").where("term <> keyword").groupBy("keyword", "term").agg(F.sum("tf").alias("co"), F.max("df").alias("df"))
+    theirs = index.postings.join(inside.select("doc_id").distinct(), "doc_id", "left_semi")
+    together = inside.join(theirs.join(allowed, "term"), "doc_id").where("term <> keyword").groupBy("keyword", "term").agg(F.sum("tf").alias("co"), F.max("df").alias("df"))
     scored = together.withColumn("score", F.round(F.col("co") / F.log2(F.col("df") + 1), 5))
     rank = F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("score"), "term"))
     return scored.select("keyword", "term", "co", "score", rank.alias("rank")).where(F.col("rank") <= min(n, 20))
@@ -142,11 +150,20 @@ def substring_scan(docs: DataFrame, queries: DataFrame, per_source: int = 20, ex
     return out.select(F.col("q.query_id").alias("query_id"), "source", "doc_id", F.substring("text", 1, excerpt).alias("excerpt"), rank.alias("rank")).where(F.col("rank") <= per_source)
 
 
-def find_in_messages(messages: DataFrame, terms: str) -> DataFrame:
-    """(session_id, n_matches): messages that hold any of the words of three letters or more."""
-    words = [w.lower() for w in terms.split() if len(w) >= 3]
-    low = F.lower("text")
+def find_in_messages(messages: DataFrame, terms: str, by_message: bool = False) -> DataFrame:
+    """(session_id, n_matches): messages that hold any of the words of three letters or more.
+
+    `by_message` gives (session_id, ordinal, matches, spans) of every message instead:
+    whether it holds one, and each whole word's (word, start from 1) in order, for marking.
+    """
+    words = list(dict.fromkeys(w.lower() for w in terms.split() if len(w) >= 3))
+    low = F.lower(F.coalesce("text", F.lit("")))
     hit = F.lit(False)
     for w in words:
-        hit = hit | low.contains(w)
-    return messages.where(hit).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_matches"))
+        hit = hit | F.contains(low, F.lit(w))
+    if not by_message:
+        return messages.where(hit).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_matches"))
+    found, gaps = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), F.split(low, "[a-z0-9]+")
+    # the place of each word: the words and gaps before it
+    place = F.transform(found, lambda w, i: F.struct(w.alias("word"), (F.aggregate(F.slice(found, F.lit(1), i), F.lit(1), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x))).alias("start")))
+    return messages.select("session_id", "ordinal", hit.alias("matches"), F.filter(place, lambda p: p["word"].isin(*words) if words else F.lit(False)).alias("spans"))

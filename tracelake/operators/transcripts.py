@@ -66,9 +66,13 @@ def is_hard_noise() -> Column:
 
 
 def harvest_text(raw: Column) -> Column:
-    """String values of HARVEST_KEYS anywhere in an entry's JSON, key by key, joined by spaces."""
+    """String values of HARVEST_KEYS anywhere in an entry's JSON, key by key, joined by spaces.
+
+    Escaped line ends and tabs become spaces, other escapes lose their backslash.
+    """
     parts = [F.regexp_extract_all(raw, F.lit(f'"{k}"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1)) for k in HARVEST_KEYS]
-    return F.replace(F.replace(F.array_join(F.concat(*parts), " "), F.lit("\\n"), F.lit(" ")), F.lit('\\"'), F.lit('"'))
+    joined = F.regexp_replace(F.array_join(F.concat(*parts), " "), r"\\\\", "\x00")  # a pair of backslashes is one, and escapes nothing after it
+    return F.translate(F.regexp_replace(F.regexp_replace(joined, r"\\[ntr]", " "), r"\\(.)", "$1"), "\x00", "\\")
 
 
 def turns(entries: DataFrame, body: Column, most: int = TURN_CHARS, least: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions.text import tokenize
+from tracelake.operators.index import Index, build_index
 from tracelake.operators.sessions import segment
 
 SESSION_GAP = 6 * 3600
@@ -22,10 +22,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("project"), F.col("lang").alias("type"))
 
 
-def queries(spark: SparkSession, sf_dir: str, words: int = 6) -> DataFrame:
-    """The first words of each benchmark item as a query."""
-    text = F.array_join(F.slice(tokenize(F.col("text")), 1, words), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item, whole, as a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """Index of the documents, built once for a session and folder and then read by all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(corpus(spark, sf_dir))
+    return _INDEXES[key]
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,10 +128,10 @@ def diff_quadrants(spark, sf_dir):
     return cl.diff_shape(changes, "l_orderkey")
 
 
-@query("""SELECT page_id, concat_ws(' ', substring(html, 1, 40), url) AS text, regexp_replace(concat_ws(' | ', substring(html, 1, 40), url, 'project: ' || (page_id % 3)), '\\s+', ' ', 'g') AS embed FROM pages""")
+@query("""SELECT page_id, concat_ws(' ', html, url) AS text, array_to_string((regexp_split_to_array(concat_ws(' | ', html, url, 'project: ' || (page_id % 3)), '\\s+'))[1:200], ' ') AS embed FROM pages""")
 def event_texts(spark, sf_dir):
-    """Searchable and embeddable text of pages as fetch events; the start of the html stands for the summary."""
-    p = ad.table(spark, sf_dir, "pages").select("page_id", "url", F.substring("html", 1, 40).alias("summary"), (F.col("page_id") % 3).cast("string").alias("project"))
+    """Searchable and embeddable text of pages as fetch events; the html stands for the summary."""
+    p = ad.table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("summary"), (F.col("page_id") % 3).cast("string").alias("project"))
     return p.select("page_id", search_text(p.columns).alias("text"), embedding_text(p.columns).alias("embed"))
 
 
@@ -154,11 +154,12 @@ def session_rollup(spark, sf_dir):
     return out.select("session_id", micros("start_ts"), micros("end_ts"), "n_events", "project")
 
 
-@query(f"WITH {EVENTS}, {ROLL} SELECT a.session_id AS a, b.session_id AS b, greatest(a.start_us, b.start_us) AS start_us, least(a.end_us, b.end_us) AS end_us FROM n a JOIN n b ON a.session_id < b.session_id AND a.start_us < b.end_us AND b.start_us < a.end_us WHERE a.project = b.project AND a.project IN ('p0', 'p1')")
+@query(f"WITH {EVENTS}, {ROLL} SELECT a.session_id AS a, b.session_id AS b, greatest(a.start_us, b.start_us) AS start_us, least(a.end_us, b.end_us) AS end_us FROM n a JOIN n b ON a.session_id < b.session_id AND a.start_us < b.end_us AND b.start_us < a.end_us WHERE a.project = b.project")
 def session_overlaps(spark, sf_dir):
-    """Overlapping sessions of a project, for two projects."""
-    s = se.session_rollup(ad.events(spark, sf_dir), most_events=0).where("project in ('p0', 'p1')")
-    pairs = se.session_overlaps(s.where("project = 'p0'")).union(se.session_overlaps(s.where("project = 'p1'")))
+    """Overlapping sessions of the same project."""
+    s = se.session_rollup(ad.events(spark, sf_dir), most_events=0)
+    project = lambda side: s.select(F.col("session_id").alias(side), F.col("project").alias(f"{side}_project"))
+    pairs = se.session_overlaps(s).join(project("a"), "a").join(project("b"), "b").where("a_project = b_project")
     return pairs.select("a", "b", F.unix_micros("overlap_start").alias("start_us"), F.unix_micros("overlap_end").alias("end_us"))
 
 
@@ -230,14 +231,14 @@ def parent_links_log_tail(spark, sf_dir):
     return se.link_parents(e, ad.PARENT_WINDOW, "log_tail", "user_id")
 
 
-@query(f"""WITH RECURSIVE {PARENTS}, st AS (SELECT event_id AS start_id FROM events WHERE event_id % 100 = 7),
+@query(f"""WITH RECURSIVE {PARENTS}, st AS (SELECT event_id AS start_id FROM events WHERE event_id % 20 = 0),
 up AS (SELECT start_id, start_id AS event_id FROM st UNION SELECT start_id, parent_event_id FROM up JOIN p USING (event_id)),
 down AS (SELECT start_id, start_id AS event_id FROM st UNION SELECT start_id, p.event_id FROM down JOIN p ON p.parent_event_id = down.event_id)
 SELECT start_id, event_id, CASE WHEN start_id = event_id THEN 'start' ELSE 'ancestor' END AS role FROM up UNION ALL SELECT start_id, event_id, 'descendant' FROM down WHERE start_id <> event_id""")
 def thread_arc(spark, sf_dir):
-    """Arcs of the query set: every event whose id leaves 7 modulo 100."""
+    """Arcs of the query set: every event whose id is divisible by 20."""
     e = ad.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return se.thread(se.link_parents(e, ad.PARENT_WINDOW, key="user_id"), e.where("event_id % 100 = 7"))
+    return se.thread(se.link_parents(e, ad.PARENT_WINDOW, key="user_id"), e.where("event_id % 20 = 0"))
 
 
 @query("WITH r AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS id FROM events) SELECT id, event_id FROM r WHERE id % 3 = 0")

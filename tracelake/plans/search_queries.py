@@ -20,7 +20,7 @@ p AS (SELECT term, doc_id, count(*) AS tf FROM d GROUP BY term, doc_id),
 dl AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id),
 t AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"""
-QTERMS = f"""q AS (SELECT item_id AS query_id, unnest(({DOCS})[1:6]) AS term FROM benchmark),
+QTERMS = f"""q AS (SELECT item_id AS query_id, unnest({DOCS}) AS term FROM benchmark),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY query_id, term)"""
 SCORES = """s AS (SELECT query_id, p.doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
 FROM qt JOIN t USING (term) CROSS JOIN c JOIN p USING (term) JOIN dl ON dl.doc_id = p.doc_id WHERE ln((n - df + 0.5) / (df + 0.5)) > 0 GROUP BY query_id, p.doc_id),
@@ -33,7 +33,7 @@ k AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id O
 
 
 def hits(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
-    return ix.rank_hits(ix.search(ad.corpus(spark, sf_dir), ad.queries(spark, sf_dir)), n)
+    return ix.rank_hits(ix.bm25(ad.index(spark, sf_dir), ix.query_terms(ad.queries(spark, sf_dir))), n)
 
 
 def near(spark: SparkSession, sf_dir: str, k: int = 50, floor: float = 0.2) -> DataFrame:
@@ -77,19 +77,19 @@ def bm25_filtered_idf(spark, sf_dir):
 qt AS (SELECT DISTINCT query_id, coalesce(term, prefix) AS term, 1 AS qtf FROM w LEFT JOIN t ON starts_with(term, prefix) WHERE length(prefix) >= 2), {SCORES}
 SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""")
 def bm25_wildcard(spark, sf_dir):
-    index = ix.build_index(ad.corpus(spark, sf_dir))
+    index = ad.index(spark, sf_dir)
     wild = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.substring(F.get(tokenize(F.col("text")), 0), 1, 3), F.lit("*")).alias("query"))
     return ix.rank_hits(ix.bm25(index, ix.expand_wildcards(wild, index.terms)), 10)
 
 
 @query(f"WITH {INDEX} SELECT term, df FROM t")
 def index_terms(spark, sf_dir):
-    return ix.build_index(ad.corpus(spark, sf_dir)).terms
+    return ad.index(spark, sf_dir).terms
 
 
 @query(f"WITH {INDEX} SELECT term, doc_id, tf FROM p")
 def index_postings(spark, sf_dir):
-    return ix.build_index(ad.corpus(spark, sf_dir)).postings
+    return ad.index(spark, sf_dir).postings
 
 
 @query(f"WITH {INDEX} SELECT term, df FROM t")
@@ -103,7 +103,7 @@ def index_incremental(spark, sf_dir):
 SELECT * FROM (SELECT prefix, term, df, row_number() OVER (PARTITION BY prefix ORDER BY df DESC, term) AS rank FROM w JOIN t ON starts_with(term, prefix) AND length(term) > length(prefix) WHERE length(prefix) >= 2) WHERE rank <= 8""")
 def autocomplete_prefix(spark, sf_dir):
     prefixes = ad.table(spark, sf_dir, "benchmark").select(F.substring(F.get(tokenize(F.col("text")), 0), 1, 2).alias("prefix"))
-    return ix.autocomplete(ix.build_index(ad.corpus(spark, sf_dir)).terms, prefixes)
+    return ix.autocomplete(ad.index(spark, sf_dir).terms, prefixes)
 
 
 @query(f"""WITH {INDEX}, w AS (SELECT DISTINCT ({DOCS})[3] AS keyword FROM benchmark),
@@ -112,7 +112,7 @@ co AS (SELECT keyword, p.term, sum(p.tf) AS co, max(df) AS df FROM w JOIN p k ON
 SELECT * FROM (SELECT keyword, term, co, round(co / log2(df + 1), 5) AS score, row_number() OVER (PARTITION BY keyword ORDER BY round(co / log2(df + 1), 5) DESC, term) AS rank FROM co) WHERE rank <= 6""")
 def coterms_topk(spark, sf_dir):
     keywords = ad.table(spark, sf_dir, "benchmark").select(F.get(tokenize(F.col("text")), 2).alias("keyword"))
-    return ix.coterms(ix.build_index(ad.corpus(spark, sf_dir)), keywords)
+    return ix.coterms(ad.index(spark, sf_dir), keywords)
 
 
 @query(f"""WITH v AS (SELECT a.vec_id AS query_id, b.vec_id, round({COSINE}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0)
@@ -214,9 +214,9 @@ def scrub_text(spark, sf_dir):
     return ad.table(spark, sf_dir, "documents").select("doc_id", scrub(F.col("text"), {"the": "yy", "tion": "xxx"}).alias("text"))
 
 
-@query(f"""WITH q AS (SELECT item_id AS query_id, lower(array_to_string(({DOCS})[1:2], ' ')) AS needle FROM benchmark),
+@query("""WITH q AS (SELECT item_id AS query_id, lower(text) AS needle FROM benchmark),
 h AS (SELECT query_id, source, doc_id, text, row_number() OVER (PARTITION BY query_id, source ORDER BY doc_id) AS rank FROM q JOIN documents ON contains(lower(text), needle) WHERE needle <> '')
 SELECT query_id, source, doc_id, text[1:150] AS excerpt, rank FROM h WHERE rank <= 20""")
 def substring_scan(spark, sf_dir):
     docs = ad.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return ix.substring_scan(docs, ad.queries(spark, sf_dir, 2))
+    return ix.substring_scan(docs, ad.queries(spark, sf_dir))
