@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tracelake.plans import evaluation_queries, event_queries, search_queries, transcript_queries  # noqa: F401
+    from tracelake.plans import evaluation_queries, event_queries, log_queries, search_queries, stream_queries, transcript_queries  # noqa: F401
 
     return dict(QUERIES)
 
