@@ -13,6 +13,7 @@ merge goes over such a place, so its parts merge apart, as words do.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -24,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.llm.kernels import _powers, mix
+
 SPACE = "▁"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 LONG_WORD = 48
 _NONE = np.iinfo(np.int64).max
 
@@ -71,7 +74,7 @@ class PieceTable:
         self.piece_bytes = np.frombuffer(b"".join(text), np.uint8)
         self.leading = np.array([p.startswith(SPACE) for p in self.pieces]) & self.normal
         self.control = np.array([model.is_control(i) for i in range(n)])
-        self.cache: dict[str, bytes] = {}
+        self.forget()
 
     def _bytes(self, model, i: int) -> bytes:
         if model.is_control(i):
@@ -144,32 +147,35 @@ class PieceTable:
         first[1:] = own[1:] != own[:-1]
         return before == np.repeat(before[first], np.diff(np.append(np.flatnonzero(first), len(at))))
 
-    def learn(self, words: list[str]) -> None:
-        """Put the ids of words (without their leading space sign) into the cache."""
-        char_id = self.char_id
-        flat = "".join([SPACE + w for w in words])
-        codes = np.frombuffer(flat.encode("utf-32-le"), np.uint32).astype(np.int64)
+    def learn(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that lie end to end as code points, each with its leading space signs, and how many each word has."""
         kinds, back = np.unique(codes, return_inverse=True)
-        symbols = np.array([char_id.get(chr(c), -1 - int(c)) for c in kinds], np.int64)[back]
-        lengths = np.array([len(w) + 1 for w in words])
+        symbols = np.array([self.char_id.get(chr(c), -1 - int(c)) for c in kinds], np.int64)[back]
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         parts = self._parts(codes, starts, lengths)
-        packed = [b""] * len(parts)
-        for done, ids, n in self.merge_rounds(symbols, parts):
-            if (ids < 0).any():
-                own = np.repeat(np.arange(len(done)), n)
-                raw = [self.byte_id[list(chr(-1 - i).encode())] if i < 0 else np.array([i]) for i in ids.tolist()]
-                n = np.bincount(own, weights=[len(r) for r in raw], minlength=len(done)).astype(np.int64)
-                ids = np.concatenate(raw)
-            flat_ids = ids.astype("<i4").tobytes()
-            ends = np.cumsum(n) * 4
-            for part, a, b in zip(done.tolist(), (ends - n * 4).tolist(), ends.tolist(), strict=True):
-                packed[part] = flat_ids[a:b]
-        if len(parts) == len(words):
-            self.cache.update(zip(words, packed, strict=True))
-        else:
-            first = [*np.searchsorted(parts, starts).tolist(), len(parts)]
-            self.cache.update((w, b"".join(packed[a:b])) for w, (a, b) in zip(words, pairwise(first), strict=True))
+        done = self.merge_rounds(symbols, parts)
+        part, n = np.concatenate([d[0] for d in done]), np.concatenate([d[2] for d in done])
+        ids = np.concatenate([d[1] for d in done])
+        order = np.argsort(part)
+        begin = (np.cumsum(n) - n)[order]
+        n = n[order]
+        ids = ids[np.arange(len(ids)) + np.repeat(begin - np.cumsum(n) + n, n)]
+        per_word = np.add.reduceat(n, np.searchsorted(parts, starts))
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):
+            signs, which = np.unique(-1 - ids[bare], return_inverse=True)
+            raw = [self.byte_id[list(chr(c).encode("utf-8", "replace"))] for c in signs.tolist()]
+            size = np.array([len(r) for r in raw])
+            width = np.ones(len(ids), np.int64)
+            width[bare] = size[which]
+            word = np.repeat(np.arange(len(per_word)), per_word)
+            per_word = np.bincount(word, weights=width, minlength=len(per_word)).astype(np.int64)
+            first = np.cumsum(width) - width
+            out = np.repeat(ids, width)
+            at = np.repeat(first[bare], size[which]) + np.arange(int(size[which].sum())) - np.repeat(np.cumsum(size[which]) - size[which], size[which])
+            out[at] = np.concatenate([raw[k] for k in which.tolist()])
+            ids = out
+        return ids, per_word
 
     def _parts(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Starts of the words, and of what follows each place in a long word that no piece goes over."""
@@ -180,35 +186,50 @@ class PieceTable:
         at = np.minimum(np.searchsorted(self.touching, pair), len(self.touching) - 1)
         return np.union1d(starts, inside[self.touching[at] != pair] + 1)
 
+    def forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.ids, self.ends = array("i"), array("q", [0])
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and their offsets."""
-        split = [self._words(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        for at in range(0, len(split), 512):
-            missing = set().union(*split[at : at + 512]) - self.cache.keys()
-            if missing:
-                self.learn(list(missing))
-        get = self.cache.__getitem__
-        packed = [b"".join(map(get, words)) for words in split]
+        """Ids of all texts end to end, and their offsets.
+
+        A word is a run of space signs and what follows it; each text begins with one
+        more.  Words are named by a 64-bit hash, and each kind is merged once.
+        """
+        if len(self.slot) > CACHE_WORDS:
+            self.forget()
+        full = [t for t in texts if t]
+        codes = np.frombuffer(("".join([SPACE + t for t in full])).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        codes[codes == 32] = ord(SPACE)
+        begin = np.cumsum([0, *(len(t) + 1 for t in full)])
+        space = codes == ord(SPACE)
+        opens = space.copy()
+        opens[1:] &= ~space[:-1]
+        opens[begin[:-1]] = True
+        first = np.flatnonzero(opens)
+        length = np.diff(np.append(first, len(codes)))
+        up, down = _powers(len(codes) + 1)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+        kinds, at, back = np.unique(mix((sums[first + length] - sums[first]) * down[first] + length.astype(np.uint64)), return_index=True, return_inverse=True)
+        names = kinds.tolist()
+        new = np.array([k for k, name in enumerate(names) if name not in self.slot], np.int64)
+        if len(new):
+            size = length[at[new]]
+            where = np.repeat(first[at[new]] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            ids, per_word = self.learn(codes[where], size)
+            self.slot.update(zip([names[k] for k in new.tolist()], range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            self.ends.frombytes((self.ends[-1] + np.cumsum(per_word)).astype(np.int64).tobytes())
+            self.ids.frombytes(ids.astype(np.int32).tobytes())
+        slot = np.array([self.slot[name] for name in names], np.int64)[back]
+        ends = np.frombuffer(self.ends, np.int64)
+        size = np.diff(ends)[slot] if len(slot) else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = np.frombuffer(self.ids, np.int32)[np.arange(total[-1]) + np.repeat(ends[slot] - total[:-1], size)] if len(slot) else np.zeros(0, np.int32)
         offsets = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-        return np.frombuffer(b"".join(packed), "<i4"), offsets
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        """Words of " " + text without their first space; further spaces before a word stay with it."""
-        words = text.replace(SPACE, " ").split(" ")
-        if "" not in words:
-            return words
-        out, spaces = [], 0
-        for w in words:
-            if w:
-                out.append(SPACE * spaces + w)
-                spaces = 0
-            else:
-                spaces += 1
-        return [*out, SPACE * (spaces - 1)] if spaces else out
+        has = np.flatnonzero([bool(t) for t in texts])
+        offsets[has + 1] = np.diff(total[np.searchsorted(first, begin)]) if len(has) else 0
+        return ids, np.cumsum(offsets)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of id lists that lie end to end."""
@@ -276,7 +297,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", ids: str
                 if decoded:
                     out.append(pa.array(table.decode(flat, offsets), pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *out], schema.names)
-        table.cache.clear()  # workers live on for other stages
+        table.forget()  # workers live on for other stages
 
     return docs.mapInArrow(run, schema)
 
