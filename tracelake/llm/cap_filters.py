@@ -6,7 +6,8 @@ together and unrelated ones hardly any.  The directions are a random product cod
 each is a word of a first and a word of a second random code, side by side.  Sorted
 inner products with the second code list, for each word of the first, all partners
 that reach the bound, without looking at the other directions.  t and the number of
-directions follow from the number of vectors.
+directions follow from the number of vectors.  Vectors of few dimensions are first
+turned into LEAST_DIMENSION, where inner products with directions spread normally.
 
 Vectors meet at the filters they share and are compared in double precision.  A pair
 counts only at the smallest filter that both pass, so links are counted without being
@@ -31,7 +32,8 @@ from tracelake.llm.shared import connected_components, drop_stored, stored
 COSINE = 0.9
 TABLES = 2
 COMMON = 14  # expected number of filters that a pair of cosine 0.9 shares
-GROUP, MOST_HOT = 512, 100_000
+GROUP, MOST_HOT, MOST_CHUNKS = 512, 100_000, 60_000
+LEAST_DIMENSION = 64
 ENTRY_BYTES, BUCKET_BYTES = 420, 16 << 20
 PASS_BYTES = 256 << 20  # dealt in one pass, or the size of the vectors if that is more
 SEED = 11
@@ -59,8 +61,12 @@ class Caps:
         both = float((weight * _tail((self.t - COSINE * x) / np.sqrt(1 - COSINE**2))).sum() / weight.sum())
         filters = COMMON / both / float(_tail(self.t)) / TABLES
         self.words = max(4, int(np.ceil(np.sqrt(filters))))
-        self.bound, self.dimension, self.half = self.t / np.sqrt(dimension), dimension, max(1, dimension // 2)
+        self.dimension = max(dimension, LEAST_DIMENSION)
+        self.bound, self.half = self.t / np.sqrt(self.dimension), self.dimension // 2
         self.per_vector = COMMON / both
+        self.turn = None
+        if dimension < LEAST_DIMENSION:
+            self.turn = np.linalg.qr(np.random.default_rng(SEED).standard_normal((self.dimension, dimension)))[0].T
 
     def codes(self) -> list[tuple[np.ndarray, np.ndarray]]:
         rng = np.random.default_rng(SEED)
@@ -68,33 +74,37 @@ class Caps:
         for _ in range(TABLES):
             pair = []
             for size in (self.half, self.dimension - self.half):
-                c = rng.standard_normal((self.words, max(size, 1)))
+                c = rng.standard_normal((self.words, size))
                 pair.append(c / np.linalg.norm(c, axis=1, keepdims=True) * np.sqrt(size / self.dimension))
             out.append(tuple(pair))
         return out
 
     def passed(self, unit: np.ndarray, codes) -> tuple[np.ndarray, np.ndarray]:
         """Filters (uint32 names) that each unit vector passes, end to end, and their offsets."""
-        found, owner = [], []
+        unit = unit if self.turn is None else unit @ self.turn
+        rows, w = len(unit), self.words
+        apart = 10.0 * np.arange(rows)[:, None]  # inner products are below 1, so rows stay apart in one sorted array
+        found = []
         for table, (first, second) in enumerate(codes):
-            a = unit[:, : self.half] @ first.T
-            b = unit[:, self.half :] @ second.T if self.dimension > self.half else np.zeros((len(unit), self.words))
+            a, b = unit[:, : self.half] @ first.T, unit[:, self.half :] @ second.T
             order = np.argsort(-b, axis=1)
-            for i in range(len(unit)):
-                down = -b[i, order[i]]
-                for slack in (0.0, 0.5, 1.0):  # a vector far from all directions takes its nearest ones
-                    n = np.searchsorted(down, a[i] - (self.bound - slack / np.sqrt(self.dimension)), "right")
-                    if n.sum() * TABLES * 3 >= self.per_vector:
-                        break
-                left = np.repeat(np.arange(self.words), n)
-                right = order[i][np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)]
-                name = mix(((_U(table) * _U(self.words) + left.astype(np.uint64)) * _U(self.words)) + right.astype(np.uint64) + _U(1)) >> _U(32)
-                found.append(name.astype(np.uint32))
-                owner.append(np.full(len(name), i))
-        names, owner = np.concatenate(found), np.concatenate(owner)
-        pairs = np.unique((owner.astype(np.uint64) << _U(32)) | names)
-        names, owner = (pairs & _U(0xFFFFFFFF)).astype(np.uint32), (pairs >> _U(32)).astype(np.int64)
-        return names, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(unit)))])
+            down = (apart - np.take_along_axis(b, order, axis=1)).ravel()
+            n, few = np.zeros((rows, w), np.int64), np.arange(rows)
+            for slack in (0.0, 0.5, 1.0):  # a vector far from all directions takes nearer ones
+                reach = apart[few] + a[few] - (self.bound - slack / np.sqrt(self.dimension))
+                n[few] = np.searchsorted(down, reach.ravel(), "right").reshape(len(few), w) - few[:, None] * w
+                few = few[n[few].sum(axis=1) * TABLES * 3 < self.per_vector]
+            few = np.flatnonzero(n.sum(axis=1) == 0)
+            n[few, np.argmax(a[few], axis=1)] = 1
+            n = n.ravel()
+            cell = np.repeat(np.arange(rows * w), n)
+            row, left = cell // w, cell % w
+            right = order[row, np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)]
+            name = mix(((_U(table) * _U(w) + left.astype(np.uint64)) * _U(w)) + right.astype(np.uint64) + _U(1)) >> _U(32)
+            found.append((row.astype(np.uint64) << _U(32)) | name)
+        pairs = np.unique(np.concatenate(found))
+        owner = (pairs >> _U(32)).astype(np.int64)
+        return (pairs & _U(0xFFFFFFFF)).astype(np.uint32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -106,7 +116,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def filter_names(vectors: DataFrame, caps: Caps) -> DataFrame:
+def filter_names(vectors: DataFrame, caps: Caps, dimension: int) -> DataFrame:
     """(cls, n, embedding, filters) with the filters that each vector passes."""
 
     def run(batches):
@@ -114,11 +124,12 @@ def filter_names(vectors: DataFrame, caps: Caps) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                names, offsets = caps.passed(_unit(_matrix(batch.column("embedding"), caps.dimension)), codes)
+                names, offsets = caps.passed(_unit(_matrix(batch.column("embedding"), dimension)), codes)
                 out = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(names.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.select(["cls", "n", "embedding"]).columns, out], ["cls", "n", "embedding", "filters"])
 
-    return vectors.select("cls", "n", "embedding").mapInArrow(run, "cls long, n long, embedding array<float>, filters array<int>")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.select("cls", "n", "embedding").mapInArrow(run, f"cls long, n long, embedding {kind}, filters array<int>")
 
 
 _DEALT = "bucket long, key binary, chunk binary, cls binary, n binary, vectors binary, sizes binary, filters binary"
@@ -157,9 +168,11 @@ def deal(vectors: DataFrame, hot, group: int, buckets: int, dimension: int, pass
                 mine_now = np.flatnonzero(place % _U(passes) == _U(now))
                 each, key, mine, place = each[mine_now], key[mine_now], mine[mine_now], place[mine_now]
                 bucket = (place // _U(passes) % _U(buckets)).astype(np.int64)
+                if not len(each):
+                    continue
                 order = np.argsort(bucket, kind="stable")
-                v, n = _matrix(batch.column("embedding"), dimension).astype(np.float32), np.asarray(batch.column("n"))
-                edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+                v, n = _matrix(batch.column("embedding"), dimension), np.asarray(batch.column("n"))
+                edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
                 rows = []
                 for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(order)], strict=True):
                     pick = order[a:b]
@@ -173,11 +186,11 @@ def deal(vectors: DataFrame, hot, group: int, buckets: int, dimension: int, pass
     return vectors.mapInArrow(run, _DEALT)
 
 
-def link(table: pa.Table, dimension: int) -> pa.Table:
+def link(table: pa.Table, dimension: int, kind: str = "f4") -> pa.Table:
     """(kind 0: class, linked vectors) and (kind 1: edge) of the pairs whose smallest common filter is in this bucket."""
     join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
     key, chunk, cls, n = join("key", np.uint64), join("chunk", np.int32), join("cls", np.int64), join("n", np.int64)
-    v, size = _unit(join("vectors", np.float32).reshape(-1, dimension)), join("sizes", np.int32).astype(np.int64)
+    v, size = _unit(join("vectors", kind).reshape(-1, dimension)), join("sizes", np.int32).astype(np.int64)
     names, at = join("filters", np.uint32), np.concatenate([[0], np.cumsum(size)])
     order = np.argsort(key, kind="stable")
     ordered = key[order]
@@ -234,49 +247,60 @@ def _sides(key, left, right):
     return (low == high) | (left != right)
 
 
-def cap_links(vectors: DataFrame) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row of `vectors` (vec_id, embedding).
-
-    Two vectors link if their cosine in double precision is 0.9 or more; n_links counts
-    the other vectors linked directly, component_id is the smallest vec_id reachable.
-    Vectors that are null, zero, hold null or non-finite components, have no vec_id, or
-    another length than the commonest one link with nothing.  Equal vectors link with
-    each other and with the same others.  Other columns are ignored, an empty table
-    gives no rows.  No pair below 0.9 is linked; of those above, the filters find
-    nearly all (the tests measure it).
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    good = rows.where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False))).withColumn("cls", F.xxhash64("embedding"))
-    common = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dimension = common["d"]
-    good = good.where(F.size("embedding") == dimension)
-    classes = stored(good.groupBy("cls").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "vector-classes")
+def _dimension_links(classes: DataFrame, dimension: int, kind: str) -> DataFrame:
+    """(kind, a, b) as from `link` for classes (cls, n, embedding) of vectors of one dimension."""
+    spark = classes.sparkSession
     count = classes.count()
     caps = Caps(count, dimension)
-    named = stored(filter_names(classes, caps), "vector-filters")
+    named = stored(filter_names(classes, caps, dimension), "vector-filters")
     entries = named.agg(F.sum(F.size("filters")).alias("e")).first()["e"] or 0
     group = max(GROUP, entries // MOST_HOT)
     crowded = named.select(F.explode("filters").alias("f")).groupBy("f").count().where(F.col("count") > group).collect()  # MOST_HOT rows at most
     names, counts = np.array([r["f"] for r in crowded], np.int32).view(np.uint32), np.array([r["count"] for r in crowded], np.int64)
     by_name = np.argsort(names)
     hot = spark.sparkContext.broadcast((names[by_name], counts[by_name]))
-    dealt = (entries + int((counts * (-(-counts // group) - 1)).sum())) * ENTRY_BYTES
-    passes = max(1, -(-dealt // max(PASS_BYTES, 4 * dimension * count)))
+    group = max(group, int(counts.max(initial=0)) // MOST_CHUNKS + 1)  # a chunk's number has 16 bits
+    width = int(kind[1])
+    dealt = (entries + int((counts * (-(-counts // group) - 1)).sum())) * (ENTRY_BYTES + (width - 4) * dimension)
+    passes = max(1, -(-dealt // max(PASS_BYTES, width * dimension * count)))
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt // passes // BUCKET_BYTES)
     found = None
     for now in range(passes):  # a pass's shuffle goes when its links are stored
-        links = stored(deal(named, hot, group, buckets, dimension, passes, now).groupBy("bucket").applyInArrow(lambda t: link(t, dimension), "kind int, a long, b long"), "vector-links")
+        links = stored(deal(named, hot, group, buckets, dimension, passes, now).groupBy("bucket").applyInArrow(lambda t: link(t, dimension, kind), "kind int, a long, b long"), "vector-links")
         found = links if found is None else found.unionAll(links)
     drop_stored(named)
+    return found
+
+
+def cap_links(vectors: DataFrame) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each row of `vectors` (vec_id, embedding).
+
+    Two vectors of one length link if their cosine in double precision is 0.9 or more;
+    n_links counts the other vectors linked directly, component_id is the smallest
+    vec_id reachable.  Vectors that are null, zero, hold null or non-finite components,
+    or have no vec_id link with nothing.  Equal vectors link with each other and with
+    the same others.  Lengths are taken one after the other, as a table has few.  Other
+    columns are ignored, an empty table gives no rows.  No pair below 0.9 is linked; of
+    those above, the filters find nearly all (the tests measure it).
+    """
+    kind = "f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>" if kind == "f4" else "array<double>").alias("embedding"))
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    is_good = F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False))
+    good = rows.where(is_good).withColumn("cls", F.xxhash64("embedding"))
+    classes = stored(good.groupBy("cls").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "vector-classes")
+    dimensions = [r["d"] for r in classes.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
+    if not dimensions:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = None
+    for d in dimensions:
+        links = _dimension_links(classes.where(F.size("embedding") == d), d, kind)
+        found = links if found is None else found.unionAll(links)
     n_links = found.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
     labels = connected_components(found.where("kind = 1").select("a", "b")).withColumnRenamed("v", "cls")
     joined = classes.select("cls", "vec_id", "n").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls")).join(n_links, "cls", "left")
     smallest = joined.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     known = joined.join(smallest, "component").select("cls", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    keyed = rows.withColumn("cls", F.when(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False)) & (F.size("embedding") == dimension), F.xxhash64("embedding"))).select("vec_id", "cls")
+    keyed = rows.withColumn("cls", F.when(is_good, F.xxhash64("embedding"))).select("vec_id", "cls")
     out = keyed.join(known, "cls", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
