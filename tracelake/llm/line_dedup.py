@@ -24,14 +24,14 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """Starts (from 1) of the windows that occur earlier, by (doc_id, line), in this or another document.
 
     Returns (id, key, starts): key is a hash of id and text that tells apart rows
-    with a null or repeated id.  A text of one or two lines is one window; windows
+    with a null or repeated id.  Texts of one or two lines have no window; windows
     without a word are left out.  Two 64-bit hashes name a window.
     """
     lines = F.split(F.col(text), "\n")
-    last = F.greatest(F.size(lines) - (WINDOW_LINES - 1), F.lit(1))
     windows = (
         docs.where(F.col(text).rlike(_WORD))
-        .select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("key"), lines.alias("lines"), last.alias("last"))
+        .select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("key"), lines.alias("lines"), (F.size(lines) - (WINDOW_LINES - 1)).alias("last"))
+        .where("last > 0")
         .select("id", "key", F.posexplode(F.transform(F.sequence(F.lit(1), "last"), lambda i: F.slice("lines", i, WINDOW_LINES))).alias("at", "window"))
         .where(F.array_join("window", "").rlike(_WORD))
         .select("id", "key", (F.col("at") + 1).alias("at"), F.xxhash64("window").alias("h1"), F.xxhash64(F.lit(WINDOW_LINES), "window").alias("h2"))
@@ -52,7 +52,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     The first occurrence by (doc_id, line number) stays whole.  Covered positions
     of a document are merged, so overlapping windows remove each line once.  Adds
     n_lines (0 for a null or empty text) and n_removed, replacing columns of these
-    names; all rows and other columns stay.  Rows with equal id and text get the
+    names; all rows and other columns stay, and texts of fewer than three lines stay as
+    they are, repeated or not.  Rows with equal id and text get the
     same result, null ids come first in the order, a null text stays null, and a
     text that loses all its lines becomes ''.  An empty table gives an empty one.
     """
@@ -80,7 +81,7 @@ ORACLE = """
 WITH d AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE regexp_matches(text, '[^\\x09-\\x0D\\x20]')
 ), w AS (
-  SELECT doc_id, i, l[i : i + 2] AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 2, 1) + 1)) AS i FROM d)
+  SELECT doc_id, i, l[i : i + 2] AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) > 2)
 ), r AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS rn
   FROM w WHERE regexp_matches(array_to_string(g, ''), '[^\\x09-\\x0D\\x20]')
