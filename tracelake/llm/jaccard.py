@@ -20,7 +20,7 @@ that more than 8 classes share links each of them with two hubs: the member that
 has most such keys, which near copies of one text leave to that text, and one drawn
 by hash.  After the
 components of the verified links are known, members of such a key that are still
-apart are compared with each other.  So no link between components is lost and no
+apart are compared with each other, in chunks.  So no link between components is lost and no
 group of similar texts is expanded into all its pairs.
 """
 
@@ -35,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.kernels import mix, row_shingles
-from tracelake.llm.shared import connected_components, stored
+from tracelake.llm.shared import connected_components, drop_stored, stored
 
 WORDS = 16
 HOT = 8
+CHUNK = 256
 ENTRIES_PER_BUCKET = 1_000_000
 _U = np.uint64
 
@@ -318,14 +319,22 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     # members of a hot key that are still in different components
     labelled = hot.join(found.withColumnRenamed("v", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    apart = stored(labelled.join(mixed, "key").join(sketches, "cls"), "apart")
+    apart = labelled.join(mixed, "key").join(sketches, "cls")
+    # the members of a key meet in pairs of chunks of about CHUNK members, each pair of chunks apart
+    chunks = labelled.join(mixed, "key").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    apart = apart.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    apart = stored(apart.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("chunks", "other"), "apart")
     x, y = apart.alias("x"), apart.alias("y")
-    met_again = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sketches_allow("x", "y"))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    sides = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.chunk") != F.col("y.chunk"))
+    met_again = x.join(y, same & sides & (F.col("x.component") < F.col("y.component")) & sketches_allow("x", "y"))
     more = met_again.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     more = stored(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
     if more.limit(1).count():
         new = stored(verified(more, rows, kinds), "more-links")
         found = connected_components(links.union(new)) if new.limit(1).count() else found
+    for table in (met, tried, apart, more):
+        drop_stored(table)
 
     joined = kinds.select("cls", "doc_id").join(found.withColumnRenamed("v", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
