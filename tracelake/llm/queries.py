@@ -49,8 +49,9 @@ def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of a replica in which one byte of each page whose id leaves 5 modulo 97 was damaged."""
-    records = stored(warc.warc_records(table(spark, sf_dir, "pages")), "warc")
-    return warc.fixity(records, warc.flip_byte(records, F.col("page_id") % 97 == 5))
+    digests = stored(warc.warc_digests(table(spark, sf_dir, "pages"), F.col("page_id") % 97 == 5), "warc-digests")
+    layout = ("page_id", "file", "place", "offset", "length")
+    return warc.fixity(digests.select(*layout, "sha256"), digests.select(*layout, F.col("replica_sha256").alias("sha256")))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

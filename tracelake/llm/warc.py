@@ -10,22 +10,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.shared import stored
 
 FANOUT = 16
 IDS_PER_FILE = 1000
+FILES_WITHOUT_ID = 4096
 DATE = "2024-01-01T00:00:00Z"
 
 
-def warc_records(pages: DataFrame, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
-    """(page_id, file, place, offset, length, record): one WARC resource record for each page.
-
-    Files hold ranges of `ids_per_file` ids; records stand in order of page_id, then
-    of their digest.  A null url or html is empty, null ids make a file of their own.
-    """
+def _records(pages: DataFrame, ids_per_file: int) -> DataFrame:
+    """(page_id, file, length, record), without a shuffle."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     head = F.concat(
         F.lit(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Date: {DATE}\r\nWARC-Record-ID: <urn:page:"),
@@ -37,13 +34,40 @@ def warc_records(pages: DataFrame, ids_per_file: int = IDS_PER_FILE) -> DataFram
         F.lit("\r\n\r\n"),
     )
     records = pages.select("page_id", F.concat(F.encode(head, "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
-    own = records.withColumn("file", F.floor(F.coalesce(F.col("page_id"), F.lit(-1)) / ids_per_file).cast("long")).withColumn("length", F.octet_length("record").cast("long"))
-    order = Window.partitionBy("file").orderBy("page_id", F.sha2("record", 256))
-    return own.withColumn("place", F.row_number().over(order).cast("long") - 1).withColumn(
+    without_id = -1 - F.pmod(F.xxhash64("record"), F.lit(FILES_WITHOUT_ID))
+    file = F.coalesce(F.floor(F.col("page_id") / ids_per_file).cast("long"), without_id)
+    return records.select("page_id", file.alias("file"), F.octet_length("record").cast("long").alias("length"), "record")
+
+
+def _placed(rows: DataFrame, digest) -> DataFrame:
+    """Rows (page_id, file, length, ...) with their place and offset in the file."""
+    order = Window.partitionBy("file").orderBy("page_id", digest)
+    return rows.withColumn("place", F.row_number().over(order).cast("long") - 1).withColumn(
         "offset", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     )
 
 
+def warc_records(pages: DataFrame, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
+    """(page_id, file, length, record, place, offset): one WARC resource record for each page, for writing files.
+
+    Files hold ranges of `ids_per_file` ids; records stand in order of page_id, then
+    of their digest.  A null url or html is empty, records of null ids are dealt over
+    FILES_WITHOUT_ID files of negative numbers.
+    """
+    return _placed(_records(pages, ids_per_file), F.sha2("record", 256))
+
+
+def warc_digests(pages: DataFrame, damaged=None, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
+    """(page_id, file, length, sha256, replica_sha256, place, offset) of the records of `warc_records`.
+
+    Bodies are hashed where they are read, and only digests are put in order.  The
+    replica has one byte of the records inverted where `damaged` holds.
+    """
+    digest, hurt = F.sha2("record", 256), F.sha2(flipped(F.col("record"), F.col("length")), 256)
+    replica = digest if damaged is None else F.when(damaged, hurt).otherwise(digest)
+    return _placed(_records(pages, ids_per_file).select("page_id", "file", "length", digest.alias("sha256"), replica.alias("replica_sha256")), F.col("sha256"))
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(name, place, offset, length, record) of uncompressed WARC files; a file is read by one task."""
 
@@ -63,8 +87,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """Level 0 of the tree: (file, level, place, hash, page_id, offset, length)."""
-    digest = F.sha2(F.col("record"), 256)
+    """Level 0 of the tree: (file, level, place, hash, page_id, offset, length), from the records or their sha256."""
+    digest = F.col("sha256") if "sha256" in records.columns else F.sha2(F.col("record"), 256)
     return records.select("file", F.lit(0).alias("level"), "place", F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), digest), 256).alias("hash"), "page_id", "offset", "length")
 
 
@@ -134,19 +158,28 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     return under
 
 
+def flipped(record: Column, length: Column) -> Column:
+    """A record with its middle byte inverted."""
+    middle = F.floor(length / 2).cast("int")
+    byte = F.conv(F.hex(F.substring(record, middle, 1)), 16, 10).cast("int")
+    other = F.unhex(F.lpad(F.hex((F.lit(255) - byte).cast("long")), 2, "0"))
+    return F.concat(F.substring(record, 1, middle - 1), other, F.substring(record, middle + 1, length.cast("int")))
+
+
 def flip_byte(records: DataFrame, damaged) -> DataFrame:
     """Records of which the middle byte is inverted where `damaged` holds."""
-    middle = F.floor(F.col("length") / 2).cast("int")
-    byte = F.conv(F.hex(F.substring("record", middle, 1)), 16, 10).cast("int")
-    flipped = F.unhex(F.lpad(F.hex((F.lit(255) - byte).cast("long")), 2, "0"))
-    rest = F.concat(F.substring("record", 1, middle - 1), flipped, F.substring(F.col("record"), middle + 1, F.col("length").cast("int")))
-    return records.withColumn("record", F.when(damaged, rest).otherwise(F.col("record")))
+    return records.withColumn("record", F.when(damaged, flipped(F.col("record"), F.col("length"))).otherwise(F.col("record")))
 
 
 def fixity(records: DataFrame, replica: DataFrame) -> DataFrame:
-    """(page_id, file, offset, length, sha256, fault) of every record of `records`; fault is null where the replica agrees."""
+    """(page_id, file, offset, length, sha256, fault) of every record of `records`; fault is null where the replica agrees.
+
+    Both tables hold records or their sha256.  Records of equal ids are told apart by
+    their place; an empty table gives no rows.
+    """
     faults = audit(records, replica)
-    own = records.select("page_id", "file", "place", "offset", "length", F.sha2("record", 256).alias("sha256"))
+    digest = F.col("sha256") if "sha256" in records.columns else F.sha2("record", 256).alias("sha256")
+    own = records.select("page_id", "file", "place", "offset", "length", digest)
     return own.join(faults, ["file", "place"], "left").select("page_id", "file", "offset", "length", "sha256", "fault")
 
 
