@@ -1,4 +1,5 @@
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +41,53 @@ def test_cap_links_just_above_the_bound(spark, monkeypatch):
     assert sum(r["n_links"] for r in found) >= 0.997 * 8000
 
 
+def _linked(rows, kind):
+    """n_links and component of each vector by comparing all pairs of one length."""
+    unit = {i: np.array(v, kind).astype(float) for i, v in rows}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    near = {i: [j for j, u in unit.items() if j != i and len(u) == len(v) and u @ v >= 0.9] for i, v in unit.items()}
+    out = {}
+    for i in sorted(near):
+        todo = [i] if i not in out else []
+        while todo:
+            k = todo.pop()
+            if k not in out:
+                out[k] = (len(near[k]), i, k == i)
+                todo += near[k]
+    return out
+
+
+@pytest.mark.parametrize(("kind", "lengths"), [("float", (32,)), ("double", (2,)), ("double", (3, 24, 24, 70))])
+def test_cap_components_and_lengths(spark, kind, lengths):
+    """Rarer lengths, few dimensions, double precision: few pairs are lost, and those found make the components."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k, d in enumerate(lengths):
+        base = rng.standard_normal((12, d))
+        noise = 0.2 * rng.standard_normal((60, d)) if d > 4 else 0.02 * rng.standard_normal((60, d))
+        rows += [(1000 * k + i, (base[i % 12] + noise[i]).tolist()) for i in range(60)]
+    rows += [(9001, rows[3][1]), (9002, rows[3][1])]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in cap_filters.cap_links(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()}
+    want = _linked(rows, np.float32 if kind == "float" else float)
+    assert sum(n for n, _, _ in found.values()) >= 0.97 * sum(n for n, _, _ in want.values())
+    assert all(found[i][0] <= want[i][0] for i in want)
+    assert {i: f[1:] for i, f in found.items()} == {i: w[1:] for i, w in want.items()}
+
+
+def test_cap_links_of_two_dimensions(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 1.0]), (5, [1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cap_filters.cap_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_cosine_is_of_double_precision(spark):
+    """A pair just below the bound in double precision, which single precision would put on it."""
+    c = 0.9 - 1e-9
+    rows = [(1, [1.0, 0.0]), (2, [c, float(np.sqrt(1 - c * c))]), (3, [-1.0, 0.0]), (4, [-0.9 - 1e-9, float(np.sqrt(1 - (0.9 + 1e-9) ** 2))])]
+    got = {r["vec_id"]: r["n_links"] for r in cap_filters.cap_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
 def test_cap_links_cases(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(5, v), (2, v), (3, [2.0, 4.0, 6.1]), (4, None), (6, [0.0] * 3), (7, [1.0, None, 2.0]), (8, [float("nan"), 1.0, 1.0]), (9, [1.0, 2.0]), (None, v), (10, [-1.0, 0.0, 0.0])]
@@ -72,6 +120,18 @@ def test_fixity(spark):
     assert warc.fixity(records, hurt).count() == len(PAGES)
 
 
+def test_digests_stand_for_records(spark):
+    pages = spark.createDataFrame([*PAGES, (1, "http://a/x", "other"), (None, "v", "w")], "page_id long, url string, html string")
+    columns = ("file", "place", "offset", "length", "sha256")
+    whole = warc.warc_records(pages).withColumn("sha256", F.sha2("record", 256))
+    digests = warc.warc_digests(pages, F.col("page_id") == 1).cache()
+    assert sorted(map(tuple, whole.select(*columns).collect())) == sorted(map(tuple, digests.select(*columns).collect()))
+    replica = digests.withColumn("sha256", F.col("replica_sha256"))
+    faults = [(r["page_id"], r["fault"]) for r in warc.fixity(digests, replica).collect()]
+    assert sorted(faults, key=str) == sorted([(1, "changed")] * 3 + [(2, None), (3, None), (2500, None), (None, None), (None, None)], key=str)
+    assert warc.fixity(digests.limit(0), replica.limit(0)).count() == 0
+
+
 def test_warc_files_read_back(spark, tmp_path):
     pages = spark.createDataFrame(PAGES[:3], "page_id long, url string, html string")
     rows = warc.warc_records(pages).orderBy("place").collect()
@@ -121,3 +181,27 @@ def test_mined_rules_equal_brute_force(spark, confidence):
     assert mined == small
     verdicts = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, labels, min_confidence=confidence).collect()}
     assert {i for i, v in verdicts.items() if v == "block"} == {i for i, t in tokens.items() if any(c <= t for c in small)}
+
+
+def test_shared_path_parts_do_not_explode(spark):
+    """400 labelled pages, 100 of them bad, with 24 path parts in common."""
+    common = "/".join("part" + "abcdefghijklmnopqrstuvwxyz"[j] for j in range(24))
+    rows = [(i, f"http://h{'x' * (i % 3)}.io/{common}/{'bad' if i % 4 == 0 else 'fine'}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    began = time.time()
+    verdicts = {r["page_id"]: (r["verdict"], r["mined"], r["confidence"]) for r in url_rules.judge_urls(pages, labels).collect()}
+    assert time.time() - began < 60
+    assert all(v == (("block", "p:bad", 1.0) if i % 4 == 0 else ("allow", None, None)) for i, v in verdicts.items())
+
+
+def test_url_cases(spark):
+    """Null and repeated ids, null labels, a very long url, and clashing column names."""
+    long_url = "http://long.io/" + "/".join(f"p{'q' * (i % 50)}" for i in range(20_000))
+    bad = [(i, "http://h.io/spam/x") for i in range(30)]
+    rows = [*bad, (None, "http://h.io/spam/y"), (3, "http://h.io/spam/x"), (40, long_url), (41, "http://h.io/good"), (42, "http://h.io/spam/z")]
+    pages = spark.createDataFrame([(i, u, "a", "b", ["c"]) for i, u in rows], "page_id long, url string, host string, class string, tokens array<string>")
+    labels = spark.createDataFrame([*((i, 0, 0) for i in range(30)), (3, None, None), (None, 0, 1), (41, None, None), (40, 1, None)], "doc_id long, quality int, toxic int")
+    got = [(r["page_id"], r["verdict"]) for r in url_rules.judge_urls(pages, labels, min_confidence=0.97).collect()]
+    assert len(got) == len(rows)
+    assert set(got) == {*((i, "block") for i in range(30)), (None, "block"), (40, "allow"), (41, "allow"), (42, "block")}

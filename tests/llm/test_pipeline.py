@@ -13,7 +13,7 @@ def _line_dedup(docs):
         text = docs[i]
         lines = text.split("\n")
         gone = set()
-        for k in range(max(len(lines) - 2, 1)):
+        for k in range(len(lines) - 2):
             window = tuple(lines[k : k + 3])
             if not "".join(window).strip(" \t\n\r\x0b\x0c"):
                 continue

@@ -62,7 +62,25 @@ def test_pieces_on_odd_characters():
     assert table.decode(flat, at) == [model.decode(model.encode(t or "")) for t in texts]
 
 
-def test_line_dedup_cases(odd_docs, no_docs):
+def test_pieces_of_a_megabyte_without_spaces():
+    import base64
+    import random
+    import time
+
+    import sentencepiece
+
+    model, table = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceTable(PIECES)
+    rng = random.Random(5)
+    code = base64.b64encode(rng.randbytes(750_000)).decode()
+    prose = "".join(w for w in "the quick brown fox jumps over a lazy dog and then some more of it follows here with other words".split() for _ in range(3)) * 30
+    for text in (code, prose, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000)), "a" * 100_000, "=" * 100_000, "梦" * 5000 + code[:5000]):
+        began = time.time()
+        flat, at = table.encode([text])
+        assert time.time() - began < 10
+        assert flat.tolist() == model.encode(text) and table.decode(flat, at) == [text]
+
+
+def test_line_dedup_cases(spark, odd_docs, no_docs):
     rows = line_dedup.dedup_lines(odd_docs).collect()
     assert len(rows) == odd_docs.count()
     by_id = defaultdict(list)
@@ -71,7 +89,10 @@ def test_line_dedup_cases(odd_docs, no_docs):
     assert by_id[9][0]["text"] == "x\ny" and by_id[9][0]["n_removed"] == 3
     assert by_id[8][0]["n_removed"] == 0 and by_id[2][0]["text"] is None and by_id[3][0]["n_lines"] == 0
     assert [r["text"] for r in by_id[7]] == ["solo", "solo"]  # repeated rows share their result
-    assert by_id[None][0]["n_removed"] == 0 and by_id[1][0]["text"] == "" and by_id[6][0]["text"] == ""  # a null id comes first
+    assert by_id[None][0]["n_removed"] == 0 and by_id[1][0]["n_removed"] == 0 and by_id[6][0]["n_removed"] == 0  # one line is no window
+    lines = [(2, "p\nq\nr\ns"), (None, "p\nq\nr"), (1, "q\nr\ns\nt"), (3, "p\nq"), (3, "p\nq")]
+    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(lines, "doc_id long, text string")).collect()}
+    assert got == {(None, "p\nq\nr", 0), (1, "q\nr\ns\nt", 0), (2, "", 4), (3, "p\nq", 0)}  # a null id comes first
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
@@ -79,6 +100,9 @@ def test_decontamination_cases(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "three w1x1 w2x2 w3x3 w4x4 w5x5 w6x6 w7x7 w8x8 w9x9 w10x10 w11x11"), (2, None), (3, "solo"), (4, "absent words only in this item here")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd_docs, items).collect()}
     assert got == {(5, 1), (7, 3), (10, 3)}
+    short = spark.createDataFrame([(5, "W3x3"), (6, "six seven"), (7, "a b c d"), (8, "seven six"), (9, "three four five six"), (None, "w1x1  w2x2 w3x3")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["containment"]) for r in decontaminate.contaminated(odd_docs, short).collect()}
+    assert got == {(5, 5, 1.0), (5, None, 1.0), (8, 7, 1.0), *((i, j, 1.0) for i in (1, 6, None) for j in (6, 9))}
     assert decontaminate.contaminated(no_docs, items).count() == 0 and decontaminate.contaminated(odd_docs, items.limit(0)).count() == 0
 
 
