@@ -19,13 +19,22 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws; the rest look unlike the labelled good texts."""
+    """Documents that importance resampling draws; the rest look unlike the labelled good texts.
+
+    Rows are told apart by id and text: repeated rows stay or go together, so where only
+    some of them were drawn, all stay.  Texts that are null or have no words weigh 0; null
+    ids are drawn like others; without labels all documents stay.
+    """
     drawn = stored(quality.resample(docs, table(spark, sf_dir, "labels")).select(F.col("row_key").alias("drawn_key")).distinct(), "drawn")
     return docs.join(drawn, F.xxhash64("doc_id", "text") == F.col("drawn_key"), "left_semi")
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of repeated three-line windows; a document that loses every word goes."""
+    """Texts without later occurrences of repeated three-line windows; a document that loses every word goes.
+
+    Null texts and texts of fewer than three lines stay as they are; rows of equal id and
+    text get the same result; null ids come first in the order of occurrences.
+    """
     clean = line_dedup.dedup_lines(docs)
     left = clean.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
     if "n_chars" in docs.columns:
@@ -48,13 +57,17 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item to 0.8 or more; other texts of a leaking id stay."""
+    """Documents that contain no benchmark item to 0.8 or more; other texts of a leaking id stay.
+
+    Null and empty texts contain nothing; a null id is like any other, and repeated rows
+    stay or go together.
+    """
     leaks = stored(decontaminate.contaminated_rows(docs, table(spark, sf_dir, "benchmark")).select(F.col("row_key").alias("leak_key")).distinct(), "leaks")
     return docs.join(leaks, F.xxhash64("doc_id", "text") == F.col("leak_key"), "left_anti")
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
+    """Token counts and digests of the encoded and decoded texts, one row for each row; a null text is encoded as an empty one."""
     return piece_codec.digests(docs, tokenizer_file("piece_bpe_32k.model"), "doc_id", "lang", "source")
 
 

@@ -267,6 +267,65 @@ def test_quality_cases(spark, odd_docs, no_docs):
     assert quality.resample(no_docs, labels).count() == 0
 
 
+def _grams(text):
+    """N-grams of a text as they are, without hashes."""
+    w = [x.encode() for x in words(text)]
+    pairs = [("same",) if a == b else ("pair", a, b) for a, b in zip(w, w[1:], strict=False)]
+    runs = [r for x in w for r in [("open", x[:4]), *(("run", x[i : i + 5]) for i in range(len(x) - 4))]]
+    return [*(("word", x) for x in w), *pairs, *runs]
+
+
+def test_quality_weights_and_draw_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    good = "alpha beta gamma delta of and some fine plain words".split()
+    bad = "junk spam! of and vile words buy now cheap deal".split()
+    rows = [(i, " ".join(rng.choice(good if i % 3 else bad, 40 + i)) + f" {i}") for i in range(60)]
+    rows += [(60, None), (61, " \n"), (None, "alpha beta"), (5, "spam! spam!"), (5, "spam! spam!")]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(40)] + [(41, 1, 1), (None, 1, 0), (43, None, 0)]
+    docs = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, row_key string, draw double")
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = quality.resample(docs, frame).collect()
+
+    kind = {i: int(q == 1 and t == 0) for i, q, t in labels if i is not None and q is not None}
+    fitted = {}
+    for i, t in rows:  # of a labelled id with several texts each counts
+        if i in kind:
+            fitted.setdefault((i, t), kind[i])
+    raw, target = Counter(), Counter()
+    for (_, t), y in fitted.items():
+        raw.update(_grams(t))
+        if y:
+            target.update(_grams(t))
+    data = " ".join(t or "" for _, t in rows).encode()
+    buckets, _ = quality.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(set(buckets.tolist())) == len(set(_grams(data.decode())))  # no two n-grams share a bucket here
+    share = sum(target.values()) / sum(raw.values())
+
+    def ratio(g):
+        expected = raw[g] * share
+        clear = raw[g] > 0 and abs(target[g] - expected) >= quality.SIGMAS * math.sqrt(expected * (1 - share))
+        return math.log((target[g] + quality.SMOOTHING) / (expected + quality.SMOOTHING)) if clear else 0.0
+
+    weight = {(i, t): sum(ratio(g) for g in _grams(t)) * quality.LENGTH / (quality.LENGTH + len(_grams(t))) for i, t in rows}
+    keys = {(r["doc_id"], r["text"]): (r["k"], r["g"]) for r in docs.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("g", F.xxhash64(F.lit("gumbel"), "k")).collect()}
+    noise = {x: -math.log(-math.log((g % (1 << 52) + 0.5) / (1 << 52))) for x, (_, g) in keys.items()}
+    least = min(weight[x] for x, y in fitted.items() if y)
+    k = sum(weight[x] >= least for x in rows)
+    assert 0 < k < len(rows)
+    want = sorted(rows, key=lambda x: -(weight[x] + noise[x]))[:k]
+    got = {(r["row_key"], round(r["log_weight"], 3), round(r["draw"], 3)) for r in found}
+    assert len(found) == k and got == {(keys[x][0], round(weight[x], 3), round(weight[x] + noise[x], 3)) for x in want}
+
+
+def test_gumbel_ties(spark):
+    """Half of the rows have one draw: the number drawn is exact and sure rows are all there."""
+    rows = spark.range(30_000, numPartitions=6).select(F.when(F.col("id") % 2 == 0, F.lit(1.5)).otherwise(F.col("id") / 10_000.0).alias("draw"), F.col("id").alias("row_key"), F.col("id").alias("row"))
+    above = rows.where("draw > 1.5").count()
+    for k in (0, 10, above, above + 1, above + 9000, 30_000, 40_000):
+        drawn = quality.gumbel_top_k(rows, k)
+        assert drawn.count() == min(k, 30_000) and drawn.where("draw > 1.5").count() == min(k, above)
+
+
 def test_token_files_round_trip(spark, sf_dir, odd_docs, no_docs):
     from tokenizers import Tokenizer
 
