@@ -105,3 +105,9 @@ def test_predicates(spark, load):
     rows = m.select("uuid", tr.is_user_chunk().alias("user"), tr.is_hard_noise().alias("noise")).orderBy("uuid").collect()
     assert [r["user"] for r in rows] == [True, False, True, False, False, True]
     assert [r["noise"] for r in rows] == [False, True, True, True, True, False]
+
+
+def test_harvest_reads_escapes_as_the_text_has_them(spark):
+    raw = r'{"text": "a\tb C:\\new \/x \"q\" \\\\srv", "other": "no", "command": "one\ntwo\r"}'
+    row = spark.createDataFrame([(raw,)], "raw string").select(tr.harvest_text(F.col("raw")).alias("t")).first()
+    assert row["t"] == 'a b C:\\new /x "q" \\\\srv one two '

@@ -12,6 +12,11 @@ SEARCH_FIELDS = ("summary", "description", "display", "prompt", "url", "query",
 SEARCH_FIELDS_CLI = ("summary", "description", "prompt", "url", "query", "event_id", "milestone", "cwd")
 FALLBACK_FIELDS = ("event_id", "milestone")
 WORD_CUT = "[^a-z0-9]+"
+# Patterns of ids, file names, versions and fetch summaries that logs and queries carry.
+EVENT_ID = r"((?:evt-|git-)[a-z0-9]+)"
+FILE_NAME = r"([/A-Za-z0-9_.-]+\.[a-zA-Z0-9]{1,8})"
+VERSION = r"^[0-9].*\.[0-9]"
+FETCHED = r"^(?:Fetched|Search):\s*(https?://\S+)"
 
 
 @lru_cache
@@ -69,7 +74,7 @@ def short_url(url: Column, keep: int = 50) -> Column:
 def display_text(columns) -> Column:
     """Headline of an event: the most telling of its fields; fetched urls are shortened."""
     summary = present("summary", columns)
-    fetched = F.nullif(F.regexp_extract(summary, r"^(?:Fetched|Search):\s*(https?://\S+)", 1), F.lit(""))
+    fetched = F.nullif(F.regexp_extract(summary, FETCHED, 1), F.lit(""))
     own = F.coalesce(F.when(fetched.isNotNull(), short_url(fetched)), summary)
     first = [present(c, columns) for c in ("prompt", "query", "title", "description", "display")]
     return F.coalesce(*first, own, short_url(present("url", columns)), present("event_id", columns), F.lit(""))
@@ -91,9 +96,9 @@ def scrub(text: Column, mapping: dict[str, str], home: str = "~") -> Column:
 
 def query_entities(query: Column) -> Column:
     """Event ids and file names in a query; versions, *.md and names that end in a dot are left out."""
-    ids = F.regexp_extract_all(query, F.lit(r"((?:evt-|git-)[a-z0-9]+)"), F.lit(1))
-    paths = F.regexp_extract_all(query, F.lit(r"([/A-Za-z0-9_.-]+\.[a-zA-Z0-9]{1,8})"), F.lit(1))
-    real = F.filter(paths, lambda p: ~p.rlike(r"^[0-9].*\.[0-9]") & ~p.endswith(".md") & ~p.endswith("."))
+    ids = F.regexp_extract_all(query, F.lit(EVENT_ID), F.lit(1))
+    paths = F.regexp_extract_all(query, F.lit(FILE_NAME), F.lit(1))
+    real = F.filter(paths, lambda p: ~p.rlike(VERSION) & ~p.endswith(".md") & ~p.endswith("."))
     return F.array_distinct(F.concat(ids, real))
 
 

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from tracelake.functions.text import query_entities
 
 # Words that don't count in matching summaries.
-STOP_WORDS = "the and for this that with from was are not but has had have will been can its all also into let now then done just".split()
+STOP_WORDS = (
+    "the", "and", "for", "this", "that", "with", "from", "was", "are", "not", "but", "has", "had", "have", "will", "been",
+    "can", "its", "all", "also", "into", "let", "now", "then", "done", "just",
+)
 ROLE_GRADE = {"primary": 3, "secondary": 2}
 
 
 def truth_words(text: Column) -> Column:
     words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s]", ""), r"\s+")
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
 
 
 def match_truth(results: DataFrame, events: DataFrame, sessions: DataFrame | None = None) -> DataFrame:

@@ -209,3 +209,15 @@ def context_gauge(summary: DataFrame, compactions: DataFrame, window: int = 1_00
     load = F.col("total_tokens") / window
     band = F.when(load < 0.15, "light").when(load < 0.5, "moderate").when(load < 1.5, "heavy").otherwise("extreme")
     return out.select("session_id", "total_tokens", F.round(load, 6).alias("windows"), band.alias("band"))
+
+
+def phase_splits(summary: DataFrame, compactions: DataFrame) -> DataFrame:
+    """(session_id, phase, share): how much of a session's tokens lie in its phases up to each compaction, for a gauge's dividers.
+
+    Phases are the compactions with tokens before them and the current phase of `summary`.
+    """
+    past = compactions.where("pre_tokens > 0").select("session_id", "phase", F.col("pre_tokens").cast("double").alias("tokens"))
+    total = past.groupBy("session_id").agg(F.sum("tokens").alias("past")).join(summary.select("session_id", F.coalesce("context_tokens", F.lit(0)).alias("now")), "session_id", "left")
+    running = F.sum("tokens").over(Window.partitionBy("session_id").orderBy("phase").rowsBetween(Window.unboundedPreceding, 0))
+    shares = past.withColumn("running", running).join(total, "session_id")
+    return shares.select("session_id", "phase", F.round(F.col("running") / (F.col("past") + F.coalesce("now", F.lit(0))), 6).alias("share"))

@@ -65,6 +65,11 @@ def is_hard_noise() -> Column:
     return F.col("type").isin("system", "summary", "file-history-snapshot", "queue-operation") | ((F.col("type") == "assistant") & (F.col("model") == "<synthetic>")) | user
 
 
+def is_compact() -> Column:
+    """Summaries that stand where a session was compacted."""
+    return F.coalesce(F.col("isCompactSummary"), F.lit(False))
+
+
 def harvest_text(raw: Column) -> Column:
     """String values of HARVEST_KEYS anywhere in an entry's JSON, key by key, joined by spaces.
 

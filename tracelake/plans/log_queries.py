@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import classify as cl
@@ -14,7 +14,7 @@ from tracelake.operators import transcripts as tr
 from tracelake.plans import adapters as ad
 from tracelake.plans.catalogue import query
 from tracelake.sources import logs as lo
-from tracelake.sources.tables import new_path
+from tracelake.sources.tables import new_path, stored
 
 
 def pick(names: list[str], number: str) -> Column:
@@ -172,6 +172,57 @@ def search_result_rows(spark, sf_dir):
     return lo.explode_search_results(e).select("event_id", "parent_event_id", "url", "title")
 
 
+@query("""SELECT CAST(page_id AS VARCHAR) AS id, 'memory-note' || page_id AS event_id, CASE WHEN page_id % 3 = 0 THEN 'memory_note' ELSE 'memory_fact' END AS type,
+CASE WHEN page_id % 3 = 0 THEN 'note' || page_id ELSE 'name ' || page_id END || ': ' || CASE WHEN page_id % 3 = 2 THEN 'about ' || page_id ELSE 'see ' || url END AS summary, 'see ' || url AS body, 'team' || (page_id % 4) AS project FROM pages""")
+def memory_notes(spark, sf_dir):
+    """Pages as notes without front matter, with a name and kind, and with a description too."""
+    n = F.col("page_id").cast("string")
+    third = F.col("page_id") % 3
+    front = F.when(third == 0, "").otherwise(F.concat(F.lit("---\nname: name "), n, F.lit("\ntype: fact\n"), F.when(third == 2, F.concat(F.lit("description: about "), n, F.lit("\n"))).otherwise(""), F.lit("---\n")))
+    path = F.concat(F.lit("/notes/team"), (F.col("page_id") % 4).cast("string"), F.lit("/memory/note"), n, F.lit(".md"))
+    notes = ad.table(spark, sf_dir, "pages").select(path.alias("path"), F.concat(front, F.lit("see "), "url").alias("value"), F.lit(ad.AS_OF).cast("timestamp").alias("modified"))
+    out = lo.memory_events(notes)
+    return out.select(F.regexp_extract("memory_path", r"note(\d+)\.md$", 1).alias("id"), "event_id", "type", "summary", "body", "project")
+
+
+@query("SELECT event_id, event_type AS type, CAST(user_id AS VARCHAR) AS session_id FROM events")
+def dual_written(spark, sf_dir):
+    """The unified table after the events were written in two overlapping parts, the second twice."""
+    e = ad.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("session_id"), "value")
+    domain, unified = new_path(spark, "domain"), new_path(spark, "unified")
+    for part in (e.where("event_id % 3 < 2"), e.where("event_id % 3 > 0"), e.where("event_id % 3 > 0")):
+        lo.dual_sink(part, domain, unified)
+    return spark.read.parquet(unified).select("event_id", "type", "session_id")
+
+
+@query("SELECT event_id, event_type AS type, CAST(0.5 AS DOUBLE) AS salience FROM events")
+def enriched_log(spark, sf_dir):
+    """A log written with a weight as a new version, and read back."""
+    e = ad.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), cl.salience(F.col("event_type")).alias("salience"))
+    return spark.read.parquet(lo.write_enriched(e, new_path(spark, "enriched"), "2024-02-01")).select("event_id", "type", "salience")
+
+
+@query("SELECT vec_id, CAST(CASE WHEN vec_id % 2 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS salience, CAST(NULL AS VARCHAR) AS parent_event_id, len(embedding) AS size FROM embeddings")
+def stored_vectors(spark, sf_dir):
+    """Vectors written with a weight for every second one, read back with the defaults."""
+    path = new_path(spark, "vectors")
+    ad.vectors(spark, sf_dir).withColumn("salience", F.when(F.col("vec_id") % 2 == 0, 0.9)).write.parquet(path)
+    return lo.read_vectors(spark, path).select("vec_id", "salience", "parent_event_id", F.size("embedding").cast("long").alias("size"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM events")
+def ordered_events(spark, sf_dir):
+    """The place of each event in the listing, newest first."""
+    e = ad.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ordered = lo.order_events(e).select("event_id")
+    # a sorted frame's partitions are ranges in order, so places are counts before each partition plus the row's own place
+    numbered = ordered.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    numbered = stored(numbered, "ordered-events")
+    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row for each partition
+    return numbered.join(before, "part").select("event_id", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
+
+
 # --- transcripts -----------------------------------------------------------------------
 
 

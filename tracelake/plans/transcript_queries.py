@@ -142,3 +142,26 @@ def tool_calls_join(spark, sf_dir):
 @query(f"WITH {M}, {PHASES}, z AS (SELECT session_id, count(*) AS n FROM x GROUP BY session_id) SELECT m.session_id, count(*) AS message_count, any_value(coalesce(CASE WHEN l.session_id IS NULL THEN 0 ELSE n END, 0)) AS compactions, false AS ongoing FROM m LEFT JOIN l USING (session_id) LEFT JOIN z USING (session_id) GROUP BY m.session_id")
 def session_summaries(spark, sf_dir):
     return tr.session_summary(ad.messages(spark, sf_dir)).select("session_id", "message_count", F.col("compactions").cast("long"), "ongoing")
+
+
+@query(f"WITH {M}, {PHASES}, k0 AS (SELECT session_id, phase, CAST(pre AS DOUBLE) AS pre FROM x WHERE pre > 0), z AS (SELECT session_id, sum(pre) AS past FROM k0 GROUP BY session_id) SELECT session_id, CAST(phase AS BIGINT) AS phase, round(sum(pre) OVER (PARTITION BY session_id ORDER BY phase ROWS UNBOUNDED PRECEDING) / (past + coalesce(last, 0)), 6) AS share FROM k0 JOIN z USING (session_id) LEFT JOIN l USING (session_id)")
+def context_splits(spark, sf_dir):
+    m = ad.messages(spark, sf_dir)
+    last = m.where((F.col("type") == "assistant") & (tr.context_tokens() > 0)).groupBy("session_id").agg(F.max_by(tr.context_tokens(), "ordinal").alias("context_tokens"))
+    return se.phase_splits(last, tr.compaction_events(m))
+
+
+PREDICATE_TEXTS = ["hello", " ", "<system-reminder>x</system-reminder>", "<local-command-stdout></local-command-stdout>", "[Request interrupted by user]", "<local-command-stderr>oh"]
+
+
+@query("""WITH p AS (SELECT conv_id AS session_id, turn AS ordinal, role, CAST((conv_id + turn) % 6 AS INTEGER) AS i, turn % 11 = 0 AS meta FROM conversations)
+SELECT session_id, ordinal, role = 'user' AND NOT meta AND i IN (0, 4) AS user_chunk, role = 'system' OR (role = 'user' AND i IN (2, 3, 4)) OR (role = 'assistant' AND ordinal % 5 = 0) AS hard_noise, role = 'system' AS compact FROM p""")
+def message_predicates(spark, sf_dir):
+    """Messages whose text is one of six, some of them meta, some of a synthetic model."""
+    number = ((F.col("conv_id") + F.col("turn")) % len(PREDICATE_TEXTS) + 1).cast("int")
+    block = "array<struct<type:string,text:string>>"
+    m = ad.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("ordinal"), F.col("role").alias("type"), (F.col("turn") % 11 == 0).alias("isMeta"), (F.col("role") == "system").alias("isCompactSummary"),
+        F.when(F.col("turn") % 5 == 0, "<synthetic>").otherwise("m").alias("model"), F.element_at(F.array(*[F.lit(t) for t in PREDICATE_TEXTS]), number).alias("text"), F.lit(None).cast(block).alias("blocks"),
+    )
+    return m.select("session_id", "ordinal", tr.is_user_chunk().alias("user_chunk"), tr.is_hard_noise().alias("hard_noise"), tr.is_compact().alias("compact"))
