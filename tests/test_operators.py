@@ -184,3 +184,15 @@ def test_tables_on_disk(spark, tmp_path):
     assert spark.read.parquet(target).count() == 1
     judged = spark.createDataFrame([(1, "novel"), (2, "novel")], "vec_id long, verdict string")
     assert vx.gate_counts(judged).first()["count"] == 2
+
+
+def test_overlaps_in_a_busy_cell(spark, monkeypatch):
+    """Chunks of three: every pair of a busy cell once, whatever the lengths."""
+    monkeypatch.setattr(se, "CHUNK", 3)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(f"s{i:02}", base + dt.timedelta(seconds=37 * i), base + dt.timedelta(seconds=37 * i + (4000 if i % 9 == 0 else 60 + i)), f"p{i % 2}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "session_id string, start_ts timestamp, end_ts timestamp, project string")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] < b[2] and b[1] < a[2])
+    assert sorted((r["a"], r["b"]) for r in se.session_overlaps(frame).collect()) == want
+    project = {r[0]: r[3] for r in rows}
+    assert sorted((r["a"], r["b"]) for r in se.session_overlaps(frame, by="project").collect()) == [(a, b) for a, b in want if project[a] == project[b]]

@@ -11,6 +11,8 @@ from tracelake.functions.classify import high_signal
 from tracelake.functions.text import session_line
 from tracelake.operators.vectors import _cut
 
+CHUNK = 1024
+
 
 def seconds(ts: str | Column) -> Column:
     """Seconds of a time with its fraction."""
@@ -53,20 +55,34 @@ def session_rollup(events: DataFrame, cutoff: Column | None = None, most_events:
     return out
 
 
-def _cells(lo: Column, hi: Column, cell_seconds: int) -> Column:
+def _cells(lo: Column, hi: Column, cell_seconds: float) -> Column:
     return F.sequence(F.floor(lo / cell_seconds).cast("long"), F.floor(hi / cell_seconds).cast("long"))
 
 
-def session_overlaps(sessions: DataFrame, cell_seconds: int = 21_600) -> DataFrame:
+def _mean_length(rows: DataFrame) -> float:
+    """Mean of hi - lo, a second at least: cells of this width are about two for each row, however long some rows are."""
+    return max(1.0, rows.agg(F.avg(F.col("hi") - F.col("lo")).alias("m")).first()["m"] or 1.0)
+
+
+def session_overlaps(sessions: DataFrame, cell_seconds: float | None = None, by: str | None = None) -> DataFrame:
     """(a, b, overlap_start, overlap_end) of sessions that share time, a < b; touching ends don't count.
 
-    Sessions meet in the cells of time they cover; a pair is made in its first common cell.
+    Sessions meet in the cells of time they cover, of the sessions' mean length by default;
+    a pair is made in its first common cell.  The sessions of a busy cell meet in pairs
+    of chunks of about CHUNK, each pair apart.  `by` joins only sessions equal in that column.
     """
-    rows = sessions.select("session_id", "start_ts", "end_ts", seconds("start_ts").alias("lo"), seconds("end_ts").alias("hi"))
-    spread = rows.withColumn("cell", F.explode(_cells(F.col("lo"), F.col("hi"), cell_seconds)))
-    x, y = spread.alias("x"), spread.alias("y")
-    first = F.floor(F.greatest("x.lo", "y.lo") / cell_seconds)
-    meets = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.session_id") < F.col("y.session_id")) & (F.col("x.lo") < F.col("y.hi")) & (F.col("y.lo") < F.col("x.hi")) & (F.col("x.cell") == first)
+    keys = ["cell", *([by] if by else [])]
+    rows = sessions.select("session_id", "start_ts", "end_ts", *keys[1:], seconds("start_ts").alias("lo"), seconds("end_ts").alias("hi"))
+    width = cell_seconds or _mean_length(rows)
+    spread = rows.withColumn("cell", F.explode(_cells(F.col("lo"), F.col("hi"), width)))
+    chunks = spread.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    dealt = spread.join(chunks, keys).withColumn("chunk", F.pmod(F.xxhash64("session_id"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).drop("chunks", "other")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    same = functools.reduce(Column.__and__, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (*keys, "low", "high")])
+    sides = (F.col("x.low") == F.col("x.high")) | (F.col("x.chunk") != F.col("y.chunk"))
+    first = F.floor(F.greatest("x.lo", "y.lo") / width)
+    meets = same & sides & (F.col("x.session_id") < F.col("y.session_id")) & (F.col("x.lo") < F.col("y.hi")) & (F.col("y.lo") < F.col("x.hi")) & (F.col("x.cell") == first)
     return x.join(y, meets).select(F.col("x.session_id").alias("a"), F.col("y.session_id").alias("b"), F.greatest("x.start_ts", "y.start_ts").alias("overlap_start"), F.least("x.end_ts", "y.end_ts").alias("overlap_end"))
 
 

@@ -158,8 +158,7 @@ def session_rollup(spark, sf_dir):
 def session_overlaps(spark, sf_dir):
     """Overlapping sessions of the same project."""
     s = se.session_rollup(ad.events(spark, sf_dir), most_events=0)
-    project = lambda side: s.select(F.col("session_id").alias(side), F.col("project").alias(f"{side}_project"))
-    pairs = se.session_overlaps(s).join(project("a"), "a").join(project("b"), "b").where("a_project = b_project")
+    pairs = se.session_overlaps(s, by="project")
     return pairs.select("a", "b", F.unix_micros("overlap_start").alias("start_us"), F.unix_micros("overlap_end").alias("end_us"))
 
 
