@@ -132,7 +132,7 @@ def coterms(index: Index, keywords: DataFrame, n: int = 6, share: float = 0.05)
     return scored.select("keyword", "term", "co", "score", rank.alias("rank")).where(F.col("rank") <= min(n, 20))
 
 
-def substring_scan(docs: DataFrame, queries: DataFrame, per_source: int = 20, excerpt: int = 150, block: int = 1000) -> DataFrame:
+def substring_scan(docs: DataFrame, queries: DataFrame, per_source: int | None = 20, excerpt: int = 150, block: int = 1000) -> DataFrame:
     """(query_id, source, doc_id, excerpt, rank): texts that contain a query, whatever the case, unranked; a baseline.
 
     Each block of queries is one array that every text is tested against in a single scan.
@@ -147,7 +147,7 @@ def substring_scan(docs: DataFrame, queries: DataFrame, per_source: int = 20, ex
         hits = line.select("doc_id", "source", "text", F.explode(F.filter("asked", lambda q: F.contains(F.col("line"), q["needle"]))).alias("q"))
         out = hits if out is None else out.union(hits)
     rank = F.row_number().over(Window.partitionBy("q.query_id", "source").orderBy("doc_id"))
-    return out.select(F.col("q.query_id").alias("query_id"), "source", "doc_id", F.substring("text", 1, excerpt).alias("excerpt"), rank.alias("rank")).where(F.col("rank") <= per_source)
+    return out.select(F.col("q.query_id").alias("query_id"), "source", "doc_id", F.substring("text", 1, excerpt).alias("excerpt"), rank.alias("rank")).where(F.lit(True) if per_source is None else F.col("rank") <= per_source)
 
 
 def find_in_messages(messages: DataFrame, terms: str, by_message: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators.index import Index, build_index
 from tracelake.operators.sessions import segment
+from tracelake.sources.tables import exists
 
 SESSION_GAP = 6 * 3600
 PARENT_WINDOW = 3600
@@ -33,7 +34,8 @@ _INDEXES: dict[tuple[str, str], Index] = {}
 def index(spark: SparkSession, sf_dir: str) -> Index:
     """Index of the documents, built once for a session and folder and then read by all queries."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
+    known = _INDEXES.get(key)
+    if known is None or not all(exists(spark, f) for f in known.postings.inputFiles()[:1]):  # a cleared folder takes it along
         _INDEXES[key] = build_index(corpus(spark, sf_dir))
     return _INDEXES[key]
 

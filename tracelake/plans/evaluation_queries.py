@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.operators import evaluate as ev
+from tracelake.operators import index as ix
 from tracelake.plans import adapters as ad
 from tracelake.plans.catalogue import query
 from tracelake.plans.search_queries import BM25, VECTORS, hits, near
 
-JUDGED = f"""{BM25}, {VECTORS}, h AS (SELECT query_id, doc_id, rank, 'bm25' AS mode FROM r WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank, 'semantic' FROM k WHERE rank <= 50),
+JUDGED = f"""{BM25}, {VECTORS}, h AS (SELECT query_id, doc_id, rank, 'bm25' AS mode FROM r WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank, 'semantic' FROM k WHERE rank <= 50
+UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id), 'scan' FROM benchmark JOIN documents ON contains(lower(documents.text), lower(benchmark.text)) WHERE benchmark.text <> ''),
 j AS (SELECT h.*, quality AS grade, CASE WHEN toxic = 1 THEN 'toxic' END AS noise FROM h LEFT JOIN labels USING (doc_id)),
 pr AS (SELECT mode, query_id, {", ".join(f"round(count(*) FILTER (WHERE rank <= {k} AND coalesce(grade, 0) > 0) / least({k}, count(*)), 6) AS p_at_{k}" for k in (5, 10, 20))}, count(*) AS hits FROM j GROUP BY mode, query_id)"""
 
 
 def judged(spark, sf_dir):
+    """The first hits of each mode with their labels; a scan's hits stand in order of their ids."""
     labels = ad.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade"), F.when(F.col("toxic") == 1, "toxic").alias("noise"))
     both = hits(spark, sf_dir, 50).select("query_id", "doc_id", "rank", F.lit("bm25").alias("mode")).union(near(spark, sf_dir).select("query_id", "doc_id", "rank", F.lit("semantic")))
-    return both.join(labels, "doc_id", "left")
+    found = ix.substring_scan(ad.table(spark, sf_dir, "documents").select("doc_id", F.lit("scan").alias("source"), "text"), ad.queries(spark, sf_dir), per_source=None)
+    every = both.union(found.select("query_id", "doc_id", "rank", F.col("source").alias("mode")))
+    return every.join(labels, "doc_id", "left")
 
 
 @query(f"WITH {JUDGED} SELECT * FROM pr")
