@@ -162,7 +162,7 @@ def session_overlaps(spark, sf_dir):
     return pairs.select("a", "b", F.unix_micros("overlap_start").alias("start_us"), F.unix_micros("overlap_end").alias("end_us"))
 
 
-@query()
+@query(f"WITH {EVENTS}, {ROLL} SELECT a.session_id AS a, b.session_id AS b, greatest(a.start_us, b.start_us) AS start_us, least(a.end_us, b.end_us) AS end_us FROM n a JOIN n b ON a.session_id < b.session_id AND a.start_us < b.end_us AND b.start_us < a.end_us")
 def session_overlaps_all(spark, sf_dir):
     """All pairs of overlapping sessions, of the same project or not."""
     pairs = se.session_overlaps(se.session_rollup(ad.events(spark, sf_dir), most_events=0))

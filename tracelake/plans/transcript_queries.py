@@ -125,7 +125,8 @@ def noise_classes(spark, sf_dir):
     return t.select("conv_id", "turn", kind.alias("noise"), noise_summary(F.col("text"), kind).alias("label"))
 
 
-@query()
+@query("""SELECT c.conv_id AS session_id, 't-' || c.conv_id || '-' || (c.turn // 2) AS tool_use_id, 'Bash' AS name, c.text AS command, c.turn AS ordinal, r.turn AS result_ordinal
+FROM conversations c LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 WHERE c.turn % 2 = 0""")
 def tool_calls_join(spark, sf_dir):
     """User turns as calls of a tool and the assistant turns after them as results, rendered as blocks and joined."""
     c = ad.table(spark, sf_dir, "conversations")
