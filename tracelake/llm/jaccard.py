@@ -39,7 +39,7 @@ from tracelake.llm.shared import connected_components, drop_stored, stored
 
 WORDS = 16
 HOT = 8
-CHUNK = 256
+CHUNK = 4096
 ENTRIES_PER_BUCKET = 1_000_000
 _U = np.uint64
 
