@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import cap_filters, decontaminate, jaccard, lattice_lm, line_dedup, piece_codec, quality, token_files, url_rules, warc
+from tracelake.llm import cap_filters, decontaminate, jaccard, lattice_lm, line_dedup, piece_codec, quality, secrets, token_files, url_rules, warc
 from tracelake.llm.shared import stored
 
 
@@ -66,8 +66,12 @@ def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op4_lattice_lm, op5_importance_resampling, op6_cap_filters, op7_warc_fixity, op8_parity_join, op9_token_files, op10_url_rules)}
+    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op4_lattice_lm, op5_importance_resampling, op6_cap_filters, op7_warc_fixity, op8_parity_join, op9_token_files, op10_url_rules, op13_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
