@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import cap_filters, conversation_trie, decontaminate, jaccard, lattice_lm, line_dedup, piece_codec, quality, secrets, token_files, url_rules, warc
+from tracelake.llm import cap_filters, conversation_trie, decontaminate, jaccard, lattice_lm, line_dedup, piece_codec, quality, secrets, token_alignment, token_files, url_rules, warc
 from tracelake.llm.shared import stored
 
 
@@ -66,6 +66,10 @@ def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
@@ -75,7 +79,7 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op4_lattice_lm, op5_importance_resampling, op6_cap_filters, op7_warc_fixity, op8_parity_join, op9_token_files, op10_url_rules, op12_conversation_trie, op13_secret_scan)}
+    return {f.__name__: f for f in (op1_piece_codec, op2_line_dedup, op3_decontaminate, op4_lattice_lm, op5_importance_resampling, op6_cap_filters, op7_warc_fixity, op8_parity_join, op9_token_files, op10_url_rules, op11_token_alignment, op12_conversation_trie, op13_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
