@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import tokenize
-from tracelake.sources.tables import stored
+from tracelake.sources.tables import new_path, remove, short_shuffles, stored
 
 # Words never offered as co-terms.
 STOP_WORDS = (
@@ -17,44 +23,201 @@ STOP_WORDS = (
 )
 
 
-@dataclass
+#: Postings of one row of an index; blocks of a term stand in order of falling impact.
+BLOCK = 128
+#: Postings of a bucket, as long as there are no more than MOST_BUCKETS of them; beyond that buckets grow.
+BUCKET, MOST_BUCKETS = 1 << 18, 200_000
+#: Segments of an index before its smallest ones are put together.
+MOST_SEGMENTS = 8
+K1, B = 1.2, 0.75
+
+
+def _block_fields(kind: str) -> str:
+    return f"term string, doc_ids array<{kind}>, tfs array<long>, dls array<long>, max_tf long, min_dl long"
+
+
+def _read_blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Blocks of a segment; one without postings has no file to tell their schema."""
+    return spark.read.schema(f"{_block_fields(kind)}, bucket int").parquet(f"{path}/blocks")
+
+
+@dataclass(frozen=True)
+class Segment:
+    """One stored part of an index, with documents of its own.
+
+    blocks (bucket, term, doc_ids, tfs, dls, max_tf, min_dl): ranges of terms, a folder for each
+    range; buckets (bucket, low, high): first and last term of each; docs (doc_id, dl);
+    terms (term, df).
+    """
+
+    spark: SparkSession
+    path: str
+
+    def table(self, name: str) -> DataFrame:
+        if name != "blocks":
+            return self.spark.read.parquet(f"{self.path}/{name}")
+        return _read_blocks(self.spark, self.path, self.table("docs").schema["doc_id"].dataType.simpleString())
+
+    def blocks(self, terms: DataFrame) -> DataFrame:
+        """Blocks of the buckets that hold any of the terms; other files are not opened."""
+        spans = self.table("buckets").orderBy("low", "high").collect()  # one row for each file of postings
+        if not spans:
+            return self.table("blocks").limit(0)
+        lows, highs = (np.array([r[c] for r in spans], object) for c in ("low", "high"))
+
+        @F.pandas_udf("array<int>")
+        def buckets(term: pd.Series) -> pd.Series:
+            first, last = np.searchsorted(highs, term, "left"), np.searchsorted(lows, term, "right")
+            return pd.Series([list(range(x, y)) for x, y in zip(first, last, strict=True)])
+
+        asked = terms.select(F.explode(buckets("term")).alias("place")).distinct().collect()  # no more than there are files
+        wanted = sorted(spans[r["place"]]["bucket"] for r in asked)
+        blocks = self.table("blocks")
+        return blocks if len(wanted) == len(spans) else blocks.where(F.col("bucket").isin(*wanted) if wanted else F.lit(False))
+
+
+@dataclass(frozen=True)
 class Index:
-    """postings (term, doc_id, tf), docs (doc_id, dl), terms (term, df) and corpus, one row (n, avgdl)."""
+    """Segments whose documents are disjoint; what they count apart is summed when it is read."""
+
+    segments: tuple[Segment, ...]
+
+    def _all(self, name: str) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, (s.table(name) for s in self.segments))
 
-    postings: DataFrame
-    docs: DataFrame
-    terms: DataFrame
-    corpus: DataFrame
+    @property
+    def postings(self) -> DataFrame:
+        """(term, doc_id, tf)."""
+        each = self._all("blocks").select("term", F.explode(F.arrays_zip("doc_ids", "tfs")).alias("p"))
+        return each.select("term", F.col("p.doc_ids").alias("doc_id"), F.col("p.tfs").alias("tf"))
 
-    @staticmethod
-    def of(postings: DataFrame) -> Index:
-        docs = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-        terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        return Index(postings, docs, terms, docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+    @property
+    def docs(self) -> DataFrame:
+        """(doc_id, dl) of documents with terms."""
+        return self._all("docs")
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, df)."""
+        each = self._all("terms")
+        return each if len(self.segments) == 1 else each.groupBy("term").agg(F.sum("df").alias("df"))
+
+    @property
+    def corpus(self) -> DataFrame:
+        """One row (n, avgdl)."""
+        return self.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+    def blocks(self, terms: DataFrame) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, (s.blocks(terms) for s in self.segments))
 
 
 def postings(docs: DataFrame, text: Column | str = "text", **how) -> DataFrame:
-    """Term counts of each document; a document without terms has no rows."""
-    words = docs.select("doc_id", F.explode(tokenize(F.col(text) if isinstance(text, str) else text, **how)).alias("term"))
-    return words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, doc_id, tf, dl): term counts of each document and its length; a document without terms has no rows.
+
+    Each document is counted before the shuffle, as it is one row.
+    """
+    tokens = tokenize(F.col(text) if isinstance(text, str) else text, **how)
+    words = docs.select("doc_id", tokens.alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    return words.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _packed(counted: DataFrame, bucket: int) -> DataFrame:
+    """Postings in order of term and falling impact as blocks of up to BLOCK, in ranges of about `bucket` postings."""
+    ranges = min(MOST_BUCKETS, max(1, -(-counted.count() // bucket)))
+    most = counted.agg(F.avg("dl").alias("dl")).first()["dl"] or 1.0
+    impact = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / most))
+    order = [F.col("term"), impact.desc(), F.col("doc_id")]
+    kind = counted.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([kept, table]).combine_chunks() if kept is not None else table
+            starts = _block_starts(table)
+            yield from _blocks(table.slice(0, starts[-1]), starts)
+            kept = table.slice(starts[-1])
+        if kept is not None and kept.num_rows:
+            kept = kept.combine_chunks()
+            yield from _blocks(kept, [*_block_starts(kept), kept.num_rows])
+
+    sorted_ = counted.select("term", "doc_id", "tf", "dl").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return sorted_.mapInArrow(pack, _block_fields(kind)).withColumn("bucket", F.spark_partition_id())
+
+
+def _block_starts(table: pa.Table) -> list[int]:
+    term = table["term"].combine_chunks()
+    if not len(term):
+        return [0]
+    new = np.concatenate([[0], np.flatnonzero(np.asarray(pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)))) + 1])
+    place = np.arange(len(term)) - np.repeat(new, np.diff(np.append(new, len(term))))
+    return np.flatnonzero(place % BLOCK == 0).tolist()
+
+
+def _blocks(table: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
+    """One row for each stretch between two starts."""
+    if len(starts) < 2:
+        return
+    offsets = pa.array(starts, pa.int32())
+    flat = {c: table[c].combine_chunks() for c in ("doc_id", "tf", "dl")}
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in flat.values()]
+    least = np.minimum.reduceat(np.asarray(flat["dl"]), starts[:-1])
+    most = np.maximum.reduceat(np.asarray(flat["tf"]), starts[:-1])
+    yield pa.RecordBatch.from_arrays([table["term"].combine_chunks().take(pa.array(starts[:-1])), *lists, pa.array(most), pa.array(least)], ["term", "doc_ids", "tfs", "dls", "max_tf", "min_dl"])
+
+
+def write_segment(counted: DataFrame, path: str, bucket: int = BUCKET) -> Segment:
+    """Store postings (term, doc_id, tf, dl) as a segment."""
+    spark = counted.sparkSession
+    with short_shuffles(spark):
+        counted.write.mode("overwrite").parquet(f"{path}/counted")
+        counted = spark.read.schema(counted.schema).parquet(f"{path}/counted")
+        _packed(counted, bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+        found = _read_blocks(spark, path, counted.schema["doc_id"].dataType.simpleString())
+        # a term's blocks lie side by side, so most of its count is done before the shuffle
+        found.groupBy("term").agg(F.sum(F.size("doc_ids")).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        found.groupBy("bucket").agg(F.min("term").alias("low"), F.max("term").alias("high")).coalesce(1).write.mode("overwrite").parquet(f"{path}/buckets")
+        counted.groupBy("doc_id").agg(F.first("dl").alias("dl")).write.mode("overwrite").parquet(f"{path}/docs")
+    remove(spark, f"{path}/counted")
+    return Segment(spark, path)
+
+
+def first_of_id(docs: DataFrame, text: str = "text", order: str = "ord") -> DataFrame:
+    """(doc_id, text): of documents that share an id, the first by `order`, or without such a column the smallest text."""
+    return docs.groupBy("doc_id").agg((F.min_by(text, order) if order in docs.columns else F.min(text)).alias(text))
+
+
+def build_index(docs: DataFrame, text: str = "text", distinct: bool = False, path: str | None = None, bucket: int = BUCKET, **how) -> Index:
+    """Index of (doc_id, text) in one segment, at `path` or in a new shared folder.
+
+    Where ids repeat, the first document by the column `ord` counts, or without one that of
+    the smallest text.  `distinct` says that ids don't repeat and saves the shuffle.
+    """
+    docs = docs if distinct else first_of_id(docs, text)
+    return Index((write_segment(postings(docs, text, **how), path or new_path(docs.sparkSession, "index"), bucket),))
 
 
-def build_index(docs: DataFrame, text: str = "text", distinct: bool = True, **how) -> Index:
-    """Index of (doc_id, text), its postings stored once, from which the rest is counted.
+def update_index(index: Index, new_docs: DataFrame, text: str = "text", most: int = MOST_SEGMENTS, path: str | None = None, **how) -> Index:
+    """Index with documents added as a segment; ids it has already stay as they are.
 
-    Where ids repeat and an `ord` column says which came first, that one counts.
+    Of the index only the documents' table is read.  Beyond `most` segments the smaller half
+    become one.
     """
-    if "ord" in docs.columns:
-        docs = docs.groupBy("doc_id").agg(F.min_by(text, "ord").alias(text))
-    elif not distinct:
-        docs = docs.dropDuplicates(["doc_id"])
-    return Index.of(stored(postings(docs, text, **how), "postings"))
+    spark = new_docs.sparkSession
+    fresh = first_of_id(new_docs, text).join(index.docs.select("doc_id"), "doc_id", "left_anti")
+    added = write_segment(postings(fresh, text, **how), path or new_path(spark, "index"))
+    return merge_segments(Index((*index.segments, added)), most)
 
 
-def update_index(index: Index, new_docs: DataFrame, text: str = "text", **how) -> Index:
-    """Index with documents added; ids it has already stay as they are."""
-    fresh = new_docs.join(index.docs.select("doc_id"), "doc_id", "left_anti")
-    return Index.of(index.postings.unionByName(stored(postings(fresh, text, **how), "postings")))
+def merge_segments(index: Index, most: int = MOST_SEGMENTS) -> Index:
+    """Put the smaller half of the segments together once there are more than `most`; a document so moves a logarithmic number of times."""
+    if len(index.segments) <= most:
+        return index
+    sized = sorted(index.segments, key=lambda s: s.table("docs").count())
+    small, rest = Index(tuple(sized[: len(sized) - most // 2])), sized[len(sized) - most // 2 :]
+    each = small._all("blocks").select("term", F.explode(F.arrays_zip("doc_ids", "tfs", "dls")).alias("p"))
+    merged = write_segment(each.select("term", F.col("p.doc_ids").alias("doc_id"), F.col("p.dls").alias("dl"), F.col("p.tfs").alias("tf")), new_path(small.segments[0].spark, "index"))
+    return Index((*rest, merged))
 
 
 def query_terms(queries: DataFrame, text: str = "query", **how) -> DataFrame:
@@ -80,16 +243,45 @@ def expand_wildcards(queries: DataFrame, terms: DataFrame, text: str = "query",
     return found.select("query_id", "term").union(bare).union(plain).distinct().withColumn("qtf", F.lit(1).cast("long"))
 
 
-def bm25(index: Index, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) of documents with a positive score for query terms (query_id, term, qtf).
+def _weighed(index: Index, terms: DataFrame) -> DataFrame:
+    """Query terms (query_id, term, qtf) with idf and avgdl; those in half of the documents or more weigh nothing and leave."""
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return terms.join(index.terms, "term").crossJoin(F.broadcast(index.corpus)).withColumn("idf", idf).where("idf > 0")  # corpus is one row
+
+
+def _part(tf: Column, dl: Column, k1: float, b: float) -> Column:
+    return F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+
+
+def _scores(blocks: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, doc_id, score) summed over the postings of blocks that stand beside query terms."""
+    each = blocks.select("query_id", "qtf", "idf", "avgdl", F.explode(F.arrays_zip("doc_ids", "tfs", "dls")).alias("p"))
+    return each.select("query_id", F.col("p.doc_ids").alias("doc_id"), _part(F.col("p.tfs"), F.col("p.dls"), k1, b).alias("part")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+
 
-    Terms in half of the documents or more weigh nothing and leave before the postings are joined.
+def bm25(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score) of all documents with a positive score for query terms (query_id, term, qtf)."""
+    weighed = _weighed(index, terms)
+    return _scores(weighed.join(index.blocks(weighed.select("term").distinct()), "term"), k1, b).where("score > 0")
+
+
+def bm25_top(index: Index, terms: DataFrame, n: int, k1: float = K1, b: float = B, digits: int = 5) -> DataFrame:
+    """(query_id, doc_id, score, rank) of the first n of `rank_hits`, without the blocks that cannot reach them.
+
+    The first block of each term gives n documents a score that their full one cannot fall
+    below; the n-th of these is the query's bar.  A block is left out if its best possible
+    part and those of the query's other terms stay below the bar: none of its documents is among the first n.
     """
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = terms.join(index.terms, "term").crossJoin(F.broadcast(index.corpus)).withColumn("idf", idf).where("idf > 0")  # corpus is one row
-    hits = weighed.select("query_id", "term", "qtf", "idf", "avgdl").join(index.postings, "term").join(index.docs, "doc_id")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
+    weighed = stored(_weighed(index, terms), "query-terms")
+    found = weighed.join(index.blocks(weighed.select("term").distinct()), "term").withColumn("bound", _part(F.col("max_tf"), F.col("min_dl"), k1, b))
+    best = found.groupBy("query_id", "term").agg(F.max("bound").alias("most"))
+    whole = best.groupBy("query_id").agg(F.sum("most").alias("whole"))
+    lead = _scores(found.join(best, ["query_id", "term"]).where("bound = most").drop("most"), k1, b)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    bar = lead.withColumn("place", place).where(F.col("place") == n).select("query_id", F.col("score").alias("bar"))
+    limits = stored(best.join(whole, "query_id").join(bar, "query_id", "left").select("query_id", "term", (F.col("whole") - F.col("most")).alias("others"), F.coalesce("bar", F.lit(0.0)).alias("bar")), "limits")
+    kept = found.join(limits, ["query_id", "term"]).where(F.col("bound") + F.col("others") >= F.col("bar") - 10.0**-digits)
+    return rank_hits(_scores(kept, k1, b).where("score > 0"), n, digits=digits)
 
 
 def search(docs: DataFrame, queries: DataFrame, idf_scope: str = "global", keep: Column | None = None, text: str = "text", query: str = "query") -> DataFrame:

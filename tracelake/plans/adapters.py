@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators.index import Index, build_index
 from tracelake.operators.sessions import segment
-from tracelake.sources.tables import exists
+from tracelake.sources.tables import exists, file_state
 
 SESSION_GAP = 6 * 3600
 PARENT_WINDOW = 3600
@@ -28,16 +28,17 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_INDEXES: dict[tuple[str, str], Index] = {}
+_INDEXES: dict[tuple, Index] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """Index of the documents, built once for a session and folder and then read by all queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Index of the documents as they are now, read by all queries of a session until a file of theirs changes."""
+    docs = corpus(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, file_state(docs))
     known = _INDEXES.get(key)
-    if known is None or not all(exists(spark, f) for f in known.postings.inputFiles()[:1]):  # a cleared folder takes it along
-        _INDEXES[key] = build_index(corpus(spark, sf_dir))
-    return _INDEXES[key]
+    if known is None or not all(exists(spark, s.path) for s in known.segments):  # a cleared folder takes it along
+        _INDEXES[key] = known = build_index(docs)
+    return known
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ b AS (SELECT * FROM h WHERE rank <= CASE dim WHEN 'month' THEN 6 WHEN 'day' THEN
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return hits(spark, sf_dir, 10)
+    return ix.bm25_top(ad.index(spark, sf_dir), ix.query_terms(ad.queries(spark, sf_dir)), 10)
 
 
 @query(f"WITH {BM25.replace('FROM documents)', chr(39).join(['FROM documents WHERE lang = ', 'en', ')']), 1)} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
@@ -95,8 +95,10 @@ def index_postings(spark, sf_dir):
 @query(f"WITH {INDEX} SELECT term, df FROM t")
 def index_incremental(spark, sf_dir):
     docs = ad.corpus(spark, sf_dir)
-    half = ix.build_index(docs.where("doc_id % 2 = 0"))
-    return ix.update_index(half, docs).terms
+    grown = ix.build_index(docs.where("doc_id % 5 = 0"))
+    for part in range(1, 5):  # five segments; what came before is offered again
+        grown = ix.update_index(grown, docs.where(F.col("doc_id") % 5 <= part))
+    return grown.terms
 
 
 @query(f"""WITH {INDEX}, w AS (SELECT DISTINCT ({DOCS})[1][1:2] AS prefix FROM benchmark)

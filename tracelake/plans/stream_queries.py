@@ -21,6 +21,14 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(ad.table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
+def batches(spark: SparkSession, sf_dir: str, name: str, key: str, n: int = 4) -> DataFrame:
+    """A given table as a stream of n batches, dealt by the key."""
+    path, rows = new_path(spark, "stream-in"), ad.table(spark, sf_dir, name)
+    for part in range(n):
+        rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == part).write.mode("append").parquet(f"{path}/part={part}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.select("event_id", "ts", "user_id", "event_type", pick(TYPES, "event_id").alias("type"))
@@ -58,7 +66,8 @@ def stream_logs_once(spark, sf_dir):
 @query(f"WITH {INDEX} SELECT term, doc_id, tf FROM p")
 def stream_index(spark, sf_dir):
     path = new_path(spark, "stream-index")
-    return run(stream(spark, sf_dir, "documents").select("doc_id", "text"), st.index_sink(path), path=path).select("term", "doc_id", "tf")
+    st.run_available(batches(spark, sf_dir, "documents", "doc_id").select("doc_id", "text"), st.index_sink(path), new_path(spark, "stream-state")).awaitTermination()
+    return st.read_index(spark, path).postings
 
 
 @query("""WITH l AS (SELECT event_id, lag(event_id) OVER w AS before, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))

@@ -45,3 +45,28 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Folders directly below a path, in order of their names; none if it is not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(p):
+        return []
+    return sorted(str(f.getPath().toString()) for f in files.listStatus(p) if f.isDirectory())
+
+
+def file_state(frame: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """Name, bytes and time of the last change of each file that a frame reads."""
+    spark, out = frame.sparkSession, []
+    for file in sorted(frame.inputFiles()):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        status = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+        out.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(out)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tracelake.functions.classify import high_signal
-from tracelake.operators.index import Index, postings
+from tracelake.operators.index import Index, Segment, first_of_id, postings, write_segment
 from tracelake.operators.vectors import novelty_gate
 from tracelake.sources.logs import EVENT_FIELDS, new_only
-from tracelake.sources.tables import exists
+from tracelake.sources.tables import exists, subfolders
 
 WATERMARK = "10 minutes"
 
@@ -52,20 +52,26 @@ def stream_dedupe(stream: DataFrame, key: str = "event_id", ts: str = "ts", with
 
 
 def index_sink(path: str, text: str = "text") -> Callable[[DataFrame, int], None]:
-    """A sink that appends the postings of documents the index lacks."""
+    """A sink that adds each batch to an index as a segment of its own, named by the batch's number.
 
-    def sink(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        docs = batch.dropDuplicates(["doc_id"])
-        if exists(spark, path):
-            docs = new_only(docs, spark.read.parquet(path).select("doc_id").distinct(), "doc_id")
-        postings(docs, text).write.mode("append").parquet(path)
+    Of what is there only the documents' tables are read.  A batch that comes again writes
+    its segment anew, from the documents of the other segments before it.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark, own = batch.sparkSession, f"{path}/segment-{number:012d}"
+        docs = first_of_id(batch, text)
+        for segment in read_index(spark, path).segments:
+            if segment.path.rsplit("/", 1)[-1] < own.rsplit("/", 1)[-1]:
+                docs = docs.join(segment.table("docs").select("doc_id"), "doc_id", "left_anti")
+        write_segment(postings(docs, text), own)
 
     return sink
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index.of(spark.read.parquet(path))
+    """The finished segments at a path; the documents' table is written last."""
+    return Index(tuple(Segment(spark, p) for p in subfolders(spark, path) if exists(spark, f"{p}/docs/_SUCCESS")))
 
 
 def novelty_sink(path: str, reject: float = 0.85, refine: float = 0.70) -> Callable[[DataFrame, int], None]:
