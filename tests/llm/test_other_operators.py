@@ -205,3 +205,29 @@ def test_url_cases(spark):
     got = [(r["page_id"], r["verdict"]) for r in url_rules.judge_urls(pages, labels, min_confidence=0.97).collect()]
     assert len(got) == len(rows)
     assert set(got) == {*((i, "block") for i in range(30)), (None, "block"), (40, "allow"), (41, "allow"), (42, "block")}
+
+
+def test_a_megabyte_url_of_unlike_tokens(spark):
+    url = "http://long.io/" + "/".join("".join("abcdefghij"[int(d)] for d in str(i)) for i in range(170_000))
+    rows = [(i, "http://h.io/spam/x") for i in range(30)] + [(100, url), (101, url + "/spam"), (102, "http://h.io/fine")]
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(30)] + [(100, 1, 0), (102, 1, 0)], "doc_id long, quality int, toxic int")
+    assert len(url) > 1_000_000
+    began = time.time()
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels, min_confidence=0.97).collect()}
+    assert time.time() - began < 60
+    assert got == {**{i: "block" for i in range(30)}, 100: "allow", 101: "block", 102: "allow"}
+
+
+def test_rules_of_equal_confidence(spark):
+    """Two tokens that each stand in all bad pages alone: the last by name is shown, the verdict is the same."""
+    rows = [(i, f"http://h.io/{'aaa' if i % 2 else 'zzz'}") for i in range(60)] + [(i, "http://h.io/fine") for i in range(60, 120)] + [(200, "http://h.io/aaa/zzz")]
+    labels = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_rules.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert (got[200]["verdict"], got[200]["mined"], got[200]["confidence"]) == ("block", "p:zzz", 1.0)
+
+
+def test_repeated_vector_ids(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a), (1, b), (2, a), (2, a), (3, b), (4, [0.0, 0.0, 1.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in cap_filters.cap_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4)]

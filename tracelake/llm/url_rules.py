@@ -120,7 +120,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=HOST_RULES, min_suppor
 
     The longest explicit rule decides; without one, a page is blocked if a mined rule
     holds for its url, that is, if the url has a token of each of the rule's classes;
-    else it is allowed.  `mined` is the most confident mined rule, null if none holds.
+    else it is allowed.  `mined` is the most confident mined rule, of equals the last by
+    its classes, null if none holds.
     Null urls and urls without :// have empty host and path and no tokens, and are
     allowed.  Repeated rows are judged alike, null page ids pass and have no label;
     labels that are null don't make a page bad; other columns of the tables are
@@ -128,27 +129,28 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=HOST_RULES, min_suppor
     """
     url = F.col("url")
     rule, verdict = host_rule(F.col("host"), F.col("path"), rules)
-    own = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("tokens")).withColumns({"rule": rule, "given": verdict})
+    own = pages.select("page_id", F.xxhash64("url").alias("u1"), F.xxhash64(F.lit("second"), "url").alias("u2"), host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("tokens")).withColumns({"rule": rule, "given": verdict})
     known = stored(_labelled(pages, labels), "labelled-pages")
     classes = stored(token_classes(known), "token-classes")
     mined = stored(mine_classes(known, classes, min_support, min_confidence), "rules")
     used = classes.join(mined.select(F.explode("classes").alias("class")).distinct(), "class", "left_semi")
+    # a url is carried as two hashes: its tokens are as many as it is long
     held = (
         own.where(F.col("given").isNull() & (F.size("tokens") > 0))
-        .select(F.explode("tokens").alias("token"), "tokens")
+        .select("u1", "u2", F.explode("tokens").alias("token"))
         .distinct()
         .join(used, "token")
-        .groupBy("tokens")
+        .groupBy("u1", "u2")
         .agg(F.collect_set("class").alias("has"))
     )
     met = (
         held.withColumn("key", F.explode("has"))
         .join(mined, "key")
         .where(F.size(F.array_except("classes", "has")) == 0)
-        .groupBy("tokens")
+        .groupBy("u1", "u2")
         .agg(F.max(F.struct("confidence", F.array_join("classes", " ").alias("mined"))).alias("best"))
     )
-    out = own.join(met, "tokens", "left")
+    out = own.drop("tokens").join(met, ["u1", "u2"], "left")
     blocked = F.when(F.col("given").isNull() & F.col("best").isNotNull(), "block").otherwise("allow")
     shown = lambda c: F.when(F.col("given").isNull(), F.col(f"best.{c}"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", blocked).alias("verdict"), shown("mined").alias("mined"), shown("confidence").alias("confidence"))
