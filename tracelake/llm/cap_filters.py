@@ -287,8 +287,10 @@ def cap_links(vectors: DataFrame) -> DataFrame:
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>" if kind == "f4" else "array<double>").alias("embedding"))
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     is_good = F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False))
-    good = rows.where(is_good).withColumn("cls", F.xxhash64("embedding"))
-    classes = stored(good.groupBy("cls").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "vector-classes")
+    names = {"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit("second"), "embedding")}  # 128 bits name a vector
+    good = rows.where(is_good).withColumns(names)
+    classes = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     dimensions = [r["d"] for r in classes.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
     if not dimensions:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -298,9 +300,9 @@ def cap_links(vectors: DataFrame) -> DataFrame:
         found = links if found is None else found.unionAll(links)
     n_links = found.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
     labels = connected_components(found.where("kind = 1").select("a", "b")).withColumnRenamed("v", "cls")
-    joined = classes.select("cls", "vec_id", "n").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls")).join(n_links, "cls", "left")
+    joined = classes.select("cls", "h1", "h2", "vec_id", "n").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls")).join(n_links, "cls", "left")
     smallest = joined.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    known = joined.join(smallest, "component").select("cls", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    keyed = rows.withColumn("cls", F.when(is_good, F.xxhash64("embedding"))).select("vec_id", "cls")
-    out = keyed.join(known, "cls", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    known = joined.join(smallest, "component").select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    keyed = rows.withColumns({name: F.when(is_good, h) for name, h in names.items()}).select("vec_id", "h1", "h2")
+    out = keyed.join(known, ["h1", "h2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
