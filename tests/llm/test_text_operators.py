@@ -135,6 +135,17 @@ def test_jaccard_equals_brute_force(spark, sf_dir):
     assert got == {i: (len(sets[i]), c) for i, c in _components(sets).items()}
 
 
+def test_jaccard_of_a_licence_in_small_chunks(spark, monkeypatch):
+    """60 documents that share a licence, more than a chunk holds, some of them near copies."""
+    monkeypatch.setattr(jaccard, "CHUNK", 3)
+    licence = " ".join(f"licence{i}" for i in range(40))
+    texts = {i: licence + " " + " ".join(f"own{i // 2 if i < 20 else i}x{j}" for j in range(8 if i < 20 else 60)) + (f" last{i}" if i < 20 else "") for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = _components({i: shingles(t) for i, t in texts.items()})
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()} == want
+    assert len(set(want.values())) < 60
+
+
 def test_jaccard_cases(odd_docs, no_docs):
     rows = defaultdict(list)
     for r in jaccard.jaccard_components(odd_docs).collect():
