@@ -18,6 +18,12 @@ from tracelake.llm.shared import stored
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _rows(docs: DataFrame, found: DataFrame, name: str, how: str) -> DataFrame:
+    """The rows of docs that are, or are not, among those found: told by id and the hash of id and text, so that unlike rows never meet by their hash alone."""
+    keys = stored(found.select(F.col("doc_id").alias("key_id"), "row_key").distinct(), name)
+    return docs.join(keys, (F.xxhash64("doc_id", "text") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("key_id")), how)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws; the rest look unlike the labelled good texts.
 
@@ -25,8 +31,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     some of them were drawn, all stay.  Texts that are null or have no words weigh 0; null
     ids are drawn like others; without labels all documents stay.
     """
-    drawn = stored(quality.resample(docs, table(spark, sf_dir, "labels")).select(F.col("row_key").alias("drawn_key")).distinct(), "drawn")
-    return docs.join(drawn, F.xxhash64("doc_id", "text") == F.col("drawn_key"), "left_semi")
+    return _rows(docs, quality.resample(docs, table(spark, sf_dir, "labels")), "drawn", "left_semi")
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +51,19 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group of near copies: the one with the smallest id, those without an id last.
 
     Rows are told apart by id and text: different texts of one id, or without an id,
-    stay unless they are near copies.  Of rows equal in both, one stays.
+    stay unless they are near copies.  Of rows equal in both, the first by its other
+    columns stays.
     """
     found = stored(jaccard.jaccard_rows(docs).select("doc_id", "row_key", "component"), "near-copies")
     first = found.where("component is not null").groupBy("component").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first_key"))
-    gone = stored(found.join(first, "component").where("row_key <> first_key").select(F.col("row_key").alias("gone_key")).distinct(), "gone")
-    left = docs.join(gone, F.xxhash64("doc_id", "text") == F.col("gone_key"), "left_anti")
-    repeated = found.groupBy("row_key").count().where("count > 1").limit(1).count()
-    return left.withColumn("_row", F.xxhash64("doc_id", "text")).dropDuplicates(["_row"]).drop("_row") if repeated else left
+    gone = found.join(first, "component").where("row_key <> first_key")
+    left = _rows(docs, gone, "gone", "left_anti")
+    repeated = found.groupBy("doc_id", "row_key").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return left
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.to_json(F.struct(*rest)) if rest else F.lit(0))
+    return left.groupBy("doc_id", F.xxhash64("doc_id", "text"), F.xxhash64(F.lit("second"), "text")).agg(least.alias("row")).select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +72,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Null and empty texts contain nothing; a null id is like any other, and repeated rows
     stay or go together.
     """
-    leaks = stored(decontaminate.contaminated_rows(docs, table(spark, sf_dir, "benchmark")).select(F.col("row_key").alias("leak_key")).distinct(), "leaks")
-    return docs.join(leaks, F.xxhash64("doc_id", "text") == F.col("leak_key"), "left_anti")
+    return _rows(docs, decontaminate.contaminated_rows(docs, table(spark, sf_dir, "benchmark")), "leaks", "left_anti")
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
