@@ -1,90 +1,14 @@
-"""Nearest vectors by cosine and the novelty gate."""
+"""The novelty gate over nearest vectors, and points of one id."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from decimal import ROUND_HALF_UP, Decimal
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers, in double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def _unit(rows) -> np.ndarray:
-    m = np.asarray(list(rows), np.float64)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-
-def _rounded(s: np.ndarray) -> np.ndarray:
-    """Scores in whole millionths, halves away from zero as F.round takes them."""
-    r = np.floor(np.abs(s) * 1e6 + 0.5)
-    unsure = np.isfinite(s) & (np.abs(np.abs(s) * 1e6 + 0.5 - np.rint(np.abs(s) * 1e6 + 0.5)) < 1e-6)
-    r[unsure] = [float(Decimal(repr(x)).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP)) for x in np.abs(s[unsure]).tolist()]
-    return np.copysign(r, s)
-
-
-def best_of_batch(s: np.ndarray, vec: np.ndarray, k: int) -> np.ndarray:
-    """Which scores (vectors in rows, queries in columns) are among the k best of their column by (rounded score, vec_id)."""
-    keep, by_id = np.zeros(s.shape, bool), np.argsort(vec, kind="stable")
-    for at in range(0, s.shape[1], 256):
-        r = _rounded(s[by_id, at : at + 256])
-        least = -np.partition(-r, k - 1, axis=0)[k - 1]
-        tied = r == least
-        keep[by_id, at : at + 256] = (r > least) | (tied & (np.cumsum(tied, axis=0) <= k - (r > least).sum(axis=0)))
-    return keep
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int | None = 500, floor: float = 0.3, earlier_only: bool = False, allow_self: bool = False) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k nearest of `vectors` (vec_id, embedding) to each query (query_id, embedding).
-
-    Queries go to the tasks in blocks of QUERY_BLOCK, each multiplied with batches of
-    vectors; a task keeps the k best of a query, by rounded score and vec_id, for each
-    batch before the shuffle.  Without k all pairs from `floor` on return, without rank.
-    `earlier_only` compares with smaller ids alone.
-    """
-    spark = queries.sparkSession
-    n = queries.count()
-    out = None
-    for part in range(max(1, -(-n // QUERY_BLOCK))):
-        blocks = max(1, -(-n // QUERY_BLOCK))
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).select("query_id", "embedding").toPandas()  # one block
-        if not len(rows):
-            continue
-        block = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["embedding"])))
-
-        def near(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            ids, q = block.value
-            for pdf in batches:
-                vec = pdf["vec_id"].to_numpy()
-                s = _unit(pdf["embedding"]) @ q.T
-                ok = s >= floor - 1e-6  # rounding may lift a score to the floor
-                if not allow_self:
-                    ok &= vec[:, None] != ids[None, :]
-                if earlier_only:
-                    ok &= vec[:, None] < ids[None, :]
-                s = np.where(ok, s, -np.inf)
-                if k is not None and len(vec) > k:
-                    ok &= best_of_batch(s, vec, k)
-                v, c = np.nonzero(ok)
-                yield pd.DataFrame({"query_id": ids[c], "vec_id": vec[v], "score": s[v, c]})
+from tracelake.operators.neighbours import best_of_batch, cosine, knn, lsh_best
+from tracelake.sources.tables import shared_folder
 
-        found = vectors.select("vec_id", "embedding").mapInPandas(near, "query_id long, vec_id long, score double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double" + ("" if k is None else ", rank int"))
-    rounded = out.withColumn("score", F.round("score", 6)).where(F.col("score") >= floor)
-    if k is None:
-        return rounded
-    return rounded.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+__all__ = ["best_of_batch", "cosine", "dedupe_points", "gate_counts", "knn", "lsh_best", "novelty_gate"]
 
 
 def _gate(best: Column, reject: float, refine: float) -> Column:
@@ -96,8 +20,13 @@ def novelty_gate(candidates: DataFrame, existing: DataFrame, reject: float = 0.8
 
     `existing` compares with the stored vectors, `any_earlier` with candidates of smaller id
     too, `greedy` with stored vectors and candidates accepted earlier: each round accepts
-    those without an undecided or accepted neighbour before them.
+    those without an undecided or accepted neighbour before them.  `lsh` compares with the
+    stored vectors that share a band of hyperplanes: it may miss one in a hundred duplicates,
+    and scores below `reject` are of those it met.  Vectors without a direction are novel.
     """
+    if mode == "lsh":
+        met = lsh_best(candidates.select(F.col("vec_id").alias("query_id"), "embedding"), existing, reject)
+        return met.select(F.col("query_id").alias("vec_id"), "best", _gate(F.coalesce("best", F.lit(-1.0)), reject, refine).alias("verdict"))
     ids = candidates.select(F.col("vec_id").alias("query_id"), "embedding")
     against = knn(ids, existing, k=1, floor=-1.0, allow_self=True).select(F.col("query_id").alias("vec_id"), F.col("score").alias("old"))
     out = candidates.select("vec_id").join(against, "vec_id", "left")
@@ -125,7 +54,7 @@ def _cut(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        context.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint()
 
 

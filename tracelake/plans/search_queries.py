@@ -146,6 +146,13 @@ def novelty_greedy(spark, sf_dir):
     return vx.novelty_gate(v.where("vec_id % 3 <> 0"), v.where("vec_id % 3 = 0"), 0.35, 0.25, "greedy")
 
 
+@query()
+def novelty_lsh(spark, sf_dir):
+    """Repeats among vectors whose id is no multiple of three, found by bands of hyperplanes."""
+    v = ad.vectors(spark, sf_dir)
+    return vx.novelty_gate(v.where("vec_id % 3 <> 0"), v.where("vec_id % 3 = 0"), 0.35, 0.25, "lsh")
+
+
 RRF = """u AS (SELECT query_id, doc_id, {w} / (60 + rank) AS part, {w} AS salience, 'bm25' AS name, 0 AS place FROM r WHERE rank <= 500 UNION ALL SELECT query_id, doc_id, {w} / (60 + rank), {w}, 'semantic', 1 FROM k WHERE rank <= 50),
 z AS (SELECT query_id, doc_id, round(sum(part), 9) AS score, string_agg(name, '+' ORDER BY place) AS sources, max(salience) AS salience FROM u GROUP BY query_id, doc_id)"""
 WEIGHT = "CAST(CASE WHEN doc_id % 10 = 0 THEN 0.5 ELSE greatest(0.05, least(1.0, (doc_id % 10) / 10.0)) END AS DOUBLE)"
