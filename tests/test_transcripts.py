@@ -112,3 +112,19 @@ def test_harvest_reads_escapes_as_the_text_has_them(spark):
     raw = r'{"text": "a\tb C:\\new \/x \"q\" \\\\srv", "other": "no", "command": "one\ntwo\r"}'
     row = spark.createDataFrame([(raw,)], "raw string").select(tr.harvest_text(F.col("raw")).alias("t")).first()
     assert row["t"] == 'a b C:\\new /x "q" \\\\srv one two '
+
+
+def test_queries_over_live_messages_reach_every_case(spark, sf_dir):
+    """Both values of each flag and something in every column, so that the SQL beside them compares more than constants."""
+    from tracelake.plans import transcript_queries as q
+
+    assert {r["ongoing"] for r in q.ongoing_sessions(spark, sf_dir).collect()} == {True, False}
+    spent = q.token_attribution(spark, sf_dir).agg(*(F.max(c).alias(c) for c in tr.CATEGORIES)).first()
+    assert all(spent[c] > 0 for c in tr.CATEGORIES)
+    assert len({r["dominant"] for r in q.attribution_shares(spark, sf_dir).collect()}) >= 2
+    events = q.compaction_events(spark, sf_dir)
+    assert events.where("pre_tokens > 0 and post_tokens > 0 and compression is not null").count() and events.where("compression is null").count()
+    assert q.compaction_phases(spark, sf_dir).where("post_tokens is not null and contribution <> 0").count()
+    assert q.context_splits(spark, sf_dir).count() > 0
+    parts = q.message_partition(spark, sf_dir).agg(F.sum("n_internal_user").alias("meta"), F.sum(F.col("n_user") - F.col("n_real_user") - F.col("n_internal_user")).alias("noise")).first()
+    assert parts["meta"] > 0 and parts["noise"] > 0

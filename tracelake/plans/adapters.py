@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators.index import Index, build_index
@@ -68,3 +68,42 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~assistant, F.col("text")).alias("text"),
         F.when(assistant, F.from_json(F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text")))), block)).alias("blocks"),
     )
+
+
+def live_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as messages of all kinds, by k = conv_id + turn.
+
+    Assistants say their text, think it, call a tool or a task with it, answer a shutdown or
+    leave plan mode (k modulo 6).  Users speak, answer the call before (meta; some rejected),
+    repeat a reminder, mention files, or give a summary where the session was compacted (k
+    modulo 5 after the first turn); some interrupt (k modulo 7).  Usage is that of `messages`.
+    """
+    base = messages(spark, sf_dir).drop("text", "blocks", "isMeta", "isCompactSummary")
+    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ordinal"), F.coalesce("text", F.lit("")).alias("said"))
+    c = base.join(own, ["session_id", "ordinal"])
+    k, said, place = F.col("session_id") + F.col("ordinal"), F.col("said"), lambda n: F.concat_ws("-", F.lit("t"), "session_id", n)
+    shape = {"type": "string", "text": "string", "thinking": "string", "id": "string", "name": "string", "input": "struct<command:string,description:string,type:string,approve:boolean>", "tool_use_id": "string", "content": "string"}
+
+    def block(kind: str, **fields) -> Column:
+        given = {"type": F.lit(kind), **fields}
+        return F.struct(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in shape.items()))
+
+    def call(name: str, **given) -> Column:
+        names = {"command": "string", "description": "string", "type": "string", "approve": "boolean"}
+        return block("tool_use", id=place(F.col("ordinal").cast("string")), name=F.lit(name), input=F.struct(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in names.items())))
+
+    thinks, says = block("thinking", thinking=said), block("text", text=said)
+    shutdown = call("SendMessage", type=F.lit("shutdown_response"), approve=F.lit(True))
+    kinds = [[says], [thinks, call("Bash", command=said)], [thinks, says, call("Task", description=said)], [shutdown], [call("ExitPlanMode")], [thinks]]
+    spoken = F.element_at(F.array(*(F.array(*b) for b in kinds)), (k % 6 + 1).cast("int"))
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    kind = F.when(user & (F.col("ordinal") > 0), F.when(k % 7 == 0, "interruption").otherwise(F.element_at(F.array(*map(F.lit, ("plain", "result", "reminder", "mention", "summary"))), (k % 5 + 1).cast("int"))))
+    result = block("tool_result", tool_use_id=place((F.col("ordinal") - 1).cast("string")), content=said)
+    blocks = F.when(assistant, spoken).when(kind == "result", F.array(result)).when(kind == "interruption", F.array(block("text", text=F.lit("[Request interrupted by user]"))))
+    tagged = F.when(kind == "reminder", F.concat(F.lit("<system-reminder>"), said, F.lit("</system-reminder>"), said)).when(kind == "mention", F.concat(said, F.lit(" @src/app.py @docs/a-b.md @src/app.py"))).otherwise(said)
+    variant = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:variant,tool_use_id:string,content:variant,is_error:boolean>>"
+    rejected = (kind == "result") & (F.col("ordinal") % 4 == 1)
+    return c.withColumns({
+        "isMeta": F.coalesce(kind == "result", F.lit(False)), "isCompactSummary": (F.col("role") == "system") | F.coalesce(kind == "summary", F.lit(False)),
+        "text": F.when(~assistant & blocks.isNull(), tagged), "blocks": F.from_json(F.to_json(blocks), variant), "toolUseResult": F.when(rejected, F.parse_json(F.lit('"User rejected tool use"'))),
+    }).drop("said")

@@ -19,8 +19,21 @@ SUM = "CAST(coalesce(sum({0}), 0) AS BIGINT)"
 INJECT = "list_sum(list_transform(regexp_extract_all(text, '<{0}>(.*?)</{0}>', 1, 's'), lambda x: ceil(length(x) / 4.0)))"
 INJECTED = "CAST(" + " + ".join(f"coalesce({INJECT.format(t)}, 0)" for t in tr.INJECTION_TAGS) + " AS BIGINT)"
 MENTION = "CAST(len(list_distinct(regexp_extract_all(text, '@([\\w./~-]+\\.\\w+)', 1))) * 500 AS BIGINT)"
-ATTRIBUTION = f"""u AS (SELECT session_id, CASE WHEN a THEN 0 ELSE {INJECTED} END AS inj, CASE WHEN a THEN 0 ELSE {MENTION} END AS men, CASE WHEN a THEN 0 ELSE greatest({TOK.format('text')} - {INJECTED}, 0) END AS usr, CASE WHEN a THEN {TOK.format('text')} ELSE 0 END AS thk FROM m),
-t AS (SELECT session_id, {SUM.format('inj')} AS claude_md, {SUM.format('men')} AS mentioned_files, CAST(0 AS BIGINT) AS tool_outputs, {SUM.format('thk')} AS thinking_text, CAST(0 AS BIGINT) AS task_coordination, {SUM.format('usr')} AS user_messages FROM u GROUP BY session_id)"""
+#: The messages of `live_messages`: kind of a user's message, what it says, and an assistant's kind.
+LIVE = """l0 AS (SELECT *, conv_id + turn AS k, coalesce(text, '') AS said FROM conversations),
+m AS (SELECT conv_id AS session_id, turn AS ordinal, role, role = 'assistant' AS a, k, k % 6 AS spoken, said, CASE WHEN role = 'user' AND turn > 0 THEN CASE WHEN k % 7 = 0 THEN 'interruption' ELSE (['plain', 'result', 'reminder', 'mention', 'summary'])[k % 5 + 1] END END AS kind,
+role = 'system' OR (role = 'user' AND turn > 0 AND k % 7 <> 0 AND k % 5 = 4) AS compact,
+CASE WHEN role = 'assistant' THEN '' WHEN role = 'user' AND turn > 0 AND k % 7 = 0 THEN '[Request interrupted by user]' WHEN role = 'user' AND turn > 0 AND k % 5 = 2 THEN '<system-reminder>' || said || '</system-reminder>' || said WHEN role = 'user' AND turn > 0 AND k % 5 = 3 THEN said || ' @src/app.py @docs/a-b.md @src/app.py' ELSE said END AS text,
+CASE WHEN role = 'assistant' THEN length(said) ELSE 0 END AS i, CASE WHEN role = 'assistant' THEN length(said) // 2 ELSE 0 END AS o, CASE WHEN role = 'assistant' THEN length(said) // 3 ELSE 0 END AS r, CASE WHEN role = 'assistant' THEN length(said) // 5 ELSE 0 END AS c FROM l0)"""
+ATTRIBUTION = f"""u AS (SELECT session_id, a OR coalesce(kind = 'result', false) AS other, {INJECTED} AS inj, {MENTION} AS men, {TOK.format("text")} AS said_tokens,
+CASE WHEN a THEN {TOK.format("said")} * ([1, 1, 2, 0, 0, 1])[spoken + 1] ELSE 0 END AS thk, CASE WHEN kind = 'result' THEN {TOK.format("said")} ELSE 0 END AS res,
+CASE WHEN a AND spoken = 2 THEN CAST(ceil(length('{{"description":' || CAST(to_json(said) AS VARCHAR) || '}}') / 4.0) AS BIGINT) WHEN a AND spoken = 3 THEN CAST(ceil(length('{{"approve":true,"type":"shutdown_response"}}') / 4.0) AS BIGINT) ELSE 0 END AS task FROM m),
+t AS (SELECT session_id, {SUM.format("CASE WHEN other THEN 0 ELSE inj END")} AS claude_md, {SUM.format("CASE WHEN other THEN 0 ELSE men END")} AS mentioned_files, {SUM.format("res")} AS tool_outputs, {SUM.format("thk")} AS thinking_text, {SUM.format("task")} AS task_coordination,
+{SUM.format("CASE WHEN other THEN 0 ELSE greatest(said_tokens - inj, 0) END")} AS user_messages FROM u GROUP BY session_id)"""
+ONGOING = """w AS (SELECT session_id, ordinal, CASE WHEN a THEN CASE spoken WHEN 0 THEN [trim(said) <> ''] WHEN 1 THEN [false, false] WHEN 2 THEN [false, trim(said) <> '', false] WHEN 5 THEN [false] ELSE [true] END
+WHEN kind = 'interruption' THEN [true] WHEN kind = 'result' THEN [ordinal % 4 = 1 OR coalesce(lag(a AND spoken = 3) OVER (PARTITION BY session_id ORDER BY ordinal), false)] END AS ends FROM m),
+e AS (SELECT session_id, ordinal * 10 + generate_subscripts(ends, 1) AS pos, unnest(ends) AS ending FROM w WHERE ends IS NOT NULL),
+g AS (SELECT session_id, coalesce(max(pos) FILTER (WHERE NOT ending), -1) > coalesce(max(pos) FILTER (WHERE ending), -1) AS ongoing FROM e GROUP BY session_id)"""
 
 
 @query("""WITH n AS (SELECT conv_id, turn, text, sum(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS turn_idx FROM conversations)
@@ -34,16 +47,16 @@ def message_tokens(spark, sf_dir):
     return ad.table(spark, sf_dir, "conversations").select("conv_id", "turn", estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"WITH {M}, {ATTRIBUTION} SELECT * FROM t")
+@query(f"WITH {LIVE}, {ATTRIBUTION} SELECT * FROM t")
 def token_attribution(spark, sf_dir):
-    return tr.token_attribution(ad.messages(spark, sf_dir))
+    return tr.token_attribution(ad.live_messages(spark, sf_dir))
 
 
-@query(f"""WITH {M}, {ATTRIBUTION}, s AS (SELECT *, claude_md + mentioned_files + tool_outputs + thinking_text + task_coordination + user_messages AS total, greatest(claude_md, mentioned_files, thinking_text, user_messages) AS best FROM t)
+@query(f"""WITH {LIVE}, {ATTRIBUTION}, s AS (SELECT *, claude_md + mentioned_files + tool_outputs + thinking_text + task_coordination + user_messages AS total, greatest(claude_md, mentioned_files, tool_outputs, thinking_text, task_coordination, user_messages) AS best FROM t)
 SELECT session_id, total, {", ".join(f"CASE WHEN total > 0 THEN round({c} / total, 6) ELSE 0.0 END AS {c}_share" for c in tr.CATEGORIES)},
-CASE WHEN total = 0 THEN NULL WHEN claude_md = best THEN 'claude_md' WHEN mentioned_files = best THEN 'mentioned_files' WHEN thinking_text = best THEN 'thinking_text' ELSE 'user_messages' END AS dominant FROM s""")
+CASE WHEN total = 0 THEN NULL WHEN claude_md = best THEN 'claude_md' WHEN mentioned_files = best THEN 'mentioned_files' WHEN tool_outputs = best THEN 'tool_outputs' WHEN thinking_text = best THEN 'thinking_text' WHEN task_coordination = best THEN 'task_coordination' ELSE 'user_messages' END AS dominant FROM s""")
 def attribution_shares(spark, sf_dir):
-    return tr.attribution_shares(tr.token_attribution(ad.messages(spark, sf_dir))).drop(*tr.CATEGORIES)
+    return tr.attribution_shares(tr.token_attribution(ad.live_messages(spark, sf_dir))).drop(*tr.CATEGORIES)
 
 
 @query(f"WITH {M} SELECT session_id, ordinal FROM k")
@@ -58,9 +71,10 @@ def session_metrics(spark, sf_dir):
     return tr.session_metrics(ad.messages(spark, sf_dir))
 
 
-@query(f"WITH {M} SELECT session_id, count(*) FILTER (WHERE NOT a) AS n_user, count(*) FILTER (WHERE NOT a AND trim(text) <> '') AS n_real_user, count(*) FILTER (WHERE a) AS n_assistant FROM m GROUP BY session_id")
+@query(f"""WITH {LIVE} SELECT session_id, count(*) FILTER (WHERE NOT a) AS n_user, count(*) FILTER (WHERE NOT a AND trim(text) <> '' AND kind IS DISTINCT FROM 'result' AND kind IS DISTINCT FROM 'interruption' AND NOT starts_with(trim(text), '<system-reminder>')) AS n_real_user,
+count(*) FILTER (WHERE kind = 'result') AS n_internal_user, count(*) FILTER (WHERE a) AS n_assistant, CAST(0 AS BIGINT) AS n_system, CAST(0 AS BIGINT) AS n_other, CAST(0 AS BIGINT) AS n_sidechain, count(*) AS n_main FROM m GROUP BY session_id""")
 def message_partition(spark, sf_dir):
-    return tr.partition_messages(ad.messages(spark, sf_dir)).select("session_id", "n_user", "n_real_user", "n_assistant")
+    return tr.partition_messages(ad.live_messages(spark, sf_dir))
 
 
 @query(f"WITH {M} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) - 1 AS idx, round(r / (i + r + c), 6) AS ratio FROM k WHERE a AND i + r + c > 0")
@@ -68,9 +82,9 @@ def cache_timeline(spark, sf_dir):
     return tr.cache_timeline(ad.messages(spark, sf_dir))
 
 
-@query("SELECT DISTINCT conv_id AS session_id, false AS ongoing FROM conversations")
+@query(f"WITH {LIVE}, {ONGOING} SELECT session_id, coalesce(ongoing, false) AS ongoing FROM (SELECT DISTINCT session_id FROM m) LEFT JOIN g USING (session_id)")
 def ongoing_sessions(spark, sf_dir):
-    return tr.ongoing(ad.messages(spark, sf_dir))
+    return tr.ongoing(ad.live_messages(spark, sf_dir))
 
 
 PHASES = """b AS (SELECT *, sum(CASE WHEN compact THEN 1 ELSE 0 END) OVER w AS phase, CASE WHEN a AND i + r + c > 0 THEN i + r + c END AS used FROM m WINDOW w AS (PARTITION BY session_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)),
@@ -79,24 +93,24 @@ coalesce((SELECT arg_min(used, y.ordinal) FROM b y WHERE y.session_id = b.sessio
 l AS (SELECT session_id, arg_max(used, ordinal) AS last FROM b WHERE used IS NOT NULL GROUP BY session_id)"""
 
 
-@query(f"WITH {M}, {PHASES} SELECT session_id, session_id || '-' || ordinal AS uuid, CAST(phase AS BIGINT) AS phase, pre AS pre_tokens, post AS post_tokens, CASE WHEN pre > 0 THEN round(1 - post / pre, 6) END AS compression FROM x")
+@query(f"WITH {LIVE}, {PHASES} SELECT session_id, session_id || '-' || ordinal AS uuid, CAST(phase AS BIGINT) AS phase, pre AS pre_tokens, post AS post_tokens, CASE WHEN pre > 0 THEN round(1 - post / pre, 6) END AS compression FROM x")
 def compaction_events(spark, sf_dir):
-    return tr.compaction_events(ad.messages(spark, sf_dir))
+    return tr.compaction_events(ad.live_messages(spark, sf_dir))
 
 
-@query(f"""WITH {M}, {PHASES}, d AS (SELECT session_id, phase, pre - coalesce(lag(post) OVER (PARTITION BY session_id ORDER BY phase), 0) AS contribution, pre AS peak_tokens, post AS post_tokens FROM x JOIN l USING (session_id)),
+@query(f"""WITH {LIVE}, {PHASES}, d AS (SELECT session_id, phase, pre - coalesce(lag(post) OVER (PARTITION BY session_id ORDER BY phase), 0) AS contribution, pre AS peak_tokens, post AS post_tokens FROM x JOIN l USING (session_id)),
 z AS (SELECT session_id, max(phase) AS phase, arg_max(post, phase) AS post FROM x GROUP BY session_id)
 SELECT session_id, CAST(phase AS BIGINT) AS phase, contribution, peak_tokens, post_tokens FROM d UNION ALL
 SELECT session_id, CAST(coalesce(phase + 1, 1) AS BIGINT), CASE WHEN phase IS NULL THEN last WHEN post > 0 THEN last - post ELSE 0 END, last, NULL FROM l LEFT JOIN z USING (session_id)""")
 def compaction_phases(spark, sf_dir):
-    return tr.compaction_phases(ad.messages(spark, sf_dir))
+    return tr.compaction_phases(ad.live_messages(spark, sf_dir))
 
 
-@query(f"""WITH {M}, {PHASES}, p AS (SELECT session_id, sum(pre) AS past FROM x GROUP BY session_id), y AS (SELECT session_id, CAST(coalesce(past, 0) + last AS BIGINT) AS total_tokens FROM l LEFT JOIN p USING (session_id))
+@query(f"""WITH {LIVE}, {PHASES}, p AS (SELECT session_id, sum(pre) AS past FROM x GROUP BY session_id), y AS (SELECT session_id, CAST(coalesce(past, 0) + last AS BIGINT) AS total_tokens FROM l LEFT JOIN p USING (session_id))
 SELECT session_id, total_tokens, round(total_tokens / 1000, 6) AS windows, CASE WHEN total_tokens / 1000 < 0.15 THEN 'light' WHEN total_tokens / 1000 < 0.5 THEN 'moderate' WHEN total_tokens / 1000 < 1.5 THEN 'heavy' ELSE 'extreme' END AS band FROM y""")
 def context_gauge(spark, sf_dir):
     """Load of a context window of 1,000 tokens, as the conversations are short."""
-    m = ad.messages(spark, sf_dir)
+    m = ad.live_messages(spark, sf_dir)
     last = m.where((F.col("type") == "assistant") & (tr.context_tokens() > 0)).groupBy("session_id").agg(F.max_by(tr.context_tokens(), "ordinal").alias("context_tokens"))
     return se.context_gauge(last, tr.compaction_events(m), 1000)
 
@@ -140,14 +154,16 @@ def tool_calls_join(spark, sf_dir):
     return joined.select("session_id", "tool_use_id", "name", F.try_variant_get("input", "$.command", "string").alias("command"), "ordinal", "result_ordinal")
 
 
-@query(f"WITH {M}, {PHASES}, z AS (SELECT session_id, count(*) AS n FROM x GROUP BY session_id) SELECT m.session_id, count(*) AS message_count, any_value(coalesce(CASE WHEN l.session_id IS NULL THEN 0 ELSE n END, 0)) AS compactions, false AS ongoing FROM m LEFT JOIN l USING (session_id) LEFT JOIN z USING (session_id) GROUP BY m.session_id")
+@query(f"""WITH {LIVE}, {PHASES}, {ONGOING}, z AS (SELECT session_id, count(*) AS n FROM x GROUP BY session_id), n AS (SELECT session_id, count(*) AS message_count, (max(ordinal) - min(ordinal)) * 30000 AS duration_ms, count(*) FILTER (WHERE a AND spoken IN (1, 2, 3, 4)) AS tool_calls FROM m GROUP BY session_id)
+SELECT session_id, message_count, duration_ms, tool_calls, coalesce(last, 0) AS context_tokens, CASE WHEN last IS NULL THEN 0 ELSE coalesce(z.n, 0) END AS compactions, coalesce(ongoing, false) AS ongoing FROM n LEFT JOIN l USING (session_id) LEFT JOIN z USING (session_id) LEFT JOIN g USING (session_id)""")
 def session_summaries(spark, sf_dir):
-    return tr.session_summary(ad.messages(spark, sf_dir)).select("session_id", "message_count", F.col("compactions").cast("long"), "ongoing")
+    out = tr.session_summary(ad.live_messages(spark, sf_dir))
+    return out.select("session_id", "message_count", "duration_ms", "tool_calls", "context_tokens", F.col("compactions").cast("long"), "ongoing")
 
 
-@query(f"WITH {M}, {PHASES}, k0 AS (SELECT session_id, phase, CAST(pre AS DOUBLE) AS pre FROM x WHERE pre > 0), z AS (SELECT session_id, sum(pre) AS past FROM k0 GROUP BY session_id) SELECT session_id, CAST(phase AS BIGINT) AS phase, round(sum(pre) OVER (PARTITION BY session_id ORDER BY phase ROWS UNBOUNDED PRECEDING) / (past + coalesce(last, 0)), 6) AS share FROM k0 JOIN z USING (session_id) LEFT JOIN l USING (session_id)")
+@query(f"WITH {LIVE}, {PHASES}, k0 AS (SELECT session_id, phase, CAST(pre AS DOUBLE) AS pre FROM x WHERE pre > 0), z AS (SELECT session_id, sum(pre) AS past FROM k0 GROUP BY session_id) SELECT session_id, CAST(phase AS BIGINT) AS phase, round(sum(pre) OVER (PARTITION BY session_id ORDER BY phase ROWS UNBOUNDED PRECEDING) / (past + coalesce(last, 0)), 6) AS share FROM k0 JOIN z USING (session_id) LEFT JOIN l USING (session_id)")
 def context_splits(spark, sf_dir):
-    m = ad.messages(spark, sf_dir)
+    m = ad.live_messages(spark, sf_dir)
     last = m.where((F.col("type") == "assistant") & (tr.context_tokens() > 0)).groupBy("session_id").agg(F.max_by(tr.context_tokens(), "ordinal").alias("context_tokens"))
     return se.phase_splits(last, tr.compaction_events(m))
 
