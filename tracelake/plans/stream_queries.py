@@ -11,6 +11,7 @@ from tracelake.plans.log_queries import pick, sql_pick
 from tracelake.plans.search_queries import INDEX
 from tracelake.sources.tables import new_path
 from tracelake.streaming import streams as st
+from tracelake.streaming import tail
 
 TYPES = ["note", "bridge_ping_sent", "search", "bridge_ping_received", "fetch"]
 FEED = f"e AS (SELECT event_id, ts, user_id, event_type, {sql_pick(TYPES, 'event_id')} AS type FROM events)"
@@ -63,6 +64,23 @@ def stream_logs_once(spark, sf_dir):
     return run(st.stream_dedupe(events).select("event_id", "event_type"))
 
 
+@query("SELECT event_id, event_type FROM events")
+def stream_tailed_logs(spark, sf_dir):
+    """The events' lines in logs that are read as far as they go, added to, and read on from where the first run stopped."""
+    path, out, state = (new_path(spark, f"tail-{name}") for name in ("log", "out", "state"))
+    e = ad.table(spark, sf_dir, "events")
+    for part in range(2):
+        own = e.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part)
+        own.select(F.to_json(F.struct("event_id", "event_type")).alias("value")).write.mode("append").text(path)
+        st.run_available(tail.tail_events(spark, tail_root(path), "event_id long, event_type string", suffix=".txt"), st.appender(out), state).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def tail_root(path: str) -> str:
+    """A local folder by its plain name, as pyarrow takes it; other addresses as they are."""
+    return path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+
+
 @query(f"WITH {INDEX} SELECT term, doc_id, tf FROM p")
 def stream_index(spark, sf_dir):
     path = new_path(spark, "stream-index")
