@@ -29,6 +29,8 @@ BLOCK = 128
 BUCKET, MOST_BUCKETS = 1 << 18, 200_000
 #: Segments of an index before its smallest ones are put together.
 MOST_SEGMENTS = 8
+#: Terms of a query on average from which on all blocks are read at once, as few could be left out.
+LONG_QUERY = 8
 K1, B = 1.2, 0.75
 
 
@@ -191,9 +193,11 @@ def build_index(docs: DataFrame, text: str = "text", distinct: bool = False, pat
     """Index of (doc_id, text) in one segment, at `path` or in a new shared folder.
 
     Where ids repeat, the first document by the column `ord` counts, or without one that of
-    the smallest text.  `distinct` says that ids don't repeat and saves the shuffle.
+    the smallest text.  `distinct` says that ids don't repeat and saves the look at them; texts are shuffled only where
+    some do.
     """
-    docs = docs if distinct else first_of_id(docs, text)
+    if not distinct and docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # reads ids alone
+        docs = first_of_id(docs, text)
     return Index((write_segment(postings(docs, text, **how), path or new_path(docs.sparkSession, "index"), bucket),))
 
 
@@ -265,15 +269,20 @@ def bm25(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFr
     return _scores(weighed.join(index.blocks(weighed.select("term").distinct()), "term"), k1, b).where("score > 0")
 
 
-def bm25_top(index: Index, terms: DataFrame, n: int, k1: float = K1, b: float = B, digits: int = 5) -> DataFrame:
+def bm25_top(index: Index, terms: DataFrame, n: int, k1: float = K1, b: float = B, digits: int = 5, long_query: float = LONG_QUERY) -> DataFrame:
     """(query_id, doc_id, score, rank) of the first n of `rank_hits`, without the blocks that cannot reach them.
 
     The first block of each term gives n documents a score that their full one cannot fall
     below; the n-th of these is the query's bar.  A block is left out if its best possible
     part and those of the query's other terms stay below the bar: none of its documents is among the first n.
+    Queries of more than LONG_QUERY terms on average leave out too little to pay for it and are scored in one pass.
     """
     weighed = stored(_weighed(index, terms), "query-terms")
-    found = weighed.join(index.blocks(weighed.select("term").distinct()), "term").withColumn("bound", _part(F.col("max_tf"), F.col("min_dl"), k1, b))
+    beside = weighed.join(index.blocks(weighed.select("term").distinct()), "term")
+    size = weighed.agg(F.count(F.lit(1)).alias("terms"), F.count_distinct("query_id").alias("queries")).first()
+    if size["terms"] > long_query * size["queries"]:
+        return rank_hits(_scores(beside, k1, b).where("score > 0"), n, digits=digits)
+    found = beside.withColumn("bound", _part(F.col("max_tf"), F.col("min_dl"), k1, b))
     best = found.groupBy("query_id", "term").agg(F.max("bound").alias("most"))
     whole = best.groupBy("query_id").agg(F.sum("most").alias("whole"))
     lead = _scores(found.join(best, ["query_id", "term"]).where("bound = most").drop("most"), k1, b)
