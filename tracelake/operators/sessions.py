@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.classify import high_signal
 from tracelake.functions.text import session_line
+from tracelake.operators.sweep import first_windows
 from tracelake.operators.vectors import _cut
 
 CHUNK = 1024
@@ -86,29 +87,21 @@ def session_overlaps(sessions: DataFrame, cell_seconds: float | None = None, by:
     return x.join(y, meets).select(F.col("x.session_id").alias("a"), F.col("y.session_id").alias("b"), F.greatest("x.start_ts", "y.start_ts").alias("overlap_start"), F.least("x.end_ts", "y.end_ts").alias("overlap_end"))
 
 
-def match_intervals(orphans: DataFrame, windows: DataFrame, cell_seconds: int = 21_600) -> DataFrame:
-    """Orphan rows (event_id, ts, project) with each session window (session_id, start_ts, end_ts, projects) that holds them."""
-    w = windows.select("session_id", "start_ts", "end_ts", "projects", F.explode(_cells(seconds("start_ts"), seconds("end_ts"), cell_seconds)).alias("cell"))
-    o = orphans.withColumn("cell", F.floor(seconds("ts") / cell_seconds).cast("long"))
-    return o.join(w, "cell").where((F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))).drop("cell")
-
-
-def attach_orphans(commits: DataFrame, sessions: DataFrame, cell_seconds: int = 21_600) -> DataFrame:
+def attach_orphans(commits: DataFrame, sessions: DataFrame) -> DataFrame:
     """(event_id, session_id) of commits without a session inside one that has their project; the newest start wins."""
-    inside = match_intervals(commits, sessions, cell_seconds).where(F.array_contains("projects", F.col("project")))
-    return inside.groupBy("event_id").agg(F.max_by("session_id", F.struct("start_ts", "session_id")).alias("session_id"))
+    inside = first_windows(commits.select("event_id", "ts", "project"), sessions, latest=True, any_project=False)
+    return inside.groupBy("event_id").agg(F.max_by("session_id", F.struct("start_us", "session_id")).alias("session_id"))
 
 
-def enrich_sessions(events: DataFrame, windows: DataFrame, cell_seconds: int = 21_600) -> DataFrame:
+def enrich_sessions(events: DataFrame, windows: DataFrame) -> DataFrame:
     """Events with session_id filled in where a window holds them, and `matched` saying how.
 
     A window with the event's project comes first, then the earliest start.  Memory
     events are left alone.
     """
     missing = F.col("session_id").isNull() & ~F.coalesce(F.col("type").startswith("memory_"), F.lit(False))
-    inside = match_intervals(events.where(missing).select("event_id", "ts", "project"), windows, cell_seconds)
-    same = F.coalesce(F.array_contains("projects", F.col("project")), F.lit(False))
-    best = inside.groupBy("event_id").agg(F.min_by(F.struct("session_id", same.alias("same")), F.struct(~same, "start_ts", "session_id")).alias("m"))
+    inside = first_windows(events.where(missing).select("event_id", "ts", "project"), windows)
+    best = inside.groupBy("event_id").agg(F.min_by(F.struct("session_id", "same"), F.struct(~F.col("same"), "start_us", "session_id")).alias("m"))
     out = events.join(best, "event_id", "left")
     how = F.when(F.col("session_id").isNotNull(), "own").when(F.col("m").isNull(), "none").when(F.col("m.same"), "project").otherwise("time")
     return out.withColumn("matched", how).withColumn("session_id", F.coalesce("session_id", F.col("m.session_id"))).drop("m")
