@@ -90,3 +90,12 @@ def test_bands_on_the_given_vectors(spark, sf_dir):
     assert set(found) == set(exact) and repeats
     assert sum(found[i] == "duplicate" for i in repeats) >= 0.95 * len(repeats)
     assert all(exact[i] == "duplicate" for i, v in found.items() if v == "duplicate")
+
+
+def test_nothing_to_compare_with(spark):
+    """Against no vectors, or none with a direction, every query is without a neighbour."""
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    none, flat = some.limit(0), spark.createDataFrame([(3, [0.0, 0.0]), (4, None)], some.schema)
+    for known in (none, flat):
+        assert nb.knn(some.selectExpr("vec_id AS query_id", "embedding"), known, k=1).count() == 0
+        assert {r["verdict"] for r in vx.novelty_gate(some, known, mode="greedy").collect()} == {"novel"}

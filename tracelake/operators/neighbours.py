@@ -115,7 +115,7 @@ def _visits(queries: DataFrame, cells, k: int | None, floor: float, rest: bool)
                     go = best >= bar[rows][:, None]
                 else:
                     order = np.argsort(angle, axis=1, kind="stable")
-                    held = np.where(numbers < 0, 1 << 60, known.count[numbers])[order]
+                    held = np.full(order.shape, 1 << 60) if numbers[0] < 0 else known.count[numbers][order]
                     before = np.cumsum(held, axis=1) - held
                     first = np.zeros(angle.shape, bool)
                     np.put_along_axis(first, order, before < k + 1, axis=1)
