@@ -9,6 +9,7 @@ from tracelake.functions.classify import high_signal
 from tracelake.operators import index as ix
 from tracelake.operators import sessions as se
 from tracelake.sources import logs as lo
+from tracelake.sources.batches import read_batches, write_batch
 from tracelake.streaming import streams as st
 
 FIELDS = "event_id string, ts timestamp, session_id string, type string, text string, doc_id long"
@@ -35,7 +36,7 @@ def feed(spark, tmp_path):
 def finish(spark, tmp_path, frame, name, mode="append"):
     out = str(tmp_path / name)
     st.run_available(frame, st.appender(out), str(tmp_path / f"{name}-cp"), mode).awaitTermination()
-    return spark.read.parquet(out)
+    return read_batches(spark, out)
 
 
 def test_feed_dedupe_and_index(spark, tmp_path):
@@ -68,7 +69,7 @@ def test_serving_ongoing_novelty(spark, tmp_path):
     v = lambda i, x: spark.createDataFrame([(i, [float(y) for y in x])], "vec_id long, embedding array<double>")
     for i, x in enumerate(([1, 0], [1, 0.01], [0, 1])):
         sink(v(i, np.array(x)), i)
-    assert sorted(r["vec_id"] for r in spark.read.parquet(str(tmp_path / "vec")).select(F.col("vec_id")).collect()) == [0, 2]
+    assert sorted(r["vec_id"] for r in read_batches(spark, str(tmp_path / "vec")).select(F.col("vec_id")).collect()) == [0, 2]
 
 
 def test_novelty_within_a_batch(spark, tmp_path):
@@ -77,7 +78,7 @@ def test_novelty_within_a_batch(spark, tmp_path):
     frame = lambda rows: spark.createDataFrame([(i, [float(y) for y in x]) for i, x in rows], "vec_id long, embedding array<double>")
     sink(frame([(1, (1, 0)), (2, (1, 0))]), 0)
     sink(frame([(3, (0, 1)), (4, (0, 1)), (5, (1, 0.001)), (3, (0, 1))][:3]), 1)
-    assert sorted(r["vec_id"] for r in spark.read.parquet(str(tmp_path / "vec")).collect()) == [1, 3]
+    assert sorted(r["vec_id"] for r in read_batches(spark, str(tmp_path / "vec")).collect()) == [1, 3]
 
 
 def test_dedupe_remembers_old_ids(spark, tmp_path):
@@ -103,3 +104,50 @@ def test_tailing_a_growing_log(spark, tmp_path):
     rows, at = lo.tail_logs(spark, str(log), at, "event_id string")
     assert [r["event_id"] for r in rows.collect()] == ["é5"]
     assert lo.tail_logs(spark, str(log), at, "event_id string")[0].count() == 0
+
+
+def test_a_repeated_batch_changes_nothing_and_reads_nothing(spark, tmp_path):
+    """Batches are told by their number; an unreadable file in another batch's folder does not matter to the writer."""
+    domain, whole = str(tmp_path / "domain"), str(tmp_path / "all")
+    rows = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "event_id string, type string")
+    sink = st.dual_appender(domain, whole)
+    sink(rows("a", "b"), 0)
+    sink(rows("c"), 1)
+    for path in (domain, whole):
+        (tmp_path / path / "none/0/part-bad.parquet").write_bytes(b"broken")
+    sink(rows("c"), 1)
+    sink(rows("d"), 2)
+    for path in (domain, whole):
+        (tmp_path / path / "none/0/part-bad.parquet").unlink()
+        assert sorted(r["event_id"] for r in read_batches(spark, path).collect()) == ["a", "b", "c", "d"]
+        assert sorted(r["event_id"] for r in read_batches(spark, path, ("none", 1)).collect()) == ["a", "b", "d"]
+    (tmp_path / domain / "none/2/_SUCCESS").unlink()  # a batch that was not finished
+    assert read_batches(spark, domain).count() == 3
+    assert read_batches(spark, str(tmp_path / "nothing")) is None
+    write_batch(rows("e"), domain, 1, query="other")
+    assert read_batches(spark, domain).count() == 4
+
+
+def test_tables_of_two_queries_and_a_restart(spark, tmp_path):
+    """A query keeps its id over a restart; a second query's batches of the same numbers stand beside it."""
+    path = folder(tmp_path, [[{"event_id": "a"}], [{"event_id": "b"}]])
+    out = str(tmp_path / "rows")
+    feed_ = lambda state: st.run_available(st.stream_logs(spark, path, "event_id string", 1), st.appender(out), str(tmp_path / state)).awaitTermination()
+    feed_("one")
+    feed_("one")
+    assert read_batches(spark, out).count() == 2 and not (tmp_path / "rows/none").exists()
+    (tmp_path / "one/commits/1").unlink()  # as if the second batch's end was never noted
+    (tmp_path / "one/commits/.1.crc").unlink(missing_ok=True)
+    feed_("one")
+    assert read_batches(spark, out).count() == 2
+    feed_("two")
+    assert sorted(r["event_id"] for r in read_batches(spark, out).collect()) == ["a", "a", "b", "b"]
+
+
+def test_novelty_of_a_repeated_batch(spark, tmp_path):
+    sink = st.novelty_sink(str(tmp_path / "vec"))
+    frame = lambda rows: spark.createDataFrame([(i, [float(y) for y in x]) for i, x in rows], "vec_id long, embedding array<double>")
+    sink(frame([(1, (1, 0))]), 0)
+    for _ in range(2):
+        sink(frame([(2, (0, 1)), (3, (1, 0.01))]), 1)
+        assert sorted(r["vec_id"] for r in read_batches(spark, str(tmp_path / "vec")).collect()) == [1, 2]

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from tracelake.sources.batches import read_batches
 from tracelake.streaming import streams as st
 from tracelake.streaming import tail
 
@@ -17,7 +18,7 @@ def line(i):
 def fed(spark, log, out, part_bytes):
     """Runs the stream over what is there, each time as after a restart, and gives all ids so far."""
     st.run_available(tail.tail_events(spark, str(log), FIELDS, part_bytes), st.appender(str(out / "rows")), str(out / "state")).awaitTermination()
-    return sorted(r["event_id"] for r in spark.read.parquet(str(out / "rows")).collect())
+    return sorted(r["event_id"] for r in read_batches(spark, str(out / "rows")).collect())
 
 
 @pytest.mark.parametrize("part_bytes", [40, 64 << 20])

@@ -9,6 +9,7 @@ from tracelake.plans import adapters as ad
 from tracelake.plans.catalogue import query
 from tracelake.plans.log_queries import pick, sql_pick
 from tracelake.plans.search_queries import INDEX
+from tracelake.sources.batches import read_batches, write_batch
 from tracelake.sources.tables import new_path
 from tracelake.streaming import streams as st
 from tracelake.streaming import tail
@@ -40,7 +41,7 @@ def run(frame: DataFrame, sink=None, mode: str = "append", path: str | None = No
     spark = frame.sparkSession
     path = path or new_path(spark, "stream-out")
     st.run_available(frame, sink or st.appender(path), new_path(spark, "stream-state"), mode).awaitTermination()
-    return spark.read.parquet(path)
+    return read_batches(spark, path)
 
 
 def keyed(spark: SparkSession) -> None:
@@ -73,7 +74,19 @@ def stream_tailed_logs(spark, sf_dir):
         own = e.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part)
         own.select(F.to_json(F.struct("event_id", "event_type")).alias("value")).write.mode("append").text(path)
         st.run_available(tail.tail_events(spark, tail_root(path), "event_id long, event_type string", suffix=".txt"), st.appender(out), state).awaitTermination()
-    return spark.read.parquet(out)
+    return read_batches(spark, out)
+
+
+@query("SELECT event_id, event_type AS type, CAST(user_id AS VARCHAR) AS session_id, value FROM events")
+def stream_dual_written(spark, sf_dir):
+    """Events with some sent twice, fed in four batches to a domain and a unified table, then once more after a restart; the two tables side by side."""
+    domain, unified, state = (new_path(spark, f"dual-{name}") for name in ("domain", "unified", "state"))
+    events = batches(spark, sf_dir, "events", "event_id").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("session_id"), "value")
+    again = events.withColumn("copy", F.explode(F.when(F.col("event_id") % 3 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("copy")
+    for _ in range(2):
+        st.run_available(st.stream_dedupe(again), st.dual_appender(domain, unified), state).awaitTermination()
+    common = read_batches(spark, unified).select(F.col("event_id").cast("long").alias("event_id"), "type", "session_id")
+    return common.join(read_batches(spark, domain).select("event_id", "value"), "event_id", "full")
 
 
 def tail_root(path: str) -> str:
@@ -110,7 +123,7 @@ def stream_ongoing(spark, sf_dir):
     kind = F.when(F.col("event_type") == "purchase", "ending").when(F.col("event_type") == "click", "activity")
     rows = feed(spark, sf_dir).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("place"), kind.alias("kind"))
     path = new_path(spark, "stream-ongoing")
-    numbered = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+    numbered = lambda batch, number: write_batch(batch.withColumn("batch", F.lit(number)), path, number)
     return run(st.stream_ongoing(rows), numbered, "update", path).groupBy("session_id").agg(F.max_by("ongoing", "batch").alias("ongoing"))
 
 

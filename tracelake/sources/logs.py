@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tracelake.functions.text import present
 from tracelake.functions.times import normalize_ts
+from tracelake.sources.batches import write_batch
 from tracelake.sources.tables import exists, stored
 
 SOURCE_ORDER = ("changelog", "research", "milestones", "tool-use", "history")
@@ -214,6 +215,12 @@ def dual_sink(events: DataFrame, domain_path: str, unified_path: str) -> None:
         (new_only(frame, spark.read.parquet(path)) if exists(spark, path) else frame).write.mode("append").parquet(path)
 
 
+def dual_batch(events: DataFrame, domain_path: str, unified_path: str, number: int | str) -> None:
+    """Append a numbered batch to a domain table and to the unified table, without a look at what they hold; a repeated batch changes nothing."""
+    for frame, path in ((events, domain_path), (envelope(events), unified_path)):
+        write_batch(frame, path, number)
+
+
 def write_enriched(events: DataFrame, path: str, version: str) -> str:
     """Write an enriched log as a new version, never in place."""
     target = f"{path.rstrip('/')}/version={version}"

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from tracelake.functions.classify import high_signal
 from tracelake.operators.index import Index, Segment, first_of_id, postings, write_segment
 from tracelake.operators.vectors import novelty_gate
-from tracelake.sources.logs import EVENT_FIELDS, new_only
+from tracelake.sources.batches import read_batches, write_batch, writer
+from tracelake.sources.logs import EVENT_FIELDS, dual_batch, new_only
 from tracelake.sources.tables import exists, subfolders
 
 WATERMARK = "10 minutes"
@@ -29,14 +30,17 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
-def appender(path: str, key: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A sink that appends to a table; with a key, rows that it has already are left out, so a repeated batch adds nothing."""
+def appender(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that appends each batch to a table, once however often the batch comes; `read_batches` reads the table.
 
-    def sink(batch: DataFrame, _: int) -> None:
-        rows = new_only(batch, batch.sparkSession.read.parquet(path), key) if key and exists(batch.sparkSession, path) else batch
-        rows.write.mode("append").parquet(path)
+    What is there is not looked at: a batch that comes again takes its own folder's place.
+    """
+    return lambda batch, number: write_batch(batch, path, number)
 
-    return sink
+
+def dual_appender(domain_path: str, unified_path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch to a domain table and, as its common fields, to the unified table."""
+    return lambda batch, number: dual_batch(batch, domain_path, unified_path, number)
 
 
 def live_feed(stream: DataFrame) -> DataFrame:
@@ -75,15 +79,16 @@ def read_index(spark: SparkSession, path: str) -> Index:
 
 
 def novelty_sink(path: str, reject: float = 0.85, refine: float = 0.70) -> Callable[[DataFrame, int], None]:
-    """A sink that stores vectors (vec_id, embedding) that no vector stored before repeats, nor one of smaller id taken from the same batch."""
-
-    def sink(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        known = exists(spark, path)
-        old = spark.read.parquet(path) if known else batch.limit(0)
-        fresh = new_only(batch, old, "vec_id") if known else batch
-        verdict = novelty_gate(fresh, old, reject, refine, "greedy")
-        fresh.join(verdict.where("verdict <> 'duplicate'").select("vec_id"), "vec_id", "left_semi").write.mode("append").parquet(path)
+    """A sink that stores vectors (vec_id, embedding) that no vector stored before repeats, nor one of smaller id taken from the same batch.
+
+    A batch is compared with what other batches stored, so one that comes again gives the same rows.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        old = read_batches(batch.sparkSession, path, but=(writer(batch.sparkSession), number))
+        fresh = batch if old is None else new_only(batch, old, "vec_id")
+        verdict = novelty_gate(fresh, batch.limit(0) if old is None else old, reject, refine, "greedy")
+        write_batch(fresh.join(verdict.where("verdict <> 'duplicate'").select("vec_id"), "vec_id", "left_semi"), path, number)
 
     return sink
 
