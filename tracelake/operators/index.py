@@ -6,6 +6,7 @@ import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +33,8 @@ MOST_SEGMENTS = 8
 #: Terms of a query on average from which on all blocks are read at once, as few could be left out.
 LONG_QUERY = 8
 K1, B = 1.2, 0.75
+#: Characters of a query in the automaton of a scan, and of all queries of one automaton.
+HEAD, NEEDLES = 1000, 1 << 21
 
 
 def _block_fields(kind: str) -> str:
@@ -333,22 +336,56 @@ def coterms(index: Index, keywords: DataFrame, n: int = 6, share: float = 0.05)
     return scored.select("keyword", "term", "co", "score", rank.alias("rank")).where(F.col("rank") <= min(n, 20))
 
 
-def substring_scan(docs: DataFrame, queries: DataFrame, per_source: int | None = 20, excerpt: int = 150, block: int = 1000) -> DataFrame:
+def substring_scan(docs: DataFrame, queries: DataFrame, per_source: int | None = 20, excerpt: int = 150, block: int = NEEDLES) -> DataFrame:
     """(query_id, source, doc_id, excerpt, rank): texts that contain a query, whatever the case, unranked; a baseline.
 
-    Each block of queries is one array that every text is tested against in a single scan.
+    One automaton of all queries reads each text once, whatever their number.  It holds the first
+    HEAD characters of a query; a longer one is looked for in the texts that hold these.  Queries of more than
+    `block` characters in all, heads counted, are dealt into several automata, each a scan.  Null and
+    empty queries, and null texts, match nothing.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
+    asked = queries.select("query_id", F.lower("query").alias("needle")).where(F.length("needle") > 0)
+    size = asked.agg(F.sum(F.least(F.length("needle"), F.lit(HEAD))).alias("n")).first()["n"] or 0
+    scans, kind = max(1, -(-size // block)), queries.schema["query_id"].dataType.simpleString()
+    lines = docs.select("doc_id", "source", F.substring("text", 1, excerpt).alias("excerpt"), F.lower("text").alias("line"))
     out = None
-    for part in range(blocks):
-        mine = queries.where(F.length("query") > 0).where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part)
-        listed = mine.agg(F.collect_list(F.struct("query_id", F.lower("query").alias("needle"))).alias("asked"))  # one row of about `block` queries
-        line = docs.select("doc_id", "source", "text", F.lower("text").alias("line")).crossJoin(F.broadcast(listed))
-        hits = line.select("doc_id", "source", "text", F.explode(F.filter("asked", lambda q: F.contains(F.col("line"), q["needle"]))).alias("q"))
-        out = hits if out is None else out.union(hits)
-    rank = F.row_number().over(Window.partitionBy("q.query_id", "source").orderBy("doc_id"))
-    return out.select(F.col("q.query_id").alias("query_id"), "source", "doc_id", F.substring("text", 1, excerpt).alias("excerpt"), rank.alias("rank")).where(F.lit(True) if per_source is None else F.col("rank") <= per_source)
+    for scan in range(scans):
+        held = asked.where(F.pmod(F.xxhash64("query_id", "needle"), F.lit(scans)) == scan)
+        # whole queries, those of one block; beyond their heads they are as long as the queries themselves
+        needles = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in held.collect()])
+        found = lines.select("doc_id", "source", "excerpt", F.explode(_held_in(needles, kind)(F.col("line"))).alias("query_id"))
+        out = found if out is None else out.union(found)
+    rank = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("doc_id"))
+    ranked = out.select("query_id", "source", "doc_id", "excerpt", rank.alias("rank"))
+    return ranked if per_source is None else ranked.where(F.col("rank") <= per_source)
+
+
+def _automaton(needles: list[tuple]) -> ahocorasick.Automaton:
+    by_head: dict[str, list[tuple]] = {}
+    for needle_id, needle in needles:
+        by_head.setdefault(needle[:HEAD], []).append((needle_id, needle))
+    words = ahocorasick.Automaton()
+    for head, own in by_head.items():
+        words.add_word(head, own)
+    words.make_automaton()
+    return words
+
+
+def _held_in(needles, kind: str):
+    """Ids of the needles (id, text) that a text holds, one for each needle."""
+
+    @F.pandas_udf(f"array<{kind}>")
+    def held(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = _automaton(needles.value)  # once for a task
+
+        def ids(line: str | None) -> list:
+            met = {id(own): own for _, own in words.iter(line)} if line and needles.value else {}
+            return [needle_id for own in met.values() for needle_id, needle in own if len(needle) <= HEAD or needle in line]
+
+        for batch in lines:
+            yield batch.map(ids)
+
+    return held
 
 
 def find_in_messages(messages: DataFrame, terms: str, by_message: bool = False) -> DataFrame:

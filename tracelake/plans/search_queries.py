@@ -10,6 +10,7 @@ from tracelake.operators import facets as fa
 from tracelake.operators import fusion as fu
 from tracelake.operators import index as ix
 from tracelake.operators import vectors as vx
+from tracelake.operators.scrubbing import scrub_table
 from tracelake.plans import adapters as ad
 from tracelake.plans.catalogue import query
 
@@ -223,6 +224,18 @@ def scrub_text(spark, sf_dir):
     return ad.table(spark, sf_dir, "documents").select("doc_id", scrub(F.col("text"), {"the": "yy", "tion": "xxx"}).alias("text"))
 
 
+SCRUBBED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '/(?:Users|home)/[A-Za-z0-9._-]+', '~', 'g'), 'assistant', 'a user', 'gi'), 'tion', 'Xx', 'gi'), 'user', 'QQ', 'gi')"
+
+
+@query(f"SELECT conv_id, turn, {SCRUBBED.format('role')} AS role, {SCRUBBED.format('text')} AS text, {SCRUBBED.format('text')} AS again, 'user' AS kept FROM conversations")
+def scrubbed_tables(spark, sf_dir):
+    """Conversations as nested rows, scrubbed at every depth in one pass, one replacement holding another name."""
+    c = ad.table(spark, sf_dir, "conversations")
+    nested = c.select("conv_id", "turn", F.struct("role", F.array(F.struct("text")).alias("parts")).alias("message"), F.create_map(F.lit("user"), F.col("text")).alias("by_name"), F.lit("user").alias("kept"))
+    clean = scrub_table(nested, {"tion": "Xx", "assistant": "a user", "user": "QQ"}, keep=("kept",))
+    return clean.select("conv_id", "turn", "message.role", F.col("message.parts")[0]["text"].alias("text"), F.col("by_name")["user"].alias("again"), "kept")
+
+
 @query("""WITH q AS (SELECT item_id AS query_id, lower(text) AS needle FROM benchmark),
 h AS (SELECT query_id, source, doc_id, text, row_number() OVER (PARTITION BY query_id, source ORDER BY doc_id) AS rank FROM q JOIN documents ON contains(lower(text), needle) WHERE needle <> '')
 SELECT query_id, source, doc_id, text[1:150] AS excerpt, rank FROM h WHERE rank <= 20""")
