@@ -1,5 +1,6 @@
 """Names replaced in one pass, against names replaced one after the other."""
 
+import json
 import random
 import re
 import string
@@ -47,13 +48,13 @@ def test_all_strings_at_any_depth(spark):
         (2, None, None, None, None, None, None),
         (3, "", (None, None, None), {}, [], b"", ""),
     ]
-    table = spark.createDataFrame(rows, kind).repartition(1).sortWithinPartitions("id").withColumn("v", F.parse_json(F.lit('{"acme": ["Acme", 1]}')))
-    got = scrub_table(table, {"acme": "zed"}, keep=("own",))
+    table = spark.createDataFrame(rows, kind).repartition(1).sortWithinPartitions("id").withColumn("v", F.parse_json(F.lit('{"acme": ["Acme \\\\ \\"x\\"", 1]}')))
+    got = scrub_table(table, {"acme": "zed", "x": 'say "y"'}, keep=("own",))
     assert got.columns == table.columns and got.schema.simpleString() == table.schema.simpleString()
     a, b, c = got.withColumn("v", F.to_json("v")).orderBy("id").collect()
     assert tuple(a)[:2] == (1, "zed") and (a["s"]["a"], a["s"]["b"], a["s"]["n"]) == ("an zed", ["zed", None, ""], 3)
-    assert a["m"] == {"acme": "zed", "k": None} and a["deep"][0]["x"] == {"acme": ["x zed"]} and a["deep"][1] is None
-    assert bytes(a["raw"]) == b"acme" and a["own"] == "acme" and a["v"] == '{"acme":["zed",1]}'
+    assert a["m"] == {"acme": "zed", "k": None} and a["deep"][0]["x"] == {"acme": ['say "y" zed']} and a["deep"][1] is None
+    assert bytes(a["raw"]) == b"acme" and a["own"] == "acme" and json.loads(a["v"]) == {"acme": ['zed \\ "say "y""', 1]}
     assert tuple(b)[:7] == rows[1] and (c["text"], c["m"], c["deep"]) == ("", {}, [])
     assert scrub_table(table.limit(0), {"acme": "zed"}).count() == 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 # Fixed value: home folders in paths.
 HOME = r"/(?:Users|home)/[A-Za-z0-9._-]+"
+JSON_STRING = re.compile(r'("(?:[^"\\]|\\.)*")(\s*:)?')
 
 
 def _lower(text: str) -> str:
@@ -72,6 +74,15 @@ class Names:
         return self._replaced(re.sub(HOME, lambda _: self.home, text) if self.home is not None and "/" in text else text)
 
 
+def _in_json(change: Callable[[str | None], str | None]) -> Callable[[str | None], str | None]:
+    """The change applied to the strings of a JSON text; keys and numbers stay as they are written."""
+
+    def value(found: re.Match) -> str:
+        return found[0] if found[2] else json.dumps(change(json.loads(found[1])), ensure_ascii=False)
+
+    return lambda text: text and JSON_STRING.sub(value, text)
+
+
 def _walk(values: pa.Array, change: Callable[[str | None], str | None]) -> pa.Array:
     """The array with all its strings changed; keys of maps stay, as names of fields do."""
     kind = values.type
@@ -104,7 +115,7 @@ def scrub_table(table: DataFrame, mapping: dict[str, str], home: str | None = "~
     """The table with home folders and names replaced in all its strings, also in structs, arrays, values of maps and variants.
 
     `mapping` is the user's list of names; it goes to every task and so has to fit there.  Each
-    text is read once, however many names there are.  Columns named in `keep`, keys of maps and
+    text is read once, however many names there are.  Columns named in `keep`, keys of maps and variants and
     strings of bytes stay; null and empty texts too.  Differences from names replaced one after the other (`scrub`): a name that
     arises only where a replacement meets its neighbours is not replaced, and without `again` no
     replacement is; letters beyond ASCII match in either case.
@@ -119,8 +130,8 @@ def scrub_table(table: DataFrame, mapping: dict[str, str], home: str | None = "~
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(*sent.value)  # once for a task
         for batch in batches:
-            columns = [_walk(c, names.scrub) if n in chosen else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+            columns = [_walk(c, _in_json(names.scrub) if n in variants else names.scrub) if n in chosen else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     out = table.mapInArrow(run, table.schema)
-    return out.withColumns({n: F.try_parse_json(n) for n in variants}).select(*(F.col(f"`{n}`") for n in order)) if variants else out
+    return out.withColumns({n: F.parse_json(n) for n in variants}).select(*(F.col(f"`{n}`") for n in order)) if variants else out
