@@ -233,6 +233,16 @@ def query_terms(queries: DataFrame, text: str = "query", **how) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def begun_by(asked: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows of `asked` (prefix, ...) with each of the terms (term, ...) that the prefix begins.
+
+    A term is cut to the lengths that prefixes have and joined on the whole prefix, so all that meets is a result.
+    """
+    lengths = sorted(r["n"] for r in asked.select(F.length("prefix").alias("n")).distinct().collect())  # one number for each length
+    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("term"))
+    return asked.join(terms.withColumn("n", F.explode(fits)).withColumn("prefix", F.expr("substring(term, 1, n)")).drop("n"), "prefix")
+
+
 def expand_wildcards(queries: DataFrame, terms: DataFrame, text: str = "query", most: int | None = None) -> DataFrame:
     """(query_id, term, qtf): `pre*` (two characters or more) stands for all terms with the prefix, or for itself without any.
 
@@ -241,7 +251,7 @@ def expand_wildcards(queries: DataFrame, terms: DataFrame, text: str = "query",
     words = queries.select("query_id", F.explode(F.split(F.lower(F.col(text)), r"[^a-z0-9*]+")).alias("word")).where("word <> ''").distinct()
     wild = F.col("word").endswith("*") & (F.length("word") > 2)
     stems = words.where(wild).withColumn("prefix", F.regexp_replace("word", r"\*", "")).where(F.length("prefix") >= 2)
-    found = stems.withColumn("head", F.substring("prefix", 1, 2)).join(terms.select("term", F.substring("term", 1, 2).alias("head")), "head").where(F.col("term").startswith(F.col("prefix")))
+    found = begun_by(stems, terms.select("term"))
     if most is not None:
         found = found.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "word").orderBy("term"))).where(F.col("rn") <= most)
     found = found.select("query_id", "word", "term")
@@ -314,8 +324,7 @@ def rank_hits(hits: DataFrame, n: int | None = None, by: tuple[str, ...] = ("que
 def autocomplete(terms: DataFrame, prefixes: DataFrame, n: int = 8) -> DataFrame:
     """(prefix, term, df, rank): the commonest terms longer than a prefix of two characters or more."""
     clean = prefixes.select(F.regexp_replace(F.lower("prefix"), "[^a-z0-9]", "").alias("prefix")).where(F.length("prefix") >= 2).distinct()
-    head = lambda c: F.substring(c, 1, 2).alias("head")
-    found = clean.select("prefix", head("prefix")).join(terms.select("term", "df", head("term")), "head").where(F.col("term").startswith(F.col("prefix")) & (F.length("term") > F.length("prefix")))
+    found = begun_by(clean, terms.select("term", "df")).where("term <> prefix")
     rank = F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("df"), "term"))
     return found.select("prefix", "term", "df", rank.alias("rank")).where(F.col("rank") <= min(n, 20))
 

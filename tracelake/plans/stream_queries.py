@@ -11,8 +11,8 @@ from tracelake.plans.log_queries import pick, sql_pick
 from tracelake.plans.search_queries import INDEX
 from tracelake.sources.batches import read_batches, write_batch
 from tracelake.sources.tables import new_path
+from tracelake.streaming import late, tail
 from tracelake.streaming import streams as st
-from tracelake.streaming import tail
 
 TYPES = ["note", "bridge_ping_sent", "search", "bridge_ping_received", "fetch"]
 FEED = f"e AS (SELECT event_id, ts, user_id, event_type, {sql_pick(TYPES, 'event_id')} AS type FROM events)"
@@ -137,6 +137,18 @@ def stream_segments(spark, sf_dir):
     return found.select("user_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "n_events")
 
 
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 900000000 THEN 0 ELSE 1 END AS jump FROM events),
+s AS (SELECT user_id, ts, sum(jump) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n_events FROM s GROUP BY user_id, k""")
+def stream_segments_late(spark, sf_dir):
+    """Stretches of activity of events that come in four batches out of order of time, most of them late."""
+    path = new_path(spark, "stream-segments")
+    rows = batches(spark, sf_dir, "events", "event_id").select("user_id", "ts")
+    st.run_available(rows, late.segment_sink(path, "user_id"), new_path(spark, "stream-state")).awaitTermination()
+    found = late.segments_with_late(spark, path, "user_id")
+    return found.select("user_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "n_events")
+
+
 @query()
 def stream_novelty(spark, sf_dir):
     """Vectors that no vector of smaller id, kept before them, repeats."""

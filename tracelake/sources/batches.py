@@ -20,7 +20,20 @@ def write_batch(rows: DataFrame, path: str, number: int | str, query: str | None
     The file commit's marker says that the folder is whole; no other folder is read or
     touched, so the cost of a batch is its own size, not the table's.
     """
-    rows.write.mode("overwrite").parquet(f"{path}/{query or writer(rows.sparkSession)}/{number}")
+    rows.write.mode("overwrite").parquet(batch_path(path, query or writer(rows.sparkSession), number))
+
+
+def batch_path(path: str, query: str, number: int | str) -> str:
+    return f"{path}/{query}/{number}"
+
+
+def last_batches(spark: SparkSession, path: str) -> DataFrame | None:
+    """The whole batch of the highest number of each query; None where there are none."""
+    found = []
+    for query in subfolders(spark, path):
+        whole = [p for p in subfolders(spark, query) if exists(spark, f"{p}/_SUCCESS")]
+        found += sorted(whole, key=lambda p: int(p.rsplit("/", 1)[-1]))[-1:]
+    return spark.read.parquet(*found) if found else None
 
 
 def read_batches(spark: SparkSession, path: str, but: tuple[str, int | str] | None = None) -> DataFrame | None:
