@@ -151,3 +151,17 @@ def test_novelty_of_a_repeated_batch(spark, tmp_path):
     for _ in range(2):
         sink(frame([(2, (0, 1)), (3, (1, 0.01))]), 1)
         assert sorted(r["vec_id"] for r in read_batches(spark, str(tmp_path / "vec")).collect()) == [1, 2]
+
+
+def test_parents_with_an_end(spark, tmp_path):
+    """The same parents for rows in time, and no session's state once the watermark is past its last event."""
+    base = dt.datetime(2024, 1, 1)
+    row = lambda i, k, s: {"event_id": i, "session_id": k, "ts": (base + dt.timedelta(seconds=s)).isoformat()}
+    parts = [[row("a1", "a", 0), row("a2", "a", 30), row("b1", "b", 31)], [row("a3", "a", 80), row("c1", "c", 81)], [row("d1", "d", 9000)]]
+    stream = st.stream_logs(spark, folder(tmp_path, parts), FIELDS, 1)
+    run = st.run_available(st.stream_parents(stream, watermark="10 minutes"), st.appender(str(tmp_path / "out")), str(tmp_path / "cp"))
+    run.awaitTermination()
+    got = {r["event_id"]: r["parent_event_id"] for r in read_batches(spark, str(tmp_path / "out")).collect()}
+    assert got == {"a1": None, "a2": "a1", "b1": None, "a3": "a2", "c1": None, "d1": None}
+    totals = [sum(o["numRowsTotal"] for o in json.loads(p.json)["stateOperators"]) for p in run.recentProgress]
+    assert max(totals) > 1 == totals[-1]  # the last session alone

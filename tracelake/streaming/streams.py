@@ -100,12 +100,16 @@ def stream_segments(stream: DataFrame, gap: str = "15 minutes", key: str = "sess
 
 
 class ParentProcessor(StatefulProcessor):
-    """Parent of each event: the one before in its session, if it is near enough in time."""
+    """Parent of each event: the one before in its session, if it is near enough in time.
 
-    def __init__(self, window_seconds: float):
-        self.window_seconds = window_seconds
+    With `ends`, a session's state goes once the watermark says that no event can have its last one as parent.
+    """
+
+    def __init__(self, window_seconds: float, ends: bool = False):
+        self.window_seconds, self.ends = window_seconds, ends
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "event_id string, at double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
@@ -117,17 +121,33 @@ class ParentProcessor(StatefulProcessor):
             out.append((event_id, before_id if near else None))
             before_id, before_at = event_id, at
         self.last.update((before_id, float(before_at)))
+        if self.ends:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((before_at + self.window_seconds) * 1000) + 1)
         yield pd.DataFrame(out, columns=["event_id", "parent_event_id"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def stream_parents(stream: DataFrame, window_seconds: float = 60, key: str = "session_id") -> DataFrame:
-    """(event_id, parent_event_id) as events arrive; batches are taken to follow each other in time."""
+def stream_parents(stream: DataFrame, window_seconds: float = 60, key: str = "session_id", watermark: str | None = None) -> DataFrame:
+    """(event_id, parent_event_id) as events arrive; batches are taken to follow each other in time.
+
+    With a watermark, such as "10 minutes", the state of a session ends when the watermark is
+    `window_seconds` past its last event, and events behind the watermark have no row: a batch
+    (`link_parents`) has to take them.  Without one all sessions are kept and all events have a row.
+    """
     at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0).alias("at")
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col("event_id").cast("string").alias("event_id"), at)
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=ParentProcessor(window_seconds), outputStructType="event_id string, parent_event_id string", outputMode="Append", timeMode="None")
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", watermark) if watermark else timed
+    rows = timed.select(F.col(key).cast("string").alias("key"), F.col("event_id").cast("string").alias("event_id"), at, *(["ts"] if watermark else []))
+    mode = "EventTime" if watermark else "None"
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=ParentProcessor(window_seconds, bool(watermark)), outputStructType="event_id string, parent_event_id string", outputMode="Append", timeMode=mode)
 
 
 class ServeProcessor(StatefulProcessor):
