@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.ordered import deal, running, with_previous
+
 SERVER_TOPS = {"project": 5, "type": 5, "quadrant": 4, "source": 5, "month": 6, "day": 7}
 CLI_TOP = 8
 TIME_DIMS = ("month", "day")
@@ -78,21 +80,17 @@ def session_facets(sessions: DataFrame, tops: dict[str, int] | None = None) -> D
     return out.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def event_groups(events: DataFrame, key: Column, gap_seconds: int = 300, cell_seconds: int = 86_400) -> DataFrame:
+def event_groups(events: DataFrame, key: Column, gap_seconds: int = 300, hot_rows: int | None = None) -> DataFrame:
     """(event_id, group_id): events in time order fall into one group while the key stays and gaps are under `gap_seconds`.
 
-    Windows run within cells of time; the last event of each earlier cell is stitched to
-    the first of the next, so no task sees all events.  group_id is the first event's id.
+    The order goes over all events, in ranges of about `hot_rows` (`ordered.deal`) that
+    are stitched at their edges.  group_id is the first event's id.
     """
-    second = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.select("event_id", second.alias("at"), F.coalesce(key.cast("string"), F.lit("")).alias("k")).withColumn("cell", F.floor(F.col("at") / (cell_seconds * 1_000_000)))
-    w = Window.partitionBy("cell").orderBy("at", "event_id")
-    last = rows.groupBy("cell").agg(F.max(F.struct("at", "event_id", "k")).alias("e")).select("cell", F.lag("e").over(Window.orderBy("cell")).alias("before"))  # one row for each cell
-    joined = rows.withColumn("prev", F.lag(F.struct("at", "event_id", "k")).over(w)).join(last, "cell", "left")
-    prev = F.coalesce("prev", "before")
-    starts = joined.withColumn("starts", prev.isNull() | (prev["k"] != F.col("k")) | (F.col("at") - prev["at"] >= gap_seconds * 1_000_000))
-    known = F.last(F.when(F.col("starts"), F.struct("at", "event_id")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    inside = starts.withColumn("head", known)
-    # a cell whose first events continue a group takes the head of the cells before
-    carried = inside.groupBy("cell").agg(F.max("head").alias("h")).select("cell", F.last("h", True).over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
-    return inside.join(carried, "cell", "left").select("event_id", F.coalesce(F.col("head.event_id"), F.col("carry.event_id")).alias("group_id"))
+    order = ("at", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = deal(events.select(F.lit(0).alias("log"), "event_id", at.alias("at"), F.coalesce(key.cast("string"), F.lit("")).alias("k")), "log", order, hot_rows)
+    joined = with_previous(rows, "log", order, ("at", "k"))
+    prev = F.col("_prev")
+    starts = prev.isNull() | (prev["k"] != F.col("k")) | (F.col("at") - prev["at"] >= gap_seconds * 1_000_000)
+    head = F.when(starts, F.struct("at", "event_id"))
+    return running(joined.withColumn("_head", head), "log", order, F.col("_head"), "max", "_first").select("event_id", F.col("_first.event_id").alias("group_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.classify import high_signal
 from tracelake.functions.text import session_line
+from tracelake.operators.ordered import deal, running, with_previous
 from tracelake.operators.sweep import first_windows
 from tracelake.operators.vectors import _cut
 
@@ -23,10 +24,9 @@ def seconds(ts: str | Column) -> Column:
 
 def segment(events: DataFrame, key: str, gap_seconds: float, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Add segment, from 0 within a key: a new one starts where the gap is over `gap_seconds`."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    gap = seconds(ts) - seconds(F.lag(ts).over(w))
-    jumped = events.withColumn("_jump", F.coalesce((gap > gap_seconds).cast("int"), F.lit(0)))
-    return jumped.withColumn("segment", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_jump")
+    dealt = with_previous(deal(events, key, (ts, tie)), key, (ts, tie), (ts,))
+    jump = F.coalesce((seconds(ts) - seconds(F.col(f"_prev.{ts}")) > gap_seconds).cast("long"), F.lit(0))
+    return running(dealt.withColumn("_jump", jump), key, (ts, tie), F.col("_jump"), "sum", "segment").drop("_jump", "_prev", "_part")
 
 
 def counts_map(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -133,8 +133,8 @@ def related(events: DataFrame, ids: DataFrame) -> DataFrame:
 
 def session_event_count(events: DataFrame) -> DataFrame:
     """Add n_so_far: a session's events up to each one."""
-    w = Window.partitionBy("session_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("n_so_far", F.count(F.lit(1)).over(w))
+    order = ("ts", "event_id")
+    return running(deal(events, "session_id", order), "session_id", order, F.lit(1), "sum", "n_so_far").drop("_part")
 
 
 def with_ordinal(events: DataFrame, ts: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -152,8 +152,8 @@ def link_parents(events: DataFrame, window_seconds: float = 60, mode: str = "ses
     whole log, if it is of that session.
     """
     if mode == "session":
-        w = Window.partitionBy(key).orderBy("ts", "event_id")
-        rows = events.withColumn("p", F.lag(F.struct("event_id", "ts")).over(w))
+        order = ("ts", "event_id")
+        rows = with_previous(deal(events.select("event_id", "ts", key), key, order), key, order, ("event_id", "ts"), "p")
     else:
         rows = with_ordinal(events.select("event_id", "ts", key))
         before = rows.select((F.col("ordinal") + 1).alias("ordinal"), F.col(key).alias("pk"), F.struct("event_id", "ts").alias("p"))
