@@ -149,8 +149,13 @@ def tool_events(raw: DataFrame) -> DataFrame:
     return out.withColumn("salience", weight)
 
 
-def milestone_events(raw: DataFrame) -> DataFrame:
-    """Lifecycle rows (event, trigger, reason, agent_type) to milestones with description and salience; other rows go."""
+def milestone_events(raw: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Lifecycle rows (event, trigger, reason, agent_type) to milestones with description and salience; other rows go.
+
+    With the unified `log`, rows (session_id, git_branch, git_dirty_files) also get
+    session_event_count, the log's lines of their session (0 without one), and
+    rich_summary, the description with branch, changed files and that count.
+    """
     event, trigger, reason, agent = F.col("event"), F.coalesce("trigger", F.lit("unknown")), F.coalesce("reason", F.lit("unknown")), F.coalesce("agent_type", F.lit("unknown"))
     milestone = F.when(event == "PreCompact", F.concat(F.lit("compaction_"), trigger)).when(event == "SessionEnd", F.concat(F.lit("session_end_"), reason)).when((event == "SubagentStop") & agent.isin(*AGENTS), F.concat(F.lit("agent_"), agent))
     text = (
@@ -159,7 +164,16 @@ def milestone_events(raw: DataFrame) -> DataFrame:
         .otherwise(F.concat(agent, F.lit(" agent completed")))
     )
     out = raw.withColumn("milestone", milestone).withColumn("description", text).where(F.col("milestone").isNotNull())
-    return out.withColumn("salience", salience(F.concat(F.lit("milestone_"), F.col("milestone")), milestone=F.col("milestone")))
+    out = out.withColumn("salience", salience(F.concat(F.lit("milestone_"), F.col("milestone")), milestone=F.col("milestone")))
+    return out if log is None else with_rich_summary(out, log)
+
+
+def with_rich_summary(milestones: DataFrame, log: DataFrame) -> DataFrame:
+    counts = log.where(F.coalesce("session_id", F.lit("")) != "").groupBy("session_id").agg(F.count(F.lit(1)).alias("session_event_count"))
+    out = milestones.join(counts, "session_id", "left").withColumn("session_event_count", F.coalesce("session_event_count", F.lit(0)))
+    branch, dirty = F.coalesce("git_branch", F.lit("")), F.coalesce("git_dirty_files", F.lit(0)).cast("string")
+    state = F.when(branch != "", F.concat(branch, F.lit(", "), dirty, F.lit(" dirty, "))).otherwise("")
+    return out.withColumn("rich_summary", F.concat("description", F.lit(" ["), state, F.col("session_event_count").cast("string"), F.lit(" events]")))
 
 
 def noise_class(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import query_entities
+from tracelake.operators.index import contained
+from tracelake.sources.tables import stored
 
 # Words that don't count in matching summaries.
 STOP_WORDS = (
@@ -74,12 +76,20 @@ def compare_modes(scores: DataFrame) -> DataFrame:
     return scores.groupBy("mode").agg(*[F.round(F.avg(c), 6).alias(c) for c in names], F.count(F.lit(1)).alias("queries"))
 
 
-def phantoms(queries: DataFrame, results: DataFrame, logs: DataFrame, text: str = "line") -> DataFrame:
-    """(query_id, query, entity): entities of queries without results that no log line (text) names."""
+def phantoms(queries: DataFrame, results: DataFrame, logs: DataFrame, text: str = "line", within: bool = True) -> DataFrame:
+    """(query_id, query, entity): entities of queries without results that no log line (text) holds.
+
+    What is not an entity of any line is looked for `within` the lines too, as a part of
+    a longer name.
+    """
     empty = queries.join(results.select("query_id").distinct(), "query_id", "left_anti")
     asked = empty.select("query_id", "query", F.explode(query_entities(F.col("query"))).alias("entity"))
     named = logs.select(F.explode(query_entities(F.col(text))).alias("entity")).distinct()
-    return asked.join(named, "entity", "left_anti").select("query_id", "query", "entity")
+    unnamed = asked.join(named, "entity", "left_anti").select("query_id", "query", "entity")
+    if not within:
+        return unnamed
+    unnamed = stored(unnamed, "unnamed-entities")
+    return unnamed.join(contained(logs, text, unnamed, "entity"), "entity", "left_anti").select("query_id", "query", "entity")
 
 
 def gap_events(found: DataFrame) -> DataFrame:

@@ -369,6 +369,22 @@ def substring_scan(docs: DataFrame, queries: DataFrame, per_source: int | None =
     return ranked if per_source is None else ranked.where(F.col("rank") <= per_source)
 
 
+def contained(lines: DataFrame, text: str, needles: DataFrame, needle: str, block: int = NEEDLES) -> DataFrame:
+    """(needle): the distinct needles that some line's text contains, letter for letter; null and empty ones never.
+
+    Automata of `block` characters of needles read the lines, as in `substring_scan`.
+    """
+    asked = stored(needles.select(F.col(needle).alias("needle")).where(F.length("needle") > 0).distinct(), "needles")
+    size = asked.agg(F.sum(F.least(F.length("needle"), F.lit(HEAD))).alias("n")).first()["n"] or 0
+    scans, out = max(1, -(-size // block)), None
+    for scan in range(scans):
+        # whole needles, those of one block
+        held = [(r["needle"], r["needle"]) for r in asked.where(F.pmod(F.xxhash64("needle"), F.lit(scans)) == scan).collect()]
+        found = lines.select(F.explode(_held_in(lines.sparkSession.sparkContext.broadcast(held), "string")(F.col(text))).alias(needle))
+        out = found if out is None else out.union(found)
+    return out.distinct()
+
+
 def _automaton(needles: list[tuple]) -> ahocorasick.Automaton:
     by_head: dict[str, list[tuple]] = {}
     for needle_id, needle in needles:

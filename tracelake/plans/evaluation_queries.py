@@ -53,12 +53,31 @@ def session_recall(spark, sf_dir):
     return ev.session_recall(found, sessions)
 
 
-@query(f"""WITH {BM25}, w AS (SELECT item_id AS query_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({", ".join(repr(x) for x in ev.STOP_WORDS)})) AS words FROM benchmark),
+SHARES = f"""{BM25}, w AS (SELECT item_id AS query_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({", ".join(repr(x) for x in ev.STOP_WORDS)})) AS words FROM benchmark),
 v AS (SELECT query_id, doc_id, rank, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2) AS words FROM r JOIN documents USING (doc_id) WHERE rank <= 20),
-sh AS (SELECT v.query_id, doc_id, rank, len(list_filter(w.words, lambda x: list_contains(v.words, x))) / len(w.words) AS share FROM v JOIN w USING (query_id))
+sh AS (SELECT v.query_id, doc_id, rank, len(list_filter(w.words, lambda x: list_contains(v.words, x))) / len(w.words) AS share FROM v JOIN w USING (query_id))"""
+
+
+@query(f"""WITH {SHARES}
 SELECT query_id, doc_id, rank, CASE WHEN share >= 0.5 THEN 2 END AS grade FROM sh""")
 def truth_matches(spark, sf_dir):
     """Benchmark texts as judged events of grade 2, matched to the hits by their words."""
     truth = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("place"), F.col("text").alias("summary"), F.lit(2).alias("grade"), F.lit(None).cast("string").alias("noise"))
     found = hits(spark, sf_dir, 20).join(ad.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("summary")), "doc_id").withColumn("session", F.lit(""))
     return ev.match_truth(found, truth).select("query_id", "doc_id", "rank", "grade")
+
+
+@query(f"""WITH {SHARES}, g AS (SELECT DISTINCT source, CASE WHEN md5(source)[1:1] < '6' THEN 3 WHEN md5(source)[1:1] < 'b' THEN 2 ELSE 1 END AS grade FROM documents WHERE md5(source)[2:2] > '2')
+SELECT query_id, doc_id, rank, CASE WHEN share >= 0.5 THEN 2 ELSE g.grade END AS grade FROM sh JOIN documents USING (doc_id) LEFT JOIN g USING (source)""")
+def truth_sessions(spark, sf_dir):
+    """The same with sources as judged sessions, whose names meet in their first twelve characters; roles and relevance by the names' letters."""
+    docs, name = ad.table(spark, sf_dir, "documents"), F.md5(F.col("source").cast("binary"))
+    asked = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("summary"))
+    truth = asked.select("query_id", F.lit(0).alias("place"), "summary", F.lit(2).alias("grade"), F.lit(None).cast("string").alias("noise"))
+    first = F.substring("name", 1, 1)
+    judged = docs.select(name.alias("name")).where("name is not null").distinct().select(
+        F.concat(F.substring("name", 1, 12), F.lit("-part")).alias("session"), (F.substring("name", 2, 1) > "2").alias("relevant"), F.when(first < "6", "primary").when(first < "b", "secondary").otherwise("other").alias("role")
+    )
+    sessions = asked.select("query_id").join(judged, F.lit(True))  # the truth table's own size: queries times sources
+    found = hits(spark, sf_dir, 20).join(docs.select("doc_id", F.col("text").alias("summary"), name.alias("session")), "doc_id")
+    return ev.match_truth(found, truth, sessions).select("query_id", "doc_id", "rank", "grade")

@@ -280,5 +280,29 @@ SELECT 'gap-' || page_id AS event_id, len(list(entity)) AS n_entities, array_to_
 def phantom_gaps(spark, sf_dir):
     """Urls of odd pages as queries without results, those of even pages as the log."""
     p = ad.table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("query"))
-    found = ev.phantoms(p.where("query_id % 2 = 1"), p.where("query_id % 2 = 0"), p.where("query_id % 2 = 0"), "query")
+    found = ev.phantoms(p.where("query_id % 2 = 1"), p.where("query_id % 2 = 0"), p.where("query_id % 2 = 0"), "query", within=False)
     return ev.gap_events(found).select("event_id", F.size("unknown_entities").cast("long").alias("n_entities"), F.array_join("unknown_entities", " ").alias("entities"))
+
+
+@query("""WITH x AS (SELECT page_id, url, unnest(regexp_extract_all(url, '([/A-Za-z0-9_.-]+\\.[a-zA-Z0-9]{1,8})', 1)) AS entity FROM pages WHERE page_id % 2 = 1),
+y AS (SELECT DISTINCT page_id, entity FROM x WHERE NOT regexp_matches(entity, '^[0-9].*\\.[0-9]') AND NOT ends_with(entity, '.md') AND NOT ends_with(entity, '.')),
+g AS (SELECT * FROM y WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id % 2 = 0 AND contains(p.url, y.entity)))
+SELECT 'gap-' || page_id AS event_id, len(list(entity)) AS n_entities, array_to_string(list_sort(list(entity)), ' ') AS entities FROM g GROUP BY page_id""")
+def phantom_gaps_within(spark, sf_dir):
+    """The same, where a name that is part of a longer one in the log is known."""
+    p = ad.table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("query"))
+    even = p.where("query_id % 2 = 0")
+    found = ev.phantoms(p.where("query_id % 2 = 1"), even, even, "query")
+    return ev.gap_events(found).select("event_id", F.size("unknown_entities").cast("long").alias("n_entities"), F.array_join("unknown_entities", " ").alias("entities"))
+
+
+@query(f"""WITH {EVENTS}, {ROLL}, c AS (SELECT session_id, string_agg(type || ':' || k, ',' ORDER BY type) AS types FROM (SELECT session_id, type, count(*) AS k FROM e GROUP BY session_id, type) GROUP BY session_id),
+l AS (SELECT session_id, list(event_id || ' ' || type || ' by ' || user_id ORDER BY ts, event_id)[1:200] AS lines FROM e GROUP BY session_id)
+SELECT session_id, types, len(lines) AS n_listed, array_to_string(lines, ', ') AS lines, project AS projects FROM n JOIN c USING (session_id) JOIN l USING (session_id)""")
+def session_rollup_details(spark, sf_dir):
+    """Counts by type, projects and the first 200 events of each session."""
+    e = ad.events(spark, sf_dir).withColumn("summary", F.concat_ws(" by ", "type", "user_id"))
+    out = se.session_rollup(e)
+    types = F.array_join(F.transform(F.map_entries("type_counts"), lambda t: F.concat_ws(":", t["key"], t["value"])), ",")
+    lines = F.array_join(F.transform("events", lambda x: F.concat_ws(" ", x["event_id"], x["line"])), ", ")
+    return out.select("session_id", types.alias("types"), F.size("events").cast("long").alias("n_listed"), lines.alias("lines"), F.array_join("projects", ",").alias("projects"))

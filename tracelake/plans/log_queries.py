@@ -127,6 +127,34 @@ def milestone_rows(spark, sf_dir):
     return cl.milestone_events(raw).select("event_id", "milestone", "description", "salience")
 
 
+@query(f"""WITH r AS (SELECT event_id, user_id, {sql_pick(STAGES, 'event_id')} AS stage, event_type AS how, {sql_pick(AGENT_NAMES, '(event_id // 5)')} AS agent, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'work-' || event_id % 3 END AS branch, event_id % 6 AS dirty FROM events),
+n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), c AS (SELECT r.*, CASE WHEN event_id % 7 = 0 THEN 0 ELSE n END AS n FROM r JOIN n USING (user_id))
+SELECT event_id, n AS session_event_count, CASE stage WHEN 'PreCompact' THEN 'Context compaction (' || how || ') — session at peak density' WHEN 'SessionEnd' THEN 'Session ended (' || how || ')' ELSE agent || ' agent completed' END
+|| ' [' || CASE WHEN branch <> '' THEN branch || ', ' || dirty || ' dirty, ' ELSE '' END || n || ' events]' AS rich_summary FROM c WHERE stage <> 'Notification' AND (stage <> 'SubagentStop' OR agent <> 'reviewer')""")
+def milestone_summaries(spark, sf_dir):
+    """Lifecycle rows of users' sessions with branch, changed files and the events of the session; every seventh has no session, a half no branch."""
+    e = ad.table(spark, sf_dir, "events").withColumns({"fifth": F.floor(F.col("event_id") / 5), "user": F.col("user_id").cast("string")})
+    branch = F.when(F.col("event_id") % 4 == 1, "").when(F.col("event_id") % 4 > 1, F.concat_ws("-", F.lit("work"), (F.col("event_id") % 3).cast("string")))
+    raw = e.select(
+        "event_id", F.when(F.col("event_id") % 7 > 0, F.col("user")).alias("session_id"), pick(STAGES, "event_id").alias("event"), F.col("event_type").alias("trigger"), F.col("event_type").alias("reason"),
+        pick(AGENT_NAMES, "fifth").alias("agent_type"), branch.alias("git_branch"), (F.col("event_id") % 6).alias("git_dirty_files"),
+    )
+    return cl.milestone_events(raw, e.select(F.col("user").alias("session_id"))).select("event_id", "session_event_count", "rich_summary")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '/own.jsonl' WHEN user_id % 3 > 0 THEN '/logs/' || CASE user_id % 4 WHEN 0 THEN '-' WHEN 1 THEN '-' ELSE '-work-app.' || user_id % 4 END || '/' || user_id || '.jsonl' END AS transcript_path FROM events""")
+def transcript_paths(spark, sf_dir):
+    """Paths of events' transcripts, from project and session where the listing has that file; every tenth event names its own."""
+    user, fourth = F.col("user_id").cast("string"), F.col("user_id") % 4
+    e = ad.table(spark, sf_dir, "events").select(
+        "event_id", "user_id", user.alias("sessionId"), F.when(fourth == 1, "").when(fourth > 1, F.concat(F.lit("/work/app."), fourth.cast("string"))).alias("project"),
+        F.when(F.col("event_id") % 10 == 0, "/own.jsonl").when(F.col("event_id") % 10 == 1, "").alias("transcript_path"),
+    )
+    folder = F.when(fourth < 2, "-").otherwise(F.concat(F.lit("-work-app."), fourth.cast("string")))
+    listing = e.where("user_id % 3 > 0").select(F.concat(F.lit("/logs/"), folder, F.lit("/"), "sessionId", F.lit(".jsonl")).alias("transcript_path"))
+    return lo.normalize_fields(e, listing, "/logs/").select("event_id", "transcript_path")
+
+
 @query(f"""WITH x AS (SELECT event_id, '/logs/user ' || user_id || '/' || event_type || '.jsonl' AS p, user_id % 5 <> 0 AS there FROM events),
 y AS (SELECT event_id, CASE WHEN event_id % 3 < 2 THEN p END AS path, there, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'm' || event_id END AS uuid FROM x)
 SELECT event_id, path, path IS NOT NULL AND NOT there AS stale, uuid AS message_uuid, CASE WHEN uuid IS NOT NULL AND event_id % 4 = 0 THEN event_id END AS message_ordinal,

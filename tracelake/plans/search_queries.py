@@ -206,6 +206,16 @@ def delta_serving(spark, sf_dir):
     return fu.delta_serve(top, top.where("rank <= 10"))[0].select("session_id", "key", "rank")
 
 
+@query(f"""WITH {BM25}, h AS (SELECT query_id, doc_id, CASE WHEN rank <= 10 THEN 1 ELSE 2 END AS served_at FROM r WHERE rank <= 20),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY served_at DESC, doc_id) AS i, count(*) FILTER (WHERE served_at = 1) OVER (PARTITION BY query_id) AS suppressed FROM h)
+SELECT query_id AS session_id, doc_id AS key, served_at, suppressed FROM n WHERE i <= 12""")
+def delta_history(spark, sf_dir):
+    """History of twelve keys after a second round, and how many rows that round held back."""
+    top = hits(spark, sf_dir, 20).select(F.col("query_id").alias("session_id"), F.col("doc_id").alias("key"), "rank", F.lit(2).alias("served_at"))
+    _, history, held = fu.delta_serve(top, top.where("rank <= 10").withColumn("served_at", F.lit(1)), 12)
+    return history.join(held, "session_id").select("session_id", "key", "served_at", "suppressed")
+
+
 @query(f"""WITH {BM25} SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, rank, text[1:120] AS head, row_number() OVER (PARTITION BY query_id, text[1:120], CASE WHEN text = '' THEN doc_id END ORDER BY rank, doc_id) AS i
 FROM r JOIN documents USING (doc_id) WHERE rank <= 50) WHERE i = 1""")
 def collapse_results(spark, sf_dir):

@@ -97,7 +97,8 @@ def normalize_fields(events: DataFrame, transcripts: DataFrame | None = None, ro
     }).drop(*[n for n in ("sessionId", "session") if n in c])
     if transcripts is None:
         return out
-    guess = F.concat(F.lit(root), F.translate("project", "/.", "--"), F.lit("/"), F.col("session_id"), F.lit(".jsonl"))
+    folder = F.replace(F.coalesce("project", F.lit("")), F.lit("/"), F.lit("-"))
+    guess = F.concat(F.lit(root), F.when(folder == "", "-").otherwise(folder), F.lit("/"), F.col("session_id"), F.lit(".jsonl"))
     listed = transcripts.select(F.col("transcript_path").alias("listed")).distinct()
     own = F.nullif("transcript_path", F.lit("")) if "transcript_path" in out.columns else F.lit(None).cast("string")
     return out.withColumn("guess", guess).join(listed, F.col("guess") == F.col("listed"), "left").withColumn("transcript_path", F.coalesce(own, F.col("listed"))).drop("guess", "listed")
