@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tracelake.operators.ordered import deal, running, with_previous
 
 SERVER_TOPS = {"project": 5, "type": 5, "quadrant": 4, "source": 5, "month": 6, "day": 7}
-CLI_TOP = 8
+CLI_TOPS = {"project": 8, "type": 8, "source": 1 << 30, "month": 6, "day": 7}
+CLI_ROWS = 500
 TIME_DIMS = ("month", "day")
 
 
@@ -25,16 +26,25 @@ def facet_values(results: DataFrame) -> DataFrame:
 
 
 def facets(results: DataFrame, dialect: str = "server") -> DataFrame:
-    """(query_id, dim, value, n, rank): the commonest values of each dimension, the latest of months and days."""
-    counts = facet_values(results).groupBy("query_id", "dim", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(query_id, dim, value, n, rank): the commonest values of each dimension, the latest of months and days.
+
+    The `cli` dialect counts a query's first 500 results (`rank`), knows no quadrants and
+    no value "?", lists all sources, and adds `more`, how many values stand below the list.
+    """
+    if dialect == "cli":
+        values = facet_values(results.where(F.col("rank") <= CLI_ROWS)).where(F.col("dim").isin(*CLI_TOPS) & (F.col("value") != "?"))
+    else:
+        values = facet_values(results)
+    counts = values.groupBy("query_id", "dim", "value").agg(F.count(F.lit(1)).alias("n"))
     by_time = F.col("dim").isin(*TIME_DIMS)
     order = [F.when(by_time, F.col("value")).desc_nulls_last(), F.desc("n"), "value"]
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "dim").orderBy(*order)))
-    if dialect == "cli":
-        return ranked.where(F.col("rank") <= CLI_TOP)
     most = F.lit(0)
-    for dim, n in SERVER_TOPS.items():
+    for dim, n in (CLI_TOPS if dialect == "cli" else SERVER_TOPS).items():
         most = F.when(F.col("dim") == dim, n).otherwise(most)
+    if dialect == "cli":
+        values_of = F.max("rank").over(Window.partitionBy("query_id", "dim"))
+        ranked = ranked.withColumn("more", F.greatest(values_of - most, F.lit(0)).cast("long"))
     return ranked.where(F.col("rank") <= most)
 
 

@@ -187,6 +187,20 @@ def search_facets(spark, sf_dir):
     return fa.facets(results(spark, sf_dir))
 
 
+@query(f"""WITH {RESULTS.replace("rank <= 50", "rank <= 600")}, {VALUES.replace("FROM x", "FROM x WHERE rank <= 500")}, g AS (SELECT query_id, dim, value, count(*) AS n FROM f WHERE value <> '' AND value <> '?' GROUP BY query_id, dim, value),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id, dim ORDER BY CASE WHEN dim IN ('month', 'day') THEN value END DESC NULLS LAST, n DESC, value) AS rank, count(*) OVER (PARTITION BY query_id, dim) AS k, CASE dim WHEN 'month' THEN 6 WHEN 'day' THEN 7 WHEN 'source' THEN 1000000 ELSE 8 END AS most FROM g)
+SELECT query_id, dim, value, n, rank, greatest(k - most, 0) AS more FROM h WHERE rank <= most""")
+def search_facets_cli(spark, sf_dir):
+    """Facets of the command line over the first 500 of 600 results."""
+    return fa.facets(results(spark, sf_dir, 600), "cli")
+
+
+@query(f"""WITH {RESULTS} SELECT query_id, min(day) AS oldest, max(day) AS newest, count(*) AS total FROM x GROUP BY query_id""")
+def facet_spans(spark, sf_dir):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return fa.facet_span(results(spark, sf_dir)).select("query_id", day("oldest"), day("newest"), "total")
+
+
 @query(f"WITH {RESULTS} SELECT query_id, doc_id, score, rank, project, type, source FROM x WHERE type IN ('en', 'fr') AND source = 'bm25+semantic'")
 def facet_drill(spark, sf_dir):
     return fa.drill(results(spark, sf_dir), {"type": ["en", "fr"], "source": ["semantic"]}).select("query_id", "doc_id", "score", "rank", "project", "type", "source")

@@ -182,3 +182,26 @@ def message_predicates(spark, sf_dir):
         F.when(F.col("turn") % 5 == 0, "<synthetic>").otherwise("m").alias("model"), F.element_at(F.array(*[F.lit(t) for t in PREDICATE_TEXTS]), number).alias("text"), F.lit(None).cast(block).alias("blocks"),
     )
     return m.select("session_id", "ordinal", tr.is_user_chunk().alias("user_chunk"), tr.is_hard_noise().alias("hard_noise"), tr.is_compact().alias("compact"))
+
+
+@query(f"""WITH {LIVE}, {ATTRIBUTION}, {PHASES}, {ONGOING}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, a, ordinal // 4 ORDER BY ordinal DESC) AS n FROM m) WHERE n = 1 OR NOT a),
+sm AS (SELECT session_id, {SUM.format('i + o + r + c')} AS total_tokens, round(avg(round(r / (i + r + c), 6)) FILTER (WHERE a AND i + r + c > 0), 6) AS cache_ratio FROM k GROUP BY session_id),
+dm AS (SELECT *, greatest(claude_md, mentioned_files, tool_outputs, thinking_text, task_coordination, user_messages) AS best FROM t),
+ph AS (SELECT session_id, phase, pre - coalesce(lag(post) OVER (PARTITION BY session_id ORDER BY phase), 0) AS contribution FROM x JOIN l USING (session_id)
+  UNION ALL SELECT session_id, coalesce(phase + 1, 1), CASE WHEN phase IS NULL THEN last WHEN post > 0 THEN last - post ELSE 0 END FROM l LEFT JOIN (SELECT session_id, max(phase) AS phase, arg_max(post, phase) AS post FROM x GROUP BY session_id) USING (session_id)),
+pc AS (SELECT session_id, count(*) AS phases, {SUM.format('contribution')} AS consumption FROM ph GROUP BY session_id)
+SELECT session_id, total_tokens, cache_ratio, phases, consumption, CASE best WHEN 0 THEN NULL {" ".join(f"WHEN {c} THEN '{c}'" for c in tr.CATEGORIES)} END AS dominant FROM sm JOIN dm USING (session_id) LEFT JOIN pc USING (session_id)""")
+def session_summary_tokens(spark, sf_dir):
+    """The rest of a session's summary: tokens, cache, phases and dominant category."""
+    out = tr.session_summary(ad.live_messages(spark, sf_dir))
+    return out.select("session_id", "total_tokens", "cache_ratio", "phases", F.col("consumption").cast("long").alias("consumption"), "dominant")
+
+
+@query(f"""WITH {M}, v AS (SELECT session_id, ordinal, a, role, CASE WHEN a THEN 6 ELSE ordinal % 7 END AS i, CASE WHEN a THEN '' ELSE ([{", ".join(repr(x) for x in MARKS)}])[ordinal % 7 + 1] END || coalesce(text, '') AS content FROM m)
+SELECT session_id, ordinal, CASE WHEN a THEN 'assistant' ELSE 'user' END AS type, role, 'm' AS model, false AS side, content, ([{", ".join(repr(x) for x in ["task-notification", "slash-command", "command-caveat", "command-output", "skill-launch", "compaction-summary"])}, NULL])[i + 1] AS noise,
+CASE i WHEN 0 THEN 'agent done: x y' WHEN 1 THEN '/go' WHEN 2 THEN 'local command output follows' WHEN 3 THEN trim(regexp_replace(content, '<[^>]+>', '', 'g'))[1:80] WHEN 4 THEN 'launching ' || regexp_extract(content, '^Launching skill:\\s*([^\n]+)', 1) WHEN 5 THEN 'session continuation summary' END AS label FROM v WHERE content <> ''""")
+def viewer_rows(spark, sf_dir):
+    """Whole rows of the viewer, where each user's or system's text follows a machine's mark, by turn."""
+    mark = F.element_at(F.array(*[F.lit(m) for m in MARKS]), (F.col("ordinal") % len(MARKS) + 1).cast("int"))
+    m = ad.messages(spark, sf_dir).withColumn("text", F.when(F.col("role") != "assistant", F.concat(mark, F.coalesce("text", F.lit("")))))
+    return tr.viewer_messages(m).select("session_id", "ordinal", "type", "role", "model", F.col("isSidechain").alias("side"), "content", "noise", F.col("noise_summary").alias("label"))
