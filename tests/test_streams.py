@@ -165,3 +165,20 @@ def test_parents_with_an_end(spark, tmp_path):
     assert got == {"a1": None, "a2": "a1", "b1": None, "a3": "a2", "c1": None, "d1": None}
     totals = [sum(o["numRowsTotal"] for o in json.loads(p.json)["stateOperators"]) for p in run.recentProgress]
     assert max(totals) > 1 == totals[-1]  # the last session alone
+
+
+def test_ongoing_with_an_end(spark, tmp_path):
+    """The same states as without a watermark, and idle sessions are forgotten."""
+    base = dt.datetime(2024, 1, 1)
+    row = lambda k, place, kind, s: {"session_id": k, "place": place, "kind": kind, "ts": (base + dt.timedelta(seconds=s)).isoformat()}
+    parts = [[row("a", 1, "activity", 0), row("b", 1, "activity", 9)], [row("a", 2, "ending", 80)], [row("c", 1, "activity", 90000)], [row("a", 3, "activity", 90001), row("d", 1, "other", 90002)]]
+    stream = st.stream_logs(spark, folder(tmp_path, parts), "session_id string, place long, kind string, ts string", 1)
+    sink = lambda batch, number: write_batch(batch.withColumn("n", F.lit(number)), str(tmp_path / "out"), number)
+    run = st.run_available(st.stream_ongoing(stream, "10 minutes"), sink, str(tmp_path / "cp"), "update")
+    run.awaitTermination()
+    last = {}
+    for r in sorted(read_batches(spark, str(tmp_path / "out")).collect(), key=lambda r: r["n"]):
+        last.setdefault(r["session_id"], []).append(r["ongoing"])
+    assert last == {"a": [True, False, True], "b": [True], "c": [True], "d": [False]}
+    totals = [sum(o["numRowsTotal"] for o in json.loads(p.json)["stateOperators"]) for p in run.recentProgress]
+    assert max(totals) >= 3 >= totals[-1]  # b is gone, a came back

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from tracelake.sources.tables import new_path
 from tracelake.streaming import late, tail
 from tracelake.streaming import streams as st
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 TYPES = ["note", "bridge_ping_sent", "search", "bridge_ping_received", "fetch"]
 FEED = f"e AS (SELECT event_id, ts, user_id, event_type, {sql_pick(TYPES, 'event_id')} AS type FROM events)"
 
@@ -36,17 +40,24 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", "user_id", "event_type", pick(TYPES, "event_id").alias("type"))
 
 
-def run(frame: DataFrame, sink=None, mode: str = "append", path: str | None = None) -> DataFrame:
-    """What a sink, or a plain table, holds once all input is through."""
+def run(frame: DataFrame, sink=None, mode: str = "append", path: str | None = None, keyed: bool = False) -> DataFrame:
+    """What a sink, or a plain table, holds once all input is through; `keyed` as `transformWithState` needs it."""
     spark = frame.sparkSession
     path = path or new_path(spark, "stream-out")
-    st.run_available(frame, sink or st.appender(path), new_path(spark, "stream-state"), mode).awaitTermination()
+    with keyed_state(spark) if keyed else nullcontext():
+        st.run_available(frame, sink or st.appender(path), new_path(spark, "stream-state"), mode).awaitTermination()
     return read_batches(spark, path)
 
 
-def keyed(spark: SparkSession) -> None:
-    """State of single keys, as `transformWithState` needs it."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Within, queries start with state of single keys; the session's own setting comes back."""
+    kept = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if kept is None else spark.conf.set(PROVIDER, kept)
 
 
 @query(f"WITH {FEED} SELECT event_id, type FROM e WHERE type NOT LIKE 'bridge_ping%'")
@@ -104,27 +115,24 @@ def stream_index(spark, sf_dir):
 @query("""WITH l AS (SELECT event_id, lag(event_id) OVER w AS before, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, CASE WHEN gap <= 3600000000 THEN before END AS parent_event_id FROM l""")
 def stream_parents(spark, sf_dir):
-    keyed(spark)
-    found = run(st.stream_parents(feed(spark, sf_dir), ad.PARENT_WINDOW, "user_id"))
+    found = run(st.stream_parents(feed(spark, sf_dir), ad.PARENT_WINDOW, "user_id"), keyed=True)
     return found.select(F.col("event_id").cast("long").alias("event_id"), F.col("parent_event_id").cast("long").alias("parent_event_id"))
 
 
 @query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS session_id, event_type AS key FROM events")
 def stream_delta_serving(spark, sf_dir):
     """Kinds of events that a user has not seen before."""
-    keyed(spark)
-    return run(st.stream_delta_serving(feed(spark, sf_dir).select(F.col("user_id").alias("session_id"), F.col("event_type").alias("key"))))
+    return run(st.stream_delta_serving(feed(spark, sf_dir).select(F.col("user_id").alias("session_id"), F.col("event_type").alias("key"))), keyed=True)
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS session_id, coalesce(max(event_id) FILTER (WHERE event_type = 'click'), -1) > coalesce(max(event_id) FILTER (WHERE event_type = 'purchase'), -1) AS ongoing FROM events GROUP BY user_id")
 def stream_ongoing(spark, sf_dir):
     """Whether a user clicked after the last purchase; of a user's states the last counts."""
-    keyed(spark)
     kind = F.when(F.col("event_type") == "purchase", "ending").when(F.col("event_type") == "click", "activity")
     rows = feed(spark, sf_dir).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("place"), kind.alias("kind"))
     path = new_path(spark, "stream-ongoing")
     numbered = lambda batch, number: write_batch(batch.withColumn("batch", F.lit(number)), path, number)
-    return run(st.stream_ongoing(rows), numbered, "update", path).groupBy("session_id").agg(F.max_by("ongoing", "batch").alias("ongoing"))
+    return run(st.stream_ongoing(rows), numbered, "update", path, keyed=True).groupBy("session_id").agg(F.max_by("ongoing", "batch").alias("ongoing"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 900000000 THEN 0 ELSE 1 END AS jump FROM events),

@@ -99,6 +99,13 @@ def stream_segments(stream: DataFrame, gap: str = "15 minutes", key: str = "sess
     return windows.agg(F.count(F.lit(1)).alias("n_events"), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts")).select(key, "start_ts", "end_ts", "n_events")
 
 
+def end_after(handle: StatefulProcessorHandle, millis: int) -> None:
+    """Let a key's state expire at a time of the watermark, and at no other."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(millis)
+
+
 class ParentProcessor(StatefulProcessor):
     """Parent of each event: the one before in its session, if it is near enough in time.
 
@@ -122,9 +129,7 @@ class ParentProcessor(StatefulProcessor):
             before_id, before_at = event_id, at
         self.last.update((before_id, float(before_at)))
         if self.ends:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((before_at + self.window_seconds) * 1000) + 1)
+            end_after(self.handle, int((before_at + self.window_seconds) * 1000) + 1)
         yield pd.DataFrame(out, columns=["event_id", "parent_event_id"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -183,28 +188,50 @@ def stream_delta_serving(stream: DataFrame, last: int = 200) -> DataFrame:
 
 
 class OngoingProcessor(StatefulProcessor):
-    """Whether the last activity of a session follows its last ending."""
+    """Whether the last activity of a session follows its last ending.
+
+    With `idle_seconds`, a session's state goes once the watermark is that far past its last row.
+    """
+
+    def __init__(self, idle_seconds: float | None = None):
+        self.idle_seconds = idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "ending long, activity long")
+        self.handle = handle
+        self.state = handle.getValueState("state", "ending long, activity long, at double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        ending, activity = self.state.get() if self.state.exists() else (-1, -1)
+        ending, activity, at = self.state.get() if self.state.exists() else (-1, -1, 0.0)
         for pdf in rows:
+            at = max(at, float(pdf["at"].max()))
             for place, kind in zip(pdf["place"], pdf["kind"], strict=True):
                 if kind == "ending":
                     ending = max(ending, int(place))
                 elif kind == "activity":
                     activity = max(activity, int(place))
-        self.state.update((ending, activity))
+        self.state.update((ending, activity, at))
+        if self.idle_seconds is not None:
+            end_after(self.handle, int((at + self.idle_seconds) * 1000) + 1)
         yield pd.DataFrame([(key[0], activity > ending)], columns=["session_id", "ongoing"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def stream_ongoing(stream: DataFrame) -> DataFrame:
-    """(session_id, ongoing) after each batch of activities (session_id, place, kind: ending or activity)."""
-    rows = stream.select(F.col("session_id").cast("string").alias("session_id"), F.col("place").cast("long").alias("place"), "kind")
-    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=OngoingProcessor(), outputStructType="session_id string, ongoing boolean", outputMode="Update", timeMode="None")
+def stream_ongoing(stream: DataFrame, watermark: str | None = None, idle_seconds: float = 3600) -> DataFrame:
+    """(session_id, ongoing) after each batch of activities (session_id, place, kind: ending or activity).
 
+    With a watermark, such as "10 minutes", rows have a time (ts): a session without rows for
+    `idle_seconds` of the watermark is forgotten, and rows behind the watermark or without a time
+    are left out.  What comes after counts as a new session.  Without one all sessions are kept.
+    """
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark) if watermark else stream
+    at = F.unix_micros("ts") / 1_000_000.0 if watermark else F.lit(0.0)
+    timed = timed.where("ts is not null") if watermark else timed
+    rows = timed.select(F.col("session_id").cast("string").alias("session_id"), F.col("place").cast("long").alias("place"), "kind", at.alias("at"), *(["ts"] if watermark else []))
+    processor = OngoingProcessor(idle_seconds if watermark else None)
+    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType="session_id string, ongoing boolean", outputMode="Update", timeMode="EventTime" if watermark else "None")
