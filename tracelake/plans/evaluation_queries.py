@@ -9,6 +9,8 @@ from tracelake.operators import index as ix
 from tracelake.plans import adapters as ad
 from tracelake.plans.catalogue import query
 from tracelake.plans.search_queries import BM25, VECTORS, hits, near
+from tracelake.sources import logs as lo
+from tracelake.sources.tables import new_path
 
 JUDGED = f"""{BM25}, {VECTORS}, h AS (SELECT query_id, doc_id, rank, 'bm25' AS mode FROM r WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank, 'semantic' FROM k WHERE rank <= 50
 UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id), 'scan' FROM benchmark JOIN documents ON contains(lower(documents.text), lower(benchmark.text)) WHERE benchmark.text <> ''),
@@ -81,3 +83,20 @@ def truth_sessions(spark, sf_dir):
     sessions = asked.select("query_id").join(judged, F.lit(True))  # the truth table's own size: queries times sources
     found = hits(spark, sf_dir, 20).join(docs.select("doc_id", F.col("text").alias("summary"), name.alias("session")), "doc_id")
     return ev.match_truth(found, truth, sessions).select("query_id", "doc_id", "rank", "grade")
+
+
+@query("""SELECT 'q' || item_id AS query_id, place, CASE place WHEN 0 THEN text ELSE 'other ' || item_id END AS summary, CAST(CASE place WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS grade, CASE place WHEN 1 THEN 'old' END AS noise,
+'s' || (item_id % 7) AS session, item_id % 3 > 0 AS relevant, CASE WHEN item_id % 2 = 0 THEN 'primary' ELSE 'secondary' END AS role FROM benchmark, (SELECT unnest([0, 1]) AS place)""")
+def judged_truth(spark, sf_dir):
+    """Benchmark items written as files of judged queries, 64 a file, and read back."""
+    item = F.col("item_id")
+    event = lambda text, grade, noise: F.struct(text.alias("summary"), F.lit(grade).alias("grade"), F.lit(noise).cast("string").alias("noise"))
+    session = F.struct((item % 3 > 0).alias("relevant"), F.when(item % 2 == 0, "primary").otherwise("secondary").alias("role"))
+    judged = ad.table(spark, sf_dir, "benchmark").select(
+        F.floor(item / 64).alias("file"), F.concat(F.lit("q"), item.cast("string")).alias("query"), F.array(event(F.col("text"), 2, None), event(F.concat(F.lit("other "), item.cast("string")), 0, "old")).alias("events"),
+        F.create_map(F.concat(F.lit("s"), (item % 7).cast("string")), session).alias("sessions"),
+    )
+    path = new_path(spark, "truth")
+    judged.groupBy("file").agg(F.to_json(F.collect_list(F.struct("query", "events", "sessions"))).alias("value")).write.partitionBy("file").text(path)
+    events, sessions = lo.read_truth(spark, path)
+    return events.join(sessions, "query_id").select("query_id", "place", "summary", "grade", "noise", "session", "relevant", "role")

@@ -135,6 +135,17 @@ def event_texts(spark, sf_dir):
     return p.select("page_id", search_text(p.columns).alias("text"), embedding_text(p.columns).alias("embed"))
 
 
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN html || ' ' || url || ' evt-' || page_id || ' /work/' || (page_id % 3) WHEN 1 THEN 'evt-' || page_id WHEN 2 THEN 'session_end' ELSE '' END AS text FROM pages""")
+def event_texts_cli(spark, sf_dir):
+    """Searchable text by the command line's fields: whole pages, bare ids, bare milestones, and nothing."""
+    fourth, own = F.col("page_id") % 4, lambda c: F.when(F.col("page_id") % 4 == 0, c)
+    p = ad.table(spark, sf_dir, "pages").select(
+        "page_id", own(F.col("html")).alias("summary"), own(F.col("url")).alias("url"), F.when(fourth < 2, F.concat(F.lit("evt-"), F.col("page_id").cast("string"))).alias("event_id"),
+        F.when(fourth == 2, "session_end").alias("milestone"), own(F.concat(F.lit("/work/"), (F.col("page_id") % 3).cast("string"))).alias("cwd"), F.col("url").alias("title"),
+    )
+    return p.select("page_id", search_text(p.columns, "cli").alias("text"))
+
+
 @query(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_id) AS rank, count(*) OVER (PARTITION BY project) AS total FROM e)
 SELECT project, event_id, rank, total FROM r WHERE rank <= 500""")
 def browse_project(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import scrub, tokenize
+from tracelake.functions.text import tokenize
 from tracelake.operators import facets as fa
 from tracelake.operators import fusion as fu
 from tracelake.operators import index as ix
@@ -63,6 +64,16 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query_id, dim ORDER BY CASE WHEN
 b AS (SELECT * FROM h WHERE rank <= CASE dim WHEN 'month' THEN 6 WHEN 'day' THEN 7 ELSE 5 END)"""
 
 
+@query("""WITH t AS (SELECT doc_id, string_split_regex(lower(text), '[^a-z0-9]+') AS parts FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(parts) AS n_parts, len(list_filter(parts, lambda x: x = '')) AS n_empty, md5(array_to_string(parts, ' ')) AS parts_md5 FROM t""")
+def tokens_cli(spark, sf_dir):
+    """Documents cut as the command line does: letters as they are, and what splitting leaves at the ends counts."""
+    parts = tokenize(F.col("text"), folded=False, keep_empty=True)
+    d = ad.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", parts.alias("parts"))
+    empty = F.size(F.filter("parts", lambda t: t == ""))
+    return d.select("doc_id", F.size("parts").cast("long").alias("n_parts"), empty.cast("long").alias("n_empty"), F.md5(F.array_join("parts", " ").cast("binary")).alias("parts_md5"))
+
+
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
     return ix.bm25_top(ad.index(spark, sf_dir), ix.query_terms(ad.queries(spark, sf_dir)), 10)
