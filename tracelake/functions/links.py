@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the scheme of links that logs hold.
 SCHEME = "claude-history://session/"
 
 

@@ -50,7 +50,7 @@ def session_recall(spark, sf_dir):
     docs = ad.table(spark, sf_dir, "documents")
     good = docs.join(ad.table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select(F.col("source").alias("session")).distinct()
     asked = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    sessions = asked.join(F.broadcast(good), F.lit(True)).withColumn("relevant", F.lit(True))  # sources times queries, the truth table's own size
+    sessions = asked.join(good, F.lit(True)).withColumn("relevant", F.lit(True))  # sources times queries, the truth table's own size; Spark checks what it broadcasts
     found = hits(spark, sf_dir, 10).join(docs.select("doc_id", F.col("source").alias("session")), "doc_id")
     return ev.session_recall(found, sessions)
 

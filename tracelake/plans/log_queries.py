@@ -48,6 +48,7 @@ def list_page(spark, sf_dir):
     return rows.select("event_id", F.lit(total).cast("long").alias("total"))
 
 
+# Types and labels that emitted events carry.
 KINDS = ["fetch", "research_search", "search_result", "context_compaction", "session_end_clear", "bridge_query_sent", "tool_file_edit", "tool_bash", "git_commit", "git_push", "memory_note", "other", ""]
 LABELS = ["fetch", "search", "result", "compaction", "session end", "bridge query", "edit", "bash", "commit", "push", "memory", None, None]
 
