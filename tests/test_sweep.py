@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.operators import sessions as se
 from tracelake.operators import sweep as sw
@@ -66,3 +67,16 @@ def test_empty_tables_and_repeated_ids(spark):
     w, no = spark.createDataFrame([("s", at(0), at(10), ["a"])], WINDOWS), spark.createDataFrame([], WINDOWS)
     assert se.attach_orphans(none, w).count() == se.attach_orphans(some, no).count() == se.attach_orphans(none, no).count() == 0
     assert [tuple(r) for r in se.attach_orphans(some, w).collect()] == [(1, "s")]
+
+
+def test_overlaps_of_a_busy_cell_are_dealt_over_tasks(spark, monkeypatch):
+    for name, n in (("CHUNK", 64), ("TASK_PAIRS", 1 << 12)):
+        monkeypatch.setattr(se, name, n, raising=False)
+    draw = random.Random(7)
+    spans = [(f"s{i}", a := draw.randrange(0, 400), a + draw.choice((0, 0, 5, 60, 300))) for i in range(400)]
+    rows = spark.createDataFrame(spans, "session_id string, lo long, hi long").select("session_id", F.timestamp_seconds("lo").alias("start_ts"), F.timestamp_seconds("hi").alias("end_ts"))
+    pairs = se.session_overlaps(rows, cell_seconds=500)
+    expected = sorted((min(a[0], b[0]), max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2])) for i, a in enumerate(spans) for b in spans[i + 1 :] if a[1] < b[2] and b[1] < a[2])
+    found = pairs.select("a", "b", F.unix_seconds("overlap_start"), F.unix_seconds("overlap_end"))
+    assert sorted(tuple(r) for r in found.collect()) == expected
+    assert len({r["part"] for r in pairs.select(F.spark_partition_id().alias("part")).distinct().collect()}) > 20  # bytes would make one task of them
