@@ -75,3 +75,42 @@ def test_adding_documents_reads_only_the_documents_table(spark):
 
 def test_the_adapter_keeps_an_index_while_nothing_changes(spark, sf_dir):
     assert ad.index(spark, sf_dir) is ad.index(spark, sf_dir)
+
+
+def test_a_task_cuts_words_as_a_column_does(spark):
+    from pyspark.sql import functions as F
+
+    from tracelake.functions.text import tokenize, words_of
+
+    chars = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x10000), 0x1D400, 0x1F600, 0x1E900)]
+    texts = ["a" + "b".join(chars[at : at + 500]) + "Z9" for at in range(0, len(chars), 500)] + ["", "É́tİ K9 ǅx ß"]
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", tokenize(F.col("text")).alias("tokens")).collect():
+        assert words_of(r["text"]) == r["tokens"]
+
+
+def test_only_the_first_of_a_shard_leave_it(spark, monkeypatch):
+    monkeypatch.setattr(ix, "SHARD", 100, raising=False)
+    monkeypatch.setattr(ix, "QUERIES", 2, raising=False)
+    docs = corpus(spark, 600).unionByName(spark.createDataFrame([(1000 + i, "w200 w201 w202") for i in range(300)], "doc_id long, text string"))
+    index = ix.build_index(docs, bucket=2000)
+    shards = index.segments[0].table("blocks").groupBy("doc_ids").agg({"shard": "min"}).select("min(shard)").distinct().count()
+    assert shards >= 9
+    asked = spark.createDataFrame([(str(q), " ".join(f"w{20 * q + i}" for i in range(1, 14))) for q in range(1, 11)], "query_id string, query string")
+    terms = ix.query_terms(asked)
+    weighed = ix._weighed(index, terms)
+    assert ix._scores(weighed, index.blocks(terms.select("term").distinct()), ix.K1, ix.B, 3).count() <= shards * 10 * 3
+    plain = ix.rank_hits(ix._sums(weighed.join(index.blocks(terms.select("term").distinct()), "term"), ix.K1, ix.B), 3)
+    assert rows(ix.bm25_top(index, terms, 3)) == rows(plain)
+
+
+def test_packed_postings_are_those_of_each_document(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(ix, "FLUSH", 500)
+    docs = corpus(spark, 300).selectExpr("concat('d', doc_id) AS doc_id", "text")
+    expected = sorted((t, r["doc_id"], n) for r in docs.collect() for t, n in Counter(r["text"].split()).items())
+    index = ix.build_index(docs)
+    assert rows(index.postings) == expected
+    assert rows(index.docs) == sorted((r["doc_id"], len(r["text"].split())) for r in docs.collect())
+    assert rows(index.terms) == sorted(Counter(t for t, _, _ in expected).items())
+    assert rows(ix.postings(docs).select("term", "doc_id", "tf")) == expected
