@@ -99,3 +99,22 @@ def test_nothing_to_compare_with(spark):
     for known in (none, flat):
         assert nb.knn(some.selectExpr("vec_id AS query_id", "embedding"), known, k=1).count() == 0
         assert {r["verdict"] for r in vx.novelty_gate(some, known, mode="greedy").collect()} == {"novel"}
+
+
+def test_few_scores_are_put_in_order(monkeypatch):
+    import numpy as np
+
+    from tracelake.operators import neighbours as ne
+
+    draw = np.random.default_rng(5)
+    s, vec = np.round(draw.uniform(-1, 1, (400, 300)), 3) + draw.uniform(-6e-7, 6e-7, (400, 300)), draw.permutation(400)
+    s[draw.uniform(size=s.shape) < 0.3] = -np.inf
+    s[:, 7] = -np.inf
+    seen, plain = [], ne.rounded
+    monkeypatch.setattr(ne, "rounded", lambda x, *a: (seen.append(x.size), plain(x, *a))[1])
+    for k in (1, 3, 399):
+        kept = ne.best_of_batch(s, vec, k)
+        for j in range(s.shape[1]):
+            own = sorted(((-r, v, i) for i, (r, v) in enumerate(zip(plain(s[:, j]).tolist(), vec.tolist())) if s[i, j] > -np.inf))[:k]
+            assert sorted(np.flatnonzero(kept[:, j]).tolist()) == sorted(i for _, _, i in own)
+    assert seen[0] < 0.05 * s.size  # all of them before
