@@ -114,3 +114,29 @@ def test_packed_postings_are_those_of_each_document(spark, monkeypatch):
     assert rows(index.docs) == sorted((r["doc_id"], len(r["text"].split())) for r in docs.collect())
     assert rows(index.terms) == sorted(Counter(t for t, _, _ in expected).items())
     assert rows(ix.postings(docs).select("term", "doc_id", "tf")) == expected
+
+
+def test_coterms_are_counted_in_shards(spark, monkeypatch):
+    import math
+    import re
+    from collections import Counter
+
+    for name, value in (("SHARD", 100), ("TOGETHER", 2000), ("LEADS", 12)):
+        monkeypatch.setattr(ix, name, value, raising=False)
+    docs = corpus(spark, 700).selectExpr("doc_id", "regexp_replace(text, 'w', 'wx') AS text").unionByName(spark.createDataFrame([(1000, "wx3 lone lone wx250"), (1001, "")], "doc_id long, text string"))
+    index = ix.update_index(ix.build_index(docs.where("doc_id < 500")), docs)  # two segments
+    asked = ["wx0", "wx7", "wx250", "lone", "nowhere"]
+    texts = [Counter(r["text"].split()) for r in docs.collect() if r["text"]]
+    df, expected = Counter(t for c in texts for t in c), []
+    for word in asked:
+        co = sum((c for c in texts if word in c), Counter())
+        scored = [(round(n / math.log2(df[t] + 1), 5), t, n) for t, n in co.items() if t != word and 1 < df[t] < len(texts) * 0.3]
+        expected += [(word, t, n, s, i + 1) for i, (s, t, n) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:6])]
+    keywords = spark.createDataFrame([(w,) for w in [*asked, "WX-7", None]], "keyword string")
+    left, whole = [], ix._together
+    monkeypatch.setattr(ix, "_together", lambda a, b, parts: left.append((whole(a, b, parts), parts)) or left[-1][0])
+    found = ix.coterms(index, keywords, share=0.3)
+    assert rows(found) == sorted(expected) and len(expected) > 12
+    assert not re.search(r"Join \[doc_id", found._jdf.queryExecution().executedPlan().toString())
+    assert left[-1][1] > 1
+    assert left[-1][0].count() < 0.5 * sum(sum(1 < df[t] < len(texts) * 0.3 and t != w for t in c) for w in asked for c in texts if w in c)
