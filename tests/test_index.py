@@ -140,3 +140,19 @@ def test_coterms_are_counted_in_shards(spark, monkeypatch):
     assert not re.search(r"Join \[doc_id", found._jdf.queryExecution().executedPlan().toString())
     assert left[-1][1] > 1
     assert left[-1][0].count() < 0.5 * sum(sum(1 < df[t] < len(texts) * 0.3 and t != w for t in c) for w in asked for c in texts if w in c)
+
+
+def test_cutting_words_looks_at_unplain_characters_alone(monkeypatch):
+    from tracelake.functions import text as tx
+
+    read = []
+
+    class Letters(dict):
+        def __missing__(self, code):
+            read.append(code)
+            raise LookupError(code)
+
+    letters = Letters(tx._letters())
+    monkeypatch.setattr(tx, "_letters", lambda: letters)
+    assert tx.words_of("Plain WORDS, a café 中2 İK9 étK") == ["plain", "words", "a", "cafe", "2", "ik9", "etk"]
+    assert all(code > 127 for code in read)
