@@ -80,3 +80,25 @@ def test_overlaps_of_a_busy_cell_are_dealt_over_tasks(spark, monkeypatch):
     found = pairs.select("a", "b", F.unix_seconds("overlap_start"), F.unix_seconds("overlap_end"))
     assert sorted(tuple(r) for r in found.collect()) == expected
     assert len({r["part"] for r in pairs.select(F.spark_partition_id().alias("part")).distinct().collect()}) > 20  # bytes would make one task of them
+
+
+def test_pairs_come_in_an_order_that_takes_few_bytes(spark, monkeypatch):
+    """Of a start's pairs with a chunk of runs the ends rise, and mostly one of the two ids stays."""
+    for name, n in (("CHUNK", 256), ("RANGE_ROWS", 64)):
+        monkeypatch.setattr(se, name, n, raising=False)
+    draw = random.Random(5)
+    spans = [(f"s{i:03}", a := draw.randrange(0, 400), a + draw.choice((1, 5, 60, 300))) for i in range(600)]
+    rows = spark.createDataFrame(spans, "session_id string, lo long, hi long").select("session_id", F.timestamp_seconds("lo").alias("start_ts"), F.timestamp_seconds("hi").alias("end_ts"))
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    kept = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name in settings:
+            spark.conf.set(name, "-1")
+        found = [tuple(r) for r in se.session_overlaps(rows, cell_seconds=100).select("a", "b", F.unix_seconds("overlap_start"), F.unix_seconds("overlap_end")).collect()]
+    finally:
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert sorted(found) == sorted((min(a[0], b[0]), max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2])) for i, a in enumerate(spans) for b in spans[i + 1 :] if a[1] < b[2] and b[1] < a[2])
+    steps = list(zip(found, found[1:]))
+    assert sum(x[3] > y[3] for x, y in steps if x[2] == y[2]) < len(steps) / 20
+    assert sum(x[0] != y[0] and x[1] != y[1] for x, y in steps) < len(steps) / 4
