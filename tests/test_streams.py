@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.classify import high_signal
 from tracelake.operators import index as ix
 from tracelake.operators import sessions as se
+from tracelake.plans import stream_queries as sq
 from tracelake.sources import logs as lo
 from tracelake.sources.batches import read_batches, write_batch
 from tracelake.streaming import streams as st
@@ -182,3 +183,16 @@ def test_ongoing_with_an_end(spark, tmp_path):
     assert last == {"a": [True, False, True], "b": [True], "c": [True], "d": [False]}
     totals = [sum(o["numRowsTotal"] for o in json.loads(p.json)["stateOperators"]) for p in run.recentProgress]
     assert max(totals) >= 3 >= totals[-1]  # b is gone, a came back
+
+
+def test_a_table_of_many_files_comes_in_as_many_batches_as_asked(spark, tmp_path):
+    """The index is that of all documents, in one segment for each of four batches, and ids that come again stay out."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha word"), F.col("id") % 7).alias("text"))
+    docs.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    path, state = str(tmp_path / "ix"), str(tmp_path / "cp")
+    st.run_available(sq.batches(spark, str(tmp_path), "documents", "doc_id"), st.index_sink(path), state).awaitTermination()
+    index = st.read_index(spark, path)
+    assert len(index.segments) == 4
+    st.index_sink(path)(docs.where("doc_id < 20").union(spark.createDataFrame([(900, "beta")], "doc_id long, text string")), 4)
+    rows = lambda i: sorted(map(tuple, i.postings.select("term", "doc_id", "tf").collect()))
+    assert rows(st.read_index(spark, path)) == sorted([*rows(ix.build_index(docs)), ("beta", 900, 1)])

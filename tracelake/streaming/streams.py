@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tracelake.functions.classify import high_signal
-from tracelake.operators.index import Index, Segment, first_of_id, postings, write_segment
+from tracelake.operators.index import Index, Segment, build_index
 from tracelake.operators.vectors import novelty_gate
 from tracelake.sources.batches import read_batches, write_batch, writer
 from tracelake.sources.logs import EVENT_FIELDS, dual_batch, new_only
@@ -58,17 +58,18 @@ def stream_dedupe(stream: DataFrame, key: str = "event_id", ts: str = "ts", with
 def index_sink(path: str, text: str = "text") -> Callable[[DataFrame, int], None]:
     """A sink that adds each batch to an index as a segment of its own, named by the batch's number.
 
-    Of what is there only the documents' tables are read.  A batch that comes again writes
-    its segment anew, from the documents of the other segments before it.
+    Of what is there only the documents' tables are read, all at once, and texts are met with them only where an
+    id came before.  A batch that comes again writes its segment anew, from the documents of the other segments before it.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark, own = batch.sparkSession, f"{path}/segment-{number:012d}"
-        docs = first_of_id(batch, text)
-        for segment in read_index(spark, path).segments:
-            if segment.path.rsplit("/", 1)[-1] < own.rsplit("/", 1)[-1]:
-                docs = docs.join(segment.table("docs").select("doc_id"), "doc_id", "left_anti")
-        write_segment(postings(docs, text), own)
+        spark, own, docs = batch.sparkSession, f"{path}/segment-{number:012d}", batch
+        before = [f"{s.path}/docs" for s in read_index(spark, path).segments if s.path.rsplit("/", 1)[-1] < own.rsplit("/", 1)[-1]]
+        if before:
+            known = spark.read.parquet(*before).select("doc_id")
+            if batch.select("doc_id").join(known, "doc_id", "left_semi").limit(1).count():
+                docs = batch.join(known, "doc_id", "left_anti")
+        build_index(docs, text, path=own)
 
     return sink
 
