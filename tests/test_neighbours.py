@@ -118,3 +118,25 @@ def test_few_scores_are_put_in_order(monkeypatch):
             own = sorted(((-r, v, i) for i, (r, v) in enumerate(zip(plain(s[:, j]).tolist(), vec.tolist())) if s[i, j] > -np.inf))[:k]
             assert sorted(np.flatnonzero(kept[:, j]).tolist()) == sorted(i for _, _, i in own)
     assert seen[0] < 0.05 * s.size  # all of them before
+
+
+def test_greedy_gate_in_rounds_keeps_no_pairs(spark, monkeypatch):
+    """Clusters, copies, odd vectors, two lengths and a repeated id, decided thirty at a time: as one after another, and no list of pairs."""
+    asked = []
+    monkeypatch.setattr(vx, "HEAD_ROWS", 30, raising=False)
+    monkeypatch.setattr(vx, "knn", lambda *a, **how: asked.append(how.get("k", 500)) or nb.knn(*a, **how))
+    stored = [(1000 + i, v) for i, v in clustered(5, seed=9)]
+    rows = [*clustered(150), *((200 + i, [1.0] * 8) for i in range(70)), (300, [1.0, 2.0]), (301, [1.0, 2.01]), (302, None), (303, [0.0] * 8), (7, [1.0, 2.0])]
+    got = {(r["vec_id"], r["verdict"]) for r in vx.novelty_gate(frame(spark, rows), frame(spark, stored), 0.9, 0.5, "greedy").collect()}
+    unit = lambda v: np.array(v, float) / np.linalg.norm(v)
+    score = lambda v, others: max((round(float(unit(v) @ u), 6) for u in others if len(u) == len(v)), default=-1.0)
+    old, taken, want = [unit(v) for _, v in stored], [], set()
+    for i in sorted({i for i, _ in rows}):
+        own = [v for j, v in rows if j == i and v is not None and any(v)]
+        if any(score(v, old + taken) > 0.9 for v in own):
+            want.add((i, "duplicate"))
+        else:
+            taken += [unit(v) for v in own]
+            want.add((i, "refinement" if any(score(v, old) >= 0.5 for v in own) else "novel"))
+    assert got == want and {x[1] for x in want} == {"duplicate", "refinement", "novel"}
+    assert None not in asked
