@@ -187,12 +187,13 @@ def test_ongoing_with_an_end(spark, tmp_path):
 
 def test_a_table_of_many_files_comes_in_as_many_batches_as_asked(spark, tmp_path):
     """The index is that of all documents, in one segment for each of four batches, and ids that come again stay out."""
-    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha word"), F.col("id") % 7).alias("text"))
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha word"), F.col("id") % 7).alias("text"))
     docs.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
     path, state = str(tmp_path / "ix"), str(tmp_path / "cp")
     st.run_available(sq.batches(spark, str(tmp_path), "documents", "doc_id"), st.index_sink(path), state).awaitTermination()
     index = st.read_index(spark, path)
     assert len(index.segments) == 4
-    st.index_sink(path)(docs.where("doc_id < 20").union(spark.createDataFrame([(900, "beta")], "doc_id long, text string")), 4)
+    assert all(s.table("blocks").select("shard").distinct().count() == 4 for s in index.segments)  # as many as there are cores
+    st.index_sink(path)(docs.where("doc_id < 20").union(spark.createDataFrame([(9000, "beta")], "doc_id long, text string")), 4)
     rows = lambda i: sorted(map(tuple, i.postings.select("term", "doc_id", "tf").collect()))
-    assert rows(st.read_index(spark, path)) == sorted([*rows(ix.build_index(docs)), ("beta", 900, 1)])
+    assert rows(st.read_index(spark, path)) == sorted([*rows(ix.build_index(docs)), ("beta", 9000, 1)])
